@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the folder that the session names; a folder of our own only where none is named."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-checkpoints-"))
+    return df.checkpoint()
+
+
 def total_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes in a text column; one pass that reads only that column."""
     return int(df.agg(F.sum(F.octet_length(F.col(text)).cast("bigint"))).first()[0] or 0)
