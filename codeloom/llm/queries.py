@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, exact_dedup, html_extract, langid, media, packing, sharding, simhash, token_counts
+from codeloom.llm import bpe, exact_dedup, html_extract, langid, media, packing, sharding, simhash, suffix_dedup, token_counts
 from codeloom.llm._common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -59,7 +63,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_exact_dedup, op3_packing, op5_bpe, op6_token_counts, op7_simhash_dedup, op8_media, op9_sharding, op10_language_id)
+    f.__name__: f for f in (op1_html_extraction, op2_exact_dedup, op3_packing, op4_suffix_dedup, op5_bpe, op6_token_counts, op7_simhash_dedup, op8_media, op9_sharding, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {
