@@ -2,7 +2,7 @@
 
 Texts are equal when identical after lower-casing A-Z. Groups are refined in three steps: byte length,
 then a hash of a short prefix, then SHA-256 of the whole text, which only rows that still share
-(length, prefix) with another row reach. The text is never grouped or sorted on; every grouping is pre-aggregated
+(length, prefix) with another row reach: texts are shuffled once, to find those. Every grouping is pre-aggregated
 before its shuffle, so a group with a third of all rows arrives as one row for each task, and the joins
 that carry the group's verdict back to its rows are plain equi-joins, which adaptive execution splits when skewed.
 
@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm._common import checkpointed
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_CHARS = 64
-_N, _P, _H, _M, _KEEP, _SIZE, _ROWS = ("__xd_len", "__xd_prefix", "__xd_hash", "__xd_shared", "__xd_keep", "__xd_size", "__xd_rows")
+_ID, _N, _P, _H, _X, _KEEP, _SIZE, _ROWS = ("__xd_id", "__xd_len", "__xd_prefix", "__xd_hash", "__xd_as_is", "__xd_keep", "__xd_size", "__xd_rows")
 
 
 def normalized(text: Column) -> Column:
@@ -27,40 +29,63 @@ def normalized(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def mark_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """All rows and columns of ``docs`` and the verdict in ``__xd_*`` columns: keep, size, and rows with the kept id."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumns({_N: F.octet_length(body), _P: F.xxhash64(normalized(F.substring(body, 1, prefix_chars)))})
-    lengths = docs.groupBy(F.octet_length(body).alias(_N)).count().where("count > 1").select(_N)
-    prefixes = keyed.select(_N, _P).join(lengths, _N, "left_semi").groupBy(_N, _P).count().where("count > 1").select(_N, _P, F.lit(True).alias(_M))
-    shared = keyed.join(prefixes, [_N, _P], "left").withColumn(_H, F.when(F.col(_M), F.sha2(normalized(F.col(text)), 256)))
-    groups = (
-        shared.where(F.col(_M)).groupBy(_N, _P, _H, F.col(doc_id).alias("__xd_id")).agg(F.count("*").alias("__xd_n"))
-        .groupBy(_N, _P, _H).agg(F.max("__xd_id").alias(_KEEP), F.sum("__xd_n").alias(_SIZE), F.max_by("__xd_n", "__xd_id").alias(_ROWS))
-        .where(F.col(_SIZE) > 1)
-    )
-    return shared.join(groups, [_N, _P, _H], "left")
+def _body(text: str) -> Column:
+    return F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """One row per row of ``docs``: its columns, then keep_id, group_size and kept.
+def _keys(text: str, prefix_chars: int) -> list[Column]:
+    return [F.octet_length(_body(text)).alias(_N), F.xxhash64(normalized(F.substring(_body(text), 1, prefix_chars))).alias(_P)]
+
+
+def shared_prefixes(docs: DataFrame, text: str, prefix_chars: int) -> DataFrame:
+    """The (length, prefix hash) keys that more than one row has, checkpointed: steps one and two."""
+    lengths = docs.groupBy(F.octet_length(_body(text)).alias(_N)).count().where("count > 1").select(_N)
+    keyed = docs.select(*_keys(text, prefix_chars)).join(lengths, _N, "left_semi")
+    return checkpointed(keyed.groupBy(_N, _P).count().where("count > 1").select(_N, _P))
+
+
+def surviving(docs: DataFrame, prefixes: DataFrame, text: str, doc_id: str, prefix_chars: int, carry: list[Column]) -> DataFrame:
+    """Id, keys, whole-text hash and ``carry`` of the rows whose keys another row shares, checkpointed: step three. Only here are texts shuffled."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias(_ID), _body(text).alias("__xd_text"), *_keys(text, prefix_chars), *carry)
+    return checkpointed(rows.join(prefixes, [_N, _P], "left_semi").withColumn(_H, F.sha2(normalized(F.col("__xd_text")), 256)).withColumn(_X, F.xxhash64("__xd_text")).drop("__xd_text"))
 
-    Columns of ``docs`` with these three names are replaced.
-    """
-    marked = mark_exact_copies(docs.drop("keep_id", "group_size", "kept"), text, doc_id, prefix_chars)
-    keep = F.when(F.col(_SIZE).isNull(), F.col(doc_id)).otherwise(F.col(_KEEP))
-    return marked.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("keep_id", "group_size", "kept")],
-        keep.alias("keep_id"), F.coalesce(F.col(_SIZE), F.lit(1)).cast("bigint").alias("group_size"),
-        keep.eqNullSafe(F.col(doc_id)).alias("kept"),
-    )
+
+def groups_of(survivors: DataFrame) -> DataFrame:
+    """Groups of equal texts of two rows or more: keys, kept id, size, and how many rows have the kept id."""
+    counts = survivors.groupBy(_N, _P, _H, _ID).agg(F.count("*").alias("__xd_n"))
+    groups = counts.groupBy(_N, _P, _H).agg(F.max(_ID).alias(_KEEP), F.sum("__xd_n").alias(_SIZE), F.max_by("__xd_n", _ID).alias(_ROWS))
+    return groups.where(F.col(_SIZE) > 1)
+
+
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix_chars: int = PREFIX_CHARS, carry: list[Column] | None = None) -> DataFrame:
+    """One row per row of ``docs``: its id, keep_id, group_size, kept, and ``carry``, columns made of the row in the scan (by default none)."""
+    carry = carry or []
+    extra = docs.select(*carry).columns if carry else []
+    prefixes = shared_prefixes(docs, text, prefix_chars)
+    survivors = surviving(docs, prefixes, text, doc_id, prefix_chars, carry)
+    found = survivors.join(groups_of(survivors), [_N, _P, _H], "left").select(_ID, _KEEP, _SIZE, *extra)
+    alone = docs.select(F.col(f"`{doc_id}`").alias(_ID), *_keys(text, prefix_chars), *carry).join(prefixes, [_N, _P], "left_anti").select(_ID, F.lit(None).cast(docs.schema[doc_id].dataType).alias(_KEEP), F.lit(None).cast("bigint").alias(_SIZE), *extra)
+    keep = F.when(F.col(_SIZE).isNull(), F.col(_ID)).otherwise(F.col(_KEEP))
+    return found.unionByName(alone).select(
+        F.col(_ID).alias(doc_id), keep.alias("keep_id"), F.coalesce(F.col(_SIZE), F.lit(1)).cast("bigint").alias("group_size"), keep.eqNullSafe(F.col(_ID)).alias("kept"), *extra
+    )
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """The columns of ``docs`` for one row of each group of equal texts: the row with the largest id."""
-    marked = mark_exact_copies(docs, text, doc_id, prefix_chars)
+    """The columns of ``docs`` for one row of each group of equal texts: the row with the largest id.
+
+    The rows to drop are named by id, keys and a hash of the text as it stands, and taken out by an anti-join. Where rows repeat an id and its text, one of those rows stays.
+    """
+    survivors = surviving(docs, shared_prefixes(docs, text, prefix_chars), text, doc_id, prefix_chars, [])
+    judged = survivors.join(groups_of(survivors), [_N, _P, _H])
     own = [F.col(f"`{c}`") for c in docs.columns]
-    kept = marked.where(F.col(_SIZE).isNull() | F.col(_KEEP).eqNullSafe(F.col(doc_id)))
-    once = kept.where(F.coalesce(F.col(_ROWS), F.lit(1)) == 1).select(*own)
-    repeated = kept.where(F.col(_ROWS) > 1).dropDuplicates([_N, _P, _H]).select(*own)
-    return once.unionByName(repeated)
+    named = docs.select(*own, F.col(f"`{doc_id}`").alias(_ID), *_keys(text, prefix_chars), F.xxhash64(_body(text)).alias(_X))
+    same = F.col(_ID).eqNullSafe(F.col("__xd_i")) & (F.col(_N) == F.col("__xd_l")) & (F.col(_P) == F.col("__xd_p")) & (F.col(_X) == F.col("__xd_x"))
+    other = [F.col(_ID).alias("__xd_i"), F.col(_N).alias("__xd_l"), F.col(_P).alias("__xd_p"), F.col(_X).alias("__xd_x")]
+    stays = F.col(_KEEP).eqNullSafe(F.col(_ID))
+    repeated = checkpointed(judged.where(stays & (F.col(_ROWS) > 1)).select(*other, F.col(_H)).distinct())
+    dropped = judged.where(~stays | (F.col(_ROWS) > 1)).select(*other).distinct()
+    once = named.join(dropped, same, "left_anti").select(*own)
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(named.join(repeated, same).dropDuplicates([_N, _P, _H]).select(*own))

@@ -22,8 +22,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return marked.select("doc_id", "keep_id", "group_size", "kept", F.sha2(exact_dedup.normalized(F.col("text")), 256).alias("text_sha256"))
+    digest = F.sha2(exact_dedup.normalized(F.col("text")), 256).alias("text_sha256")
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry=[digest])
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
