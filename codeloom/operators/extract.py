@@ -9,7 +9,7 @@ import ast
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,29 +79,30 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     """file_path with a symbol's columns for each symbol of the files (path, content); one row with only ``error`` where a file doesn't parse."""
     names = [f.split()[0] for f in AST_SYMBOLS.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    form = pa.schema([(n, pa.int32() if n.endswith("_line") else pa.string()) for n in ("file_path", *names, "error")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 found, error = _parsed(content, symbols_of)
                 rows += [{"file_path": path, **x} for x in found] if error is None else [{"file_path": path, "error": error}]
-            out = pd.DataFrame(rows, columns=["file_path", *names, "error"])
-            for c in ("start_line", "end_line"):
-                out[c] = out[c].astype("Int32")
-            yield out
+            yield pa.RecordBatch.from_pylist(rows, form)
 
-    return files.select("path", "content").mapInPandas(run, f"file_path string, {AST_SYMBOLS}, error string")
+    return files.select("path", "content").mapInArrow(run, f"file_path string, {AST_SYMBOLS}, error string")
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
     """The import statements of the files (path, content) that parse, as written."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    form = pa.schema([("file_path", pa.string()), ("pos", pa.int32()), ("module", pa.string()), ("level", pa.int32()), ("names", pa.list_(pa.string())), ("is_from", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"file_path": path, **x} for path, content in zip(batch["path"], batch["content"], strict=True) for x in _parsed(content, imports_of)[0]]
-            yield pd.DataFrame(rows, columns=["file_path", "pos", "module", "level", "names", "is_from"])
+            rows = [{"file_path": path, **x} for path, content in zip(*[c.to_pylist() for c in batch.columns], strict=True) for x in _parsed(content, imports_of)[0]]
+            yield pa.RecordBatch.from_pylist(rows, form)
 
-    return files.select("path", "content").mapInPandas(run, IMPORTS)
+    return files.select("path", "content").mapInArrow(run, IMPORTS)
 
 
 def symbol_by_name(symbols: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ import json
 import tempfile
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,13 +38,13 @@ def is_small(edges: DataFrame, most: int = SMALL) -> bool:
 
 def _in_one_task(edges: DataFrame, solve: Callable[[list[tuple[str, str]]], list[tuple]], schema: str) -> DataFrame:
     """For graphs whose size was checked."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    form = pa.schema([(name, pa.int32() if kind == "int" else pa.string()) for name, kind in (x.split() for x in schema.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = [e for b in batches for e in zip(b["src"], b["dst"], strict=True)]
-        yield pd.DataFrame(solve(every), columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = [e for b in batches for e in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+        yield pa.RecordBatch.from_pylist([dict(zip(form.names, row, strict=True)) for row in solve(every)], form)
 
-    return edges.select("src", "dst").distinct().coalesce(1).mapInPandas(run, schema)
+    return edges.select("src", "dst").distinct().coalesce(1).mapInArrow(run, schema)
 
 
 def flipped(edges: DataFrame) -> DataFrame:

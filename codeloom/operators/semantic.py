@@ -183,9 +183,7 @@ def generate(rows: DataFrame, content: Column, client: ModelClient, prompt: str,
     def ask(texts: pd.Series) -> pd.DataFrame:
         with ThreadPoolExecutor(concurrency) as pool:
             found = pd.DataFrame(list(pool.map(one, texts)), columns=_RESULT_NAMES)
-        for c in _RESULT_NAMES[5:]:
-            found[c] = found[c].astype("Int64")
-        return found
+        return found.astype({c: "Int64" if k >= 5 else object for k, c in enumerate(_RESULT_NAMES)})
 
     return rows.withColumn("answer", ask.asNondeterministic()(content))
 

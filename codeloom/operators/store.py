@@ -95,11 +95,11 @@ class SymbolStore:
     def write(self, rows: DataFrame) -> str:
         """Write a new version, swap the pointer, drop all versions but the last two."""
         before, version = self._current(), f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        checked = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
+        checked = rows.select(*[F.col(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name).cast(f.dataType) for f in self.schema.fields])
         for f in self.schema.fields:
             if isinstance(f.dataType, T.ArrayType) and f.name.endswith("_vector"):
                 right = F.size(f.name) == VECTOR_SIZE
-                checked = checked.withColumn(f.name, F.when(right, F.col(f.name)).otherwise(F.raise_error(F.concat(F.lit(f"{f.name}: not {VECTOR_SIZE} numbers for "), F.col("id"))).cast(f.dataType)))
+                checked = checked.withColumn(f.name, F.when(right, F.col(f.name).cast("array<float>")).otherwise(F.raise_error(F.concat(F.lit(f"{f.name}: not {VECTOR_SIZE} numbers for "), F.col("id"))).cast("array<float>")))
         checked.write.parquet(f"{self.path}/versions/{version}")
         staged, pointer = self._path(f"{self.path}/CURRENT.{version}"), self._path(f"{self.path}/CURRENT")
         out = self._fs.create(staged, True)

@@ -15,7 +15,7 @@ from contextlib import suppress
 from datetime import UTC, datetime
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,12 +55,13 @@ def read_files(spark: SparkSession, root: str | Path, paths: list[str]) -> DataF
         except (OSError, UnicodeDecodeError) as e:
             return path, None, f"read error: {e}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([read(p) for p in batch["path"]], columns=["path", "content", "error"])
+            for p in batch.column(0).to_pylist():  # a file at a time: no batch holds many large files
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in read(p)], ["path", "content", "error"])
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return listed.repartition(max(1, min(len(paths) // 64 + 1, 4096)), "path").mapInPandas(run, FILES)
+    return listed.repartition(max(1, min(len(paths) // 64 + 1, 4096)), "path").mapInArrow(run, FILES)
 
 
 def scan_repository(spark: SparkSession, root: str | Path, below: str = "") -> DataFrame:

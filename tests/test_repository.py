@@ -1,0 +1,322 @@
+"""Scanning, extraction, resolution, indexing, rendering, editing and the command line on a small repository."""
+
+import json
+import subprocess
+
+import pytest
+from pyspark.sql import functions as F
+
+from codeloom import cli
+from codeloom.operators import edit, extract, graph, index, render, semantic, store
+from codeloom.sources import files
+
+MINI = {
+    "app/__init__.py": "", "app/core.py": "import json\nfrom . import util\nfrom app.models import User\n", "app/util.py": "from app import core\n", "app/models.py": "import app.core as c\n",
+    "src/lib1/__init__.py": "", "src/lib1/b.py": "", "src/lib1/a.py": "import lib1.b.c\nfrom .. import z\nfrom ... import z\n", "packages/foo/foo/__init__.py": "", "packages/foo/foo/x.py": "",
+    "tools/run.py": "import foo.x\nimport app.core\nfrom .helpers import h\n", "tools/bad.py": "def (\n", ".venv/skip.py": "x = 1\n",
+}
+SOURCE = '''import functools
+
+@functools.lru_cache
+def load(path: str, n=1) -> dict:
+    def inner(): ...
+    return {}
+
+class Repo(Base, metaclass=M):
+    """doc"""
+    async def get(self, k):
+        return k
+    @property
+    def size(self): return 0
+    class Inner:
+        def no(self): ...
+
+if True:
+    def hidden(): ...
+'''
+
+
+@pytest.fixture
+def repo(tmp_path):
+    for path, text in MINI.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    run("init", "-q")
+    run("config", "user.email", "a@b.c")
+    run("config", "user.name", "Ann")
+    run("remote", "add", "origin", "https://github.com/o/r.git")
+    run("add", "-A")
+    run("commit", "-qm", "x")
+    return tmp_path
+
+
+def test_scan(spark, repo):
+    paths = files.list_python_files(repo)
+    assert paths == sorted(p for p in MINI if not p.startswith(".venv")) and len(paths) == 11
+    rows = files.scan_repository(spark, repo).collect()
+    assert {r.path: r.content for r in rows} == {p: t for p, t in MINI.items() if not p.startswith(".venv")}
+    (repo / "app/latin.py").write_bytes(b"\xff\xfe\xff")
+    bad = files.read_files(spark, repo, ["app/latin.py", "app/none.py"]).collect()
+    assert all(r.content is None and r.error.startswith("read error") for r in bad)
+    assert {r.path for r in files.scan_repository(spark, repo, "app").collect()} == {p for p in MINI if p.startswith("app/")} | {"app/latin.py"}
+
+
+def test_symbols(spark):
+    rows = extract.extract_symbols(spark.createDataFrame([("a.py", SOURCE), ("b.py", "def ("), ("c.py", None)], "path string, content string")).collect()
+    found = [(r.name, r.kind, r.start_line, r.end_line, r.parent, r.signature) for r in rows if r.file_path == "a.py"]
+    assert found == [
+        ("load", "function", 3, 6, None, "def load(path: str, n=1) -> dict:"), ("Repo", "class", 8, 15, None, "class Repo(Base, metaclass=M):"),
+        ("Repo.get", "method", 10, 11, "Repo", "async def get(self, k):"), ("Repo.size", "method", 12, 13, "Repo", "def size(self):"),
+    ]
+    assert [r.error[:16] for r in rows if r.file_path == "b.py"] == ["AST parse error:"] and not [r for r in rows if r.file_path == "c.py"]
+    assert extract.symbols_of("x = '\f '\ndef f():\n    return 1\n")[0]["source"] == "def f():\n    return 1"
+    twice = extract.extract_symbols(spark.createDataFrame([("a.py", "def f(a): ...\ndef f(b): ...\n")], "path string, content string"))
+    assert extract.symbol_by_name(twice, "f").first().signature == "def f(a):"
+
+
+def resolved(spark, root):
+    everything = files.scan_repository(spark, root).where("error IS NULL")
+    paths = everything.select("path")
+    modules = extract.absolute_imports(extract.extract_imports(everything), extract.packages_of_files(paths))
+    roots = extract.package_roots(paths)
+    return modules, roots, extract.import_edges(extract.resolve_imports(modules, paths, roots))
+
+
+def test_imports_and_edges(spark, repo):
+    modules, roots, edges = resolved(spark, repo)
+    by_file = {}
+    for r in modules.orderBy("file_path", "pos").collect():
+        by_file.setdefault(r.file_path, []).append(r.module)
+    assert by_file == {"app/core.py": ["json", "app.util", "app.models"], "app/util.py": ["app"], "app/models.py": ["app.core"], "src/lib1/a.py": ["lib1.b.c", "z"], "tools/run.py": ["foo.x", "app.core"]}
+    assert [tuple(r) for r in roots.collect()] == [("foo", "packages/foo/")]
+    assert {tuple(r) for r in edges.collect()} == {
+        ("app/core.py", "app/models.py"), ("app/core.py", "app/util.py"), ("app/util.py", "app/__init__.py"), ("app/models.py", "app/core.py"), ("src/lib1/a.py", "src/lib1/b.py"), ("tools/run.py", "app/core.py"), ("tools/run.py", "packages/foo/foo/x.py"),
+    }
+
+
+def test_root_conflicts_go_to_the_first(spark, repo):
+    (repo / "packages/bar/foo").mkdir(parents=True)
+    (repo / "packages/bar/foo/__init__.py").write_text("")
+    _, roots, edges = resolved(spark, repo)
+    assert [tuple(r) for r in roots.collect()] == [("foo", "packages/bar/")]
+    assert ("tools/run.py", "packages/bar/foo/__init__.py") in {tuple(r) for r in edges.collect()}
+
+
+def test_index_twice_and_edit(spark, repo, tmp_path_factory):
+    (repo / "app/repo.py").write_text(SOURCE)
+    home = tmp_path_factory.mktemp("store")
+    symbols, client = store.SymbolStore(spark, f"file://{home}/symbols").ensure(), semantic.StubClient()
+    first = index.index_directory(spark, repo, symbols, graph.ImportGraph.empty(spark), client)
+    total = first.summary()
+    assert (total["indexed"], total["skipped"], total["failed"], total["edges"], total["symbols"], total["described"]) == (11, 0, 1, 7, 4, 4)
+    rows = {r.id: r for r in symbols.read().collect()}
+    assert len(rows) == 15 and all(r.mutation_count == 0 and r.repo_id == "o/r" and len(r.description_vector) == 256 for r in rows.values())
+    assert rows["app/core.py::__module__"].git_author == "Ann" and rows["app/repo.py::load"].git_author == "unknown" and rows["app/repo.py::Repo.get"].description == "The method Repo.get."
+    assert not any(rows["app/core.py::__module__"].signature_vector)
+    again = index.index_directory(spark, repo, symbols, first.graph, client)
+    assert again.summary()["skipped"] == 11 and again.summary()["edges"] == 7
+    (repo / "app/repo.py").write_text(SOURCE + "\ndef added(): ...\n")
+    third = index.index_directory(spark, repo, symbols, again.graph, client, "app")
+    assert {r.file_path: r.status for r in third.files.collect()}["app/repo.py"] == "indexed" and third.summary()["edges"] == 7
+    assert {r.id: r.mutation_count for r in symbols.get_by_file("app/repo.py").collect()} == {f"app/repo.py::{n}": 1 for n in ("load", "Repo", "Repo.get", "Repo.size", "added", "__module__")}
+    g = third.graph
+    assert {r.file_path for r in g.ancestors("app/core.py").collect()} == {"app/models.py", "tools/run.py"}
+    assert {r.file_path for r in g.descendants("tools/run.py").collect()} == {"app/core.py", "app/models.py", "app/util.py", "app/__init__.py", "packages/foo/foo/x.py"}
+    assert [r.members for r in g.cycles().collect()] == [["app/core.py", "app/models.py"]]
+    with pytest.raises(graph.CycleError):
+        g.topo_sort()
+    (repo / "tools/helpers.py").write_text("import late\n")
+    (repo / "late.py").write_text("")
+    fourth = index.index_directory(spark, repo, symbols, g, client)
+    assert ("tools/helpers.py", "late.py") in {tuple(r) for r in fourth.graph.edges.collect()}
+    (repo / "late.py").unlink()
+    pruned = index.index_directory(spark, repo, symbols, fourth.graph, client, prune=True)
+    assert symbols.get_by_file("late.py").count() == 0 and ("tools/helpers.py", "late.py") not in {tuple(r) for r in pruned.graph.edges.collect()}
+    with pytest.raises(ValueError, match="isn't inside"):
+        index.index_directory(spark, repo, symbols, g, client, "../elsewhere")
+
+    with edit.edit(repo, "app/repo.py", symbols, pruned.graph, client) as context:
+        with pytest.raises(edit.EditBusyError), edit.edit(repo, "app/repo.py", symbols, g, client):
+            pass
+        assert context.get("Repo.get") == ("    async def get(self, k):\n        return k", "The method Repo.get.", "async def get(self, k):")
+        change = context.put("Repo.get", "async def get(self, k):\n    return [k]", "Return the key in a list.")
+        assert change.old_comment == "The method Repo.get." and not change.prudence_skipped
+        with pytest.raises(ValueError, match="doesn't parse"):
+            context.put("load", "def (", "x")
+        with pytest.raises(ValueError, match="not found"):
+            context.put("nobody", "def a(): ...", "x")
+        with pytest.raises(edit.FidelityError):
+            context.put("load", "def load(): ...", "")
+        report = context.flush()
+        assert report.commit and report.symbols == 5
+        with pytest.raises(RuntimeError):
+            context.flush()
+    assert "    async def get(self, k):\n        return [k]\n    @property" in (repo / "app/repo.py").read_text()
+    log = subprocess.run(["git", "-C", str(repo), "log", "-1", "--format=%B", "--name-only"], capture_output=True, text=True).stdout
+    assert log.startswith("codeloom: Repo.get @ app/repo.py") and log.strip().endswith("app/repo.py")
+    document = (repo / "app" / render.DOCUMENT).read_text()
+    assert '<method name="get" args="self, k" />' in document and '<fn name="load" args="path: str, n=1" returns="dict" />' in document
+    with edit.edit(repo, "app/repo.py", symbols, g, client) as context:
+        assert context.flush() is None
+    with edit.edit(repo, "app/repo.py", symbols, g, client) as context:
+        context.dump()
+    assert "# codeloom: unverified dump @" in (repo / "app/repo.py").read_text()
+
+
+@pytest.mark.parametrize(
+    ("old", "want"),
+    [(None, "{s}\nB"), ("intro\n{s}\nold", "intro\n{s}\nB"), ("x<index>old</index>y", "x{s}\nBy"), ("intro", "intro\n{s}\nB")],
+)
+def test_merge_document(old, want):
+    assert render.merge_document(None if old is None else old.format(s=render.SENTINEL), "B") == want.format(s=render.SENTINEL)
+
+
+def test_render_orders_and_orphans(spark):
+    rows = [
+        ("a/m.py::__module__", "a/m.py", "module", 'Say "hi"', ""), ("a/m.py::C.z", "a/m.py", "method", None, "def z(self) -> int:"), ("a/m.py::C", "a/m.py", "class", None, "class C:"), ("a/m.py::D", "a/m.py", "class", None, "class D:"),
+        ("a/m.py::f", "a/m.py", "function", None, "def f():"), ("a/m.py::Gone.x", "a/m.py", "method", None, "def x(self):"), ("b.py::__module__", "b.py", "module", None, ""),
+    ]
+    found = {r.directory: r.block for r in render.render_directories(spark.createDataFrame(rows, "id string, file_path string, kind string, description string, signature string")).collect()}
+    assert found["a"] == (
+        '<index>\n  <file path="m.py" doc="Say &quot;hi&quot;">\n    <fn name="f" args="" />\n    <cls name="C">\n      <method name="z" args="self" returns="int" />\n    </cls>\n    <cls name="D" />\n  </file>\n</index>'
+    )
+    assert found["."] == '<index>\n  <file path="b.py">\n  </file>\n</index>'
+
+
+def test_command_line(spark, repo, monkeypatch, capsys):
+    monkeypatch.chdir(repo)
+    call = lambda *a: cli.main(a, spark=spark)
+    assert call("nothing") == 2 and call("index", "--target", "nowhere") == 1
+    assert call("index", "--target", ".") == 1  # one file doesn't parse
+    assert call("search", "--query", "module of symbols", "-n", "3") == 0
+    assert len(capsys.readouterr().out.splitlines()) == 3
+    assert call("graph", "--target", "app/core.py", "--json") == 0
+    assert json.loads(capsys.readouterr().out)["result"] == ["app/models.py", "tools/run.py"]
+    assert call("graph", "--target", "tools/run.py", "--mode", "depends") == 0 and "app/util.py" in capsys.readouterr().out
+    assert call("graph", "--target", "x", "--mode", "cycles") == 0 and capsys.readouterr().out.strip() == "app/core.py -> app/models.py"
+    assert call("egg", "--target", ".") == 0 and (repo / "app" / render.DOCUMENT).exists() and call("egg", "--target", "app/core.py") == 1
+    (repo / "app/new.py").write_text("def f():\n    return 1\n")
+    capsys.readouterr()
+    assert call("get", "--file", "app/new.py", "--name", "f") == 0 and capsys.readouterr().out == "def f():\n    return 1\n"
+    assert call("get", "--file", "app/new.py", "--name", "g") == 1 and call("get", "--file", "no.py", "--name", "g") == 1
+    assert call("put", "--file", "app/new.py", "--name", "f", "--new-source", "def f():\n    return 2", "--new-comment", "Two.") == 0
+    assert (repo / "app/new.py").read_text() == "def f():\n    return 2\n"
+    capsys.readouterr()
+    assert call("get", "--file", "app/new.py", "--name", "f") == 0 and capsys.readouterr().out == "# The function f.\ndef f():\n    return 2\n"
+    assert call("put", "--file", "app/new.py", "--name", "f", "--new-source", "def f(): ...", "--new-comment", "") == 2
+    assert call("assert", "--claim", "c", "--a", "x", "--b", "y") == 0 and call("score", "--quality", "q", "--target", "app") == 0
+    assert call("rank", "--criteria", "c", "--options", "x") == 1 and call("rank", "--criteria", "c", "--options", "x", "longer") == 0
+    assert "1. OPTION 2" in capsys.readouterr().out
+
+
+def test_references(repo, monkeypatch):
+    monkeypatch.chdir(repo)
+    assert files.resolve("app/util.py") == "--- app/util.py ---\nfrom app import core\n"
+    assert files.resolve("app/util.py::f") == "--- app/util.py::f ---\nfrom app import core\n\n[Symbol: f]"
+    assert files.resolve("app").startswith("--- app/__init__.py ---\n\n--- app/core.py ---") and files.resolve("just words") == "just words"
+    (repo / "void").mkdir()
+    assert files.resolve("void") == "[empty directory: void]" and files.resolve("HEAD").startswith("--- git ")
+    (repo / ".env").write_text("export SOME_KEY='abc'\n")
+    assert files.api_key("SOME_KEY", repo) == "abc"
+    with pytest.raises(RuntimeError):
+        files.api_key("NO_SUCH_KEY", repo)
+
+
+def test_store_versions(spark, tmp_path):
+    s = store.SymbolStore(spark, f"file://{tmp_path}/s").ensure()
+    row = lambda i, path, d="x": (i, path, "function", d, [0.0] * 256, "", [0.0] * 256, "h", "t", "a", 0, "r")
+    make = lambda *rows: spark.createDataFrame(list(rows), s.schema)
+    s.upsert(make(row("a::f", "a"), row("my_pkg/b::g", "my_pkg/b"), row("myXpkg/b::g", "myXpkg/b")))
+    s.upsert(make(row("a::f", "a", "new")))
+    s.upsert(make())
+    assert s.read().count() == 3 and s.get_by_id("a::f").first().description == "new" and s.get_by_directory("my_pkg").count() == 1 and s.get_by_directory(".").count() == 3
+    s.replace_files(make(row("a::h", "a")))
+    s.delete_by_file("my_pkg/b")
+    assert {r.id for r in s.read().collect()} == {"a::h", "myXpkg/b::g"}
+    assert len(list((tmp_path / "s" / "versions").iterdir())) == 2
+    with pytest.raises(Exception, match="not 256 numbers"):
+        s.upsert(spark.createDataFrame([("z", "z", "function", None, [1.0], "", [0.0] * 256, "h", "t", "a", 0, "r")], s.schema))
+    assert s.read().count() == 2
+
+
+def test_stream_maintains_store(spark, tmp_path):
+    from codeloom.streaming import incremental
+
+    s = store.SymbolStore(spark, f"file://{tmp_path}/s").ensure()
+    data = spark.createDataFrame([("a.py", "def f(): ...", 1), ("b.py", "def g(): ...", 1), ("a.py", "def h(): ...", 2)], "file_path string, content string, ts long")
+    data.coalesce(1).write.parquet(f"{tmp_path}/in")
+
+    def rows_of(batch):
+        symbols = extract.extract_symbols(batch.select(F.col("file_path").alias("path"), "content"))
+        zeros = F.array_repeat(F.lit(0.0).cast("float"), 256)
+        return symbols.select(
+            F.concat("file_path", F.lit("::"), "name").alias("id"), "file_path", "kind", F.lit(None).cast("string").alias("description"), zeros.alias("description_vector"), "signature", zeros.alias("signature_vector"),
+            F.lit("h").alias("source_hash"), F.lit("t").alias("last_modified"), F.lit("a").alias("git_author"), F.lit(0).cast("bigint").alias("mutation_count"), F.lit("r").alias("repo_id"),
+        )
+
+    query = incremental.maintain(incremental.read_stream(spark, f"{tmp_path}/in", data), s, rows_of, f"{tmp_path}/c")
+    query.awaitTermination(120)
+    assert {r.id for r in s.read().collect()} == {"a.py::h", "b.py::g"}
+
+
+def test_search_ties_and_zero_vectors(spark):
+    from codeloom.operators import vector
+
+    rows = spark.createDataFrame([("a", [1.0, 0.0], [0.0, 1.0]), ("b", [0.0, 1.0], [3.0, 4.0]), ("c", [3.0, 4.0], [3.0, 4.0]), ("m", [0.0, 0.0], [0.0, 0.0]), ("n", [0.0, 0.0], [-1.0, 0.0])], "id string, description_vector array<double>, signature_vector array<double>")
+    found = vector.search_vectors(rows, [1.0, 0.0]).collect()
+    assert [(r.id, round(r.similarity, 6), r.match_field) for r in found] == [("a", 1.0, "description"), ("b", 0.6, "signature"), ("c", 0.6, "description"), ("n", -1.0, "signature")]
+    both = vector.search_vectors(rows, [1.0, 0.0])
+    assert vector.at_least(both, 0.0).count() == 4 and vector.at_least(both, 0.1).count() == 3
+    assert [r.id for r in vector.knn(rows, [1.0, 0.0], "description_vector", 2).collect()] == ["a", "c"]
+
+
+def test_models(spark):
+    client = semantic.StubClient()
+    rows = spark.createDataFrame([("x", ["aa", "b", "cccc"])], "t string, o array<string>")
+    ranked = semantic.sem_rank(rows, F.lit("long"), F.col("o"), client).first()
+    assert ranked.ranking == [3, 1, 2] and ranked.spread == "moderate"
+    assert semantic.calls_of(semantic.generate(rows, F.col("t"), client, "p")).first().input_tokens == 1
+    with pytest.raises(ValueError, match="unknown model"):
+        semantic.generate(rows, F.col("t"), client, "p", "other-1")
+    tries, waits = [], []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise RuntimeError("Rate limit reached")
+        return "ok"
+
+    assert semantic.with_retries(flaky, sleep=waits.append) == "ok" and waits == [1.0, 2.0]
+    with pytest.raises(KeyError):
+        semantic.with_retries(lambda: {}["x"], sleep=waits.append)
+    assert semantic.token_limit_key("gpt-4.1") == "max_tokens" and semantic.token_limit_key("gpt-5.4") == "max_completion_tokens"
+    assert "temperature" in semantic.Request("p", "c", "gpt-4.1").options() and "temperature" not in semantic.Request("p", "c", "gpt-5.4", effort="low").options()
+
+
+def random_edges(seed, nodes=30, n=45):
+    import random
+
+    rnd = random.Random(seed)
+    return sorted({(f"n{rnd.randrange(nodes):02d}", f"n{rnd.randrange(nodes):02d}") for _ in range(n)})
+
+
+def test_graph_ways_agree(spark, tmp_path):
+    edges = random_edges(4)
+    df = spark.createDataFrame(edges, "src string, dst string")
+    for f in (lambda small: graph.descendants(df, edges[0][0], small), lambda small: graph.ancestors(df, edges[0][1], small), lambda small: graph.strong_components(df, small)):
+        assert sorted(map(tuple, f(10_000).collect())) == sorted(map(tuple, f(1).collect()))
+    acyclic = df.where("src < dst")
+    layers = {r.file_path: r.layer for r in graph.topological_layers(acyclic).collect()}
+    assert layers == {r.file_path: r.layer for r in graph.topological_layers(acyclic, small=1).collect()} and all(layers[r.src] < layers[r.dst] for r in acyclic.collect())
+    closed = graph.closure(df)
+    assert set(map(tuple, graph.closure(closed).collect())) == set(map(tuple, closed.collect()))
+    g = graph.ImportGraph.of(spark.createDataFrame([("alone",)], "file_path string"), df)
+    g.save(f"file://{tmp_path}/g.json")
+    back = graph.ImportGraph.load(spark, f"file://{tmp_path}/g.json")
+    assert set(map(tuple, back.edges.collect())) == set(edges) and "alone" in {r.file_path for r in back.files().collect()}
+    assert graph.ImportGraph.load(spark, f"file://{tmp_path}/none.json").edge_count() == 0
+    less = g.remove_file(edges[0][0])
+    assert edges[0][0] not in {x for r in less.edges.collect() for x in r}
+    assert {r.dst for r in g.update_file("alone", ["n01", "n02"]).edges.where("src = 'alone'").collect()} == {"n01", "n02"}
+    assert [r.position for r in graph.node_positions(g.nodes).orderBy("file_path").collect()] == list(range(g.nodes.count()))
