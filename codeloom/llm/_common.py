@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,12 @@ def total_bytes(df: DataFrame, text: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(text)).cast("bigint"))).first()[0] or 0)
 
 
+def with_fields(schema: T.StructType, added: str, drop: int = 0) -> T.StructType:
+    """A schema with fields at its end, given as in SQL, without its last ``drop`` fields."""
+    kinds = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "array<int>": T.ArrayType(T.IntegerType())}
+    return T.StructType(schema.fields[: len(schema.fields) - drop] + [T.StructField(name, kinds[kind]) for name, kind in (x.split() for x in added.split(", "))])
+
+
 def utf8_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets, without a copy where Arrow allows it; null counts as empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from codeloom.llm._common import texts
+from codeloom.llm._common import texts, with_fields
 
 LONG, CACHE = 256, 400_000
 
@@ -144,8 +144,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> Da
             ids = [bpe.encode(x) for x in texts(batch, text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())], [*batch.schema.names, "ids", "decoded"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, ids array<int>, decoded string")
+    return kept.mapInArrow(run, with_fields(kept.schema, "ids array<int>, decoded string"))
 
 
 def digest_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

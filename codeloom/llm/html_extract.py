@@ -5,7 +5,7 @@ after it, and where it stands: inside boilerplate containers (by element, role,
 at all. A decision tree, trained on the small labelled table below, keeps or drops each block. Scripts, styles, forms and other content that is never shown as
 text don't make blocks. No shuffle: a map over Arrow batches, pages are never cut.
 
-Defined results: null, empty or text-free html gives the empty string; malformed markup never fails: an end tag closes the nearest open element of its name, if there is one; an
+Defined results: null, empty or text-free html gives the empty string; malformed markup never fails: an end tag closes the nearest open element of its name, if there is one, and that of a block-level name ends a block in any case; an
 unclosed comment or script runs to the end of the page; ``<`` without a name after it is text. Repeated rows give repeated results.
 """
 
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codeloom.llm._common import texts
+from codeloom.llm._common import texts, with_fields
 
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|/?[a-zA-Z][^>]*(?:>|\Z))""", re.DOTALL)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -217,5 +217,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], [*batch.schema.names[:-1], "text", "n_chars"])
 
     source = pages.select(*[f"`{c}`" for c in kept], pages[f"`{html}`"].alias("__html"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{fields}text string, n_chars bigint")
+    return source.mapInArrow(run, with_fields(source.schema, "text string, n_chars bigint", drop=1))
