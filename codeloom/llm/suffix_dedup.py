@@ -5,12 +5,14 @@ as for an extended Burrows-Wheeler transform: in each round one more symbol of e
 the array of common prefixes are rewritten in one sequential pass; arrays above ``MEMORY`` bytes are kept in external files. Suffixes that share ``SPAN`` bytes stand next to each other in it; the least id of
 such a group says where the string starts first.
 
-Distribution. A window of SPAN bytes is dealt by the least hash of its 16-byte grams, so equal windows meet, and neighbouring windows with the same least hash travel as one
-string of 113 bytes at most, which bounds the rounds.
- 1. Each task sends every distinct (hash, document) once; hashes of one document only need no suffix order and go no further.
- 2. Documents are joined with their shared hashes (by id) and send the strings of those alone, equal strings of a task once, with the task's least id; all
-    other occurrences in the task are repeats already and pass as spans.
- 3. For each bucket of hashes the suffix order is built, and spans are returned, grouped by id and joined to the texts again.
+Distribution. A document that repeats the whole text of an earlier one is removed whole and takes no further part. A window of SPAN bytes is dealt by the least hash of its 20-byte grams, so
+equal windows meet, and neighbouring windows with the same least hash travel as one string of 81 bytes at most, which bounds the rounds. Documents are dealt into blocks by a hash of the id; all that
+concerns a block travels packed, in few rows.
+ 1. Each task sends every distinct hash once, with its text if that is the only one; hashes of one text only need no suffix order and go no further.
+ 2. Blocks of documents meet the shared hashes of their documents and send the strings of those alone, equal strings of a block once, with the block's least id; all
+    other occurrences in the block are repeats already and pass as spans.
+ 3. For each bucket of hashes the suffix order of its distinct strings is built (a hash with one distinct string has nothing to compare), and spans are returned to the blocks,
+    which meet their texts again: these are shuffled once for both meetings.
 A hash in more than HOT documents (a very common line in ever new surroundings) would load one bucket: its windows travel singly, dealt by a hash of all SPAN bytes. The set of those
 hashes is bounded: the threshold is raised so that at most MAX_HOT can exist (8 MB), and it is broadcast.
 
@@ -28,14 +30,17 @@ from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from codeloom.llm._common import checkpointed, slices, total_bytes, utf8_column
+from codeloom.llm._common import checkpointed, slices, total_bytes, utf8_column, with_fields
 
-SPAN, GRAM, RUN, HOT, MAX_HOT = 50, 16, 64, 1000, 1_000_000
-SLICE, MEMORY, HASH_BUCKET, STRING_BUCKET = 1 << 20, 64 << 20, 48 << 20, 4 << 20
+SPAN, GRAM, RUN, HOT, MAX_HOT = 50, 20, 32, 1000, 1_000_000
+SLICE, MEMORY, HASH_BUCKET, STRING_BUCKET, BLOCK, ORDER = 1 << 20, 64 << 20, 48 << 20, 12 << 20, 8 << 20, 1 << 18
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
@@ -117,9 +122,21 @@ def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """A binary column out of one buffer of 8-byte numbers cut at ``offsets``."""
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 8).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+def id_hash(ids: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a bigint column, as unsigned numbers."""
+    with np.errstate(over="ignore"):
+        p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of the XXH64 format
+        turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+        x = (np.uint64(42) + p5 + np.uint64(8)) ^ turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1
+        x = turn(x, 27) * p1 + p4
+        x = (x ^ x >> np.uint64(33)) * p2
+        x = (x ^ x >> np.uint64(29)) * p3
+        return x ^ x >> np.uint64(32)
+
+
+def _block(ids: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each id, as ``pmod(xxhash64(id), blocks)`` has it."""
+    return (id_hash(ids).view(np.int64) % np.int64(blocks)).astype(np.int32)
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -133,146 +150,169 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(differs)
 
 
-def _shared_hashes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id with a binary of 8-byte hashes it shares with other documents, in several rows for each; rows with id null hold hashes in more than HOT documents."""
+def _copies(docs: DataFrame) -> DataFrame:
+    """block, doc_id and text hash of the documents that repeat the whole text of one with a smaller id, checkpointed. No text is shuffled: two hashes stand for it."""
+    marks = docs.select("block", "doc_id", "hash", F.xxhash64(F.lit("again"), "text").alias("check"))
+    classes = marks.groupBy("hash", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "check", "least")
+    return checkpointed(marks.join(classes, ["hash", "check"]).where("doc_id > least").select("block", "doc_id", "hash"))
+
+
+def _packed_by(where: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The places that occur in ``where``, which is sorted, and the packed columns of each; a column of int64 is packed as differences."""
+    cut = np.append(_starts(where), len(where))
+    of = lambda c: np.diff(c, prepend=0) if c.dtype == np.int64 else c
+    return where[cut[:-1]].tolist(), [packed(*[of(c[a:b]) for c in columns]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+def _hits(h: np.ndarray, d: np.ndarray, blocks: int) -> tuple[list[int], list[bytes]]:
+    """Hashes and the documents they concern, packed by block; half a hash is enough within a document."""
+    where = _block(d, blocks)
+    order = np.lexsort((h, d, where))
+    return _packed_by(where[order], d[order], h[order].astype("<u4"))
+
+
+def _rows(names: list[str], *columns: list) -> pa.RecordBatch:
+    kinds = {"bucket": pa.int32(), "block": pa.int32(), "blob": pa.binary(), "kind": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for n, c in zip(names, columns, strict=True)], names)
+
+
+HITS, HASHES, CROWD = 0, 1, 2
+
+
+def _shared_hashes(docs: DataFrame, size: int, blocks: int) -> DataFrame:
+    """Rows (block, kind, blob): HITS, the hashes of a block's documents that other texts have, too; CROWD, hashes in more than HOT documents."""
     buckets = max(1, -(-size // HASH_BUCKET))
-    hot = max(HOT, size // 18 // MAX_HOT)
-    names, layout = ["bucket", "doc_id", "blob"], "bucket int, doc_id bigint, blob binary"
+    hot = max(HOT, size // 16 // MAX_HOT)
+    names, layout = ["bucket", "block", "kind", "blob"], "bucket int, block int, kind int, blob binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, texts = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "hash"))
             runs = Runs(*utf8_column(batch, "text"))
-            key, doc = runs.key, ids[runs.row]
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            once = _starts(key, doc)
-            key, doc = key[once], doc[once]
-            group = _starts(key)
-            count = np.diff(np.append(group, len(key)))
-            many = np.repeat(count > 1, count)
-            h, d = key[many], doc[many]  # shared within this batch: known without asking
-            order = np.argsort(d, kind="stable")
-            h, d = h[order], d[order]
-            cut = _starts(d)
-            yield pa.RecordBatch.from_arrays([pa.array((_mix(d[cut].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)), pa.array(d[cut]), _binary(h, np.append(cut, len(h)))], names)
-            h, d, c = key[group], doc[group], count.astype("<i4")
-            where = (_mix(h) % np.uint64(buckets)).astype(np.int32)
+            h, row = short(runs.key), runs.row
+            order = np.lexsort((ids[row], h))
+            h, row = h[order], row[order]
+            once = _starts(h, row)
+            h, row = h[once], row[once]
+            group = _starts(h)
+            count = np.diff(np.append(group, len(h)))
+            several = np.minimum.reduceat(texts[row], group) < np.maximum.reduceat(texts[row], group) if len(group) else np.zeros(0, bool)
+            many = np.repeat(several, count)
+            places, blobs = _hits(h[many], ids[row[many]], blocks)  # shared within this batch: known without asking
+            yield _rows(names, [p % buckets for p in places], places, [HITS] * len(places), blobs)
+            # one message for each hash: with one text only, from its least id in the batch; with several, how many
+            h, d, t, c = h[group], ids[row[group]], texts[row[group]], np.where(several, count, 1).astype("<i4")
+            where = (h % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((h, d, where))
-            h, d, c, where = h[order], d[order], c[order], where[order]
-            cut = np.append(_starts(where), len(where))
-            blobs = [packed(h[a:b], np.diff(d[a:b], prepend=0), c[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(where[cut[:-1]]), pa.array([None] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names)
+            h, d, t, c = h[order], d[order], t[order], c[order]
+            places, blobs = _packed_by(where[order], h.astype("<u4"), (h >> np.uint64(32)).astype("<u2"), d, t, c)
+            yield _rows(names, places, [0] * len(places), [HASHES] * len(places), blobs)
 
     def meet(table: pa.Table) -> pa.Table:
-        passed = table.filter(table["doc_id"].is_valid()).select(["doc_id", "blob"])
-        parts = [unpacked(b, "<u8", "<i8", "<i4") for b in table.filter(table["doc_id"].is_null())["blob"].to_pylist()]
-        if not parts:
-            return passed
-        h = np.concatenate([p[0] for p in parts])
-        d = np.concatenate([np.cumsum(p[1]) for p in parts])
-        c = np.concatenate([p[2] for p in parts]).astype(np.int64)
-        order = np.argsort(h, kind="stable")
-        h, d, c = h[order], d[order], c[order]
-        group = _starts(h)
-        size = np.diff(np.append(group, len(h)))
-        total, low, high = np.add.reduceat(c, group), np.minimum.reduceat(d, group), np.maximum.reduceat(d, group)
-        known = np.repeat((low < high), size) & (c == 1)
-        crowded = h[group[total > hot]]
-        h, d = h[known], d[known]
-        order = np.argsort(d, kind="stable")
-        h, d = h[order], d[order]
-        cut = _starts(d)
-        out = pa.table([pa.array(np.append(d[cut], np.zeros(1, np.int64)), mask=np.append(np.zeros(len(cut), bool), True)), pa.concat_arrays([_binary(h, np.append(cut, len(h))), pa.array([crowded.tobytes()], pa.binary())])], ["doc_id", "blob"])
-        return pa.concat_tables([passed, out.slice(0, len(cut) + (len(crowded) > 0))])
-
-    return docs.select("doc_id", "text").mapInArrow(send, layout).groupBy("bucket").applyInArrow(meet, "doc_id bigint, blob binary")
+        out = [table.filter(pc.equal(table["kind"], HITS)).select(names[1:])]
+        parts = [unpacked(b, "<u4", "<u2", "<i8", "<i8", "<i4") for b in table.filter(pc.equal(table["kind"], HASHES))["blob"].to_pylist()]
+        if parts:
+            h = np.concatenate([p[0] for p in parts]).astype(np.uint64) | np.concatenate([p[1] for p in parts]).astype(np.uint64) << np.uint64(32)
+            d, t = (np.concatenate([np.cumsum(p[k]) for p in parts]) for k in (2, 3))
+            c = np.concatenate([p[4] for p in parts])
+            order = np.argsort(h, kind="stable")
+            h, d, t, c = h[order], d[order], t[order], c[order]
+            group = _starts(h)
+            shared = (np.minimum.reduceat(t, group) < np.maximum.reduceat(t, group)) | (np.maximum.reduceat(c, group) > 1)
+            crowded = h[group[np.add.reduceat(c, group, dtype=np.int64) > hot]]
+            known = np.repeat(shared, np.diff(np.append(group, len(h)))) & (c == 1)
+            places, blobs = _hits(h[known], d[known], blocks)
+            out += [pa.Table.from_batches([_rows(names[1:], places, [HITS] * len(places), blobs)]), pa.Table.from_batches([_rows(names[1:], *([x] * (len(crowded) > 0) for x in (0, CROWD, crowded.tobytes())))])]
+        return pa.concat_tables(out)
+
+    return docs.select("doc_id", "hash", "text").mapInArrow(send, layout).groupBy("bucket").applyInArrow(meet, "block int, kind int, blob binary")
+
+
+def short(key: np.ndarray) -> np.ndarray:
+    """48 well mixed bits of a hash: two that agree by chance only cost a needless comparison."""
+    return _mix(key) >> np.uint64(16)
 
 
 class Column:
-    """An array that is rewritten in sequence, in memory or, above MEMORY bytes, in an external file."""
+    """An array that is rewritten in sequence, in memory or, above ``memory`` bytes, in an external file."""
 
-    def __init__(self, kind: type, folder: str, memory: int) -> None:
-        self.kind, self.folder, self.memory, self.path = np.dtype(kind), folder, memory, ""
-        self.values = np.zeros(0, kind)
+    def __init__(self, values: np.ndarray, folder: str, memory: int) -> None:
+        self.folder, self.memory, self.path, self.values = folder, memory, "", values
 
-    def rewrite(self, size: int) -> np.ndarray:
-        """Room for the next generation; the present one stays readable until ``swap``."""
-        if size * self.kind.itemsize <= self.memory:
-            self.next, self.next_path = np.empty(size, self.kind), ""
+    def rewrite(self, kept: np.ndarray, at: np.ndarray, new: np.ndarray) -> None:
+        """The next generation: the old values in their order, with new ones put in where they aren't kept."""
+        old = self.path
+        if len(kept) * self.values.itemsize <= self.memory:
+            out, self.path = np.empty(len(kept), self.values.dtype), ""
+            out[kept] = self.values
         else:
-            handle, self.next_path = tempfile.mkstemp(dir=self.folder)
+            handle, self.path = tempfile.mkstemp(dir=self.folder)
             os.close(handle)
-            self.next = np.memmap(self.next_path, self.kind, "w+", shape=(size,))
-        return self.next
-
-    def swap(self) -> None:
-        old, self.values, self.path = self.path, self.next, self.next_path
-        self.next = None
+            out, done = np.memmap(self.path, self.values.dtype, "w+", shape=kept.shape), 0
+            for low in range(0, len(kept), 1 << 20):
+                part = kept[low : low + (1 << 20)]
+                here = int(np.count_nonzero(part))
+                out[low : low + (1 << 20)][part] = self.values[done : done + here]
+                done += here
+        out[at] = new
+        self.values = out
         if old:
             with suppress(OSError):
                 os.unlink(old)
 
-    def merge(self, kept: np.ndarray, at: np.ndarray, new: np.ndarray) -> None:
-        out = self.rewrite(len(kept))
-        out[kept] = self.values
-        out[at] = new
-        self.swap()
+
+END = 255  # no byte of UTF-8: stands in the transform where a string begins
 
 
 def suffix_order(data: np.ndarray, offsets: np.ndarray, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions of all non-empty suffixes of the strings in ``data``, in order, and the symbols each shares with the one before.
+    """Start positions of all non-empty suffixes of the UTF-8 strings in ``data``, in order, and the symbols each shares with the one before (255 at most).
 
     Ends sort before symbols, and ends of different strings share nothing. Round j inserts the suffixes of length j. With c the symbol before a suffix of length j - 1, the
     new suffix stands behind all suffixes that begin with lower symbols and behind those that begin with c and whose rest stands before: its rank among equal symbols of the
     transform. It shares one symbol more than its rest does with that of its neighbour: a range minimum over the common prefixes.
     """
-    count, ends = len(offsets) - 1, offsets[1:]
+    count, ends = len(offsets) - 1, offsets[1:].astype(np.int64)
     length = np.diff(offsets)
+    symbols = np.append(data, np.uint8(END))
     with tempfile.TemporaryDirectory() as folder:
-        before, shared, start = (Column(k, folder, memory) for k in (np.int16, np.uint8, np.int32))  # transform (-1: the string begins here), common prefixes, positions
-        before.merge(np.zeros(count, bool), np.arange(count), np.where(length > 0, data[np.maximum(ends - 1, 0)].astype(np.int16) if len(data) else -1, -1))
-        shared.merge(np.zeros(count, bool), np.arange(count), np.zeros(count, np.uint8))
-        start.merge(np.zeros(count, bool), np.arange(count), ends)
-        at, strings = np.arange(count), np.arange(count)
+        before = Column(np.where(length > 0, symbols[ends - 1], np.uint8(END)), folder, memory)  # the transform
+        shared = Column(np.zeros(count + 1, np.uint8), folder, memory)  # common prefixes, and a zero behind them
+        start = Column(ends.astype(np.int32 if len(data) < 1 << 31 else np.int64), folder, memory)  # positions of the suffixes
+        at = strings = np.arange(count)
         for j in range(1, int(length.max(initial=0)) + 1):
             longer = length[strings] >= j
             at, strings = at[longer], strings[longer]
             b, n = before.values, len(before.values)
             order = np.argsort(b, kind="stable")
-            rank = np.empty(n, np.int64)
-            rank[order] = np.arange(n)
-            ended = n - int(np.count_nonzero(b >= 0))
-            mine = rank[at]
-            new_at = mine - ended + count
+            rank = np.empty(n, np.int32)
+            rank[order] = np.arange(n, dtype=np.int32)
             by = np.argsort(at, kind="stable")
-            at, strings, mine, new_at = at[by], strings[by], mine[by], new_at[by]
-            is_new = np.zeros(n, bool)
-            is_new[at] = True
-            padded = np.append(shared.values, np.uint8(0))
+            at, strings = at[by], strings[by]
+            mine = rank[at].astype(np.int64)
+            new_at = mine + count
+            own, common = b[at], np.zeros(len(at), np.uint8)
 
-            def least(low: np.ndarray, high: np.ndarray, padded: np.ndarray = padded) -> np.ndarray:
-                return np.minimum.reduceat(padded, np.stack([low, high], 1).ravel())[::2] if len(low) else np.zeros(0, np.uint8)
+            def least(low: np.ndarray, high: np.ndarray, values: np.ndarray = shared.values) -> np.ndarray:
+                return np.minimum.reduceat(values, np.stack([low, high], 1).ravel())[::2] if len(low) else np.zeros(0, np.uint8)
 
             up = order[np.maximum(mine - 1, 0)]
-            has_up = (mine > ended) & (b[up] == b[at])
-            common = np.zeros(len(at), np.uint8)
+            has_up = (mine > 0) & (b[up] == own)
             common[has_up] = np.minimum(least(up[has_up] + 1, at[has_up] + 1), 254) + 1
             down = order[np.minimum(mine + 1, n - 1)]
-            has_down = (mine + 1 < n) & (b[down] == b[at]) & ~is_new[down]
+            has_down = (mine + 1 < n) & (b[down] == own)
+            has_down[:] &= at[np.minimum(np.searchsorted(at, down), len(at) - 1)] != down  # a new neighbour looks up itself
             below = np.minimum(least(at[has_down] + 1, down[has_down] + 1), 254) + 1
-            below_at = rank[down[has_down]] - ended + count
-            symbols_left = length[strings] > j
+            below_at = mine[has_down] + 1 + count
             place = ends[strings] - j
-            preceding = np.where(symbols_left, data[np.maximum(place - 1, 0)].astype(np.int16), np.int16(-1))
+            preceding = np.where(length[strings] > j, symbols[place - 1], np.uint8(END))
             kept = np.ones(n + len(at), bool)
             kept[new_at] = False
-            before.merge(kept, new_at, preceding)
-            shared.merge(kept, new_at, common)
+            before.rewrite(kept, new_at, preceding)
+            start.rewrite(kept, new_at, place)
+            shared.rewrite(np.append(kept, True), new_at, common)
             shared.values[below_at] = below
-            start.merge(kept, new_at, place)
             at = new_at
-        return np.array(start.values[count:]), np.array(shared.values[count:])
+        return np.array(start.values[count:]), np.array(shared.values[count:-1])
 
 
 def first_ids(data: np.ndarray, offsets: np.ndarray, least_id: np.ndarray, memory: int = MEMORY) -> np.ndarray:
@@ -289,73 +329,81 @@ def first_ids(data: np.ndarray, offsets: np.ndarray, least_id: np.ndarray, memor
     return out
 
 
-def _spans(docs: DataFrame, shared: DataFrame, size: int) -> DataFrame:
-    """doc_id, text hash and a binary of (start, end) byte spans to remove, in several rows for each."""
-    buckets = max(1, -(-size // STRING_BUCKET))
-    crowd = np.concatenate([np.zeros(0, "<u8"), *[np.frombuffer(r.blob, "<u8") for r in shared.where("doc_id IS NULL").select("blob").toLocalIterator()]])
-    hot = docs.sparkSession.sparkContext.broadcast(np.sort(crowd))
-    hits = shared.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list("blob").alias("hits")).hint("shuffle_hash")
-    names, layout = ["bucket", "doc_id", "hash", "blob"], "bucket int, doc_id bigint, hash bigint, blob binary"
+class Block:
+    """The documents of one block in a fixed order, by id and text hash: a row's number means the same in both meetings."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first, last in slices(utf8_column(whole, "text")[1], 8 << 20):
-                yield from one(whole.slice(first, last - first))
+    def __init__(self, docs: pa.Table, copies: pa.Table) -> None:
+        keys = [docs[c].to_numpy().astype(np.int64) for c in ("doc_id", "hash")]
+        order = np.lexsort((keys[1], keys[0]))
+        self.ids, self.hashes = (k[order] for k in keys)
+        self.table = docs.take(pa.array(order)).combine_chunks()
+        self.batch = self.table.to_batches()[0] if len(order) else None
+        again = set(zip(copies["doc_id"].to_pylist(), copies["hash"].to_pylist(), strict=True))
+        self.copy = np.array([x in again for x in zip(self.ids.tolist(), self.hashes.tolist(), strict=True)], bool) if again else np.zeros(len(order), bool)
 
-    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, hashes = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "hash"))
-        data, offsets = utf8_column(batch, "text")
+
+SPANS, STRINGS = 0, 1
+
+
+def _spans(docs: DataFrame, copies: DataFrame, shared: DataFrame, size: int) -> DataFrame:
+    """Rows (block, blob): row numbers in the block and starts and ends of byte spans to remove."""
+    buckets = max(1, -(-size // STRING_BUCKET))
+    crowd = np.concatenate([np.zeros(0, "<u8"), *[np.frombuffer(r.blob, "<u8") for r in shared.where(F.col("kind") == CROWD).select("blob").toLocalIterator()]])
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(crowd))
+    hits = shared.where(F.col("kind") == HITS).select("block", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("hash"), "blob")
+    notes = hits.unionByName(copies.withColumn("blob", F.lit(None).cast("binary")))
+    names, layout = ["bucket", "block", "kind", "blob"], "bucket int, block int, kind int, blob binary"
+    none = _rows(names, [], [], [], [])
+    salt = np.uint64(0xD6E8FEB86659FD93)
+
+    def send(docs: pa.Table, notes: pa.Table) -> pa.Table:
+        packs = [unpacked(b, "<i8", "<u4") for b in notes.filter(notes["blob"].is_valid())["blob"].to_pylist()]
+        if not packs or not len(docs):
+            return pa.Table.from_batches([none])
+        number = docs["block"][0].as_py()
+        block = Block(docs, notes.filter(notes["blob"].is_null()))
+        data, offsets = utf8_column(block.batch, "text")
         runs = Runs(data, offsets)
-        own = [np.frombuffer(b"".join(x), "<u8") for x in batch.column(batch.schema.get_field_index("hits")).to_pylist()]
-        salt = np.uint64(0xD6E8FEB86659FD93)
-        wanted = np.concatenate([x + np.array([i + 1], np.uint64) * salt for i, x in enumerate(own)]) if own else np.zeros(0, np.uint64)
-        asked = np.isin(runs.key + (runs.row + 1).astype(np.uint64) * salt, wanted)
-        row, start, windows, key = runs.row[asked], runs.start[asked], runs.windows[asked], runs.key[asked]
+        wanted = np.concatenate([np.cumsum(d).astype(np.uint64) * salt ^ h.astype(np.uint64) for d, h in packs])
+        code = short(runs.key)
+        asked = np.isin(block.ids[runs.row].astype(np.uint64) * salt ^ code & np.uint64(0xFFFFFFFF), wanted) & ~block.copy[runs.row]
+        row, start, windows, key, code = (x[asked] for x in (runs.row, runs.start, runs.windows, runs.key, code))
         if len(hot.value):
-            single = hot.value[np.minimum(np.searchsorted(hot.value, key), len(hot.value) - 1)] == key
-            if single.any():
-                each = np.where(single, windows, 1)
-                nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                was = np.repeat(single, each)
-                row, start, windows, key = np.repeat(row, each), np.repeat(start, each) + nth, np.where(was, 1, np.repeat(windows, each)), np.repeat(key, each)
-                at = np.flatnonzero(was)
-                for low in range(0, len(at), 1 << 14):
-                    some = at[low : low + (1 << 14)]
-                    key[some] = gram_hashes_at(data, offsets[row[some]] + start[some])
+            single = hot.value[np.minimum(np.searchsorted(hot.value, code), len(hot.value) - 1)] == code
+            each = np.where(single, windows, 1)
+            nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            was = np.repeat(single, each)
+            row, start, windows, key = np.repeat(row, each), np.repeat(start, each) + nth, np.where(was, 1, np.repeat(windows, each)), np.repeat(key, each)
+            at = np.flatnonzero(was)
+            for low in range(0, len(at), 1 << 14):
+                some = at[low : low + (1 << 14)]
+                key[some] = gram_hashes_at(data, offsets[row[some]] + start[some])
         raw, low = memoryview(data), offsets[row] + start
         seen: dict[bytes, int] = {}
-        number = np.array([seen.setdefault(bytes(raw[a:b]), len(seen)) for a, b in zip(low.tolist(), (low + windows + SPAN - 1).tolist(), strict=True)], np.int64)
-        doc = ids[row]
-        order = np.lexsort((doc, number))
-        row, start, windows, key, number, doc = (x[order] for x in (row, start, windows, key, number, doc))
-        cut = _starts(number)
-        least = np.repeat(doc[cut], np.diff(np.append(cut, len(number))))
-        again = doc > least
-        yield spans_of(row[again], start[again], windows[again], ids, hashes)
-        row, start, key, number, doc = (x[~again] for x in (row, start, key, number, doc))
-        where = (_mix(key * np.uint64(_BASE)) % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((number, where))
-        row, start, number, doc, where = (x[order] for x in (row, start, number, doc, where))
-        cut = np.append(_starts(where), len(where))
-        strings, blobs = list(seen), []
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            change = _starts(number[a:b])
-            chosen = [strings[k] for k in number[a:b][change].tolist()]
-            of = np.repeat(np.arange(len(change)), np.diff(np.append(change, b - a)))
-            blobs.append(packed(np.frombuffer(b"".join(chosen), np.uint8), np.array([len(s) for s in chosen], "<u1"), of.astype("<i4"), doc[a:b], hashes[row[a:b]], start[a:b]))
-        none = pa.array([None] * len(blobs), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(where[cut[:-1]]), none, none, pa.array(blobs, pa.binary())], names)
-
-    def spans_of(row: np.ndarray, start: np.ndarray, windows: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((start, row))
-        row, ends = row[order], (start[order] << 32) | (start + windows + SPAN - 1)[order]
-        cut = _starts(row)
-        doc = ids[row[cut]]
-        return pa.RecordBatch.from_arrays([pa.array((_mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)), pa.array(doc), pa.array(hashes[row[cut]]), _binary(ends, np.append(cut, len(ends)))], names)
+        of = np.array([seen.setdefault(bytes(raw[a:b]), len(seen)) for a, b in zip(low.tolist(), (low + windows + SPAN - 1).tolist(), strict=True)], np.int64)
+        order = np.lexsort((row, of))  # rows are in order of the id
+        row, start, windows, key, of = (x[order] for x in (row, start, windows, key, of))
+        doc = block.ids[row]
+        cut = _starts(of)
+        again = doc > np.repeat(doc[cut], np.diff(np.append(cut, len(of))))
+        out = [_rows(names, [number % buckets], [number], [SPANS], [packed_spans(row[again], start[again], (start + windows + SPAN - 1)[again])])]
+        row, start, key, of, doc = (x[~again] for x in (row, start, key, of, doc))
+        tag, where = (_mix(key) >> np.uint64(32)).astype(np.int64), (_mix(key * np.uint64(_BASE)) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((of, tag, where))
+        row, start, of, doc, where, tag = (x[order] for x in (row, start, of, doc, where, tag))
+        cut, strings, blobs = np.append(_starts(where), len(where)), list(seen), []
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            change = _starts(of[a:b])
+            chosen = [strings[k] for k in of[a:b][change].tolist()]
+            times = np.diff(np.append(change, b - a))
+            blobs.append(packed(np.frombuffer(b"".join(chosen), np.uint8), np.array([len(x) for x in chosen], "<u1"), np.diff(tag[a:b][change], prepend=0).astype("<u4"), times.astype("<i4"), row[a:b].astype("<i4"), doc[a:b], start[a:b].astype("<i4")))
+        out.append(_rows(names, where[cut[:-1]].tolist(), [number] * len(blobs), [STRINGS] * len(blobs), blobs))
+        return pa.Table.from_batches(out)
 
     def meet(table: pa.Table) -> pa.Table:
-        passed = table.filter(table["doc_id"].is_valid()).select(names[1:])
-        parts = [unpacked(b, "u1", "<u1", "<i4", "<i8", "<i8", "<i8") for b in table.filter(table["doc_id"].is_null())["blob"].to_pylist()]
+        passed = table.filter(pc.equal(table["kind"], SPANS)).select(["block", "blob"])
+        given = table.filter(pc.equal(table["kind"], STRINGS))
+        parts = [unpacked(b, "u1", "<u1", "<u4", "<i4", "<i4", "<i8", "<i4") for b in given["blob"].to_pylist()]
         if not parts:
             return passed
         known: dict[bytes, int] = {}
@@ -363,30 +411,52 @@ def _spans(docs: DataFrame, shared: DataFrame, size: int) -> DataFrame:
         for text, sizes, *_ in parts:
             raw, ends = memoryview(text), np.cumsum(sizes, dtype=np.int64)
             number.append(np.array([known.setdefault(bytes(raw[a:b]), len(known)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], np.int64))
-        of = np.concatenate([n[p[2]] for n, p in zip(number, parts, strict=True)])
-        doc, hashes, start = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
-        data = np.frombuffer(b"".join(known), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in known])]).astype(np.int64)
+        of = np.concatenate([np.repeat(n, p[3]) for n, p in zip(number, parts, strict=True)])
+        block = np.repeat(given["block"].to_numpy(), [len(p[4]) for p in parts])
+        row, doc, start = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts]).astype(np.int64)
+        tag = np.zeros(len(known), np.uint32)
+        tag[np.concatenate(number)] = np.concatenate([np.cumsum(p[2], dtype=np.uint32) for p in parts])
         least = np.full(len(known), np.iinfo(np.int64).max)
         np.minimum.at(least, of, doc)
-        earliest = first_ids(data, offsets, least)
-        windows = np.diff(offsets) - SPAN + 1
-        each = windows[of]
+        strings = list(known)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in strings])]).astype(np.int64)
+        earliest = np.repeat(least, np.diff(offsets))  # right as it stands where all strings of a hash are one string, whose windows start first where it does
+        _, group, size = np.unique(tag, return_inverse=True, return_counts=True)
+        several = size[group] > 1
+        divisions = max(1, int(np.diff(offsets)[several].sum()) // ORDER)
+        for k in range(divisions):  # equal windows have equal hashes and so are in one division, whose arrays fit the processor's cache
+            own = np.flatnonzero(several & (tag % np.uint32(divisions) == k))
+            if len(own):
+                some = [strings[i] for i in own.tolist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64)
+                found = first_ids(np.frombuffer(b"".join(some), np.uint8), ends, least[own])
+                earliest[np.arange(len(found)) + np.repeat(offsets[own] - ends[:-1], np.diff(ends))] = found
+        each = (np.diff(offsets) - SPAN + 1)[of]
         nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
         entry = np.repeat(np.arange(len(of)), each)
         gone = np.flatnonzero(earliest[offsets[of][entry] + nth] < doc[entry])
-        entry, nth = entry[gone], nth[gone]
-        cut = _starts(entry, nth - np.arange(len(nth)))
-        last = np.append(cut[1:], len(nth)) - 1
-        entry, low, high = entry[cut], start[entry[cut]] + nth[cut], start[entry[last]] + nth[last] + SPAN if len(cut) else nth
-        order = np.lexsort((low, hashes[entry], doc[entry]))
-        entry, ends = entry[order], ((low << 32) | high)[order]
-        cut = _starts(doc[entry], hashes[entry])
-        own = pa.table([pa.array(doc[entry[cut]]), pa.array(hashes[entry[cut]]), _binary(ends, np.append(cut, len(ends)))], names[1:])
-        return pa.concat_tables([passed, own])
+        entry, low = entry[gone], start[entry[gone]] + nth[gone]
+        where = block[entry]
+        order = np.lexsort((low, row[entry], where))
+        where, own, low = where[order], row[entry][order], low[order]
+        cut = np.append(_starts(where), len(where))
+        blobs = [packed_spans(own[a:b], low[a:b], low[a:b] + SPAN) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return pa.concat_tables([passed, pa.Table.from_batches([_rows(["block", "blob"], where[cut[:-1]].tolist(), blobs)])])
 
-    sent = docs.join(hits, "doc_id").select("doc_id", "hash", "text", "hits").mapInArrow(send, layout)
-    return sent.groupBy("bucket").applyInArrow(meet, "doc_id bigint, hash bigint, blob binary")
+    sent = docs.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(send, layout)
+    return sent.groupBy("bucket").applyInArrow(meet, "block int, blob binary")
+
+
+def packed_spans(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
+    """Spans of rows, those that touch made one."""
+    order = np.lexsort((low, row))
+    row, low, high = row[order].astype(np.int64), low[order], high[order]
+    apart = np.ones(len(row), bool)
+    reach = np.maximum.accumulate(high + (row << 40)) if len(row) else high
+    apart[1:] = low[1:] + (row[1:] << 40) > reach[:-1]
+    first = np.flatnonzero(apart)
+    last = np.append(first[1:], len(row))[: len(first)] - 1
+    return packed(np.diff(row[first], prepend=0).astype("<i4"), low[first].astype("<i4"), (reach[last] - (row[last] << 40) - low[first]).astype("<i4"))
 
 
 def gram_hashes_at(data: np.ndarray, positions: np.ndarray) -> np.ndarray:
@@ -401,47 +471,59 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     added = ["n_bytes", "n_removed", "n_spans"]
     rest = [] if digests else [c for c in docs.columns if c not in (doc_id, text, *added)]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("hash"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
     size = total_bytes(docs, text)
-    named = rows.where("doc_id IS NOT NULL")
-    shared = checkpointed(_shared_hashes(named, size))
-    spans = _spans(named.select("doc_id", "hash", "text"), shared, size).groupBy("doc_id").agg(F.collect_list(F.struct("hash", "blob")).alias("spans")).hint("shuffle_hash")
-    texts_of = named.select("doc_id", "hash", "text", *(["rest"] if rest else []))
-    joined = texts_of.join(spans, "doc_id", "left")
-    nameless = rows.where("doc_id IS NULL").select(*texts_of.columns, F.lit(None).cast("array<struct<hash:bigint,blob:binary>>").alias("spans"))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first, last in slices(utf8_column(whole, "text")[1], 8 << 20):
-                yield one(whole.slice(first, last - first))
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+    blocks = max(1, -(-size // BLOCK))
+    name = F.col("doc_id") if doc_id == "doc_id" else F.col(f"`{doc_id}`").alias("doc_id")  # an alias that changes nothing would keep Spark from reusing the shuffle of the texts
+    place = F.pmod(F.xxhash64(name.cast("bigint")), F.lit(blocks).cast("bigint")).cast("int").alias("block")
+    columns = ["block", "doc_id", "hash", "text", *(["rest"] if rest else [])]
+    rows = docs.select(place, name, F.xxhash64(body).alias("hash"), body.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
+    comparable = F.coalesce(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN), F.lit(False))
+    named = rows.where(comparable)
+    copies = _copies(named)
+    shared = checkpointed(_shared_hashes(named, size, blocks))
+    spans = _spans(named, copies, shared, size).select("block", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("hash"), "blob")
+    notes = spans.unionByName(copies.withColumn("blob", F.lit(None).cast("binary")))
+    fields = with_fields(T.StructType([T.StructField("doc_id", T.LongType()), *([rows.schema["rest"]] if rest else [])]), "n_bytes bigint, n_removed bigint, n_spans bigint, kept string")
+
+    def clean(docs: pa.Table, notes: pa.Table) -> pa.Table:
+        if not len(docs):
+            return pa.Table.from_batches([], to_arrow_schema(fields))
+        block = Block(docs, notes.filter(notes["blob"].is_null()))
+        found = [[], [], []]
+        for blob in notes.filter(notes["blob"].is_valid())["blob"].to_pylist():
+            row, low, length = unpacked(blob, "<i4", "<i4", "<i4")
+            for k, x in enumerate((np.cumsum(row, dtype=np.int64), low.astype(np.int64), length.astype(np.int64))):
+                found[k].append(x)
+        row, low, length = (np.concatenate([np.zeros(0, np.int64), *x]) for x in found)
+        return pa.Table.from_batches([cut(block.batch, row, low, length, block.copy)])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = np.zeros(0, np.int64)
+        for batch in batches:
+            yield cut(batch, nothing, nothing, nothing, np.zeros(batch.num_rows, bool))
+
+    def cut(batch: pa.RecordBatch, row: np.ndarray, low: np.ndarray, length: np.ndarray, copy: np.ndarray) -> pa.RecordBatch:
         get = lambda name: batch.column(batch.schema.get_field_index(name))
         data, offsets = utf8_column(batch, "text")
         data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-        low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at, own, spans in zip(offsets.tolist(), get("hash").to_pylist(), get("spans").to_pylist(), strict=False):
-            for span in spans or ():
-                if span["hash"] == own:
-                    ends = np.frombuffer(span["blob"], "<i8")
-                    low.append((ends >> 32) + at)
-                    high.append((ends & 0xFFFFFFFF) + at)
+        low = np.append(offsets[row] + low, offsets[:-1][copy])
+        high = np.append(low[: len(row)] + length, offsets[1:][copy])
         n = len(data) + 1
-        depth = np.bincount(np.concatenate(low), minlength=n) - np.bincount(np.concatenate(high), minlength=n)
-        gone = np.cumsum(depth)[:-1] > 0
+        gone = np.cumsum(np.bincount(low, minlength=n) - np.bincount(high, minlength=n))[:-1] > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
-        begins[offsets[:-1][offsets[:-1] < len(data)]] |= gone[offsets[:-1][offsets[:-1] < len(data)]]
+        heads = offsets[:-1][offsets[:-1] < len(data)]
+        begins[heads] = gone[heads]
         removed, runs = (np.concatenate([[0], np.cumsum(x)])[offsets] for x in (gone, begins))
-        left, cut = data[~gone].tobytes(), offsets - removed
-        kept = [left[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        left, ends = data[~gone].tobytes(), (offsets - removed).tolist()
+        kept = [left[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         counts = [pa.array(np.diff(x)) for x in (offsets, removed, runs)]
         last = pa.array([hashlib.sha256(k).hexdigest() for k in kept] if digests else [k.decode(errors="ignore") for k in kept], pa.string())
-        return pa.RecordBatch.from_arrays([get("doc_id"), *([get("rest")] if rest else []), *counts, last], ["doc_id", *(["rest"] if rest else []), *added, "kept"])
+        return pa.RecordBatch.from_arrays([get("doc_id").cast(pa.int64()), *([get("rest")] if rest else []), *counts, last], ["doc_id", *(["rest"] if rest else []), *added, "kept"])
 
-    fields = "doc_id bigint, " + (f"rest {rows.schema['rest'].dataType.simpleString()}, " if rest else "") + "n_bytes bigint, n_removed bigint, n_spans bigint, kept string"
-    out = joined.unionByName(nameless).mapInArrow(clean, fields)
+    met = named.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(clean, fields)
+    out = met.unionByName(rows.where(~comparable).mapInArrow(whole, fields))
     if digests:
         return out.select("doc_id", *added, F.col("kept").alias("kept_sha256"))
-    columns = [F.col("doc_id").alias(c) if c == doc_id else F.col("kept").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns if c not in added]
+    columns = [F.col("doc_id").cast(docs.schema[c].dataType).alias(c) if c == doc_id else F.col("kept").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns if c not in added]
     return out.select(*columns, *added)
