@@ -342,7 +342,8 @@ def graph_update_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _layered(spark, sf_dir)
     g = graph.ImportGraph.of(edges.select(F.col("src").alias("file_path")), edges)
-    return g.nodes.agg(F.count("*").alias("files")).join(g.edges.agg(F.count("*").alias("edges")))
+    both = g.nodes.select(F.lit(1).alias("f"), F.lit(0).alias("e")).unionByName(g.edges.select(F.lit(0).alias("f"), F.lit(1).alias("e")))
+    return both.agg(F.sum("f").alias("files"), F.sum("e").alias("edges"))
 
 
 @query(

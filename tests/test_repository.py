@@ -6,7 +6,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom import cli
+from codeloom import api, cli
 from codeloom.operators import edit, extract, graph, index, render, semantic, store
 from codeloom.sources import files
 
@@ -157,6 +157,13 @@ def test_index_twice_and_edit(spark, repo, tmp_path_factory):
     assert log.startswith("codeloom: Repo.get @ app/repo.py") and log.strip().endswith("app/repo.py")
     document = (repo / "app" / render.DOCUMENT).read_text()
     assert '<method name="get" args="self, k" />' in document and '<fn name="load" args="path: str, n=1" returns="dict" />' in document
+    got = api.get(repo / "app/repo.py", "load", symbols, repo)
+    assert (got.kind, got.start_line, got.description) == ("function", 3, "The function load.") and api.get(repo / "app/repo.py", "load").description is None
+    with pytest.raises(ValueError, match="not found"):
+        api.get(repo / "app/repo.py", "nobody")
+    top = api.search("the method Repo.get", symbols, client, 2).collect()
+    assert top[0].id == "app/repo.py::Repo.get" and top[0].match_field == "description" and top[0].name == "Repo.get"
+    assert [a.texts[0][:4] for a in api.generate_batch(client, "p", ["x", "y"])] == ["TRUE", "TRUE"]
     with edit.edit(repo, "app/repo.py", symbols, g, client) as context:
         assert context.flush() is None
     with edit.edit(repo, "app/repo.py", symbols, g, client) as context:
