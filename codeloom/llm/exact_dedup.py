@@ -39,9 +39,9 @@ def _keys(text: str, prefix_chars: int) -> list[Column]:
 
 def shared_prefixes(docs: DataFrame, text: str, prefix_chars: int) -> DataFrame:
     """The (length, prefix hash) keys that more than one row has, checkpointed: steps one and two."""
-    lengths = docs.groupBy(F.octet_length(_body(text)).alias(_N)).count().where("count > 1").select(_N)
-    keyed = docs.select(*_keys(text, prefix_chars)).join(lengths, _N, "left_semi")
-    return checkpointed(keyed.groupBy(_N, _P).count().where("count > 1").select(_N, _P))
+    lengths = checkpointed(docs.groupBy(F.octet_length(_body(text)).alias(_N)).count().where("count > 1").select(_N))
+    keyed = docs.select(*_keys(text, prefix_chars)).groupBy(_N, _P).count()  # a row for each key and task at most meets a common length
+    return checkpointed(keyed.join(lengths, _N, "left_semi").where("count > 1").select(_N, _P))
 
 
 def surviving(docs: DataFrame, prefixes: DataFrame, text: str, doc_id: str, prefix_chars: int, carry: list[Column]) -> DataFrame:
@@ -51,10 +51,10 @@ def surviving(docs: DataFrame, prefixes: DataFrame, text: str, doc_id: str, pref
 
 
 def groups_of(survivors: DataFrame) -> DataFrame:
-    """Groups of equal texts of two rows or more: keys, kept id, size, and how many rows have the kept id."""
+    """Groups of equal texts of two rows or more: keys, kept id, size, and how many rows have the kept id. Checkpointed: a join with a finished table is one that skewed keys can be split in."""
     counts = survivors.groupBy(_N, _P, _H, _ID).agg(F.count("*").alias("__xd_n"))
     groups = counts.groupBy(_N, _P, _H).agg(F.max(_ID).alias(_KEEP), F.sum("__xd_n").alias(_SIZE), F.max_by("__xd_n", _ID).alias(_ROWS))
-    return groups.where(F.col(_SIZE) > 1)
+    return checkpointed(groups.where(F.col(_SIZE) > 1))
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", prefix_chars: int = PREFIX_CHARS, carry: list[Column] | None = None) -> DataFrame:
