@@ -18,12 +18,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._common import slices, utf8_column
+from codeloom.llm._common import slices, utf8_column, with_fields
 
-SAMPLE, BINS, STEEPNESS, SLICE = 300, 4096, 2.5, 1 << 20
+SAMPLE, MOST_LANGUAGES, BINS, STEEPNESS, SLICE = 300, 500, 4096, 2.5, 1 << 20
 # Families of common languages by ISO 639-1 code. A code that isn't here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi",
@@ -113,9 +113,10 @@ def _cut_grams(data: np.ndarray, offsets: np.ndarray, low: int, high: int) -> tu
     """Bins for bytes low to high, where a row's n-grams don't reach into the next row."""
     part = data[low : min(high + 2, int(offsets[-1]))]
     two, three = (x[: high - low] for x in grams(part))
-    ends = offsets[1:][(offsets[1:] > low) & (offsets[1:] <= high)] - 1 - low
+    ends = offsets[1:][(offsets[1:] > low) & (offsets[1:] <= high + 1)] - 1 - low
     for back in (0, 1):  # the last byte and the one before it
-        at = np.unique(ends[ends >= back] - back)
+        at = np.unique(ends - back)
+        at = at[(at >= 0) & (at < high - low)]
         starts = np.concatenate([data[low + at][:, None], np.full((len(at), 2), 32, np.uint8)], 1)
         if back:
             starts[:, 1] = data[low + at + 1]
@@ -176,24 +177,31 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on ``sample`` labelled rows of each language at most, none of them held out. The sample's ids are of a bounded number, so they are broadcast."""
+    """Fit on ``sample`` labelled rows of each language at most, none of them held out.
+
+    A language's rows are taken below a bound on a hash of the id that lets through about one and a half times the sample, of which those with the least hashes are used. The counts by
+    language are joined by broadcast: a language has a machine of its own, so there are few, and more than MOST_LANGUAGES are an error.
+    """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)) & (F.length(F.coalesce(F.col(text), F.lit(""))) > 0))
-    order = Window.partitionBy("l").orderBy("h", "i")
-    chosen = (
-        labelled.select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.xxhash64(F.lit("langid"), doc_id).alias("h"))
-        .withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("i", "l").distinct()
-    )
+    counts = labelled.groupBy(F.col(lang).alias("l")).count().limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    share = docs.sparkSession.createDataFrame([(r.l, min(1.0, 1.5 * sample / r["count"] + 20 / r["count"])) for r in counts], "l string, share double")
+    place = F.pmod(F.xxhash64(F.lit("langid"), doc_id), F.lit(1 << 40)) / float(1 << 40)
+    chosen = labelled.select(F.col(lang).alias("l"), place.alias("h"), F.col(text).alias("t")).join(F.broadcast(share), "l").where("h <= share").select("l", "h", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 200):
                 part = batch.slice(first, 200)
                 x = histograms(*utf8_column(part, "t"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], ["l", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], ["l", "h", "x"])
 
-    rows = labelled.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(chosen), ["i", "l"]).select("l", "t").mapInArrow(run, "l string, x binary").collect()
-    rows.sort(key=lambda r: (r.l, bytes(r.x)))
-    return fit(np.stack([np.frombuffer(r.x, "<f4") for r in rows]) if rows else np.zeros((0, BINS)), np.array([r.l for r in rows], object))
+    found: dict[str, list] = {}
+    for r in sorted(chosen.mapInArrow(run, "l string, h double, x binary").collect(), key=lambda r: (r.l, r.h, bytes(r.x))):
+        found.setdefault(r.l, []).append(np.frombuffer(r.x, "<f4"))
+    rows = [(name, x) for name, own in found.items() for x in own[:sample]]
+    return fit(np.stack([x for _, x in rows]) if rows else np.zeros((0, BINS)), np.array([name for name, _ in rows], object))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -210,5 +218,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             pred = [x if ok else "und" for x, ok in zip(langs, named, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.where(named, score, 0.0), pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(run, with_fields(kept.schema, "lang_pred string, score double"))
