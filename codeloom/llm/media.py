@@ -24,7 +24,7 @@ from codeloom.llm._common import utf8_column
 
 UNIT, RATE = 64, 8000
 FRAME, HOP, BANDS, FAN, REACH, BLOCK = 256, 128, 4, 3, 63, 4096
-_WINDOW = np.hanning(FRAME)
+_WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
 def payload(data: bytes) -> bytes:
@@ -49,16 +49,16 @@ def from_wav(stored: bytes) -> bytes:
 
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frame numbers and bins of all peaks, in order of time and then frequency."""
-    frames = max(1, -(-max(len(samples) - FRAME, 0) // HOP) + 1)
-    signal = np.zeros((frames - 1) * HOP + FRAME)
-    signal[: len(samples)] = samples
-    if len(samples):
-        signal[: len(samples)] -= 128.0 if samples.any() else 0.0
-    view = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP]
+    if not samples.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    frames = -(-max(len(samples) - FRAME, 0) // HOP) + 1
+    padded = np.full((frames - 1) * HOP + FRAME, 128, np.uint8)  # silence in 8-bit samples
+    padded[: len(samples)] = samples
+    view = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
     times, bins = [], []
     for first in range(0, frames, BLOCK):
         low, high = max(first - 1, 0), min(first + BLOCK + 1, frames)
-        power = np.abs(np.fft.rfft(view[low:high] * _WINDOW, axis=1))[:, 1:].astype(np.float32)
+        power = np.abs(np.fft.rfft((view[low:high].astype(np.float32) - np.float32(128)) * _WINDOW, axis=1))[:, 1:].astype(np.float32)
         banded = power.reshape(len(power), BANDS, -1)
         best = banded.argmax(2) + np.arange(BANDS) * banded.shape[2]
         height = np.take_along_axis(power, best, 1)
