@@ -151,12 +151,12 @@ def _put(s: Session, a: argparse.Namespace) -> int:
 
 
 def _assert(s: Session, a: argparse.Namespace) -> int:
-    print(semantic.run_assert(a.claim, resolve(a.a, "a"), resolve(a.b, "b"), s.client, a.model)[1])
+    print(semantic.run_assert(a.claim, resolve(a.a, "a"), resolve(a.b, "b"), s.client, a.model, log=lambda m: _log("assert", m))[1])
     return 0
 
 
 def _score(s: Session, a: argparse.Namespace) -> int:
-    print(semantic.score(a.quality, resolve(a.target, "target"), s.client, a.model))
+    print(semantic.score(a.quality, resolve(a.target, "target"), s.client, a.model, lambda m: _log("score", m)))
     return 0
 
 
@@ -164,7 +164,7 @@ def _rank(s: Session, a: argparse.Namespace) -> int:
     if len(a.options) < 2:
         _log("rank", "at least two options are needed")
         return 1
-    print(semantic.rank(a.criteria, [resolve(o, "option") for o in a.options], s.client, a.model))
+    print(semantic.rank(a.criteria, [resolve(o, "option") for o in a.options], s.client, a.model, lambda m: _log("rank", m)))
     return 0
 
 

@@ -41,3 +41,11 @@ def totals(priced_calls: DataFrame, by_model: bool = True) -> DataFrame:
     grouped = priced_calls.rollup("model") if by_model else priced_calls.groupBy()
     summed = grouped.agg(F.count("*").alias("calls"), *sums, F.sum("dollars").alias("dollars"))
     return summed.withColumn("cache_hit_rate", F.coalesce(F.try_divide(F.col("cache_read"), F.col("input_tokens") + F.col("cache_creation")), F.lit(0.0)))
+
+
+def call_dollars(model: str, usage: dict[str, int], card: dict[str, tuple[float, float, float, float]] | None = None) -> float:
+    """What one call of the driver's costs."""
+    fresh, out, read, write = (card or RATE_CARD).get(model, (0.0, 0.0, 0.0, 0.0))
+    count = {k: usage.get(k) or 0 for k in ("input_tokens", "output_tokens", "cache_read", "cache_creation", "embedding_tokens")}
+    billed = max(count["input_tokens"] - count["cache_read"], 0) + count["embedding_tokens"]
+    return (billed * fresh + count["output_tokens"] * out + count["cache_read"] * read + count["cache_creation"] * write) / 1e6

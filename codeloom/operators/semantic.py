@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import score_value, verdict
+from codeloom.operators.cost import call_dollars
 from codeloom.schema import DESCRIPTION, EMBED_SIZE, VECTOR_SIZE
 
 ATTEMPTS, CONCURRENCY, MAX_TOKENS = 3, 10, 4096
@@ -276,17 +277,28 @@ def is_true(text: str) -> bool:
     return next((x.strip() for x in text.splitlines() if x.strip()), "").upper().startswith("TRUE")
 
 
-def run_assert(claim: str, a: str, b: str, client: ModelClient, model: str = ASSERT_MODEL, prompt: str = PROMPTS["assert"]) -> tuple[bool, str]:
-    text = ask_once(client, prompt, f"CLAIM\n{claim}\nARTIFACT A\n{a}\nARTIFACT B\n{b}", model).texts[0]
+Log = Callable[[str], None] | None
+
+
+def run_assert(claim: str, a: str, b: str, client: ModelClient, model: str = ASSERT_MODEL, prompt: str = PROMPTS["assert"], log: Log = None) -> tuple[bool, str]:
+    text = run_skill("assert", f"CLAIM\n{claim}\nARTIFACT A\n{a}\nARTIFACT B\n{b}", client, model, prompt, log=log)
     return is_true(text), text
 
 
-def score(quality: str, target: str, client: ModelClient, model: str = SCORE_MODEL) -> str:
-    return ask_once(client, PROMPTS["score"], f"QUALITY\n{quality}\nTARGET\n{target}", model).texts[0]
+def score(quality: str, target: str, client: ModelClient, model: str = SCORE_MODEL, log: Log = None) -> str:
+    return run_skill("score", f"QUALITY\n{quality}\nTARGET\n{target}", client, model, PROMPTS["score"], log=log)
 
 
-def rank(criteria: str, options: list[str], client: ModelClient, model: str = RANK_MODEL) -> str:
+def rank(criteria: str, options: list[str], client: ModelClient, model: str = RANK_MODEL, log: Log = None) -> str:
     listed = "\n".join(f"OPTION {i}:\n{o}" for i, o in enumerate(options, 1))
-    return ask_once(client, PROMPTS["rank"], f"CRITERIA\n{criteria}\n{listed}", model).texts[0]
+    return run_skill("rank", f"CRITERIA\n{criteria}\n{listed}", client, model, PROMPTS["rank"], log=log)
+
+
 
 
+def run_skill(name: str, message: str, client: ModelClient, model: str, prompt: str, n: int = 1, log: Callable[[str], None] | None = None, **options: Any) -> str:
+    """One question as a verb asks it: the cost goes to the log, several answers are parted by a line of dashes."""
+    got = ask_once(client, prompt, message, model, n=n, **options)
+    if log:
+        log(f"{name}: {model}, ${call_dollars(model, got.usage):.4f}")
+    return "\n---\n".join(got.texts)

@@ -81,3 +81,11 @@ def test_commit_messages(spark):
     rows = spark.createDataFrame([([tuple(vars(c).values()) for c in changes],)], "c array<struct<name:string,old_comment:string,new_comment:string,fidelity_evidence:string,prudence_skipped:boolean,prudence_evidence:string>>")
     assert rows.select(fn.commit_message(F.lit("a.py"), F.col("c"), F.lit("diff: 1 -> 2 lines (+1)")).alias("m")).first().m == text
     assert text.startswith("codeloom: f @ a.py\n\nold: (none)\nnew: new f\n\nfidelity: TRUE\nprudence: skipped (no old comment)\n\n---\n\n") and text.endswith("prudence: TRUE\n\ndiff: 1 -> 2 lines (+1)") and "prudence: force" in text
+
+
+def test_skill_costs():
+    said = []
+    text = semantic.run_skill("score", "QUALITY\na b\nTARGET\na b c", semantic.StubClient(), "gpt-4.1", semantic.PROMPTS["score"], n=2, log=said.append)
+    assert text.count("SCORE: ") == 2 and "\n---\n" in text and said[0].startswith("score: gpt-4.1, $0.0")
+    assert cost.call_dollars("gpt-5.4-mini", {"input_tokens": 1_000_000, "output_tokens": 100_000, "cache_read": 400_000}) == pytest.approx(0.93)
+    assert cost.call_dollars("text-embedding-3-small", {"embedding_tokens": 500_000}) == pytest.approx(0.01) and cost.call_dollars("nobody", {"input_tokens": 9}) == 0
