@@ -73,9 +73,12 @@ def _two_wildcards() -> str:
 
 def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """Links (a, b), a < b, between the distinct fingerprints of column fp, enough to connect all within BITS bits."""
-    indexed = distinct.select("fp", F.explode(F.expr(_one_wildcard())).alias("key"))
-    sizes = indexed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = indexed.join(sizes, "key")
+    n = distinct.count()
+    spread = distinct.repartition(max(1, n // 20_000), "fp").select("fp", F.explode(F.expr(_one_wildcard())).alias("key"))  # 64 signatures each: a few bytes that become many
+    indexed = spread.repartition(max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * 64 // 1_000_000), "key")
+    several = F.min("fp") < F.max("fp")  # says the same as n > 1, and reads the columns that let both sides share a shuffle
+    sizes = indexed.groupBy("key").agg(F.count("*").alias("n"), several.alias("several")).where("several").select("key", "n")
+    shared = checkpointed(indexed.join(sizes, "key"))  # one shuffle serves both sides; what is left are signatures with several fingerprints
     left = shared.where(F.col("n") <= hot).select("key", F.col("fp").alias("a"))
     right = shared.where(F.col("n") <= hot).select("key", F.col("fp").alias("b"))
     cold = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b")
@@ -115,7 +118,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     The table of ids and fingerprints, 16 bytes a row, is checkpointed: texts are read once.
     """
     rows = checkpointed(fingerprints(docs, doc_id, text))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct.select("fp")))
     classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
