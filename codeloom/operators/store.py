@@ -1,12 +1,13 @@
-"""The symbol store: versions of one parquet table, swapped by a pointer file."""
+"""The symbol store: versions of the buckets of one parquet table, swapped by a pointer file."""
 
 from __future__ import annotations
 
 import json
 import time
 import uuid
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,77 +65,114 @@ def get_by_directory(rows: DataFrame, directory: str, column: str = "file_path")
     return rows.where(F.col(column).startswith(directory.rstrip("/") + "/"))
 
 
+BUCKETS = 64
+
+
 class SymbolStore:
-    """A table in a folder that all executors reach: each write makes a new version, and a pointer names the current one.
+    """A table in a folder that all executors reach, split into buckets by a checksum of the file path.
 
-    Readers keep the version they opened, so a table may be read and replaced in one plan. Files go through Hadoop's file systems, not through local paths.
+    A write makes new files for the buckets it concerns, however large the others are, and then swaps a pointer that names each bucket's version; files are sorted by path, so prefix
+    and equality filters skip row groups, and the lookup of a file or an id reads its bucket only. Readers keep the version they opened, so a table may be read and replaced in one plan.
+    Files go through Hadoop's file systems, not through local paths.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType = SYMBOLS) -> None:
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType = SYMBOLS, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self) -> str | None:
-        at = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
+    def _pointer(self) -> dict | None:
+        at = f"{self.path}/CURRENT"
+        if not self._fs.exists(self._path(at)):
             return None
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/CURRENT").collect()))["version"]
+        found = json.loads("".join(r.value for r in self.spark.read.text(at).collect()))
+        self.buckets = found["buckets"]
+        return found
+
+    def bucket_of(self, path: str) -> int:
+        return zlib.crc32(path.encode()) % self.buckets
 
     def ensure(self) -> SymbolStore:
         """Create an empty table if there is none."""
-        if self._current() is None:
-            self.write(self.spark.createDataFrame([], self.schema))
+        if self._pointer() is None:
+            self._swap({"buckets": self.buckets, "versions": {}}, None)
         return self
 
-    def read(self) -> DataFrame:
-        version = self._current()
-        return self.spark.createDataFrame([], self.schema) if version is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/versions/{version}")
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """The rows of all buckets, or of some."""
+        versions = (self._pointer() or {"versions": {}})["versions"]
+        paths = [f"{self.path}/versions/{v}/bucket={k}" for k, v in versions.items() if buckets is None or int(k) in buckets]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def write(self, rows: DataFrame) -> str:
-        """Write a new version, swap the pointer, drop all versions but the last two."""
-        before, version = self._current(), f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        checked = rows.select(*[F.col(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name).cast(f.dataType) for f in self.schema.fields])
-        for f in self.schema.fields:
-            if isinstance(f.dataType, T.ArrayType) and f.name.endswith("_vector"):
-                right = F.size(f.name) == VECTOR_SIZE
-                checked = checked.withColumn(f.name, F.when(right, F.col(f.name).cast("array<float>")).otherwise(F.raise_error(F.concat(F.lit(f"{f.name}: not {VECTOR_SIZE} numbers for "), F.col("id"))).cast("array<float>")))
-        checked.write.parquet(f"{self.path}/versions/{version}")
-        staged, pointer = self._path(f"{self.path}/CURRENT.{version}"), self._path(f"{self.path}/CURRENT")
+    def _swap(self, pointer: dict, before: dict | None) -> None:
+        """Put a pointer in place; versions that neither it nor the one before names are dropped."""
+        version = uuid.uuid4().hex
+        staged, current = self._path(f"{self.path}/CURRENT.{version}"), self._path(f"{self.path}/CURRENT")
         out = self._fs.create(staged, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
+        out.write(bytearray(json.dumps(pointer).encode()))
         out.close()
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        if not self._fs.rename(staged, pointer):
+        if self._fs.exists(current):
+            self._fs.delete(current, False)
+        if not self._fs.rename(staged, current):
             raise OSError(f"{self.path}: the pointer can't be replaced")
-        for status in self._fs.listStatus(self._path(f"{self.path}/versions")):
-            if status.getPath().getName() not in (before, version):
+        live = set(pointer["versions"].values()) | set((before or pointer)["versions"].values())
+        folder = self._path(f"{self.path}/versions")
+        for status in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+            if status.getPath().getName() not in live:
                 self._fs.delete(status.getPath(), True)
-        return version
+
+    def _write(self, rows: DataFrame, concerned: list[int]) -> None:
+        """``rows`` become all there is in the concerned buckets."""
+        before = self._pointer() or {"buckets": self.buckets, "versions": {}}
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        checked = rows.select(*[F.col(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name).cast(f.dataType) for f in self.schema.fields])
+        for f in self.schema.fields:
+            if isinstance(f.dataType, T.ArrayType) and f.name.endswith("_vector"):
+                wrong = F.raise_error(F.concat(F.lit(f"{f.name}: not {VECTOR_SIZE} numbers for "), F.col("id"))).cast("array<float>")
+                checked = checked.withColumn(f.name, F.when(F.size(f.name) == VECTOR_SIZE, F.col(f.name).cast("array<float>")).otherwise(wrong))
+        placed = checked.withColumn("bucket", self._bucket()).repartition("bucket").sortWithinPartitions("bucket", "file_path", "id")
+        placed.write.partitionBy("bucket").parquet(f"{self.path}/versions/{version}")
+        folder = self._path(f"{self.path}/versions/{version}")
+        made = {status.getPath().getName().removeprefix("bucket=") for status in self._fs.listStatus(folder) if status.isDirectory()}
+        versions = {k: v for k, v in before["versions"].items() if int(k) not in concerned} | dict.fromkeys(made, version)
+        self._swap({"buckets": self.buckets, "versions": versions}, before)
+
+    def _bucket(self, column: str = "file_path") -> Column:
+        return (F.crc32(F.col(column)) % self.buckets).cast("int")
+
+    def _concerned(self, *tables: DataFrame | None) -> list[int]:
+        """The buckets of the tables' files: as many numbers as there are buckets, at most."""
+        self._pointer()
+        return sorted({r.b for t in tables if t is not None for r in t.select(self._bucket().alias("b")).distinct().collect()})
 
     def upsert(self, rows: DataFrame) -> None:
         """Insert or replace by id; the last definition of an id wins, no rows change nothing."""
-        if not rows.isEmpty():
-            self.write(upsert(self.read(), last_definition(rows)))
+        if concerned := self._concerned(rows):
+            self._write(upsert(self.read(concerned), last_definition(rows)), concerned)
 
     def delete_by_file(self, path: str) -> None:
-        self.write(self.read().where(F.col("file_path") != path))
+        own = [self.bucket_of(path)]
+        self._write(self.read(own).where(F.col("file_path") != path), own)
 
     def replace_files(self, rows: DataFrame, emptied: DataFrame | None = None) -> None:
         """All rows of the files in ``rows`` (and ``emptied``) give way to ``rows``, in one write."""
-        self.write(replace_by(self.read(), last_definition(rows), also=emptied))
+        if concerned := self._concerned(rows, emptied):
+            self._write(replace_by(self.read(concerned), last_definition(rows), also=emptied), concerned)
 
     def prune(self, paths: DataFrame) -> None:
-        """Drop the rows of files that aren't among ``paths`` (column path)."""
-        self.write(self.read().join(paths.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi"))
+        """Drop the rows of files that aren't among ``paths`` (column path); buckets without such files stay as they are."""
+        known = paths.select(F.col("path").alias("file_path")).distinct()
+        if concerned := self._concerned(self.read().select("file_path").join(known, "file_path", "left_anti")):
+            self._write(self.read(concerned).join(known, "file_path", "left_semi"), concerned)
 
     def get_by_id(self, symbol: str) -> DataFrame:
-        return get_by_id(self.read(), symbol)
+        self._pointer()
+        return get_by_id(self.read([self.bucket_of(symbol.partition("::")[0])]), symbol)
 
     def get_by_file(self, path: str) -> DataFrame:
-        return get_by_file(self.read(), path)
+        self._pointer()
+        return get_by_file(self.read([self.bucket_of(path)]), path)
 
     def get_by_directory(self, directory: str) -> DataFrame:
         return get_by_directory(self.read(), directory)

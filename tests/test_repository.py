@@ -241,7 +241,10 @@ def test_store_versions(spark, tmp_path):
     s.replace_files(make(row("a::h", "a")))
     s.delete_by_file("my_pkg/b")
     assert {r.id for r in s.read().collect()} == {"a::h", "myXpkg/b::g"}
-    assert len(list((tmp_path / "s" / "versions").iterdir())) == 2
+    live = set(json.loads((tmp_path / "s" / "CURRENT").read_text())["versions"].values())
+    assert live <= {p.name for p in (tmp_path / "s" / "versions").iterdir()} and len(live) == 2  # each bucket has its own
+    found = s.get_by_file("a")
+    assert "EqualTo(file_path,a)" in found._jdf.queryExecution().toString() and all(f"/bucket={s.bucket_of('a')}/" in f for f in found.inputFiles())
     with pytest.raises(Exception, match="not 256 numbers"):
         s.upsert(spark.createDataFrame([("z", "z", "function", None, [1.0], "", [0.0] * 256, "h", "t", "a", 0, "r")], s.schema))
     assert s.read().count() == 2
