@@ -7,13 +7,13 @@ in memory; a larger one by rounds of joins whose results are checkpointed.
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.checkpoints import checkpointed
 from codeloom.operators import _small
 from codeloom.schema import EDGES, NODES
 
@@ -24,14 +24,6 @@ class CycleError(ValueError):
     """A topological order was asked of a graph with a cycle."""
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session names; a folder of our own only where none is named."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-checkpoints-"))
-    return df.checkpoint()
-
-
 def is_small(edges: DataFrame, most: int = SMALL) -> bool:
     return edges.limit(most + 1).count() <= most
 

@@ -8,9 +8,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.checkpoints import checkpointed
 from codeloom.functions import content_hash, module_id, symbol_id
 from codeloom.operators import extract, semantic
-from codeloom.operators.graph import ImportGraph, checkpointed
+from codeloom.operators.graph import ImportGraph
 from codeloom.operators.store import SymbolStore, changed_files, inherit_mutations, last_definition
 from codeloom.schema import VECTOR_SIZE
 from codeloom.sources import files as source
