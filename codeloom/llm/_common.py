@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -11,20 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.checkpoints import checkpointed  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Open one table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the session names; a folder of our own only where none is named."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="codeloom-checkpoints-"))
-    return df.checkpoint()
-
-
 def total_bytes(df: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes in a text column; one pass that reads only that column."""
     return int(df.agg(F.sum(F.octet_length(F.col(text)).cast("bigint"))).first()[0] or 0)
@@ -52,7 +48,21 @@ def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def slices(offsets: np.ndarray, most: int):
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made of them is small."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are kept, and what one task has needed would count for all later ones."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Yield (first, last) row ranges of about ``most`` bytes; a longer row stands alone."""
     first, n = 0, len(offsets) - 1
     while first < n:

@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from codeloom.llm._common import texts, with_fields
+from codeloom.llm._common import parts, texts, with_fields
 
 LONG, CACHE = 256, 400_000
 
@@ -140,7 +140,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        for batch in batches:
+        for batch in parts(batches):
             ids = [bpe.encode(x) for x in texts(batch, text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())], [*batch.schema.names, "ids", "decoded"])
 
@@ -152,7 +152,7 @@ def digest_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        for batch in batches:
+        for batch in parts(batches):
             sizes, of_ids, of_text = [], [], []
             for x in texts(batch, text):
                 ids = bpe.encode(x)

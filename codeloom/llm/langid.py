@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._common import slices, utf8_column, with_fields
+from codeloom.llm._common import parts, slices, utf8_column, with_fields
 
 SAMPLE, MOST_LANGUAGES, BINS, STEEPNESS, SLICE = 300, 500, 4096, 2.5, 1 << 20
 # Families of common languages by ISO 639-1 code. A code that isn't here is a family of its own.
@@ -211,7 +211,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = box.value
-        for batch in batches:
+        for batch in parts(batches):
             data, offsets = utf8_column(batch, text)
             named = [x is not None and _LETTER.search(x) is not None for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             langs, score = own.decide(own.margins(data, offsets)) if own.langs else (["und"] * batch.num_rows, np.zeros(batch.num_rows))

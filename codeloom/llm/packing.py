@@ -19,7 +19,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from codeloom.llm._common import checkpointed, texts
+from codeloom.llm._common import checkpointed, parts, release, texts
 from codeloom.llm.bpe import byte_symbols
 
 WINDOW, BLOCK, SHARD, QUERY_TERMS, TOP, K1, B = 1024, 4096, 16_384, 32, 32, 1.2, 0.75
@@ -40,13 +40,13 @@ class ByteBpe:
     """The ids of the tokenizers library, made by tiktoken from the same file where that is faster and certain to agree."""
 
     def __init__(self, path: str) -> None:
-        self.slow = Tokenizer.from_file(path)
-        self.size = self.slow.get_vocab_size()
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         code = {c: b for b, c in enumerate(byte_symbols())}
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         vocabulary = spec["model"]["vocab"]
+        self.size = max([*vocabulary.values(), *special.values()]) + 1
         merges = ["".join(x if isinstance(x, list) else x.split(" ")) for x in spec["model"]["merges"]]
         in_order = all(vocabulary.get(m) == k + 256 for k, m in enumerate(merges)) and len(vocabulary) - len(special.keys() & vocabulary.keys()) == len(merges) + 256
         plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
@@ -55,6 +55,10 @@ class ByteBpe:
             ranks = {bytes(code[c] for c in t): i for t, i in vocabulary.items() if t not in special}
             self.fast = tiktoken.Encoding("file", pat_str=_GPT_SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
+    @cached_property
+    def slow(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> np.ndarray:
         if self.fast is not None and len(text) < 1 << 20:
             try:
@@ -85,20 +89,19 @@ def tokenized(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: st
         kind = "<u2" if bpe.size <= 1 << 16 else "<u4"
         order = np.random.default_rng(0).permutation(bpe.size)
         serial = TaskContext.get().partitionId() << 33
-        for whole in batches:
-            for first in range(0, whole.num_rows, 1000):
-                batch, rows = whole.slice(first, 1000), []
-                for name, body in zip(batch.column(0).to_pylist(), texts(batch, text), strict=True):
-                    ids = np.append(bpe.encode(body), np.uint32(0))
-                    last = len(ids) // window * window
-                    for start in range(0, last, window):
-                        rows.append((name, start, window, _crc(ids[start : start + window]), len(ids), serial, 0, None, None))
-                        serial += 2
-                    if last < len(ids):
-                        tail = ids[last:]
-                        rows.append((name, last, len(tail), None, len(ids), None, None, tail.astype(kind).tobytes(), int(order[tail].min())))
-                kinds = [pa.int64()] * 7 + [pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*_NAMES, "ids", "place"])
+        for batch in parts(batches):
+            rows = []
+            for name, body in zip(batch.column(0).to_pylist(), texts(batch, text), strict=True):
+                ids = np.append(bpe.encode(body), np.uint32(0))
+                last = len(ids) // window * window
+                for start in range(0, last, window):
+                    rows.append((name, start, window, _crc(ids[start : start + window]), len(ids), serial, 0, None, None))
+                    serial += 2
+                if last < len(ids):
+                    tail = ids[last:]
+                    rows.append((name, last, len(tail), None, len(ids), None, None, tail.astype(kind).tobytes(), int(order[tail].min())))
+            kinds = [pa.int64()] * 7 + [pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [*_NAMES, "ids", "place"])
 
     return docs.select(doc_id, text).mapInArrow(run, f"{_PIECES}, ids binary, place bigint")
 
@@ -254,6 +257,7 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
             packer.block(units)
         packer.finish()
         yield given()
+        release()
 
     shards = max(1, round(n / SHARD))
     dealt = tails.select("doc_id", "start", "doc_tokens", "ids", "place").repartitionByRange(shards, "place", "doc_id", "start").sortWithinPartitions("place", "doc_id", "start")

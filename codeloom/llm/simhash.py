@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._common import checkpointed, texts
+from codeloom.llm._common import checkpointed, parts, texts
 
 SHINGLE, SEED, BITS, HOT, ROUNDS = 3, 42, 2, 32, 60
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """doc_id and its fingerprint as a signed bigint, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             found = np.array([fingerprint(x) for x in texts(batch, text)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found)], ["doc_id", "fp"])
 

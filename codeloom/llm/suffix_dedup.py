@@ -13,8 +13,8 @@ concerns a block travels packed, in few rows.
     other occurrences in the block are repeats already and pass as spans.
  3. For each bucket of hashes the suffix order of its distinct strings is built (a hash with one distinct string has nothing to compare), and spans are returned to the blocks,
     which meet their texts again: these are shuffled once for both meetings.
-A hash in more than HOT documents (a very common line in ever new surroundings) would load one bucket: its windows travel singly, dealt by a hash of all SPAN bytes. The set of those
-hashes is bounded: the threshold is raised so that at most MAX_HOT can exist (8 MB), and it is broadcast.
+A hash in more than HOT different surroundings (a very common line between ever new ones; copies of the same surroundings count once for each task) would load one bucket: its windows travel singly, dealt
+by a hash of all SPAN bytes. The set of those hashes is bounded: the threshold is raised so that at most MAX_HOT can exist (8 MB), and it is broadcast.
 
 Defined results: null text is empty; texts shorter than SPAN bytes lose nothing; a null id is never compared, its text stays whole; rows with one id are one document for the comparison,
 each is cleaned by itself; an empty table gives no rows. In cleaned texts, characters that a cut splits are dropped.
@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import numpy as np
@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from codeloom.llm._common import checkpointed, slices, total_bytes, utf8_column, with_fields
+from codeloom.llm._common import checkpointed, release, slices, total_bytes, utf8_column, with_fields
 
-SPAN, GRAM, RUN, HOT, MAX_HOT = 50, 20, 32, 1000, 1_000_000
-SLICE, MEMORY, HASH_BUCKET, STRING_BUCKET, BLOCK, ORDER = 1 << 20, 64 << 20, 48 << 20, 12 << 20, 8 << 20, 1 << 18
+SPAN, GRAM, RUN, HOT, MAX_HOT = 50, 20, 32, 100_000, 1_000_000
+SLICE, BATCH, MEMORY, HASH_BUCKET, STRING_BUCKET, BLOCK, ORDER = 1 << 20, 12 << 20, 64 << 20, 24 << 20, 6 << 20, 8 << 20, 1 << 18
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
@@ -78,18 +78,19 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Runs:
-    """Runs of neighbouring windows with one least hash, in the rows of a batch: row, first byte in the row, windows, key."""
+    """Runs of neighbouring windows with one least hash, in the rows of a batch: row, first byte in the row, windows, key, and a hash of both ends of the run's string."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         found = [self._of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a) for a, b in slices(offsets, SLICE)]
-        self.row, self.start, self.windows, self.key = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else [()] * 4))
+        self.row, self.start, self.windows, self.key, self.ends = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else [()] * 5))
 
     @staticmethod
     def _of(data: np.ndarray, offsets: np.ndarray, first_row: int) -> tuple[np.ndarray, ...]:
         n = len(data) - SPAN + 1
         if n < 1:
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-        key = _least(gram_hashes(data, GRAM), SPAN - GRAM + 1) & np.uint64(_ALL - 1)
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        grams = gram_hashes(data, GRAM)
+        key = _least(grams, SPAN - GRAM + 1) & np.uint64(_ALL - 1)
         ends = offsets[1:]
         edge = np.zeros(len(data) + 1, np.int32)
         np.add.at(edge, np.maximum(ends - SPAN + 1, offsets[:-1]), 1)
@@ -105,7 +106,7 @@ class Runs:
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start, length = np.repeat(start, pieces) + nth * RUN, np.minimum(np.repeat(length, pieces) - nth * RUN, RUN)
         row = np.searchsorted(offsets, start, "right") - 1
-        return row + first_row, start - offsets[row], length, key[start]
+        return row + first_row, start - offsets[row], length, key[start], grams[start] * np.uint64(_BASE) + grams[start + length - 1 + SPAN - GRAM]
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -150,10 +151,21 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(differs)
 
 
+def tidy(work: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """``work`` on one group, after which its memory goes back to the system."""
+
+    def run(group: pa.Table, *more: pa.Table) -> pa.Table:
+        out = work(group, *more)
+        release()
+        return out
+
+    return run if work.__code__.co_argcount > 1 else lambda group: run(group)
+
+
 def _copies(docs: DataFrame) -> DataFrame:
     """block, doc_id and text hash of the documents that repeat the whole text of one with a smaller id, checkpointed. No text is shuffled: two hashes stand for it."""
     marks = docs.select("block", "doc_id", "hash", F.xxhash64(F.lit("again"), "text").alias("check"))
-    classes = marks.groupBy("hash", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "check", "least")
+    classes = checkpointed(marks.groupBy("hash", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "check", "least"))
     return checkpointed(marks.join(classes, ["hash", "check"]).where("doc_id > least").select("block", "doc_id", "hash"))
 
 
@@ -165,10 +177,12 @@ def _packed_by(where: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list
 
 
 def _hits(h: np.ndarray, d: np.ndarray, blocks: int) -> tuple[list[int], list[bytes]]:
-    """Hashes and the documents they concern, packed by block; half a hash is enough within a document."""
+    """Hashes and the documents they concern, once, packed by block; half a hash is enough within a document."""
     where = _block(d, blocks)
     order = np.lexsort((h, d, where))
-    return _packed_by(where[order], d[order], h[order].astype("<u4"))
+    h, d, where = h[order], d[order], where[order]
+    once = _starts(d, h)
+    return _packed_by(where[once], d[once], h[once].astype("<u4"))
 
 
 def _rows(names: list[str], *columns: list) -> pa.RecordBatch:
@@ -180,28 +194,35 @@ HITS, HASHES, CROWD = 0, 1, 2
 
 
 def _shared_hashes(docs: DataFrame, size: int, blocks: int) -> DataFrame:
-    """Rows (block, kind, blob): HITS, the hashes of a block's documents that other texts have, too; CROWD, hashes in more than HOT documents."""
+    """Rows (block, kind, blob): HITS, the hashes of a block's documents that other texts have, too; CROWD, hashes in more than HOT surroundings."""
     buckets = max(1, -(-size // HASH_BUCKET))
-    hot = max(HOT, size // 16 // MAX_HOT)
+    hot = max(HOT, 4 * size // BATCH, size // 16 // MAX_HOT)
     names, layout = ["bucket", "block", "kind", "blob"], "bucket int, block int, kind int, blob binary"
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for first, last in slices(utf8_column(batch, "text")[1], BATCH):
+                yield batch.slice(first, last - first)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches):
             ids, texts = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "hash"))
             runs = Runs(*utf8_column(batch, "text"))
-            h, row = short(runs.key), runs.row
-            order = np.lexsort((ids[row], h))
-            h, row = h[order], row[order]
-            once = _starts(h, row)
-            h, row = h[once], row[once]
+            h = short(runs.key)
+            order = np.lexsort((runs.ends, h))
+            h, ends, doc, text = h[order], runs.ends[order], ids[runs.row[order]], texts[runs.row[order]]
             group = _starts(h)
-            count = np.diff(np.append(group, len(h)))
-            several = np.minimum.reduceat(texts[row], group) < np.maximum.reduceat(texts[row], group) if len(group) else np.zeros(0, bool)
-            many = np.repeat(several, count)
-            places, blobs = _hits(h[many], ids[row[many]], blocks)  # shared within this batch: known without asking
+            if not len(group):
+                continue
+            several = np.minimum.reduceat(text, group) < np.maximum.reduceat(text, group)
+            many = np.repeat(several, np.diff(np.append(group, len(h))))
+            places, blobs = _hits(h[many], doc[many], blocks)  # shared within this batch: known without asking
             yield _rows(names, [p % buckets for p in places], places, [HITS] * len(places), blobs)
-            # one message for each hash: with one text only, from its least id in the batch; with several, how many
-            h, d, t, c = h[group], ids[row[group]], texts[row[group]], np.where(several, count, 1).astype("<i4")
+            # one message for each hash: its different surroundings, counted below zero where texts differ, the text and the least id that has it
+            new = np.zeros(len(h), np.int64)
+            new[_starts(h, ends)] = 1
+            c = np.add.reduceat(new, group)
+            h, d, t, c = h[group], np.minimum.reduceat(doc, group), text[group], np.where(several, -c, c).astype("<i4")
             where = (h % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((h, d, where))
             h, d, t, c = h[order], d[order], t[order], c[order]
@@ -218,14 +239,14 @@ def _shared_hashes(docs: DataFrame, size: int, blocks: int) -> DataFrame:
             order = np.argsort(h, kind="stable")
             h, d, t, c = h[order], d[order], t[order], c[order]
             group = _starts(h)
-            shared = (np.minimum.reduceat(t, group) < np.maximum.reduceat(t, group)) | (np.maximum.reduceat(c, group) > 1)
-            crowded = h[group[np.add.reduceat(c, group, dtype=np.int64) > hot]]
-            known = np.repeat(shared, np.diff(np.append(group, len(h)))) & (c == 1)
+            shared = (np.minimum.reduceat(t, group) < np.maximum.reduceat(t, group)) | (np.minimum.reduceat(c, group) < 0)
+            crowded = h[group[np.add.reduceat(np.abs(c), group, dtype=np.int64) > hot]]
+            known = np.repeat(shared, np.diff(np.append(group, len(h)))) & (c > 0)
             places, blobs = _hits(h[known], d[known], blocks)
             out += [pa.Table.from_batches([_rows(names[1:], places, [HITS] * len(places), blobs)]), pa.Table.from_batches([_rows(names[1:], *([x] * (len(crowded) > 0) for x in (0, CROWD, crowded.tobytes())))])]
         return pa.concat_tables(out)
 
-    return docs.select("doc_id", "hash", "text").mapInArrow(send, layout).groupBy("bucket").applyInArrow(meet, "block int, kind int, blob binary")
+    return docs.select("doc_id", "hash", "text").mapInArrow(send, layout).groupBy("bucket").applyInArrow(tidy(meet), "block int, kind int, blob binary")
 
 
 def short(key: np.ndarray) -> np.ndarray:
@@ -443,8 +464,8 @@ def _spans(docs: DataFrame, copies: DataFrame, shared: DataFrame, size: int) ->
         blobs = [packed_spans(own[a:b], low[a:b], low[a:b] + SPAN) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         return pa.concat_tables([passed, pa.Table.from_batches([_rows(["block", "blob"], where[cut[:-1]].tolist(), blobs)])])
 
-    sent = docs.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(send, layout)
-    return sent.groupBy("bucket").applyInArrow(meet, "block int, blob binary")
+    sent = docs.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(lambda d, n: tidy(send)(d, n), layout)
+    return sent.groupBy("bucket").applyInArrow(tidy(meet), "block int, blob binary")
 
 
 def packed_spans(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
@@ -521,7 +542,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         last = pa.array([hashlib.sha256(k).hexdigest() for k in kept] if digests else [k.decode(errors="ignore") for k in kept], pa.string())
         return pa.RecordBatch.from_arrays([get("doc_id").cast(pa.int64()), *([get("rest")] if rest else []), *counts, last], ["doc_id", *(["rest"] if rest else []), *added, "kept"])
 
-    met = named.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(clean, fields)
+    met = named.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(lambda d, n: tidy(clean)(d, n), fields)
     out = met.unionByName(rows.where(~comparable).mapInArrow(whole, fields))
     if digests:
         return out.select("doc_id", *added, F.col("kept").alias("kept_sha256"))

@@ -255,7 +255,7 @@ def brute_suffix(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
+@pytest.mark.parametrize("hot", [100_000, 2])
 def test_suffix_dedup(spark, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rnd = random.Random(7)
