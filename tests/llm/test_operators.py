@@ -479,3 +479,9 @@ def test_oracle(spark):
 
 def test_vocabularies_are_where_they_should_be():
     assert all(os.path.exists(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
+
+
+def test_ids_are_dealt_as_spark_deals_them(spark):
+    ids = [0, 1, -1, 5, 1 << 40, -(1 << 62), (1 << 63) - 1]
+    rows = spark.createDataFrame([(i,) for i in ids], "i long").select("i", F.pmod(F.xxhash64("i"), F.lit(13)).cast("int").alias("b")).collect()
+    assert {r.i: r.b for r in rows} == dict(zip(ids, suffix_dedup._block(np.array(ids), 13).tolist(), strict=True))
