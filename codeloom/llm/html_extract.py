@@ -37,6 +37,7 @@ BOILER_WORDS = frozenset(
     " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending popular comment comments disqus discussion"
     " replies respond pagination pager tags toolbar topbar header copyright legal disclaimer outbrain taboola paywall".split()
 )
+HEADER_WORDS = frozenset(["header", "masthead", "topbar"])  # the head of an article belongs to it
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _WORDS = re.compile(r"[a-z]+")
 
@@ -66,7 +67,7 @@ def _is_boiler(name: str, attrs: str, in_article: bool) -> bool:
     if found.get("role", "").lower() in BOILER_ROLES:
         return True
     names = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{found.get('class', '')} {found.get('id', '')}").lower()
-    return not BOILER_WORDS.isdisjoint(_WORDS.findall(names))
+    return bool((BOILER_WORDS - HEADER_WORDS if in_article else BOILER_WORDS).intersection(_WORDS.findall(names)))
 
 
 def blocks(html: str) -> list[Block]:

@@ -485,3 +485,8 @@ def test_ids_are_dealt_as_spark_deals_them(spark):
     ids = [0, 1, -1, 5, 1 << 40, -(1 << 62), (1 << 63) - 1]
     rows = spark.createDataFrame([(i,) for i in ids], "i long").select("i", F.pmod(F.xxhash64("i"), F.lit(13)).cast("int").alias("b")).collect()
     assert {r.i: r.b for r in rows} == dict(zip(ids, suffix_dedup._block(np.array(ids), 13).tolist(), strict=True))
+
+
+def test_heads_of_articles_stay():
+    page = '<div class="site-header"><p>Site of many words and no links</p></div><article><div class="entry-header"><h1>Title</h1></div><p>Text.</p><div id="shareBar">Share</div></article>'
+    assert html_extract.main_text(page) == "Title\nText."
