@@ -160,7 +160,7 @@ def fit(x: np.ndarray, langs: np.ndarray) -> Model:
     groups = sorted({family(n) for n in names})
     scale = 1 / np.sqrt(x.mean(0) + 1e-6) if len(x) else np.ones(BINS)
     scaled = x * scale
-    scaled_norm = np.sqrt((scaled**2).sum(1).mean()) or 1.0
+    scaled_norm = np.sqrt((scaled**2).sum(1).mean()) or 1.0 if len(x) else 1.0
     scale, scaled = scale * (4 / scaled_norm), (scaled * (4 / scaled_norm)).astype(np.float32)
     of_family = np.array([family(n) for n in langs])
     pairs = [p for g in groups for p in combinations([n for n in names if family(n) == g], 2)]
