@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from codeloom.llm import near_copies
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -51,6 +52,26 @@ def test_near_copies_go(spark, docs):
     assert after.columns == before.columns and after.join(before, "doc_id", "left_anti").isEmpty() and after.count() <= before.count()
 
 
+def test_planted_near_copy_goes(spark, docs):
+    after = {r.doc_id for r in staged(spark, docs, "simhash_dedup").select("doc_id").collect()}
+    assert not {900_002, 900_003} <= after
+
+
+def test_near_copies_are_those_of_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {}
+    for r in df.collect():
+        found = near_copies.words(r.text)
+        sets.setdefault(tuple(found), (r.doc_id, {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}))
+    items = sorted(sets.values(), key=lambda x: x[0])
+    pairs = {(a, b) for i, (a, x) in enumerate(items) for b, y in items[i + 1 :] if 0.8 * max(len(x), len(y)) <= min(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y)}
+    group = {r.doc_id: r.component_id for r in near_copies.near_groups(df).collect()}
+    root = {i: i for i, _ in items}
+    for a, b in sorted(pairs) * len(pairs):
+        root[a] = root[b] = min(root[a], root[b])
+    assert pairs and all(group[i] == group[root[i]] for i in root) and len({group[i] for i in root}) == len(set(root.values()))
+
+
 def test_passages_go(spark, docs):
     after = {r.doc_id: r for r in staged(spark, docs, "suffix_dedup").collect()}
     if 900_007 in after:
