@@ -1,8 +1,8 @@
 """Main-text extraction from HTML: flat text blocks classified by a decision tree.
 
 A page is cut into a flat list of text blocks at block-level tags. A block's features are its word count and link density, those of the blocks before and
-after it, and where it stands: inside boilerplate containers (by element, role, or class and id words), inside an article, and whether the page has an article
-at all. A decision tree, trained on the small labelled table below, keeps or drops each block. Scripts, styles, forms and other content that is never shown as
+after it, and where it stands: inside boilerplate containers (by element, role, or class and id words), inside an article, and whether the page's
+text is in an article at all. A decision tree, trained on the small labelled table below, keeps or drops each block. Scripts, styles, forms and other content that is never shown as
 text don't make blocks. No shuffle: a map over Arrow batches, pages are never cut.
 
 Defined results: null, empty or text-free html gives the empty string; malformed markup never fails: an end tag closes the nearest open element of its name, if there is one, and that of a block-level name ends a block in any case; an
@@ -148,11 +148,21 @@ def blocks(html: str) -> list[Block]:
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "boiler", "article", "page_has_article")
 
 
+def _plain_words(rows: np.ndarray) -> float:
+    """Words outside links."""
+    return float((rows[:, 0] * (1 - rows[:, 1])).sum())
+
+
 def features(page: list[Block]) -> np.ndarray:
-    """One row for each block; beyond the ends of a page stand blocks of no words."""
+    """One row for each block; beyond the ends of a page stand blocks of no words.
+
+    A page has an article if blocks of articles outside boilerplate hold half of the words outside boilerplate and links at least: a teaser or comment in an article element doesn't count against a story that stands elsewhere.
+    """
     own = np.array([[b.words, b.density, b.boiler, b.article] for b in page], float).reshape(-1, 4)
     padded = np.vstack([np.zeros((1, 4)), own, np.zeros((1, 4))])
-    has = np.full((len(page), 1), own[:, 3].any())
+    shown = own[own[:, 2] == 0]
+    inside = shown[shown[:, 3] == 1]
+    has = np.full((len(page), 1), len(inside) > 0 and 2 * _plain_words(inside) >= _plain_words(shown))
     return np.hstack([own[:, :2], padded[:-2, :2], padded[2:, :2], own[:, 2:], has])
 
 
@@ -160,15 +170,23 @@ def features(page: list[Block]) -> np.ndarray:
 LABELLED = np.array([
     [40, 0.0, 30, 0.0, 50, 0.0, 0, 1, 1, 1], [3, 0.0, 60, 0.0, 45, 0.0, 0, 1, 1, 1], [1, 0.0, 80, 0.0, 2, 0.0, 0, 1, 1, 1], [9, 0.0, 4, 1.0, 70, 0.0, 0, 1, 1, 1],
     [120, 0.1, 12, 0.0, 15, 0.0, 0, 1, 1, 1], [2, 1.0, 50, 0.0, 40, 0.0, 0, 1, 1, 1], [12, 0.6, 30, 0.0, 35, 0.1, 0, 1, 1, 1], [1, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 1], [300, 0.0, 0, 0.0, 1, 0.0, 0, 1, 1, 1],
-    [2, 0.0, 8, 0.0, 12, 0.0, 0, 1, 1, 1], [6, 0.0, 2, 1.0, 8, 0.0, 0, 1, 1, 1], [5, 1.0, 3, 1.0, 3, 1.0, 0, 1, 1, 1], [30, 0.0, 5, 0.0, 4, 0.0, 0, 1, 1, 1],
+    [2, 0.0, 8, 0.0, 12, 0.0, 0, 1, 1, 1], [6, 0.0, 2, 1.0, 8, 0.0, 0, 1, 1, 1], [5, 1.0, 3, 1.0, 3, 1.0, 0, 1, 1, 0], [30, 0.0, 5, 0.0, 4, 0.0, 0, 1, 1, 1],
     [40, 0.0, 30, 0.0, 50, 0.0, 1, 1, 1, 0], [3, 1.0, 3, 1.0, 2, 1.0, 1, 0, 1, 0], [15, 0.0, 3, 1.0, 9, 0.0, 1, 0, 1, 0], [90, 0.0, 40, 0.0, 60, 0.0, 1, 0, 0, 0], [1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0],
     [12, 0.0, 80, 0.0, 0, 0.0, 1, 0, 1, 0], [8, 0.2, 9, 0.0, 20, 0.0, 1, 1, 1, 0], [200, 0.0, 100, 0.0, 90, 0.0, 1, 0, 0, 0], [7, 0.0, 60, 0.0, 70, 0.0, 1, 1, 1, 0], [4, 0.0, 0, 0.0, 40, 0.0, 1, 0, 0, 0],
-    [20, 0.0, 50, 0.0, 4, 0.5, 0, 0, 1, 0], [3, 1.0, 20, 0.0, 3, 1.0, 0, 0, 1, 0], [60, 0.0, 70, 0.0, 30, 0.0, 0, 0, 1, 0], [5, 0.0, 2, 1.0, 9, 0.0, 0, 0, 1, 0], [150, 0.1, 3, 1.0, 2, 0.0, 0, 0, 1, 0],
+    [20, 0.0, 50, 0.0, 4, 0.5, 0, 0, 1, 0], [3, 1.0, 20, 0.0, 3, 1.0, 0, 0, 1, 0], [60, 0.0, 70, 0.0, 30, 0.0, 0, 0, 1, 1], [5, 0.0, 2, 1.0, 9, 0.0, 0, 0, 1, 0], [150, 0.1, 3, 1.0, 2, 0.0, 0, 0, 1, 0],
     [40, 0.0, 30, 0.0, 50, 0.0, 0, 0, 0, 1], [25, 0.1, 3, 1.0, 30, 0.0, 0, 0, 0, 1], [80, 0.2, 60, 0.1, 4, 1.0, 0, 0, 0, 1], [6, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 1], [8, 0.0, 3, 0.9, 45, 0.0, 0, 0, 0, 1],
     [2, 0.0, 30, 0.0, 28, 0.0, 0, 0, 0, 1], [18, 0.0, 16, 0.0, 20, 0.0, 0, 0, 0, 1], [10, 0.0, 22, 0.0, 0, 0.0, 0, 0, 0, 1], [30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1], [5, 0.0, 0, 0.0, 35, 0.0, 0, 0, 0, 1], [12, 0.0, 0, 0.0, 11, 0.0, 0, 0, 0, 1],
     [3, 1.0, 3, 1.0, 4, 1.0, 0, 0, 0, 0], [20, 0.9, 4, 1.0, 30, 0.0, 0, 0, 0, 0], [50, 0.8, 40, 0.0, 40, 0.0, 0, 0, 0, 0], [2, 0.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0], [4, 0.0, 2, 1.0, 2, 0.0, 0, 0, 0, 0], [6, 0.5, 40, 0.0, 30, 0.0, 0, 0, 0, 0], [1, 1.0, 30, 0.0, 25, 0.0, 0, 0, 0, 0],
     [3, 0.0, 4, 0.0, 2, 0.0, 0, 0, 0, 0], [5, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0],
+    [3, 1.0, 40, 0.0, 4, 1.0, 0, 1, 1, 0], [4, 1.0, 5, 1.0, 60, 0.0, 0, 1, 1, 0], [6, 0.9, 5, 1.0, 7, 1.0, 0, 1, 1, 0], [2, 1.0, 3, 1.0, 0, 0.0, 0, 1, 1, 0], [3, 1.0, 60, 0.0, 70, 0.0, 0, 1, 1, 1],
+    [45, 0.0, 50, 0.0, 3, 1.0, 0, 0, 1, 1], [80, 0.1, 2, 0.0, 90, 0.0, 0, 0, 1, 1], [35, 0.0, 60, 0.0, 40, 0.1, 0, 0, 1, 1], [70, 0.0, 4, 1.0, 3, 1.0, 0, 0, 1, 0], [6, 0.0, 40, 0.0, 3, 1.0, 0, 0, 1, 0], [8, 0.0, 3, 1.0, 5, 0.0, 0, 0, 1, 0],
+    [7, 0.0, 3, 1.0, 3, 1.0, 0, 1, 1, 1], [2, 0.0, 3, 1.0, 2, 1.0, 0, 1, 1, 1], [20, 0.0, 3, 1.0, 0, 0.0, 0, 1, 1, 1], [8, 0.3, 40, 0.0, 3, 1.0, 0, 1, 1, 1], [1, 0.0, 2, 0.0, 3, 1.0, 0, 1, 1, 1], [90, 0.0, 6, 1.0, 8, 1.0, 0, 1, 1, 1],
+    [6, 0.0, 0, 0.0, 8, 0.0, 0, 0, 1, 0], [12, 0.0, 40, 0.0, 30, 0.0, 0, 0, 1, 0], [3, 0.0, 5, 0.0, 60, 0.0, 0, 0, 1, 0], [9, 0.2, 50, 0.0, 0, 0.0, 0, 0, 1, 0], [40, 0.9, 60, 0.0, 50, 0.0, 0, 0, 1, 0], [14, 0.0, 50, 0.0, 3, 1.0, 0, 0, 1, 0], [24, 0.0, 50, 0.0, 3, 1.0, 0, 0, 1, 0],
+    [20, 0.0, 22, 0.0, 5, 0.0, 0, 0, 0, 1], [21, 0.0, 20, 0.0, 3, 1.0, 0, 0, 0, 1], [15, 0.0, 30, 0.0, 6, 0.0, 0, 0, 0, 1], [24, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 1], [18, 0.0, 4, 1.0, 2, 0.0, 0, 0, 0, 1], [22, 0.1, 3, 1.0, 3, 1.0, 0, 0, 0, 1], [30, 0.5, 40, 0.0, 30, 0.0, 0, 0, 0, 0], [12, 0.6, 5, 0.8, 9, 0.0, 0, 0, 0, 0], [14, 0.45, 3, 1.0, 3, 1.0, 0, 0, 0, 0],
+    [40, 0.0, 30, 0.0, 50, 0.0, 0, 1, 0, 1], [60, 0.0, 5, 0.0, 4, 0.0, 0, 1, 0, 1], [6, 1.0, 40, 0.0, 5, 1.0, 0, 1, 0, 0], [4, 0.0, 3, 1.0, 3, 1.0, 0, 1, 0, 0],
 ])
+#: Each row stands once more inside boilerplate, where nothing is main text.
+LABELLED = np.vstack([LABELLED, np.where(np.isin(np.arange(10), [6, 9]), [0, 0, 0, 0, 0, 0, 1, 0, 0, 0], LABELLED)])
 
 
 def grow(x: np.ndarray, y: np.ndarray) -> tuple:

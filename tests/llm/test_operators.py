@@ -490,3 +490,17 @@ def test_ids_are_dealt_as_spark_deals_them(spark):
 def test_heads_of_articles_stay():
     page = '<div class="site-header"><p>Site of many words and no links</p></div><article><div class="entry-header"><h1>Title</h1></div><p>Text.</p><div id="shareBar">Share</div></article>'
     assert html_extract.main_text(page) == "Title\nText."
+
+
+STORY = "<div id=content>" + "".join(f"<p>Paragraph {k} of the story says at some length what has happened and to whom, in plain words and without links.</p>" for k in range(4)) + "</div>"
+
+
+@pytest.mark.parametrize("extra", ["<aside><article><p>A teaser of another story.</p></article></aside>", "<article><p>A teaser of another story.</p></article>", "<div class=related><article><p>Teaser.</p></article></div>"])
+def test_a_teaser_in_an_article_element_leaves_the_story(extra):
+    assert html_extract.main_text(STORY + extra).count("Paragraph") == 4 and html_extract.main_text(extra + STORY).count("Paragraph") == 4
+
+
+def test_link_lists_in_articles_go():
+    links = "<ul>" + "".join(f"<li><a href=x>Other story number {k}</a></li>" for k in range(5)) + "</ul>"
+    found = html_extract.main_text("<article>" + STORY + links + "</article>")
+    assert found.count("Paragraph") == 4 and "Other story" not in found
