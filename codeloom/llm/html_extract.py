@@ -38,8 +38,13 @@ BOILER_WORDS = frozenset(
     " replies respond pagination pager tags toolbar topbar header copyright legal disclaimer outbrain taboola paywall".split()
 )
 HEADER_WORDS = frozenset(["header", "masthead", "topbar"])  # the head of an article belongs to it
+SECTION_WORDS = frozenset(["discussion", "legal"])  # of an article: parts of its text
+#: Words of lists of other texts: an article in one of these is an item of the list. In any other marked wrapper it is the page's article.
+LIST_WORDS = frozenset("aside comment comments disqus discussion footer outbrain popular promo promoted promotion rail recommendations recommended related replies respond sidebar sponsor sponsored taboola trending widget widgets".split())
+SETTING = frozenset("with without has have no not hide hides".split())  # a compound with one of these tells about the page: with-sidebar
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _WORDS = re.compile(r"[a-z]+")
+_LISTS = ("ul", "ol", "menu")
 
 
 @dataclass(slots=True)
@@ -58,16 +63,25 @@ def _hides(name: str, attrs: str) -> bool:
     return "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
 
 
-def _is_boiler(name: str, attrs: str, in_article: bool) -> bool:
+def _marked(name: str, attrs: str, in_article: bool) -> int:
+    """2 for boilerplate, 1 for a wrapper marked by role or class only, in which an article is the page's own, else 0.
+
+    Of p, li and article whole class names count; of containers also parts of compounds (site-header, shareBar), unless a part is of SETTING.
+    """
     if name in BOILER_ELEMENTS or name == "header" and not in_article:
-        return True
-    if not attrs or attrs.isspace() or name in ("body", "html", "article", "main"):
-        return False
+        return 2
+    if not attrs or attrs.isspace() or name in ("body", "html", "main"):
+        return 0
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-    if found.get("role", "").lower() in BOILER_ROLES:
-        return True
-    names = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{found.get('class', '')} {found.get('id', '')}").lower()
-    return bool((BOILER_WORDS - HEADER_WORDS if in_article else BOILER_WORDS).intersection(_WORDS.findall(names)))
+    own = BOILER_WORDS - HEADER_WORDS - SECTION_WORDS if in_article else BOILER_WORDS
+    if name in ("p", "li", "article"):
+        return 2 * bool(own.intersection(found.get("class", "").lower().split()))
+    hits = {"role"} if found.get("role", "").lower() in BOILER_ROLES else set()
+    for token in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = set(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
+        if not words & SETTING:
+            hits |= words & own
+    return 2 if hits & LIST_WORDS else 1 if hits else 0
 
 
 def blocks(html: str) -> list[Block]:
@@ -75,8 +89,8 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, boilerplate, article, hidden: each with what it inherits
-    boiler = article = hidden = False
+    stack: list[tuple[str, int, bool, bool]] = []  # name, boilerplate, article, hidden: each with what it inherits
+    boiler, article, hidden = 0, False, False
     in_link, at, n = False, 0, len(html)
 
     def flush() -> None:
@@ -85,9 +99,20 @@ def blocks(html: str) -> list[Block]:
             parts.clear()
             if text:
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(1.0, len(" ".join(linked).split()) / words), boiler, article))
+                out.append(Block(text, words, min(1.0, len(" ".join(linked).split()) / words), boiler > 0, article))
         linked.clear()
 
+    def close(name: str, within: tuple[str, ...]) -> None:
+        """End the nearest open element of this name, unless one of ``within`` stands before it; if there is none, nothing ends."""
+        nonlocal boiler, article, hidden
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == name:
+                del stack[k:]
+                break
+            if stack[k][0] in within:
+                break
+        _, boiler, article, hidden = stack[-1] if stack else ("", 0, False, False)
+
     def keep(piece: str) -> None:
         if piece and not hidden:
             parts.append(piece)
@@ -115,13 +140,18 @@ def blocks(html: str) -> list[Block]:
             if name in BLOCK:
                 flush()
             if name in CONTAINER or name in UNSEEN:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-                _, boiler, article, hidden = stack[-1] if stack else ("", False, False, False)
+                close(name, ())
+            elif name in ("p", "li"):
+                close(name, _LISTS if name == "li" else tuple(CONTAINER))
             continue
         attrs = m["attrs"]
+        if name in BLOCK and stack:  # ends an open p or li that is marked
+            if stack[-1][0] == "p":
+                flush()
+                close("p", ())
+            if name == "li":
+                flush()
+                close("li", _LISTS)
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(html, at)
             at = end.end() if end else n
@@ -130,7 +160,9 @@ def blocks(html: str) -> list[Block]:
                 flush()
             if name not in _VOID and not (attrs.rstrip().endswith("/") and name in ("svg", "math", "canvas")):
                 inside = article or name in ("article", "main")
-                stack.append((name, boiler or name in CONTAINER and _is_boiler(name, attrs, article), inside, hidden or name in UNSEEN or _hides(name, attrs)))
+                own = _marked(name, attrs, article) if name in CONTAINER else 0
+                outer = 0 if boiler == 1 and name in ("article", "main") else boiler
+                stack.append((name, max(outer, own), inside, hidden or name in UNSEEN or _hides(name, attrs)))
                 _, boiler, article, hidden = stack[-1]
         elif name == "a":
             in_link = "href" in attrs.lower()
@@ -138,7 +170,10 @@ def blocks(html: str) -> list[Block]:
             flush()
             if name == "body":
                 stack.clear()
-                boiler = article = hidden = False
+                boiler, article, hidden = 0, False, False
+            elif name in ("p", "li") and _marked(name, attrs, article):
+                stack.append((name, 2, article, hidden))
+                boiler = 2
         elif name in ("br", "img", "input", "wbr"):
             keep(" " if name != "wbr" else "")
     flush()

@@ -504,3 +504,19 @@ def test_link_lists_in_articles_go():
     links = "<ul>" + "".join(f"<li><a href=x>Other story number {k}</a></li>" for k in range(5)) + "</ul>"
     found = html_extract.main_text("<article>" + STORY + links + "</article>")
     assert found.count("Paragraph") == 4 and "Other story" not in found
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="layout with-sidebar">', '<div id="page-has-nav">', '<div class="content no-ads">', '<div class="page modal">', '<div role="alert">'])
+def test_marked_wrappers_leave_the_article(wrapper):
+    assert html_extract.main_text(f"{wrapper}<article>{STORY}</article></div>").count("Paragraph") == 4
+
+
+@pytest.mark.parametrize("opening", ['<section id="discussion">', '<section class="legal">'])
+def test_sections_of_an_article_stay(opening):
+    assert html_extract.main_text(f"<article><p>Before.</p>{opening}<p>The section.</p></section></article>") == "Before.\nThe section."
+
+
+def test_classes_of_paragraphs_items_and_articles_count():
+    page = '<article><p>One.<p class="ad">Buy.<p>Two.</p><p class="promo">Buy.</p>Loose.<ul><li>Three<li class="share">Share <p>it</p><li>Four</ul>Five.</article><article class="comment"><p>Nice.</p></article><aside><article><p>Teaser.</p></article></aside>'
+    assert html_extract.main_text(page).split("\n") == ["One.", "Two.", "Loose.", "Three", "Four", "Five."]
+    assert html_extract.main_text(f'<article>{STORY}</article><div class="comments"><article><p>Nice.</p></article></div>').count("Nice") == 0
