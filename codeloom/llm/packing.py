@@ -5,9 +5,10 @@ a sharded BM25 inverted index over the tails returns unused neighbours for each
 the best of the rest is cut to fill the window exactly, its remainder staying in the index. So all windows are full but the last of a shard, which is
 cut into sequences of powers of two and needs no padding either.
 
-The terms are token ids: the vocabulary bounds the table of document frequencies, which is computed over all tails and then broadcast (8 bytes an id). Shards are ranges of (least hash of a tail's tokens, id),
-so tails that share words tend to meet and a key with many rows is cut by the id; within a shard the index is rebuilt for every BLOCK tails, and an
-open window goes on into the next block. A worker's memory is one block's postings, whatever the data.
+The terms are token ids: the vocabulary bounds the table of document frequencies, which is computed over all tails and then broadcast (8 bytes an id). Shards are ranges of (least hash of a tail's tokens, its two least
+hashes weighted by idf, id): the first brings languages together, the others tails that share a rare word, and a key with many rows is cut by the id. A shard of about SHARD tails is
+indexed whole; only one of more than BLOCK tails is cut, and an open window goes on into the next block. A worker's memory is one block's postings, whatever the data.
+Neighbours in other shards are not found.
 QUERY_TERMS best terms of a seed make its query, and TOP candidates are tried whole before one is cut: neither drops a document.
 
 Defined results: null and empty texts are the single id 0. Every id lies in exactly one piece; rows are documents, so repeated rows are packed repeatedly. A null id stays null.
@@ -32,7 +33,7 @@ from tokenizers import Tokenizer
 from codeloom.llm._common import checkpointed, parts, release, texts
 from codeloom.llm.bpe import byte_symbols
 
-WINDOW, BLOCK, SHARD, QUERY_TERMS, TOP, K1, B = 1024, 4096, 16_384, 32, 32, 1.2, 0.75
+WINDOW, BLOCK, SHARD, QUERY_TERMS, TOP, K1, B = 1024, 32_768, 16_384, 32, 32, 1.2, 0.75
 _GPT_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -123,6 +124,20 @@ def document_frequencies(tails: DataFrame, kind: str, size: int) -> np.ndarray:
     return out
 
 
+def rare_first(df: np.ndarray, idf: np.ndarray, power: float = 3.0) -> np.ndarray:
+    """The place of each id in an order in which of several ids the rarer tends to come first; ids of a single tail come last, as they bring nobody together."""
+    hashed = np.random.default_rng(0).exponential(size=len(idf)) / np.where(df > 1, idf, 1e-9) ** power
+    return np.argsort(np.argsort(hashed, kind="stable"), kind="stable")
+
+
+def two_least(ids: np.ndarray, order: np.ndarray) -> tuple[int, int]:
+    """The two least places of the ids; equal if there is only one id."""
+    places = order[ids]
+    first = places.min()
+    more = places[places > first]
+    return int(first), int(more.min() if len(more) else first)
+
+
 class Index:
     """A BM25 inverted index over one block of token arrays."""
 
@@ -235,8 +250,15 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
     n, tokens = tails.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     df = document_frequencies(tails, kind, bpe.size) if n else np.zeros(bpe.size)
     idf = docs.sparkSession.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
+    order = docs.sparkSession.sparkContext.broadcast(rare_first(df, idf.value))
     mean = max(1.0, tokens / max(n, 1))
 
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [two_least(np.frombuffer(x, kind), order.value) for x in batch.column("ids").to_pylist()]
+            columns = [pa.array([x[k] for x in least], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "near", "next"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, idf.value, mean, (TaskContext.get().partitionId() << 33) + 1)
         units: list[list] = []
@@ -260,5 +282,7 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
         release()
 
     shards = max(1, round(n / SHARD))
-    dealt = tails.select("doc_id", "start", "doc_tokens", "ids", "place").repartitionByRange(shards, "place", "doc_id", "start").sortWithinPartitions("place", "doc_id", "start")
+    keys = ["place", "near", "next", "doc_id", "start"]
+    known = tails.select("doc_id", "start", "doc_tokens", "ids", "place")
+    dealt = known.mapInArrow(placed, "doc_id bigint, start bigint, doc_tokens bigint, ids binary, place bigint, near bigint, next bigint").repartitionByRange(shards, *keys).sortWithinPartitions(*keys)
     return rows.where(F.col("ids").isNull()).select(*_NAMES).unionByName(dealt.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(run, _PIECES))

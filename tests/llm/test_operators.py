@@ -343,6 +343,22 @@ def test_packing_puts_likes_together(spark):
     assert np.mean([max(c.values()) / 1024 for c in whole]) > 0.85
 
 
+def test_packing_brings_rare_words_together(spark, monkeypatch):
+    """All tails share common words; those of one rare word meet in a block that is far smaller than the table."""
+    monkeypatch.setattr(packing, "BLOCK", 40)
+    common = "the of and to in was is that for on with as his they be at one have this from or had by hot but some what there we can out other were all your when up use word how said an each she".split()
+    rare = "giraffe volcano penguin saxophone marble lantern cathedral octopus hammer tractor violin pepper anchor tunnel castle dragon turtle rocket mirror carpet pillow button bottle candle basket ladder helmet blanket spider tiger rabbit monkey camel whale eagle falcon parrot lizard salmon cherry".split()
+    df = docs_of(spark, [(i, "a " + " ".join(common) + f" {rare[i % 40]}" * 5) for i in range(320)])
+    shares = {}
+    for r in packing.pack(df, queries.BYTE_BPE, window=256).collect():
+        shares.setdefault(r.sequence_id, Counter())[r.doc_id % 40] += r.length
+    assert np.mean([max(c.values()) / 256 for c in shares.values() if sum(c.values()) == 256]) > 0.7
+
+
+def test_a_shard_is_one_block():
+    assert packing.BLOCK > packing.SHARD
+
+
 def test_bm25_scores():
     units = [np.array(x) for x in ([1, 1, 2], [2, 3], [4], [1])]
     idf = np.array([0.0, 0.5, 1.0, 2.0, 3.0])
