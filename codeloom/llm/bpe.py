@@ -1,14 +1,17 @@
 """BPE encoding and decoding with a public vocabulary file, word by word.
 
 A text is normalised and split as the vocabulary file says. Each distinct word is merged once in a contiguous rank
-array: part boundaries with the rank of each part joined to the next; the minimum is found by a scan, its right boundary
+array: the word's symbols stay one string, over which part boundaries are held beside the rank of each part joined to the next. The minimum is found by a scan, its boundary
 deleted and the two neighbouring ranks refreshed. Words are short, so the scans beat a heap; a word of more
 than LONG symbols is merged with a heap over the same boundaries instead, with the same result. Workers keep finished words in a
-dictionary of bounded size. No shuffle: a map over Arrow batches, texts are never cut.
+dictionary of CACHE_BYTES and one document's words at most; words beyond CACHED characters aren't kept. No shuffle: a map over Arrow batches, texts are never cut.
+
+Texts of characters below U+0250 are normalised and split here; for others the tables of Python and of the tokenizers library may be of different Unicode versions, so the library's own normaliser and
+pre-tokenizer make the words, which are merged here all the same.
 
 Supported file layout: BPE with an end-of-word suffix, NFC, white space to one space, lower case, a removing split pattern and
 byte-level symbols. Special tokens in a text become their ids, as in the library. Defined results: null and empty texts encode to no ids and
-decode to the empty text; repeated rows give repeated results; other columns are kept as they are.
+decode to the empty text; very long texts and words are encoded whole; repeated rows give repeated results; null ids stay null; other columns are kept as they are, but for those named ids and decoded; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,19 +19,23 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
+import re
+from collections import ChainMap
+from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from codeloom.llm._common import parts, texts, with_fields
 
-LONG, CACHE = 256, 400_000
+LONG, CACHED, CACHE_BYTES = 256, 64, 64 << 20
+_NEVER = 1 << 60
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]").search
 
 
 def byte_symbols() -> list[str]:
@@ -38,50 +45,55 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-def merge(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """The parts of a word after all merges, lowest rank first, leftmost first among equals."""
-    if len(parts) > LONG:
-        return _merge_long(parts, ranks)
-    none = 1 << 60
+    word, bounds = "".join(symbols), list(accumulate(map(len, symbols), initial=0))
+    if len(symbols) > LONG:
+        return _merge_long(word, bounds, ranks)
     get = ranks.get
-    low = [get(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+    low = [get(pair, _NEVER) for pair in zip(symbols, symbols[1:], strict=False)]
     while low:
         best = min(low)
-        if best == none:
+        if best == _NEVER:
             break
         i = low.index(best)
-        parts[i] += parts.pop(i + 1)
-        low.pop(i)
+        del bounds[i + 1], low[i]
         if i:
-            low[i - 1] = get((parts[i - 1], parts[i]), none)
+            low[i - 1] = get((word[bounds[i - 1] : bounds[i]], word[bounds[i] : bounds[i + 1]]), _NEVER)
         if i < len(low):
-            low[i] = get((parts[i], parts[i + 1]), none)
-    return parts
+            low[i] = get((word[bounds[i] : bounds[i + 1]], word[bounds[i + 1] : bounds[i + 2]]), _NEVER)
+    return [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def _merge_long(word: str, bounds: list[int], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The same with a heap; a boundary that is gone has no next one, and an entry of the heap holds only while its three boundaries follow each other."""
+    n = len(bounds) - 1
+    after, before = [*range(1, n + 1), -1], list(range(-1, n))
+    heap: list[tuple[int, int, int, int]] = []
 
+    def offer(i: int) -> None:
+        if i >= 0 and 0 <= (j := after[i]) < n and (r := ranks.get((word[bounds[i] : bounds[j]], word[bounds[j] : bounds[k := after[j]]]))) is not None:
+            heapq.heappush(heap, (r, i, j, k))
 
-def _merge_long(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-    heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (r := ranks.get((a, b))) is not None]
-    heapq.heapify(heap)
+    for i in range(n - 1):
+        offer(i)
     while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if parts[i] != a or j >= len(parts) or parts[j] != b:
-            continue
-        parts[i], parts[j] = a + b, ""
-        after[i] = after[j]
-        if after[j] < len(parts):
-            before[after[j]] = i
-        for left, right in ((before[i], i), (i, after[i])):
-            if 0 <= left and right < len(parts) and (r := ranks.get((parts[left], parts[right]))) is not None:
-                heapq.heappush(heap, (r, left, parts[left], parts[right]))
-    return [x for x in parts if x]
+        _, i, j, k = heapq.heappop(heap)
+        if after[i] == j and after[j] == k:
+            after[i], after[j], before[k] = k, -1, i
+            offer(before[i])
+            offer(i)
+    left = [0]
+    while left[-1] < n:
+        left.append(after[left[-1]])
+    return [word[bounds[a] : bounds[b]] for a, b in zip(left, left[1:], strict=False)]
 
 
 class WordBpe:
     """Encoder and decoder for one vocabulary file."""
 
     def __init__(self, path: str) -> None:
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -97,27 +109,40 @@ class WordBpe:
         self.find = regex.compile(splits[0]["pattern"]["Regex"]).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
         self.symbols = byte_symbols()
-        self.words: dict[str, list[int]] = {}
+        self.known: tuple[dict[str, list[int]], dict[str, list[int]]] = {}, {}  # of words, and of words as symbols
+        self.held = 0
 
-    def _word(self, word: str) -> list[int]:
-        parts = [self.symbols[b] for b in word.encode()]
-        parts[-1] += self.suffix
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    def _merged(self, symbols: list[str]) -> list[int]:
+        symbols[-1] += self.suffix
         vocabulary = self.vocabulary
-        return [vocabulary[x] for x in merge(parts, self.ranks) if x in vocabulary]
+        return [vocabulary[x] for x in merge(symbols, self.ranks) if x in vocabulary]
+
+    def _ids(self, words: list[str], known: dict[str, list[int]], symbols: Callable[[str], list[str]]) -> list[int]:
+        if self.held > CACHE_BYTES:
+            for kept in self.known:
+                kept.clear()
+            self.held = 0
+        long: dict[str, list[int]] = {}
+        for word in set(words).difference(known):
+            ids = self._merged(symbols(word))
+            if len(word) <= CACHED:
+                known[word] = ids
+                self.held += 300 + 4 * len(word) + 8 * len(ids)
+            else:
+                long[word] = ids
+        found = ChainMap(long, known) if long else known
+        return list(chain.from_iterable(map(found.__getitem__, words)))
 
     def _plain(self, text: str) -> list[int]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:
-                text = text.replace("Σ", "σ")  # the library lower-cases each character by itself
-        words = self.find(text.lower())
-        known = self.words
-        for word in set(words).difference(known):
-            if len(known) >= CACHE:
-                known.clear()
-                return [i for w in words for i in self._word(w)]
-            known[word] = self._word(word)
-        return list(chain.from_iterable(map(known.__getitem__, words)))
+        if _BEYOND_LATIN(text):
+            library = self.library
+            words = [w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text)) if w]
+            return self._ids(words, self.known[1], list)
+        return self._ids(self.find(text.lower()), self.known[0], lambda word: [self.symbols[b] for b in word.encode()])
 
     def encode(self, text: str) -> list[int]:
         if "<|" not in text:

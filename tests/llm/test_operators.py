@@ -114,25 +114,36 @@ def library():
 TRICKY = ["", "  ", "İI ΣΑΣ Å á ẞ don't I'LL 12³½ x　y z", "<|endoftext|> <|startoftext|>a<|endoftext|>b", "日本語", "a" * 1000, "ab" * 700 + " x", "<|x|> <| endoftext|>", "\x00\x01\x85 a", "'S 'T x's'd 'LL", LONG]
 
 
-def test_bpe_matches_the_library():
-    rnd = random.Random(2)
-    texts = TRICKY + ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(160, 0x250), rnd.randrange(9, 14)])) for _ in range(rnd.randrange(1, 60))) for _ in range(500)]
+def differ(texts):
     own, theirs = bpe.load(queries.WORD_BPE), library()
-    for text, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True):
-        ids = own.encode(text)
-        assert ids == e.ids and own.decode(ids) == theirs.decode(e.ids, skip_special_tokens=False)
+    return [t for t, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True) if own.encode(t) != e.ids or own.decode(e.ids) != theirs.decode(e.ids, skip_special_tokens=False)]
+
+
+def test_bpe_matches_the_library():
+    rnd = random.Random(11)
+    latin = ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(160, 0x250), rnd.randrange(9, 14)])) for _ in range(rnd.randrange(1, 60))) for _ in range(2000)]
+    mixed = ["".join(chr(rnd.choice([rnd.randrange(32, 127), rnd.randrange(0xA0, 0xD800), rnd.randrange(0xE000, 0x20000), 10])) for _ in range(rnd.randrange(1, 60))) for _ in range(10_000)]
+    assert differ(TRICKY + latin + mixed) == []
+
+
+@pytest.mark.parametrize("form", ["%s", "a%sb", "e%sś"])
+def test_bpe_matches_the_library_for_each_character(form):
+    assert differ([form % chr(c) for c in [*range(0xD800), *range(0xE000, 0x20000)]]) == []
 
 
 def test_bpe_long_words_agree(monkeypatch):
     own, rnd = bpe.load(queries.WORD_BPE), random.Random(3)
-    for _ in range(50):
-        parts = [own.symbols[b] for b in "".join(rnd.choice("theandin") for _ in range(rnd.randrange(2, 300))).encode()]
-        assert bpe._merge_long(list(parts), own.ranks) == bpe.merge(list(parts)[:256], own.ranks) if len(parts) <= 256 else True
-        short = parts[:200]
-        assert bpe._merge_long(list(short), own.ranks) == bpe.merge(list(short), own.ranks)
-    own.words.clear()
-    monkeypatch.setattr(bpe, "CACHE", 3)
-    assert own.encode("one two three four five six one") == library().encode("one two three four five six one", add_special_tokens=False).ids
+    for _ in range(80):
+        symbols = [own.symbols[b] for b in "".join(rnd.choice("theandin") for _ in range(rnd.randrange(1, 250))).encode()]
+        short = bpe.merge(symbols, own.ranks)
+        with monkeypatch.context() as m:
+            m.setattr(bpe, "LONG", 0)
+            assert bpe.merge(symbols, own.ranks) == short and "".join(short) == "".join(symbols)
+    for kept in own.known:
+        kept.clear()
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 900)
+    monkeypatch.setattr(bpe, "CACHED", 4)
+    assert differ(["one two three four five six one", "one αβ six αβγδε", "one"]) == [] and own.held <= 900 + 4 * 400 and all(len(w) <= 4 for kept in own.known for w in kept)
 
 
 def test_bpe_columns(spark):
@@ -141,6 +152,8 @@ def test_bpe_columns(spark):
         e = theirs.encode(r.text or "", add_special_tokens=False)
         assert r.ids == e.ids and r.decoded == theirs.decode(e.ids, skip_special_tokens=False)
     assert bpe.encode_documents(clashing(spark), queries.WORD_BPE).columns[-2:] == ["ids", "decoded"]
+    empty = docs_of(spark).limit(0)
+    assert bpe.encode_documents(empty, queries.WORD_BPE).collect() == [] and bpe.digest_documents(empty, queries.WORD_BPE).collect() == []
     digests = {(r.doc_id, r.n_tokens): r for r in bpe.digest_documents(docs_of(spark), queries.WORD_BPE).collect()}
     e = theirs.encode("x", add_special_tokens=False)
     assert digests[7, 1].ids_sha256 == hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest()
@@ -149,26 +162,46 @@ def test_bpe_columns(spark):
 # token counts
 
 
-def brute_tokens(word, pieces, unknown):
-    marked = token_counts.MARK + word
+def brute_tokens(text, pieces, byte):
+    marked = token_counts.MARK + text.replace(" ", token_counts.MARK) if text else ""
     best = [(0.0, 0)]
     for end in range(1, len(marked) + 1):
         width = len(marked[end - 1].encode())
-        options = [(best[end - 1][0] + unknown * width, best[end - 1][1] + width)] + [(best[s][0] + pieces[marked[s:end]], best[s][1] + 1) for s in range(end) if marked[s:end] in pieces]
-        best.append(min(options, key=lambda o: (-o[0], o[1])))
+        options = [(best[end - 1][0] + byte * width, best[end - 1][1] + width)] + [(best[s][0] + pieces[marked[s:end]], best[s][1] + 1) for s in range(max(0, end - 20), end) if marked[s:end] in pieces]
+        best.append(min(options, key=lambda o: (-round(o[0], 6), o[1])))
     return best[-1][1]
 
 
-def test_token_counts(spark):
-    pieces = {"▁": -3.0, "▁a": -1.0, "a": -2.0, "ab": -1.5, "b": -2.0, "abab": -3.0, "▁ab": -2.0}
-    counter, rnd = token_counts.UnigramCounter(pieces), random.Random(4)
-    words = sorted({"".join(rnd.choice("abcé") for _ in range(rnd.randrange(1, 9))) for _ in range(300)})
-    assert counter.count_all(words) == {w: brute_tokens(w, pieces, counter.unknown) for w in words}
-    real = token_counts.load(queries.PIECES)
-    for r in token_counts.count_tokens(docs_of(spark), queries.PIECES).collect():
-        text = next(t for i, t in CASES if i == r.doc_id) if r.doc_id is not None else None
-        if r.doc_id is not None and text != LONG:
-            assert (r.n_words, r.n_tokens) == (len((text or "").split()), sum(brute_tokens(w, real.pieces, real.unknown) for w in (text or "").split()))
+def test_token_counts():
+    pieces = {"▁": -3.0, "▁a": -1.0, "a": -2.0, "ab": -1.5, "b": -2.0, "abab": -3.0, "▁ab": -2.0, "▁▁": -3.5}
+    rnd = random.Random(4)
+    rows = ["".join(rnd.choice("abcé \n\t") for _ in range(rnd.randrange(40))) for _ in range(300)]
+    found = list(token_counts.UnigramCounter(pieces, -12.0).documents(rows))
+    assert found == [(len(t.split()), n := brute_tokens(t, pieces, -12.0), n) for t in rows]
+    with pytest.raises(ValueError, match="join"):
+        token_counts.UnigramCounter({"a▁b": -1.0}, -9.0)
+
+
+def test_token_counts_of_the_file(spark, monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+
+    model, real, rnd = SentencePieceProcessor(model_file=queries.PIECES), token_counts.load(queries.PIECES), random.Random(5)
+    odd = ["a\nb  c\t\td ", "  x y ", "▁a▁▁b", "\n\n a", "   ", "日本 Ⅳ\x00x", "<s> a</s><0x0A>", "\ra\r\nb"] + ["".join(rnd.choice("ab \n\té日\x85　") for _ in range(rnd.randrange(30))) for _ in range(500)]
+    rows = CASES + [(100 + i, t) for i, t in enumerate(odd)]
+    want = Counter((i, len((t or "").split()), brute_tokens(t or "", real.pieces, real.byte), len(model.encode(t or ""))) for i, t in rows)
+    assert Counter(map(tuple, token_counts.count_tokens(docs_of(spark, rows), queries.PIECES).collect())) == want
+    assert token_counts.count_tokens(docs_of(spark).limit(0), queries.PIECES).collect() == []
+    assert token_counts.count_tokens(clashing(spark).selectExpr("*", "1 AS n_tokens", "2 AS n_words"), queries.PIECES).columns == ["doc_id", "n_words", "n_tokens", "n_pieces"]
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 0)
+    monkeypatch.setattr(token_counts, "CACHED", 2)
+    small = token_counts.UnigramCounter(real.pieces, real.byte, real.library)
+    assert [n for _, _, n in small.documents(odd)] == [len(model.encode(t)) for t in odd] and all(len(w) <= 2 for w in small.known)
+
+
+@HERE
+def test_token_counts_against_the_library(spark):
+    found = token_counts.count_tokens(spark.read.parquet(f"{SF}/documents.parquet"), queries.PIECES).agg(F.sum("n_tokens"), F.sum("n_pieces")).first()
+    assert abs(found[0] / found[1] - 1) < 0.03
 
 
 # SimHash
