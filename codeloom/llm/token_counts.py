@@ -1,50 +1,67 @@
 """Token counts under a unigram vocabulary, by dynamic programming shared along a trie.
 
-The distinct pre-tokens of an Arrow batch go into a trie, walked in sorted order: the walk keeps one column of forward scores for each character of the current
+The distinct pre-tokens of a batch go into a trie, walked in sorted order: the walk keeps one column of forward scores for each character of the current
 path, so a prefix that several pre-tokens share is scored once, and each terminal stores the number of tokens on its best path. A document's count
-is the sum over its pre-tokens. Counts of finished pre-tokens stay in a bounded dictionary of the worker. No shuffle.
+is the sum over its pre-tokens. Counts of finished pre-tokens stay in a dictionary of the worker of at most CACHE_BYTES; those beyond CACHED characters aren't kept. No shuffle.
 
-A pre-token is a run without white space with the word mark U+2581 before it. The best path has the greatest sum of the vocabulary's scores, and
-among equal sums the fewest tokens. A character no piece covers costs UNKNOWN below the lowest score for each of its UTF-8 bytes and counts as so many tokens.
-Defined results: null and empty texts have 0 tokens and words; repeated rows give repeated results.
+The text is normalised as the file says: no change of characters, a space before a text that isn't empty, spaces written as U+2581. A pre-token is a run of spaces with the run of other characters behind it, or a
+single character of GAPS. No piece holds a space behind another character, or one of GAPS, which is checked; so the best path of a text is that of its pre-tokens. Pieces of a unigram file have the file's
+scores. The files at hand are BPE models, whose scores are merge ranks and no probabilities; there a piece's score is its log probability by Zipf's law over the order of the vocabulary,
+-log(rank * H) with H the sum of 1 / rank. The best path has the greatest sum, and
+among equal sums the fewest tokens. A character that no piece covers is its UTF-8 bytes, each a token with the score of the last rank.
+Beside it, n_pieces is what the sentencepiece library counts for the whole text with the same file, asked once for each distinct pre-token.
+
+Defined results: null and empty texts have 0 words, tokens and pieces, texts of white space only have no words but tokens; very long texts and words are counted whole, in memory that grows with the longest text; repeated rows give repeated results; null ids
+stay null; columns but the id and the text are left out, so their names don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections import ChainMap
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import takewhile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from sentencepiece import SentencePieceProcessor
+
+from codeloom.llm._common import parts, texts
 
-from codeloom.llm._common import texts
+MARK, GAPS, CACHED, CACHE_BYTES = "▁", "\t\n", 64, 96 << 20
+_PRE_TOKENS = re.compile(f"{MARK}*[^{MARK}{GAPS}]+|{MARK}+|[{GAPS}]").findall
 
-MARK, UNKNOWN, CACHE = "▁", 10.0, 1_000_000
+
+def pre_tokens(text: str) -> list[str]:
+    """The pre-tokens of a whole text, in order."""
+    return _PRE_TOKENS(MARK + text.replace(" ", MARK)) if text else []
 
 
 class UnigramCounter:
     """Counts tokens of pre-tokens for pieces with additive scores."""
 
-    def __init__(self, pieces: dict[str, float]) -> None:
-        self.pieces = pieces
+    def __init__(self, pieces: dict[str, float], byte: float, library: Callable[[str], int] | None = None) -> None:
+        if odd := [p for p in pieces if MARK in p.lstrip(MARK) or any(c in p for c in GAPS)]:
+            raise ValueError(f"pieces that join pre-tokens aren't supported: {odd[:3]}")
+        self.pieces, self.byte, self.library = pieces, byte, library
         self.tails = {p[i:] for p in pieces for i in range(len(p))}
-        self.unknown = min(pieces.values(), default=0.0) - UNKNOWN
-        self.counts: dict[str, int] = {}
+        self.known: dict[str, tuple[int, int]] = {}
+        self.held = 0
 
     def count_all(self, words: list[str]) -> dict[str, int]:
-        """Tokens of each of the sorted distinct words."""
-        pieces, tails, unknown = self.pieces, self.tails, self.unknown
+        """Tokens of each of the sorted distinct pre-tokens."""
+        pieces, tails, byte = self.pieces, self.tails, self.byte
         out, path, score, tokens = {}, "", [0.0], [0]
         for word in words:
-            marked = MARK + word
-            shared = sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(path, marked, strict=False)))
+            shared = sum(1 for _ in takewhile(lambda x: x[0] == x[1], zip(path, word, strict=False)))
             del score[shared + 1 :], tokens[shared + 1 :]
-            for end in range(shared + 1, len(marked) + 1):
-                width = len(marked[end - 1].encode())
-                best, least = score[end - 1] + unknown * width, tokens[end - 1] + width
+            for end in range(shared + 1, len(word) + 1):
+                width = len(word[end - 1].encode())
+                best, least = score[end - 1] + byte * width, tokens[end - 1] + width
                 start = end - 1
-                while start >= 0 and (tail := marked[start:end]) in tails:
+                while start >= 0 and (tail := word[start:end]) in tails:
                     if (piece := pieces.get(tail)) is not None:
                         s, n = score[start] + piece, tokens[start] + 1
                         if s > best or s == best and n < least:
@@ -52,42 +69,64 @@ class UnigramCounter:
                     start -= 1
                 score.append(best)
                 tokens.append(least)
-            path = marked
+            path = word
             out[word] = tokens[-1]
         return out
 
-    def documents(self, rows: list[str]) -> tuple[list[int], list[int]]:
-        """Words and tokens of each text."""
-        split = [x.split() for x in rows]
-        new = set().union(*split).difference(self.counts) if split else set()
-        if len(self.counts) + len(new) > CACHE:
-            self.counts.clear()
-            new = set().union(*split)
-        self.counts |= self.count_all(sorted(new))
-        return [len(x) for x in split], [sum(map(self.counts.__getitem__, x)) for x in split]
+    def documents(self, rows: list[str]) -> Iterator[tuple[int, int, int]]:
+        """Words, tokens and the library's pieces of each text."""
+        if self.held > CACHE_BYTES:
+            self.known.clear()
+            self.held = 0
+        split = [pre_tokens(x) for x in rows]
+        new = set().union(*split).difference(self.known)
+        counts = self.count_all(sorted(new))
+        found = {w: (n, self.library(w) if self.library else n) for w, n in counts.items()}
+        short = {w: n for w, n in found.items() if len(w) <= CACHED}
+        self.known |= short
+        self.held += sum(250 + 4 * len(w) for w in short)
+        known = ChainMap(found, self.known) if len(short) < len(found) else self.known
+        for text, words in zip(rows, split, strict=True):
+            both = [known[w] for w in words]
+            yield len(text.split()), sum(n for n, _ in both), sum(m for _, m in both)
+
+
+def zipf(ranks: int) -> np.ndarray:
+    """Log probabilities of as many ranks by Zipf's law."""
+    each = 1 / np.arange(1, ranks + 1)
+    return np.log(each / each.sum())
 
 
 @lru_cache(maxsize=2)
 def load(path: str) -> UnigramCounter:
-    """The normal pieces of a sentencepiece file with their scores."""
-    from sentencepiece import SentencePieceProcessor
-
+    """The normal pieces of a sentencepiece file with unigram scores."""
     model = SentencePieceProcessor(model_file=path)
     ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    return UnigramCounter({model.id_to_piece(i): model.get_score(i) for i in ids})
+    pieces = [model.id_to_piece(i) for i in ids]
+    given = np.array([model.get_score(i) for i in ids])
+    if (given == np.round(given)).all():  # merge ranks; those of pieces for runs of spaces are outside of the order and stand first
+        scores = zipf(len(ids) + 1)
+        byte = float(scores[-1])
+    else:
+        scores, byte = given, float(given.min())
+    start = len(model.encode("\n"))  # what the library counts for the space before a text and a character of GAPS
+
+    def library(word: str) -> int:
+        if word[0] == MARK:
+            return len(model.encode(word[1:].replace(MARK, " "))) if len(word) > 1 else 1
+        return 1 if word in GAPS else len(model.encode("\n" + word)) - start
+
+    return UnigramCounter(dict(zip(pieces, scores.tolist(), strict=False)), byte, library)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words and n_tokens of every row."""
+    """doc_id, n_words, n_tokens and n_pieces of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(vocabulary)
-        for batch in batches:
-            rows, words, tokens = texts(batch, text), [], []
-            for first in range(0, len(rows), 500):
-                w, t = counter.documents(rows[first : first + 500])
-                words += w
-                tokens += t
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
-
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id bigint, n_words bigint, n_tokens bigint")
+        for batch in parts(batches, 500):
+            counts = list(counter.documents(texts(batch, text)))
+            columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], ["doc_id", "n_words", "n_tokens", "n_pieces"])
+
+    return docs.select(doc_id, text).mapInArrow(run, "doc_id bigint, n_words bigint, n_tokens bigint, n_pieces bigint")
