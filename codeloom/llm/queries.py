@@ -22,8 +22,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = F.sha2(exact_dedup.normalized(F.col("text")), 256).alias("text_sha256")
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry=[digest])
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest="text_sha256")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,29 @@ def test_exact_dedup(spark, prefix):
     assert all(r.doc_id == max((i for i, t in rows if lowered(t) == lowered(r.text) and i is not None), default=None) for r in kept)
 
 
+def test_exact_dedup_with_a_full_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "WORDS", 1)
+    rnd = random.Random(2)
+    rows = CASES + [(100 + i % 150, f"{'xX'[i % 2]} {rnd.randrange(90)}") for i in range(200)]
+    assert total(exact_dedup.exact_dedup(docs_of(spark, rows)).collect()) == total(brute_exact(rows))
+    kept = exact_dedup.drop_exact_copies(docs_of(spark, rows)).collect()
+    assert Counter(lowered(r.text) for r in kept) == Counter({lowered(t): 1 for _, t in rows})
+
+
+def exchanged(df):
+    """The columns that go through each exchange of a plan."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return re.findall(r"\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+
+
+@HERE
+def test_exact_dedup_shuffles_no_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for df, most in ((exact_dedup.exact_dedup(docs, digest="text_sha256"), 0), (exact_dedup.drop_exact_copies(docs), 2)):
+        found = exchanged(df)
+        assert found and sum("text" in x for x in found) <= most  # the second: only rows that the bitmap names as dropped
+
+
 def test_exact_dedup_shapes(spark):
     df = clashing(spark)
     assert exact_dedup.drop_exact_copies(df).columns == df.columns
