@@ -4,8 +4,10 @@ A fingerprint bit is set if it is set in over half the XXH64 hashes of the text'
 64 bits are cut into two segments, so one of them differs by one bit at most; each segment is indexed under its 32 one-wildcard variants, and
 fingerprints that share a variant are joined and verified on all 64 bits.
 
-Copies cost nothing: equal fingerprints are grouped first, and only distinct ones are indexed. Signature buckets of more than ``HOT`` fingerprints aren't joined pairwise: their
-fingerprints are indexed under all 2016 two-wildcard variants of the whole fingerprint, where each bucket is by definition a set of linked fingerprints (four at most) and
+Copies cost nothing: equal fingerprints are grouped first, and only distinct ones are indexed. Buckets of more than ``HOT`` fingerprints aren't joined pairwise but refined: members of a bucket agree in 31 bits of
+one segment and differ in two bits of the other at most, so if that is cut into three parts, one part is equal. Sub-buckets by bucket and part agree in 41 bits and more. So a fingerprint has 64 signatures, and 256 if all
+its buckets are crowded, which by chance they are from some 10^11 fingerprints on. The fingerprints of a sub-bucket that still has more than HOT are near each other by nature; they
+are indexed under all 2016 two-wildcard variants of the whole fingerprint, where each bucket is by definition a set of linked fingerprints (four at most) and
 links to its smallest member suffice. So every link is found, and the work is linear in the number of fingerprints. Components come from repeated label
 contraction over the links, with a checkpoint in each round.
 
@@ -71,22 +73,45 @@ def _two_wildcards() -> str:
     return "flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> struct(i * 64 + j AS w, fp & ~(shiftleft(1L, i) | shiftleft(1L, j)) AS m))))"
 
 
-def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
-    """Links (a, b), a < b, between the distinct fingerprints of column fp, enough to connect all within BITS bits."""
+def indexed(distinct: DataFrame) -> DataFrame:
+    """fp and key, 64 rows for each fingerprint, dealt by the key."""
     n = distinct.count()
-    spread = distinct.repartition(max(1, n // 20_000), "fp").select("fp", F.explode(F.expr(_one_wildcard())).alias("key"))  # 64 signatures each: a few bytes that become many
-    indexed = spread.repartition(max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * 64 // 1_000_000), "key")
+    spread = distinct.repartition(max(1, n // 20_000), "fp").select("fp", F.explode(F.expr(_one_wildcard())).alias("key"))  # a few bytes that become many
+    return spread.repartition(max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * 64 // 1_000_000), "key")
+
+
+def refined(crowded: DataFrame) -> DataFrame:
+    """fp, key and part, three rows for each row: parts of 11, 11 and 10 bits of the segment that the key isn't about."""
+    other = "CASE WHEN shiftrightunsigned(key, 32) < 32 THEN shiftrightunsigned(fp, 32) ELSE fp & 4294967295 END"
+    parts_of = f"transform(sequence(0, 2), p -> p * 2048 + (shiftrightunsigned({other}, 11 * p) & 2047))"
+    return crowded.select("fp", "key", F.explode(F.expr(parts_of)).alias("part"))
+
+
+def buckets(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` whose key several fingerprints have, with n, how many; checkpointed."""
     several = F.min("fp") < F.max("fp")  # says the same as n > 1, and reads the columns that let both sides share a shuffle
-    sizes = indexed.groupBy("key").agg(F.count("*").alias("n"), several.alias("several")).where("several").select("key", "n")
-    shared = checkpointed(indexed.join(sizes, "key"))  # one shuffle serves both sides; what is left are signatures with several fingerprints
-    left = shared.where(F.col("n") <= hot).select("key", F.col("fp").alias("a"))
-    right = shared.where(F.col("n") <= hot).select("key", F.col("fp").alias("b"))
-    cold = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b")
-    crowded = shared.where(F.col("n") > hot).select("fp").distinct()
-    whole = crowded.select("fp", F.explode(F.expr(_two_wildcards())).alias("v")).select("fp", "v.w", "v.m")
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"), several.alias("several")).where("several").select(*key, "n")
+    return checkpointed(rows.join(sizes, key))
+
+
+def linked(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The pairs (a, b), a < b, of rows with one key that differ in BITS bits at most."""
+    pairs = rows.select(*key, F.col("fp").alias("a")).join(rows.select(*key, F.col("fp").alias("b")), key)
+    return pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b")
+
+
+def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
+    """Links (a, b), a < b, between the distinct fingerprints of column fp, enough to connect all within BITS bits."""
+    by_key = buckets(indexed(distinct), ["key"])
+    found = linked(by_key.where(F.col("n") <= hot), ["key"])
+    crowded = by_key.where(F.col("n") > hot).select("fp", "key")
+    if crowded.isEmpty():
+        return found.distinct()
+    by_part = buckets(refined(crowded), ["key", "part"])
+    found = found.unionByName(linked(by_part.where(F.col("n") <= hot), ["key", "part"]))
+    whole = by_part.where(F.col("n") > hot).select("fp").distinct().select("fp", F.explode(F.expr(_two_wildcards())).alias("v")).select("fp", "v.w", "v.m")
     near = whole.groupBy("w", "m").agg(F.sort_array(F.collect_list("fp")).alias("f")).where(F.size("f") > 1)
-    warm = near.select(F.col("f")[0].alias("a"), F.explode(F.slice("f", 2, 4)).alias("b"))
-    return cold.unionByName(warm).distinct()
+    return found.unionByName(near.select(F.col("f")[0].alias("a"), F.explode(F.slice("f", 2, 4)).alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -271,7 +271,7 @@ def test_fingerprints_and_groups(spark):
     assert sorted({r.doc_id for r in kept}) == sorted(set(least.values()))
 
 
-@pytest.mark.parametrize("hot", [0, 3, 100])
+@pytest.mark.parametrize("hot", [0, 1, 3, 100])
 def test_links_lose_nothing(spark, hot):
     rnd = random.Random(6)
     prints = {rnd.getrandbits(64) for _ in range(40)}
@@ -284,6 +284,21 @@ def test_links_lose_nothing(spark, hot):
     assert own == roots(prints, lambda a, b: ((a ^ b) % (1 << 64)).bit_count() <= 2)
 
 
+def test_crowded_buckets_stay_cheap(spark):
+    rnd = random.Random(8)
+    low, high = [rnd.sample(range(1 << 32), 40) for _ in range(2)]
+    prints = [h << 32 | a for h in high for a in low]
+    prints += [prints[0] ^ 5, prints[7] ^ 1 << 40 ^ 1, prints[9] ^ 3 << 50]
+    distinct = spark.createDataFrame([(x,) for x in np.array(prints, np.uint64).view(np.int64).tolist()], "fp long")
+    by_key = simhash.buckets(simhash.indexed(distinct), ["key"])
+    assert by_key.count() >= 64 * 1600 and by_key.where(F.col("n") <= simhash.HOT).count() < 200  # all buckets are crowded
+    by_part = simhash.buckets(simhash.refined(by_key), ["key", "part"])
+    assert 64 + 192 < 300 and by_part.count() <= 192 * len(prints) and by_part.where(F.col("n") > simhash.HOT).isEmpty()
+    found = simhash.links(distinct).collect()
+    near = {(a, b) for i, a in enumerate(prints) for b in prints[:i] + prints[i + 1 :] if (a ^ b).bit_count() <= 2}
+    assert {(r.a % (1 << 64), r.b % (1 << 64)) for r in found} | {(r.b % (1 << 64), r.a % (1 << 64)) for r in found} == near and near
+
+
 def test_simhash_shapes(spark):
     assert simhash.near_groups(docs_of(spark).limit(0)).collect() == [] and simhash.drop_near_copies(clashing(spark)).columns == clashing(spark).columns
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
