@@ -26,6 +26,30 @@ def total_bytes(df: DataFrame, text: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(text)).cast("bigint"))).first()[0] or 0)
 
 
+#: Of the bitmaps that are broadcast: 64-bit words at most (16 MB), and bits for each key as long as these are enough.
+WORDS, BITS_A_KEY = 1 << 20, 16
+
+
+def named_by(rows: DataFrame, found: DataFrame, key: list[str], name: str) -> DataFrame:
+    """``rows`` with a boolean: true for every row whose key ``found`` has, and by chance for some others. Joins a bitmap of at most WORDS rows, without a shuffle of ``rows``."""
+    words = 1
+    while words < min(WORDS, found.count() * BITS_A_KEY // 64):
+        words *= 2
+    place, bit = f"shiftrightunsigned(xxhash64({', '.join(key)}), 6) & {words - 1}L", f"shiftleft(1L, cast(xxhash64({', '.join(key)}) & 63 AS int))"
+    bits = found.select(F.expr(place).alias("__nb_word"), F.expr(bit).alias("__nb_bit")).groupBy("__nb_word").agg(F.bit_or("__nb_bit").alias("__nb_bits"))
+    hit = F.coalesce(F.col("__nb_bits").bitwiseAND(F.expr(bit)) != 0, F.lit(False))
+    return rows.withColumn("__nb_word", F.expr(place)).join(F.broadcast(bits), "__nb_word", "left").withColumn(name, hit).drop("__nb_word", "__nb_bits")
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id ``dropped`` (column __nb_id, distinct) has. Only rows that a bitmap of these ids names are shuffled, for the exact anti-join."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    dropped = checkpointed(dropped.select("__nb_id"))
+    marked = named_by(docs.select(*own, F.col(f"`{doc_id}`").cast("bigint").alias("__nb_own")), dropped.withColumnRenamed("__nb_id", "__nb_own"), ["__nb_own"], "__nb_named")
+    doubtful = marked.where("__nb_named").join(dropped, F.col("__nb_own").eqNullSafe(F.col("__nb_id")), "left_anti")
+    return marked.where("NOT __nb_named").select(*own).unionByName(doubtful.select(*own))
+
+
 def with_fields(schema: T.StructType, added: str, drop: int = 0) -> T.StructType:
     """A schema with fields at its end, given as in SQL, without its last ``drop`` fields."""
     kinds = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "array<int>": T.ArrayType(T.IntegerType())}

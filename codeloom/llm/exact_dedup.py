@@ -20,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._common import checkpointed
+from codeloom.llm._common import checkpointed, named_by
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PREFIX_CHARS, WORDS, BITS_A_KEY = 64, 1 << 20, 16
+PREFIX_CHARS = 64
 _ID, _TEXT, _N, _P, _H, _X, _KEEP, _SIZE, _ROWS = ("__xd_id", "__xd_text", "__xd_len", "__xd_prefix", "__xd_hash", "__xd_as_is", "__xd_keep", "__xd_size", "__xd_rows")
 
 
@@ -40,17 +40,6 @@ def _keys(text: str, prefix_chars: int) -> list[Column]:
     return [F.octet_length(_body(text)).alias(_N), F.xxhash64(normalized(F.substring(_body(text), 1, prefix_chars))).alias(_P)]
 
 
-def named_by(rows: DataFrame, found: DataFrame, key: list[str], name: str) -> DataFrame:
-    """``rows`` with a boolean: true for every row whose key ``found`` has, and by chance for some others. Joins a bitmap of at most WORDS rows, without a shuffle of ``rows``."""
-    words = 1
-    while words < min(WORDS, found.count() * BITS_A_KEY // 64):
-        words *= 2
-    place, bit = f"shiftrightunsigned(xxhash64({', '.join(key)}), 6) & {words - 1}L", f"shiftleft(1L, cast(xxhash64({', '.join(key)}) & 63 AS int))"
-    bits = found.select(F.expr(place).alias("__xd_word"), F.expr(bit).alias("__xd_bit")).groupBy("__xd_word").agg(F.bit_or("__xd_bit").alias("__xd_bits"))
-    hit = F.coalesce(F.col("__xd_bits").bitwiseAND(F.expr(bit)) != 0, F.lit(False))
-    return rows.withColumn("__xd_word", F.expr(place)).join(F.broadcast(bits), "__xd_word", "left").withColumn(name, hit).drop("__xd_word", "__xd_bits")
-
-
 def shared_prefixes(docs: DataFrame, text: str, prefix_chars: int) -> DataFrame:
     """The (length, prefix hash) keys that more than one row has, checkpointed: steps one and two."""
     lengths = checkpointed(docs.groupBy(F.octet_length(_body(text)).alias(_N)).count().where("count > 1").select(_N))

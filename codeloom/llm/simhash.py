@@ -6,7 +6,7 @@ fingerprints that share a variant are joined and verified on all 64 bits.
 
 Copies cost nothing: equal fingerprints are grouped first, and only distinct ones are indexed. Buckets of more than ``HOT`` fingerprints aren't joined pairwise but refined: members of a bucket agree in 31 bits of
 one segment and differ in two bits of the other at most, so if that is cut into three parts, one part is equal. Sub-buckets by bucket and part agree in 41 bits and more. So a fingerprint has 64 signatures, and 256 if all
-its buckets are crowded, which by chance they are from some 10^11 fingerprints on. The fingerprints of a sub-bucket that still has more than HOT are near each other by nature; they
+its buckets are crowded, which by chance they are from some 7 * 10^10 fingerprints on. The fingerprints of a sub-bucket that still has more than HOT are near each other by nature; they
 are indexed under all 2016 two-wildcard variants of the whole fingerprint, where each bucket is by definition a set of linked fingerprints (four at most) and
 links to its smallest member suffice. So every link is found, and the work is linear in the number of fingerprints. Components come from repeated label
 contraction over the links, with a checkpoint in each round.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._common import checkpointed, parts, texts
+from codeloom.llm._common import checkpointed, parts, texts, without_ids
 
 SHINGLE, SEED, BITS, HOT, ROUNDS = 3, 42, 2, 32, 60
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -87,10 +87,10 @@ def refined(crowded: DataFrame) -> DataFrame:
     return crowded.select("fp", "key", F.explode(F.expr(parts_of)).alias("part"))
 
 
-def buckets(rows: DataFrame, key: list[str]) -> DataFrame:
-    """``rows`` whose key several fingerprints have, with n, how many; checkpointed."""
-    several = F.min("fp") < F.max("fp")  # says the same as n > 1, and reads the columns that let both sides share a shuffle
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"), several.alias("several")).where("several").select(*key, "n")
+def buckets(rows: DataFrame, key: list[str], value: str = "fp") -> DataFrame:
+    """``rows`` whose key several values have, with n, how many; checkpointed."""
+    several = F.min(value) < F.max(value)  # says the same as n > 1, and reads the columns that let both sides share a shuffle
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n"), several.alias("several"), F.min(value).alias("low"), F.max(value).alias("high")).where("several").drop("several")
     return checkpointed(rows.join(sizes, key))
 
 
@@ -144,11 +144,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     rows = checkpointed(fingerprints(docs, doc_id, text))
     distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp")))
-    classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(smallest, "root").select(F.col("fp").alias("own"), "component_id")
-    return rows.join(named, rows.fp == named.own, "left").select("doc_id", "fp", "component_id")
+    return with_components(rows, distinct, components(links(distinct.select("fp"))), "fp")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -157,9 +153,20 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of ``docs`` for one row of each component: the row with its smallest id, once."""
-    groups = near_groups(docs, doc_id, text)
-    lone = F.col("component_id").eqNullSafe(F.col("doc_id"))
-    kept = groups.where(lone).select(F.col("doc_id").alias("__nd_id")).distinct()
-    rows = docs.join(kept, F.col(f"`{doc_id}`").eqNullSafe(F.col("__nd_id")), "left_semi")
-    return rows
+    """The columns of ``docs`` without the rows whose id isn't the smallest of a component."""
+    return without_ids(docs, not_least(near_groups(docs, doc_id, text)), doc_id)
+
+
+def not_least(groups: DataFrame) -> DataFrame:
+    """The ids (column __nb_id) that aren't the smallest of a component in any of their rows."""
+    least = F.max(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    return groups.groupBy(F.col("doc_id").alias("__nb_id")).agg(least.alias("least")).where("NOT least").select("__nb_id")
+
+
+def with_components(rows: DataFrame, distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``rows`` with component_id: the least id (column least of ``distinct``) of all whose keys have one root; a key without a root stands alone."""
+    rooted = roots.withColumnRenamed("node", "__cc_node")
+    classes = distinct.join(rooted, F.col(key) == F.col("__cc_node"), "left").select(key, "least", F.coalesce("root", key).alias("root"))
+    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = classes.join(smallest, "root").select(F.col(key).alias("own"), "component_id")
+    return rows.join(named, rows[key] == named.own, "left").drop("own")

@@ -15,7 +15,7 @@ import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, exact_dedup, html_extract, langid, media, packing, queries, sharding, simhash, suffix_dedup, token_counts
+from codeloom.llm import _common, bpe, exact_dedup, html_extract, langid, media, near_copies, packing, queries, sharding, simhash, suffix_dedup, token_counts
 
 SF = "/root/testdata/sf0.001"
 HERE = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -63,7 +63,7 @@ def test_exact_dedup(spark, prefix):
 
 
 def test_exact_dedup_with_a_full_bitmap(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "WORDS", 1)
+    monkeypatch.setattr(_common, "WORDS", 1)
     rnd = random.Random(2)
     rows = CASES + [(100 + i % 150, f"{'xX'[i % 2]} {rnd.randrange(90)}") for i in range(200)]
     assert total(exact_dedup.exact_dedup(docs_of(spark, rows)).collect()) == total(brute_exact(rows))
@@ -305,6 +305,38 @@ def test_simhash_shapes(spark):
     assert {r.root for r in simhash.components(chain).collect()} == {0}
 
 
+# near copies
+
+
+def brute_bits(text, n):
+    words = {w: xxhash.xxh64_intdigest(w, 42) for w in re.findall(r"[^\x20\x09-\x0D]+", lowered(text))}
+    wide = [b"".join(int(near_copies._mixed(np.uint64((h + k * 0x9E3779B97F4A7C15) % (1 << 64)))).to_bytes(8, "little") for k in range(1, -(-n // 64) + 1)) for h in words.values()]
+    return [2 * sum(x[i // 8] >> 7 - i % 8 & 1 for x in wide) > len(wide) for i in range(n)]
+
+
+def test_wide_fingerprints():
+    for text in ["", None, "a", "A a b", "one two three four Five É", " ".join(f"w{i}" for i in range(9000))]:
+        with np.errstate(over="ignore"):
+            assert near_copies.bits(text, 100).tolist() == brute_bits(text, 100)
+    assert near_copies.shape(0) == near_copies.shape(1 << 20) == (21, 12) and near_copies.shape(10**11)[0] == 38
+
+
+@pytest.mark.parametrize("hot", [2, 32])
+def test_near_copies(spark, hot, monkeypatch):
+    monkeypatch.setattr(near_copies.proposed, "__defaults__", (hot,))
+    rnd = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    base = [[rnd.choice(vocabulary) for _ in range(150)] for _ in range(12)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(None, base[3][0] + " " + " ".join(base[3])), (40, None), (41, ""), (42, " \t"), (43, "x"), (43, "x"), (44, "y")]
+    rows += [(100 + 20 * i + k, " ".join(rnd.choice(vocabulary) if rnd.random() < 0.03 else w for w in b)) for i, b in enumerate(base) for k in range(8)]
+    found = near_copies.near_groups(docs_of(spark, rows)).collect()
+    assert all(r.component_id == (r.doc_id - 100) // 20 for r in found if r.doc_id is not None and r.doc_id >= 100)
+    assert {r.doc_id: r.component_id for r in found if r.doc_id is None or r.doc_id < 100} == {i: i for i in range(12)} | {None: 3, 40: 40, 41: 40, 42: 40, 43: 43, 44: 44}
+    kept = near_copies.drop_near_copies(docs_of(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [*range(12), 40, 43, 43, 44]
+    assert near_copies.drop_near_copies(clashing(spark)).columns == clashing(spark).columns and near_copies.near_groups(docs_of(spark).limit(0)).collect() == []
+
+
 # suffix dedup
 
 

@@ -1,12 +1,14 @@
 """The pipeline's stages on planted cases."""
 
 import os
+import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codeloom.llm import near_copies
+from codeloom.llm import near_copies, simhash
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -57,19 +59,44 @@ def test_planted_near_copy_goes(spark, docs):
     assert not {900_002, 900_003} <= after
 
 
-def test_near_copies_are_those_of_brute_force(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    sets = {}
-    for r in df.collect():
-        found = near_copies.words(r.text)
-        sets.setdefault(tuple(found), (r.doc_id, {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))}))
-    items = sorted(sets.values(), key=lambda x: x[0])
-    pairs = {(a, b) for i, (a, x) in enumerate(items) for b, y in items[i + 1 :] if 0.8 * max(len(x), len(y)) <= min(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y)}
-    group = {r.doc_id: r.component_id for r in near_copies.near_groups(df).collect()}
-    root = {i: i for i, _ in items}
-    for a, b in sorted(pairs) * len(pairs):
-        root[a] = root[b] = min(root[a], root[b])
-    assert pairs and all(group[i] == group[root[i]] for i in root) and len({group[i] for i in root}) == len(set(root.values()))
+@pytest.fixture(scope="module")
+def texts_of_sets():
+    """The word sets of a larger table, each with its least id, and the pairs of them by similarity."""
+    rows = duckdb.sql("SELECT doc_id, coalesce(text, '') FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()
+    own = {}
+    for i, t in rows:
+        own.setdefault(frozenset(re.findall(r"[^\x20\x09-\x0D]+", t.translate(simhash._LOWER))), (i, t))
+    items = [(i, s, t) for s, (i, t) in own.items()]
+    return items, [(a, b, len(x & y) / max(1, len(x | y))) for k, (a, x, _) in enumerate(items) for b, y, _ in items[:k] if 0.6 * max(len(x), len(y)) <= min(len(x), len(y))]
+
+
+@pytest.fixture(scope="module")
+def groups(spark):
+    return {r.doc_id: r.component_id for r in near_copies.near_groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+
+
+def test_near_copies_against_brute_force(texts_of_sets, groups):
+    _, pairs = texts_of_sets
+    alike = [(a, b) for a, b, j in pairs if j >= 0.8]
+    assert len(alike) > 50 and sum(groups[a] == groups[b] for a, b in alike) >= 0.9 * len(alike)
+    graph = {i: i for i in groups}  # fingerprints estimate a similarity: what is linked has 0.7 at least
+
+    def root(i):
+        while graph[i] != i:
+            i = graph[i]
+        return i
+
+    for a, b, j in pairs:
+        if j >= 0.7:
+            graph[root(a)] = root(b)
+    merged = [(a, b) for a, b, _ in pairs if groups[a] == groups[b]]
+    assert merged and all(root(a) == root(b) for a, b in merged)
+
+
+def test_near_copies_by_shingles_are_caught(texts_of_sets, groups):
+    cut = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for i, _, t in texts_of_sets[0] if (w := re.findall(r"[^\x20\x09-\x0D]+", t.translate(simhash._LOWER)))]
+    pairs = [(a, b) for k, (a, x) in enumerate(cut) for b, y in cut[:k] if 0.8 * max(len(x), len(y)) <= min(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y)]
+    assert len(pairs) >= 10 and sum(groups[a] == groups[b] for a, b in pairs) >= 0.9 * len(pairs)
 
 
 def test_passages_go(spark, docs):
