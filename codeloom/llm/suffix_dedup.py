@@ -1,30 +1,34 @@
 """Removal of repeated passages with a multi-document suffix order, built column by column.
 
 Every byte covered by a ``SPAN``-byte string that also starts in a document with a smaller id is removed; strings are judged on the input. The suffix order of a collection is built
-as for an extended Burrows-Wheeler transform: in each round one more symbol of every string is inserted, from the ends backwards, and the transform and
-the array of common prefixes are rewritten in one sequential pass; arrays above ``MEMORY`` bytes are kept in external files. Suffixes that share ``SPAN`` bytes stand next to each other in it; the least id of
+as for an extended Burrows-Wheeler transform: in each round one more symbol of every string is inserted, from the ends backwards. A round reads the transform and the common prefixes in sequence, block by block, to find where the
+new suffixes go and what they share with their neighbours, and then writes the next generation of transform, common prefixes and start positions in sequence. These tapes lie in external files once they exceed ``MEMORY`` bytes; a worker
+holds a block of each, the strings and a few numbers for each string. Suffixes that share ``SPAN`` bytes stand next to each other at the end; the least id of
 such a group says where the string starts first.
 
+The files are in the folder that ``spark.checkpoint.dir`` names, which pyarrow opens; they live as long as their task's group, and a task that is made again makes its own. Where pyarrow can't open that store, the tapes stay in
+memory: a bucket's strings are bounded as below.
+
 Distribution. A document that repeats the whole text of an earlier one is removed whole and takes no further part. A window of SPAN bytes is dealt by the least hash of its 20-byte grams, so
-equal windows meet, and neighbouring windows with the same least hash travel as one string of 81 bytes at most, which bounds the rounds. Documents are dealt into blocks by a hash of the id; all that
+equal windows meet, and neighbouring windows with the same least hash travel as one string of 81 bytes at most, which bounds the rounds. Documents are dealt into blocks by a hash of id and text; all that
 concerns a block travels packed, in few rows.
  1. Each task sends every distinct hash once, with its text if that is the only one; hashes of one text only need no suffix order and go no further.
  2. Blocks of documents meet the shared hashes of their documents and send the strings of those alone, equal strings of a block once, with the block's least id; all
     other occurrences in the block are repeats already and pass as spans.
- 3. For each bucket of hashes the suffix order of its distinct strings is built (a hash with one distinct string has nothing to compare), and spans are returned to the blocks,
+ 3. For each bucket of hashes the suffix order of its distinct strings is built, and spans are returned to the blocks,
     which meet their texts again: these are shuffled once for both meetings.
 A hash in more than HOT different surroundings (a very common line between ever new ones; copies of the same surroundings count once for each task) would load one bucket: its windows travel singly, dealt
-by a hash of all SPAN bytes. The set of those hashes is bounded: the threshold is raised so that at most MAX_HOT can exist (8 MB), and it is broadcast.
+by a hash of all SPAN bytes. Such hashes are marked in a bitmap of CROWD_BITS bits (8 MB), which is broadcast; another hash with the same bit travels singly as well, everywhere, which changes no result.
 
 Defined results: null text is empty; texts shorter than SPAN bytes lose nothing; a null id is never compared, its text stays whole; rows with one id are one document for the comparison,
-each is cleaned by itself; an empty table gives no rows. In cleaned texts, characters that a cut splits are dropped.
+each is cleaned by itself; very long texts count whole; an empty table gives no rows. In cleaned texts, characters that a cut splits are dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
+import re
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
@@ -32,15 +36,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from codeloom.checkpoints import folder
 from codeloom.llm._common import checkpointed, release, slices, total_bytes, utf8_column, with_fields
 
-SPAN, GRAM, RUN, HOT, MAX_HOT = 50, 20, 32, 100_000, 1_000_000
-SLICE, BATCH, MEMORY, HASH_BUCKET, STRING_BUCKET, BLOCK, ORDER = 1 << 20, 12 << 20, 64 << 20, 24 << 20, 6 << 20, 8 << 20, 1 << 18
+SPAN, GRAM, RUN, HOT, CROWD_BITS = 50, 20, 32, 100_000, 1 << 26
+SLICE, BATCH, MEMORY, HASH_BUCKET, STRING_BUCKET, BLOCK, PART, STEP = 1 << 20, 12 << 20, 4 << 20, 24 << 20, 6 << 20, 8 << 20, 256 << 20, 1 << 16
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
@@ -123,21 +129,21 @@ def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def id_hash(ids: np.ndarray) -> np.ndarray:
+def id_hash(ids: np.ndarray, seed: int | np.ndarray = 42) -> np.ndarray:
     """Spark's xxhash64 of a bigint column, as unsigned numbers."""
     with np.errstate(over="ignore"):
         p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of the XXH64 format
         turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
-        x = (np.uint64(42) + p5 + np.uint64(8)) ^ turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1
+        x = (np.uint64(seed) + p5 + np.uint64(8)) ^ turn(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1
         x = turn(x, 27) * p1 + p4
         x = (x ^ x >> np.uint64(33)) * p2
         x = (x ^ x >> np.uint64(29)) * p3
         return x ^ x >> np.uint64(32)
 
 
-def _block(ids: np.ndarray, blocks: int) -> np.ndarray:
-    """The block of each id, as ``pmod(xxhash64(id), blocks)`` has it."""
-    return (id_hash(ids).view(np.int64) % np.int64(blocks)).astype(np.int32)
+def _block(ids: np.ndarray, texts: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each document, as ``pmod(xxhash64(id, hash of the text), blocks)`` has it: rows that share an id are spread by their texts."""
+    return (id_hash(texts, id_hash(ids)).view(np.int64) % np.int64(blocks)).astype(np.int32)
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -176,12 +182,12 @@ def _packed_by(where: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list
     return where[cut[:-1]].tolist(), [packed(*[of(c[a:b]) for c in columns]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def _hits(h: np.ndarray, d: np.ndarray, blocks: int) -> tuple[list[int], list[bytes]]:
+def _hits(h: np.ndarray, d: np.ndarray, t: np.ndarray, blocks: int) -> tuple[list[int], list[bytes]]:
     """Hashes and the documents they concern, once, packed by block; half a hash is enough within a document."""
-    where = _block(d, blocks)
+    where = _block(d, t, blocks)
     order = np.lexsort((h, d, where))
     h, d, where = h[order], d[order], where[order]
-    once = _starts(d, h)
+    once = _starts(where, d, h)
     return _packed_by(where[once], d[once], h[once].astype("<u4"))
 
 
@@ -193,10 +199,16 @@ def _rows(names: list[str], *columns: list) -> pa.RecordBatch:
 HITS, HASHES, CROWD = 0, 1, 2
 
 
+def _dealt(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``rows`` dealt by a key into parts of PART bytes of the input at most, where the session has fewer partitions than that."""
+    parts = -(-size // PART)
+    return rows.repartition(parts, key) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def _shared_hashes(docs: DataFrame, size: int, blocks: int) -> DataFrame:
     """Rows (block, kind, blob): HITS, the hashes of a block's documents that other texts have, too; CROWD, hashes in more than HOT surroundings."""
     buckets = max(1, -(-size // HASH_BUCKET))
-    hot = max(HOT, 4 * size // BATCH, size // 16 // MAX_HOT)
+    hot = HOT
     names, layout = ["bucket", "block", "kind", "blob"], "bucket int, block int, kind int, blob binary"
 
     def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +228,7 @@ def _shared_hashes(docs: DataFrame, size: int, blocks: int) -> DataFrame:
                 continue
             several = np.minimum.reduceat(text, group) < np.maximum.reduceat(text, group)
             many = np.repeat(several, np.diff(np.append(group, len(h))))
-            places, blobs = _hits(h[many], doc[many], blocks)  # shared within this batch: known without asking
+            places, blobs = _hits(h[many], doc[many], text[many], blocks)  # shared within this batch: known without asking
             yield _rows(names, [p % buckets for p in places], places, [HITS] * len(places), blobs)
             # one message for each hash: its different surroundings, counted below zero where texts differ, the text and the least id that has it
             new = np.zeros(len(h), np.int64)
@@ -242,11 +254,11 @@ def _shared_hashes(docs: DataFrame, size: int, blocks: int) -> DataFrame:
             shared = (np.minimum.reduceat(t, group) < np.maximum.reduceat(t, group)) | (np.minimum.reduceat(c, group) < 0)
             crowded = h[group[np.add.reduceat(np.abs(c), group, dtype=np.int64) > hot]]
             known = np.repeat(shared, np.diff(np.append(group, len(h)))) & (c > 0)
-            places, blobs = _hits(h[known], d[known], blocks)
+            places, blobs = _hits(h[known], d[known], t[known], blocks)
             out += [pa.Table.from_batches([_rows(names[1:], places, [HITS] * len(places), blobs)]), pa.Table.from_batches([_rows(names[1:], *([x] * (len(crowded) > 0) for x in (0, CROWD, crowded.tobytes())))])]
         return pa.concat_tables(out)
 
-    return docs.select("doc_id", "hash", "text").mapInArrow(send, layout).groupBy("bucket").applyInArrow(tidy(meet), "block int, kind int, blob binary")
+    return _dealt(docs.select("doc_id", "hash", "text").mapInArrow(send, layout), "bucket", size).groupBy("bucket").applyInArrow(tidy(meet), "block int, kind int, blob binary")
 
 
 def short(key: np.ndarray) -> np.ndarray:
@@ -254,100 +266,248 @@ def short(key: np.ndarray) -> np.ndarray:
     return _mix(key) >> np.uint64(16)
 
 
-class Column:
-    """An array that is rewritten in sequence, in memory or, above ``memory`` bytes, in an external file."""
+class Tape:
+    """Numbers that are written in sequence, block by block, and read again so: in memory or, beyond the store's bound, in an external file."""
 
-    def __init__(self, values: np.ndarray, folder: str, memory: int) -> None:
-        self.folder, self.memory, self.path, self.values = folder, memory, "", values
+    def __init__(self, store: Store) -> None:
+        self.store, self.blocks, self.sizes, self.out, self.path = store, [], [], None, ""
 
-    def rewrite(self, kept: np.ndarray, at: np.ndarray, new: np.ndarray) -> None:
-        """The next generation: the old values in their order, with new ones put in where they aren't kept."""
-        old = self.path
-        if len(kept) * self.values.itemsize <= self.memory:
-            out, self.path = np.empty(len(kept), self.values.dtype), ""
-            out[kept] = self.values
+    def write(self, block: np.ndarray) -> None:
+        self.sizes.append(len(block))
+        if self.out is None and self.store.held + block.nbytes > self.store.memory and (opened := self.store.create()):
+            self.path, self.out = opened
+            for earlier in self.blocks:
+                self._put(earlier)
+                self.store.held -= earlier.nbytes
+            self.blocks, self.kind = [], block.dtype
+        if self.out is None:
+            self.blocks.append(block)
+            self.store.held += block.nbytes
         else:
-            handle, self.path = tempfile.mkstemp(dir=self.folder)
-            os.close(handle)
-            out, done = np.memmap(self.path, self.values.dtype, "w+", shape=kept.shape), 0
-            for low in range(0, len(kept), 1 << 20):
-                part = kept[low : low + (1 << 20)]
-                here = int(np.count_nonzero(part))
-                out[low : low + (1 << 20)][part] = self.values[done : done + here]
-                done += here
-        out[at] = new
-        self.values = out
-        if old:
+            self._put(block)
+
+    def _put(self, block: np.ndarray) -> None:
+        self.out.write(pa.py_buffer(np.ascontiguousarray(block)))
+        self.store.written += block.nbytes
+
+    def read(self) -> Iterator[np.ndarray]:
+        """All blocks in order; the tape is closed for writing."""
+        if self.out is None:
+            yield from self.blocks
+            return
+        self.out.close()
+        with self.store.open(self.path) as file:
+            for n in self.sizes:
+                yield np.frombuffer(file.read(n * self.kind.itemsize), self.kind)
+
+    def drop(self) -> None:
+        if self.out is None:
+            self.store.held -= sum(x.nbytes for x in self.blocks)
+        else:
+            self.out.close()
+            self.store.remove(self.path)
+        self.blocks = []
+
+
+class Store:
+    """What the tapes of one order may hold in memory, and where their files are."""
+
+    def __init__(self, folder: str | None = None, memory: int = MEMORY) -> None:
+        self.memory, self.held, self.written, self.files, self.open_files = memory, 0, 0, None, set()
+        if folder:
+            with suppress(OSError, ValueError, pa.ArrowException, ImportError):
+                self.files, self.root = fs.FileSystem.from_uri(re.sub("^file:/+", "/", folder.replace("s3a://", "s3://")))
+
+    def create(self) -> tuple[str, pa.NativeFile] | None:
+        if self.files is None:
+            return None
+        path = f"{self.root}/suffix-order-{uuid.uuid4().hex}"
+        self.open_files.add(path)
+        return path, self.files.open_output_stream(path, buffer_size=0)
+
+    def open(self, path: str) -> pa.NativeFile:
+        return self.files.open_input_stream(path)
+
+    def remove(self, path: str) -> None:
+        self.open_files.discard(path)
+        self.files.delete_file(path)
+
+    def close(self) -> None:
+        for path in list(self.open_files):
             with suppress(OSError):
-                os.unlink(old)
+                self.remove(path)
 
 
 END = 255  # no byte of UTF-8: stands in the transform where a string begins
+_MOST = 254  # common prefixes are counted so far
+_SHIFT, _POSITION = np.uint32(17), np.uint32((1 << 17) - 1)  # a block has less than two STEPs
+_EDGES = np.arange(257, dtype=np.uint32) << _SHIFT
+
+
+class Gap:
+    """What one pass over transform and common prefixes knows of each symbol: how often it has come, and the least common prefix since it came last."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.lower = np.cumsum(counts) - counts  # suffixes that begin with a lower symbol, ends not counted
+        self.seen = np.zeros(256, np.int64)
+        self.since = np.full(256, _MOST, np.uint8)
+        self.waiting = np.full(256, -1)  # the rank behind a new suffix whose next equal symbol hasn't come yet
+        self.least = np.full(256, _MOST, np.uint8)
+        self.below: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def step(self, b: np.ndarray, shared: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the symbols at positions ``q`` of a block among all equal and lower ones, and the common prefixes of the suffixes that they begin with those before."""
+        symbol, n = b.astype(np.uint32) << _SHIFT, len(b)
+        keys = np.sort(symbol | np.arange(n, dtype=np.uint32))  # by symbol, then position
+        first = np.searchsorted(keys, _EDGES)
+        first, count = first[:-1], np.diff(first)
+        place = lambda k: (keys[k] & _POSITION).astype(np.int64)
+        own, mine = b[q], np.searchsorted(keys, symbol[q] | q.astype(np.uint32))
+        head = np.minimum.accumulate(shared)
+        nth = mine - first[own]
+        rank = self.lower[own] + self.seen[own] + nth
+        common = np.zeros(len(q), np.uint8)
+        near = nth > 0
+        common[near] = np.minimum(_least_between(shared, place(mine[near] - 1) + 1, q[near] + 1), _MOST) + 1
+        far = ~near & (self.seen[own] > 0)
+        common[far] = np.minimum(self.since[own[far]], head[q[far]]) + 1
+        new = np.zeros(n, bool)
+        new[q] = True
+        # the old suffix behind a new one shares with it what lies between them; a new suffix behind has looked up by itself
+        here = np.flatnonzero((self.waiting >= 0) & (count > 0))
+        at = place(first[here])
+        old = ~new[at]
+        self.below.append((self.waiting[here][old], np.minimum(self.least[here], head[at])[old] + 1))
+        self.waiting[here] = -1
+        self.least[self.waiting >= 0] = np.minimum(self.least[self.waiting >= 0], head[-1])
+        last = nth + 1 == count[own]
+        behind = place(np.minimum(mine + 1, n - 1))
+        near = ~last & ~new[behind]
+        self.below.append((rank[near] + 1, np.minimum(_least_between(shared, q[near] + 1, behind[near] + 1), _MOST) + 1))
+        come = np.flatnonzero(count)
+        ends = place((first + count)[come] - 1)
+        tail = _least_from(shared, ends + 1)
+        self.since = np.minimum(self.since, head[-1])
+        self.since[come] = tail
+        self.seen += count
+        slot = np.searchsorted(come, own[last])
+        self.waiting[own[last]] = rank[last] + 1
+        self.least[own[last]] = tail[slot]
+        return rank, common
+
+
+def _least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least value in each range."""
+    if not len(low):
+        return np.zeros(0, values.dtype)
+    return np.minimum.reduceat(np.append(values, np.uint8(_MOST)), np.stack([low, high], 1).ravel())[::2]
+
+
+def _least_from(values: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The least value from each of the positions on."""
+    order = np.argsort(low)
+    parts = np.minimum.reduceat(np.append(values, np.uint8(_MOST)), low[order])
+    out = np.empty(len(low), np.uint8)
+    out[order] = np.minimum(np.minimum.accumulate(parts[::-1])[::-1], _MOST)
+    return out
+
+
+def _merged(tapes: list[Tape], at: np.ndarray, columns: list[np.ndarray], below_at: np.ndarray, below: np.ndarray, store: Store) -> list[Tape]:
+    """The next generation of transform, common prefixes and starts: ``columns`` put in at the sorted positions ``at``, and the common prefixes at ``below_at`` corrected."""
+    out = [Tape(store) for _ in tapes]
+    before = at - np.arange(len(at))  # as many old entries stand before each
+    done = low = 0
+    sizes = tapes[0].sizes
+    for k, blocks in enumerate(zip(*[t.read() for t in tapes], strict=True)):
+        last = len(before) if k == len(sizes) - 1 else int(np.searchsorted(before, low + sizes[k]))
+        base = low + done
+        kept, put = np.ones(sizes[k] + last - done, bool), at[done:last] - base
+        kept[put] = False
+        made = []
+        for block, column in zip(blocks, columns, strict=True):
+            both = np.empty(len(kept), block.dtype)
+            both[kept], both[put] = block, column[done:last]
+            made.append(both)
+        a, b = np.searchsorted(below_at, [base, base + len(kept)])
+        made[1][below_at[a:b] - base] = below[a:b]
+        for first in range(0, len(kept), STEP) if len(kept) >= 2 * STEP else [0]:
+            end = first + STEP if len(kept) >= 2 * STEP else len(kept)
+            for tape, both in zip(out, made, strict=True):
+                tape.write(both[first:end])
+        low, done = low + sizes[k], last
+    for tape in tapes:
+        tape.drop()
+    return out
 
 
-def suffix_order(data: np.ndarray, offsets: np.ndarray, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions of all non-empty suffixes of the UTF-8 strings in ``data``, in order, and the symbols each shares with the one before (255 at most).
+def suffix_order(data: np.ndarray, offsets: np.ndarray, store: Store) -> list[Tape]:
+    """Tapes of the transform, of the symbols each suffix of the UTF-8 strings in ``data`` shares with the one before (255 at most), and of the start positions, in order. The first entries are the strings' ends, one for each.
 
     Ends sort before symbols, and ends of different strings share nothing. Round j inserts the suffixes of length j. With c the symbol before a suffix of length j - 1, the
     new suffix stands behind all suffixes that begin with lower symbols and behind those that begin with c and whose rest stands before: its rank among equal symbols of the
-    transform. It shares one symbol more than its rest does with that of its neighbour: a range minimum over the common prefixes.
+    transform. It shares one symbol more than its rest does with that of its neighbour: the least common prefix between them.
     """
     count, ends = len(offsets) - 1, offsets[1:].astype(np.int64)
     length = np.diff(offsets)
     symbols = np.append(data, np.uint8(END))
-    with tempfile.TemporaryDirectory() as folder:
-        before = Column(np.where(length > 0, symbols[ends - 1], np.uint8(END)), folder, memory)  # the transform
-        shared = Column(np.zeros(count + 1, np.uint8), folder, memory)  # common prefixes, and a zero behind them
-        start = Column(ends.astype(np.int32 if len(data) < 1 << 31 else np.int64), folder, memory)  # positions of the suffixes
-        at = strings = np.arange(count)
-        for j in range(1, int(length.max(initial=0)) + 1):
-            longer = length[strings] >= j
-            at, strings = at[longer], strings[longer]
-            b, n = before.values, len(before.values)
-            order = np.argsort(b, kind="stable")
-            rank = np.empty(n, np.int32)
-            rank[order] = np.arange(n, dtype=np.int32)
-            by = np.argsort(at, kind="stable")
-            at, strings = at[by], strings[by]
-            mine = rank[at].astype(np.int64)
-            new_at = mine + count
-            own, common = b[at], np.zeros(len(at), np.uint8)
-
-            def least(low: np.ndarray, high: np.ndarray, values: np.ndarray = shared.values) -> np.ndarray:
-                return np.minimum.reduceat(values, np.stack([low, high], 1).ravel())[::2] if len(low) else np.zeros(0, np.uint8)
-
-            up = order[np.maximum(mine - 1, 0)]
-            has_up = (mine > 0) & (b[up] == own)
-            common[has_up] = np.minimum(least(up[has_up] + 1, at[has_up] + 1), 254) + 1
-            down = order[np.minimum(mine + 1, n - 1)]
-            has_down = (mine + 1 < n) & (b[down] == own)
-            has_down[:] &= at[np.minimum(np.searchsorted(at, down), len(at) - 1)] != down  # a new neighbour looks up itself
-            below = np.minimum(least(at[has_down] + 1, down[has_down] + 1), 254) + 1
-            below_at = mine[has_down] + 1 + count
-            place = ends[strings] - j
-            preceding = np.where(length[strings] > j, symbols[place - 1], np.uint8(END))
-            kept = np.ones(n + len(at), bool)
-            kept[new_at] = False
-            before.rewrite(kept, new_at, preceding)
-            start.rewrite(kept, new_at, place)
-            shared.rewrite(np.append(kept, True), new_at, common)
-            shared.values[below_at] = below
-            at = new_at
-        return np.array(start.values[count:]), np.array(shared.values[count:-1])
-
-
-def first_ids(data: np.ndarray, offsets: np.ndarray, least_id: np.ndarray, memory: int = MEMORY) -> np.ndarray:
-    """For each position of the strings' bytes, the least id of all strings that hold the SPAN bytes from there; the greatest int64 where fewer bytes are left in the string."""
-    start, shared = suffix_order(data, offsets, memory)
-    out = np.full(len(data), np.iinfo(np.int64).max)
-    if len(start):
-        owner = np.searchsorted(offsets, start, "right") - 1
-        full = offsets[owner + 1] - start >= SPAN
-        group = np.flatnonzero(np.append(True, shared[1:] < SPAN))
-        ids = np.where(full, least_id[owner], np.iinfo(np.int64).max)
-        out[start] = np.repeat(np.minimum.reduceat(ids, group), np.diff(np.append(group, len(start))))
-        out[start[~full]] = np.iinfo(np.int64).max
-    return out
+    tapes = [Tape(store) for _ in range(3)]
+    given = [np.where(length > 0, symbols[ends - 1], np.uint8(END)), np.zeros(count, np.uint8), ends.astype(np.int32 if len(data) < 1 << 31 else np.int64)]
+    counts = np.bincount(given[0], minlength=256)
+    for first in range(0, count, STEP):
+        for tape, values in zip(tapes, given, strict=True):
+            tape.write(values[first : first + STEP])
+    at = strings = np.arange(count)
+    for j in range(1, int(length.max(initial=0)) + 1):
+        longer = length[strings] >= j
+        at, strings = at[longer], strings[longer]
+        gap, ranks, commons, done, low = Gap(counts), [], [], 0, 0
+        for b, shared in zip(tapes[0].read(), tapes[1].read(), strict=True):
+            last = int(np.searchsorted(at, low + len(b)))
+            rank, common = gap.step(b, shared, at[done:last] - low)
+            ranks.append(rank)
+            commons.append(common)
+            low, done = low + len(b), last
+        rank, common = np.concatenate(ranks), np.concatenate(commons)
+        by = np.argsort(rank)
+        at, strings = rank[by] + count, strings[by]
+        place = ends[strings] - j
+        preceding = np.where(length[strings] > j, symbols[place - 1], np.uint8(END))
+        below_at, below = (np.concatenate(c) for c in zip(*gap.below, strict=True))
+        order = np.argsort(below_at)
+        tapes = _merged(tapes, at, [preceding, common[by], place], below_at[order] + count, below[order], store)
+        counts += np.bincount(preceding, minlength=256)
+    return tapes
+
+
+def earlier_windows(data: np.ndarray, offsets: np.ndarray, least_id: np.ndarray, folder: str | None = None, memory: int = MEMORY) -> tuple[np.ndarray, int]:
+    """For each string the windows of SPAN bytes, as bits, that a string with a smaller id holds as well; and how many bytes went through external files.
+
+    A string has RUN windows at most. The order is read in sequence: what is held are a block and the group that it ends with.
+    """
+    store, out = Store(folder, memory), np.zeros(len(offsets) - 1, np.uint32)
+    try:
+        tapes = suffix_order(data, offsets, store)
+        held, shares = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        blocks = zip(tapes[1].read(), tapes[2].read(), strict=True)
+        for k in range(len(tapes[1].sizes)):
+            shared, start = next(blocks)
+            held, shares = np.append(held, start.astype(np.int64)), np.append(shares, shared)
+            group = np.flatnonzero(np.append(True, shares[1:] < SPAN))
+            end = len(held) if k == len(tapes[1].sizes) - 1 else int(group[-1])
+            group = group[group < end]
+            if end:
+                owner = np.minimum(np.searchsorted(offsets, held[:end], "right"), len(offsets) - 1) - 1
+                full = offsets[owner + 1] - held[:end] >= SPAN
+                ids = np.where(full, least_id[owner], np.iinfo(np.int64).max)
+                earlier = full & (np.repeat(np.minimum.reduceat(ids, group), np.diff(np.append(group, end))) < ids)
+                window = (held[:end] - offsets[owner])[earlier].astype(np.uint32)
+                np.bitwise_or.at(out, owner[earlier], np.uint32(1) << window)
+            held, shares = held[end:], shares[end:]
+        for tape in tapes:
+            tape.drop()
+        return out, store.written
+    finally:
+        store.close()
 
 
 class Block:
@@ -369,8 +529,13 @@ SPANS, STRINGS = 0, 1
 def _spans(docs: DataFrame, copies: DataFrame, shared: DataFrame, size: int) -> DataFrame:
     """Rows (block, blob): row numbers in the block and starts and ends of byte spans to remove."""
     buckets = max(1, -(-size // STRING_BUCKET))
-    crowd = np.concatenate([np.zeros(0, "<u8"), *[np.frombuffer(r.blob, "<u8") for r in shared.where(F.col("kind") == CROWD).select("blob").toLocalIterator()]])
-    hot = docs.sparkSession.sparkContext.broadcast(np.sort(crowd))
+    marks = np.zeros(0, np.uint8)
+    for row in shared.where(F.col("kind") == CROWD).select("blob").toLocalIterator():
+        marks = marks if len(marks) else np.zeros(CROWD_BITS // 8, np.uint8)
+        bit = np.frombuffer(row.blob, "<u8") % np.uint64(CROWD_BITS)
+        np.bitwise_or.at(marks, bit >> np.uint64(3), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+    hot = docs.sparkSession.sparkContext.broadcast(marks)
+    scratch = folder(docs.sparkSession)
     hits = shared.where(F.col("kind") == HITS).select("block", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("hash"), "blob")
     notes = hits.unionByName(copies.withColumn("blob", F.lit(None).cast("binary")))
     names, layout = ["bucket", "block", "kind", "blob"], "bucket int, block int, kind int, blob binary"
@@ -390,7 +555,8 @@ def _spans(docs: DataFrame, copies: DataFrame, shared: DataFrame, size: int) ->
         asked = np.isin(block.ids[runs.row].astype(np.uint64) * salt ^ code & np.uint64(0xFFFFFFFF), wanted) & ~block.copy[runs.row]
         row, start, windows, key, code = (x[asked] for x in (runs.row, runs.start, runs.windows, runs.key, code))
         if len(hot.value):
-            single = hot.value[np.minimum(np.searchsorted(hot.value, code), len(hot.value) - 1)] == code
+            bit = code % np.uint64(CROWD_BITS)
+            single = (hot.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             each = np.where(single, windows, 1)
             nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
             was = np.repeat(single, each)
@@ -409,22 +575,22 @@ def _spans(docs: DataFrame, copies: DataFrame, shared: DataFrame, size: int) ->
         again = doc > np.repeat(doc[cut], np.diff(np.append(cut, len(of))))
         out = [_rows(names, [number % buckets], [number], [SPANS], [packed_spans(row[again], start[again], (start + windows + SPAN - 1)[again])])]
         row, start, key, of, doc = (x[~again] for x in (row, start, key, of, doc))
-        tag, where = (_mix(key) >> np.uint64(32)).astype(np.int64), (_mix(key * np.uint64(_BASE)) % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((of, tag, where))
-        row, start, of, doc, where, tag = (x[order] for x in (row, start, of, doc, where, tag))
+        where = (_mix(key * np.uint64(_BASE)) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((of, where))
+        row, start, of, doc, where = (x[order] for x in (row, start, of, doc, where))
         cut, strings, blobs = np.append(_starts(where), len(where)), list(seen), []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             change = _starts(of[a:b])
             chosen = [strings[k] for k in of[a:b][change].tolist()]
             times = np.diff(np.append(change, b - a))
-            blobs.append(packed(np.frombuffer(b"".join(chosen), np.uint8), np.array([len(x) for x in chosen], "<u1"), np.diff(tag[a:b][change], prepend=0).astype("<u4"), times.astype("<i4"), row[a:b].astype("<i4"), doc[a:b], start[a:b].astype("<i4")))
+            blobs.append(packed(np.frombuffer(b"".join(chosen), np.uint8), np.array([len(x) for x in chosen], "<u1"), times.astype("<i4"), row[a:b].astype("<i4"), doc[a:b], start[a:b].astype("<i4")))
         out.append(_rows(names, where[cut[:-1]].tolist(), [number] * len(blobs), [STRINGS] * len(blobs), blobs))
         return pa.Table.from_batches(out)
 
     def meet(table: pa.Table) -> pa.Table:
         passed = table.filter(pc.equal(table["kind"], SPANS)).select(["block", "blob"])
         given = table.filter(pc.equal(table["kind"], STRINGS))
-        parts = [unpacked(b, "u1", "<u1", "<u4", "<i4", "<i4", "<i8", "<i4") for b in given["blob"].to_pylist()]
+        parts = [unpacked(b, "u1", "<u1", "<i4", "<i4", "<i8", "<i4") for b in given["blob"].to_pylist()]
         if not parts:
             return passed
         known: dict[bytes, int] = {}
@@ -432,40 +598,28 @@ def _spans(docs: DataFrame, copies: DataFrame, shared: DataFrame, size: int) ->
         for text, sizes, *_ in parts:
             raw, ends = memoryview(text), np.cumsum(sizes, dtype=np.int64)
             number.append(np.array([known.setdefault(bytes(raw[a:b]), len(known)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], np.int64))
-        of = np.concatenate([np.repeat(n, p[3]) for n, p in zip(number, parts, strict=True)])
-        block = np.repeat(given["block"].to_numpy(), [len(p[4]) for p in parts])
-        row, doc, start = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts]).astype(np.int64)
-        tag = np.zeros(len(known), np.uint32)
-        tag[np.concatenate(number)] = np.concatenate([np.cumsum(p[2], dtype=np.uint32) for p in parts])
+        of = np.concatenate([np.repeat(n, p[2]) for n, p in zip(number, parts, strict=True)])
+        block = np.repeat(given["block"].to_numpy(), [len(p[3]) for p in parts])
+        row, doc, start = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts]).astype(np.int64)
         least = np.full(len(known), np.iinfo(np.int64).max)
         np.minimum.at(least, of, doc)
         strings = list(known)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in strings])]).astype(np.int64)
-        earliest = np.repeat(least, np.diff(offsets))  # right as it stands where all strings of a hash are one string, whose windows start first where it does
-        _, group, size = np.unique(tag, return_inverse=True, return_counts=True)
-        several = size[group] > 1
-        divisions = max(1, int(np.diff(offsets)[several].sum()) // ORDER)
-        for k in range(divisions):  # equal windows have equal hashes and so are in one division, whose arrays fit the processor's cache
-            own = np.flatnonzero(several & (tag % np.uint32(divisions) == k))
-            if len(own):
-                some = [strings[i] for i in own.tolist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64)
-                found = first_ids(np.frombuffer(b"".join(some), np.uint8), ends, least[own])
-                earliest[np.arange(len(found)) + np.repeat(offsets[own] - ends[:-1], np.diff(ends))] = found
-        each = (np.diff(offsets) - SPAN + 1)[of]
-        nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        entry = np.repeat(np.arange(len(of)), each)
-        gone = np.flatnonzero(earliest[offsets[of][entry] + nth] < doc[entry])
-        entry, low = entry[gone], start[entry[gone]] + nth[gone]
-        where = block[entry]
-        order = np.lexsort((low, row[entry], where))
-        where, own, low = where[order], row[entry][order], low[order]
+        earlier, _ = earlier_windows(np.frombuffer(b"".join(strings), np.uint8), offsets, least, scratch, MEMORY)
+        whole = doc > least[of]  # another document has the whole string first
+        some = np.flatnonzero(~whole & (earlier[of] > 0))
+        entry, nth = np.nonzero(earlier[of[some], None] >> np.arange(RUN, dtype=np.uint32) & np.uint32(1))
+        entry, first = np.append(np.flatnonzero(whole), some[entry]), np.append(np.zeros(np.count_nonzero(whole), np.int64), nth)
+        low = start[entry] + first
+        high = np.where(whole[entry], start[entry] + np.diff(offsets)[of[entry]], low + SPAN)
+        order = np.lexsort((low, row[entry], block[entry]))
+        where, own, low, high = block[entry][order], row[entry][order], low[order], high[order]
         cut = np.append(_starts(where), len(where))
-        blobs = [packed_spans(own[a:b], low[a:b], low[a:b] + SPAN) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        blobs = [packed_spans(own[a:b], low[a:b], high[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         return pa.concat_tables([passed, pa.Table.from_batches([_rows(["block", "blob"], where[cut[:-1]].tolist(), blobs)])])
 
-    sent = docs.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(lambda d, n: tidy(send)(d, n), layout)
-    return sent.groupBy("bucket").applyInArrow(tidy(meet), "block int, blob binary")
+    sent = _dealt(docs, "block", size).groupBy("block").cogroup(_dealt(notes, "block", size).groupBy("block")).applyInArrow(lambda d, n: tidy(send)(d, n), layout)
+    return _dealt(sent, "bucket", size).groupBy("bucket").applyInArrow(tidy(meet), "block int, blob binary")
 
 
 def packed_spans(row: np.ndarray, low: np.ndarray, high: np.ndarray) -> bytes:
@@ -495,7 +649,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     size = total_bytes(docs, text)
     blocks = max(1, -(-size // BLOCK))
     name = F.col("doc_id") if doc_id == "doc_id" else F.col(f"`{doc_id}`").alias("doc_id")  # an alias that changes nothing would keep Spark from reusing the shuffle of the texts
-    place = F.pmod(F.xxhash64(name.cast("bigint")), F.lit(blocks).cast("bigint")).cast("int").alias("block")
+    place = F.pmod(F.xxhash64(name.cast("bigint"), F.xxhash64(body)), F.lit(blocks).cast("bigint")).cast("int").alias("block")
     columns = ["block", "doc_id", "hash", "text", *(["rest"] if rest else [])]
     rows = docs.select(place, name, F.xxhash64(body).alias("hash"), body.alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
     comparable = F.coalesce(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN), F.lit(False))
@@ -542,7 +696,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         last = pa.array([hashlib.sha256(k).hexdigest() for k in kept] if digests else [k.decode(errors="ignore") for k in kept], pa.string())
         return pa.RecordBatch.from_arrays([get("doc_id").cast(pa.int64()), *([get("rest")] if rest else []), *counts, last], ["doc_id", *(["rest"] if rest else []), *added, "kept"])
 
-    met = named.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(lambda d, n: tidy(clean)(d, n), fields)
+    met = _dealt(named, "block", size).groupBy("block").cogroup(_dealt(notes, "block", size).groupBy("block")).applyInArrow(lambda d, n: tidy(clean)(d, n), fields)
     out = met.unionByName(rows.where(~comparable).mapInArrow(whole, fields))
     if digests:
         return out.select("doc_id", *added, F.col("kept").alias("kept_sha256"))

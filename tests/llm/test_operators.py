@@ -358,9 +358,10 @@ def brute_suffix(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [100_000, 2])
-def test_suffix_dedup(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "memory"), [(100_000, 4 << 20), (2, 4 << 20), (100_000, 0)])
+def test_suffix_dedup(spark, hot, memory, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "MEMORY", memory)
     rnd = random.Random(7)
     passages = ["".join(rnd.choice("abcdefgh é") for _ in range(rnd.randrange(20, 120))) for _ in range(20)]
     rows = [(i, t) for i, t in CASES if t != LONG] + [(50, "x" * 200), (51, "x" * 130), (52, "ab" * 90), (40, "ab" * 30)]
@@ -371,18 +372,55 @@ def test_suffix_dedup(spark, hot, monkeypatch):
     assert total(found.collect()) == total(brute_suffix(rows))
 
 
-@pytest.mark.parametrize("memory", [0, 1 << 20])
-def test_suffix_order(memory):
+@pytest.mark.parametrize("memory", [0, 300, 1 << 20])
+@pytest.mark.parametrize("step", [1, 3, 1 << 16])
+def test_suffix_order(memory, step, monkeypatch, tmp_path):
+    monkeypatch.setattr(suffix_dedup, "STEP", step)
     rnd = random.Random(8)
     for _ in range(40):
-        strings = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(0, 9))) for _ in range(rnd.randrange(1, 8))]
+        strings = [bytes(rnd.choice(b"abc"[: rnd.choice([2, 3])]) for _ in range(rnd.randrange(0, 12))) for _ in range(rnd.randrange(1, 9))]
         data, offsets = np.frombuffer(b"".join(strings), np.uint8), np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
-        start, shared = suffix_dedup.suffix_order(data, offsets, memory)
+        store = suffix_dedup.Store(f"file:{tmp_path}", memory)
+        before, shared, start = (np.concatenate([np.zeros(0, np.int64), *tape.read()]) for tape in suffix_dedup.suffix_order(data, offsets, store))
+        store.close()
         tails = {int(offsets[i]) + k: s[k:] for i, s in enumerate(strings) for k in range(len(s))}
+        start, shared, before = start[len(strings) :], shared[len(strings) :], before[len(strings) :]
         assert sorted(start.tolist()) == sorted(tails)
         ordered = [tails[p] for p in start.tolist()]
         assert ordered == sorted(ordered)
         assert [len(os.path.commonprefix([a, b])) for a, b in zip(ordered, ordered[1:], strict=False)] == shared[1:].tolist()
+        assert [255 if p in offsets else data[p - 1] for p in start.tolist()] == before.tolist()
+        assert (store.written > 0) == (memory == 0) or memory == 300
+    assert os.listdir(tmp_path) == []
+
+
+def test_suffix_order_holds_blocks_only(tmp_path):
+    """With external files the order of many strings takes no more memory than blocks and a few numbers for each string."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(1)
+    strings = rnd.integers(97, 100, (12_000, 81)).astype(np.uint8)
+    strings[::3, 20:75] = strings[0, 20:75]
+    data, offsets = strings.ravel(), np.arange(12_001) * 81
+    least = rnd.permutation(12_000).astype(np.int64)
+    peaks = []
+    for memory in (1 << 30, 0):
+        tracemalloc.start()
+        windows, written = suffix_dedup.earlier_windows(data, offsets, least, str(tmp_path), memory)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert (written > 100 * len(data)) == (memory == 0)
+        assert (windows[::3][least[::3] > least[::3].min()] & 0b111111 << 20 == 0b111111 << 20).all() and not windows[1::3].any()
+    assert peaks[1] < 0.75 * peaks[0] and os.listdir(tmp_path) == []
+
+
+def test_crowded_bits_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "CROWD_BITS", 8)
+    rnd = random.Random(3)
+    line = "a very common line that stands in all of the texts, again and again"
+    rows = [(i, "".join(rnd.choice("abcdefgh") for _ in range(70)) + line + "".join(rnd.choice("abcdefgh") for _ in range(30))) for i in range(40)] + [(40 + i, line * 2) for i in range(4)]
+    assert total(suffix_dedup.remove_repeats(docs_of(spark, rows), digests=True).collect()) == total(brute_suffix(rows))
 
 
 def test_suffix_shapes(spark):
