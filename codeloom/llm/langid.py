@@ -3,11 +3,13 @@
 Features are relative frequencies of hashed byte 2- and 3-grams of the lower-cased text (all but letters counts as one space). As the models are linear, a text's
 score is the mean weight of its n-grams: whole texts are scored by one gather and one segmented sum, without a histogram.
 Families are separated by one-versus-rest machines, languages of the predicted family by one machine per pair, by votes, then by summed margins.
-The models are fitted on a bounded sample: SAMPLE rows of each language at most, by a hash of the id; feature extraction runs on the executors, so
-no text reaches the driver. What is sent to the workers is the weights, of fixed size per model.
+The models are fitted on a bounded sample: the MOST_LANGUAGES labels with the most rows, and of each SAMPLE distinct rows at most, ALL_ROWS in all, by a hash of id and text; rows that repeat both count once. Feature extraction runs on the
+executors, so no text reaches the driver, but the sample's histograms: 16 KB a row, a few KB as sent, compressed. A label is read up to LABEL characters. What is sent to the workers is the weights,
+16 KB a machine: 33 MB at most, if all languages are of one family.
 
-Defined results: a null text or one without letters is ``und`` with score 0. Null labels and null ids aren't learnt from. With no labelled row
-all texts are ``und``; with one language all texts with letters get it. Ties go to the first in alphabetical order.
+Defined results: a null text or one without letters is ``und`` with score 0. Null and empty labels and null ids aren't learnt from. With no labelled row
+all texts are ``und``; with one language all texts with letters get it. Ties go to the first in alphabetical order. Very long texts count whole; repeated rows give repeated results; other columns are kept as they are, but for those named lang_pred and
+score; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm._common import parts, slices, utf8_column, with_fields
 
-SAMPLE, MOST_LANGUAGES, BINS, STEEPNESS, SLICE = 300, 500, 4096, 2.5, 1 << 20
+SAMPLE, ALL_ROWS, MOST_LANGUAGES, LABEL, BINS, STEEPNESS, SLICE = 300, 6000, 64, 100, 4096, 2.5, 1 << 20
 # Families of common languages by ISO 639-1 code. A code that isn't here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi",
@@ -176,31 +179,41 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on ``sample`` labelled rows of each language at most, none of them held out.
+def sampled(docs: DataFrame, doc_id: str, text: str, lang: str, sample: int) -> tuple[DataFrame, int]:
+    """Label l, place h and text t of rows to learn from, each text and id once, and how many of a language are to be used: about one and a half times as many are here.
 
-    A language's rows are taken below a bound on a hash of the id that lets through about one and a half times the sample, of which those with the least hashes are used. The counts by
-    language are joined by broadcast: a language has a machine of its own, so there are few, and more than MOST_LANGUAGES are an error.
+    A language's rows are those below a bound on a hash of id and text; the bound follows the approximate number of distinct rows, so rows that repeat one id or text take no one's place. Labels are counted without their texts,
+    and the counts of the languages that are learnt are joined by broadcast.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)) & (F.length(F.coalesce(F.col(text), F.lit(""))) > 0))
-    counts = labelled.groupBy(F.col(lang).alias("l")).count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
-    share = docs.sparkSession.createDataFrame([(r.l, min(1.0, 1.5 * sample / r["count"] + 20 / r["count"])) for r in counts], "l string, share double")
-    place = F.pmod(F.xxhash64(F.lit("langid"), doc_id), F.lit(1 << 40)) / float(1 << 40)
-    chosen = labelled.select(F.col(lang).alias("l"), place.alias("h"), F.col(text).alias("t")).join(F.broadcast(share), "l").where("h <= share").select("l", "h", "t")
+    label = F.substring(F.col(f"`{lang}`"), 1, LABEL)
+    key = F.xxhash64(F.lit("langid"), F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    usable = (F.length(label) > 0) & F.col(f"`{doc_id}`").isNotNull() & ~held_out(F.col(f"`{doc_id}`")) & (F.length(F.coalesce(F.col(f"`{text}`"), F.lit(""))) > 0)
+    labelled = docs.where(usable).select(label.alias("l"), key.alias("k"), F.col(f"`{text}`").alias("t"))
+    counts = labelled.groupBy("l").agg(F.approx_count_distinct("k").alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "l").limit(MOST_LANGUAGES).collect()
+    each = min(sample, max(1, ALL_ROWS // max(1, len(counts))))
+    share = docs.sparkSession.createDataFrame([(r.l, min(1.0, (1.5 * each + 20) / max(1, r.n))) for r in counts], "l string, share double")
+    place = (F.pmod("k", F.lit(1 << 40)) / float(1 << 40)).alias("h")
+    chosen = labelled.join(F.broadcast(share), "l").where(F.pmod("k", F.lit(1 << 40)) / float(1 << 40) <= F.col("share"))
+    return chosen.groupBy("l", "k").agg(F.first("t").alias("t")).select("l", place, "t"), each
+
+
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
+    """Fit on ``sample`` labelled rows of each language at most, none of them held out."""
+    chosen, each = sampled(docs, doc_id, text, lang, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 200):
                 part = batch.slice(first, 200)
                 x = histograms(*utf8_column(part, "t"))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], ["l", "h", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([zstandard.compress(r.astype("<f4").tobytes(), 1) for r in x], pa.binary())], ["l", "h", "x"])
 
-    found: dict[str, list] = {}
+    found: dict[str, list[bytes]] = {}
     for r in sorted(chosen.mapInArrow(run, "l string, h double, x binary").collect(), key=lambda r: (r.l, r.h, bytes(r.x))):
-        found.setdefault(r.l, []).append(np.frombuffer(r.x, "<f4"))
-    rows = [(name, x) for name, own in found.items() for x in own[:sample]]
+        own = found.setdefault(r.l, [])
+        if len(own) < each:
+            own.append(bytes(r.x))
+    rows = [(name, np.frombuffer(zstandard.decompress(x), "<f4")) for name, own in found.items() for x in own]
     return fit(np.stack([x for _, x in rows]) if rows else np.zeros((0, BINS)), np.array([name for name, _ in rows], object))
 
 
