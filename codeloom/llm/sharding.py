@@ -1,6 +1,6 @@
 """Reproducible shuffle into shards: a Feistel permutation over global row numbers, in DataFrame operations only.
 
-Rows get a global number without a global sort: ids are hashed into buckets, a row's number is the count of the
+Rows get a global number without a global sort: id, size and checksum of the text are hashed into buckets, so that a null or repeated id is spread by its texts; a row's number is the count of the
 buckets before its own plus its rank within it. The numbers are permuted by an alternating numeric Feistel network
 over a x b >= rows; positions beyond the last row walk the cycle until they fall inside. Position p lies in shard
 p mod shards at slot p div shards, so shard and slot of any row number can be computed without the data.
@@ -8,7 +8,7 @@ p mod shards at slot p div shards, so shard and slot of any row number can be co
 The law is ``rows``: counts of two shards differ by one at most, slots are gapless. Bucket counts are bounded by
 MAX_BUCKETS rows, hence the broadcast has a proven bound (1 MB). The result depends on the rows only, not on
 partitioning. Defined results: null text has 0 bytes; rows with equal ids are ordered by size and checksum; rows equal in
-all three are interchangeable; null ids share a bucket. An empty table gives no rows.
+all three are interchangeable and share a bucket, whose window sorts them by spilling. Very long texts are read whole; other columns may have any name, but those that start with __sh_. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.llm._common import checkpointed
+
 ROUNDS, ROWS_PER_BUCKET, MAX_BUCKETS, WALK = 6, 20_000, 65_536, 64
 
 
@@ -52,20 +54,20 @@ def permuted(row: Column, rows: int, seed: int) -> tuple[Column, Column]:
 def shard(docs: DataFrame, shards: int, seed: int = 0, text: str = "text", doc_id: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` (or some columns) with size, text_crc32, shard and slot; columns of these names are replaced.
 
-    One shuffle, on the bucket, with only the asked columns. To write shards: partition by shard, sort by slot.
+    One shuffle, on the bucket, with only the asked columns. Where these are the id at most, its table with size and checksum is checkpointed, so that texts are read once. To write shards: partition by shard, sort by slot.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     columns = [c for c in (docs.columns if columns is None else columns) if c not in ("size", "text_crc32", "shard", "slot")]
     rows = docs.count()
     buckets = min(MAX_BUCKETS, max(1, rows // ROWS_PER_BUCKET))
-    body = F.coalesce(F.col(text), F.lit(""))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(buckets).cast("bigint")).cast("int")
-    keyed = docs.select(
-        *[F.col(f"`{c}`") for c in columns], F.col(doc_id).alias("__sh_id"), bucket.alias("__sh_bucket"),
-        (F.octet_length(body) + 8).cast("bigint").alias("size"), F.crc32(body).cast("bigint").alias("text_crc32"),
-    )
-    counts = docs.groupBy(bucket.alias("__sh_bucket")).count()
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    size, crc = (F.octet_length(body) + 8).cast("bigint"), F.crc32(body).cast("bigint")
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), size, crc), F.lit(buckets).cast("bigint")).cast("int")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{doc_id}`").alias("__sh_id"), bucket.alias("__sh_bucket"), size.alias("size"), crc.alias("text_crc32"))
+    if set(columns) <= {doc_id}:
+        keyed = checkpointed(keyed)
+    counts = keyed.groupBy("__sh_bucket").count()
     before = Window.orderBy("__sh_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__sh_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__sh_start"))
     rank = F.row_number().over(Window.partitionBy("__sh_bucket").orderBy("__sh_id", "size", "text_crc32")) - 1
