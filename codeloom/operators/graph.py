@@ -7,6 +7,7 @@ in memory; a larger one by rounds of joins whose results are checkpointed.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from codeloom.checkpoints import checkpointed
 from codeloom.operators import _small
 from codeloom.schema import EDGES, NODES
+from codeloom.sources.files import replace_file
 
 SMALL = 200_000
 
@@ -69,23 +71,43 @@ def ancestors(edges: DataFrame, path: str, small: int = SMALL) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All pairs (src, dst) joined by a path of one edge or more; paths double in each round."""
-    pairs = checkpointed(edges.select("src", "dst").distinct())
-    count = pairs.count()
-    while True:
-        step = pairs.alias("a").join(pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        pairs = checkpointed(pairs.unionByName(step).distinct())
-        count, before = pairs.count(), count
-        if count == before:
-            return pairs
+    """All pairs (src, dst) joined by a path of one edge or more: by nature up to the square of the number of nodes.
+
+    Paths double in each round, and only pairs found in the round before are joined: with all on either side.
+    """
+    pairs = front = checkpointed(edges.select("src", "dst").distinct())
+    while not front.isEmpty():
+        after = front.alias("a").join(pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+        before = pairs.alias("a").join(front.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+        front = checkpointed(after.unionByName(before).distinct().join(pairs, ["src", "dst"], "left_anti"))
+        pairs = pairs.unionByName(front)
+    return pairs
+
+
+TRIMS = 8
+
+
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges between nodes that have edges both in and out, after up to TRIMS rounds, and the nodes left out: each a component by itself."""
+    alone = None
+    for _ in range(TRIMS):
+        ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        gone = checkpointed(ends.groupBy("node").agg(F.max("out").alias("out"), F.max("in").alias("in")).where("out = 0 OR in = 0").select("node"))
+        if gone.isEmpty():
+            break
+        alone = gone if alone is None else alone.unionByName(gone)
+        left = checkpointed(edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        ended = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(gone, "node", "left_anti").join(left.select(F.col("src").alias("node")).union(left.select("dst")), "node", "left_anti")
+        alone, edges = alone.unionByName(checkpointed(ended)), left
+    return edges, alone
 
 
 def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """node and component (its least node) of every node with an edge."""
     if is_small(edges, small):
         return _in_one_task(edges, lambda e: sorted(_small.strong_components(e).items()), "node string, component string")
-    edges = checkpointed(edges.select("src", "dst").distinct())
-    done = None
+    edges, done = _trimmed(checkpointed(edges.select("src", "dst").distinct()))
+    done = None if done is None else done.withColumn("colour", F.col("node"))
     left = checkpointed(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
     while not left.isEmpty():
         inner = checkpointed(edges.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
@@ -182,32 +204,39 @@ class ImportGraph:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ImportGraph:
-        """Read node-link JSON; a missing file is an empty graph."""
+        """Read what ``save`` wrote; a missing file is an empty graph."""
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             return cls.empty(spark)
-        whole = spark.read.schema("nodes array<string>, edges array<array<bigint>>").json(path, multiLine=True)
+        whole = spark.read.schema("tables string, nodes array<string>, edges array<array<bigint>>").json(path, multiLine=True)
+        if tables := whole.select("tables").first().tables:
+            return cls(spark.read.schema(NODES).parquet(f"{tables}/nodes"), spark.read.schema(EDGES).parquet(f"{tables}/edges"))
         nodes = whole.select(F.posexplode("nodes").alias("position", "file_path"))
         pairs = whole.select(F.explode("edges").alias("e")).select(F.col("e")[0].alias("a"), F.col("e")[1].alias("b"))
         edges = pairs.join(nodes.select(F.col("position").alias("a"), F.col("file_path").alias("src")), "a").join(nodes.select(F.col("position").alias("b"), F.col("file_path").alias("dst")), "b")
         return cls.of(nodes.select("file_path"), edges.select("src", "dst"))
 
-    def save(self, path: str) -> None:
-        """Write node-link JSON, nodes and edges sorted, by a staged file. The whole graph becomes one document, hence the check of its size; larger graphs stay tables."""
-        if not is_small(self.edges):
-            raise ValueError(f"over {SMALL} edges: keep the graph as tables")
-        nodes = [r.file_path for r in self.nodes.select("file_path").distinct().orderBy("file_path").collect()]
-        at = {x: i for i, x in enumerate(nodes)}
-        edges = sorted([at[r.src], at[r.dst]] for r in self.edges.distinct().collect() if r.src in at and r.dst in at)
+    def save(self, path: str, small: int = SMALL) -> None:
+        """Write node-link JSON, nodes and edges sorted; of a graph of more than ``small`` edges or nodes, which can't be one document, two tables and a JSON file that names their folder. Either takes the old file's place in one step.
+
+        Tables that no file names any more are dropped after that, but for the last.
+        """
         spark = self.nodes.sparkSession
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        staged = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
-        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        out = fs.create(staged, True)
-        out.write(bytearray(json.dumps({"nodes": nodes, "edges": edges}, indent=2).encode()))
-        out.close()
-        fs.delete(target, False)
-        fs.rename(staged, target)
+        if is_small(self.edges, small) and is_small(self.nodes, small):
+            nodes = [r.file_path for r in self.nodes.select("file_path").distinct().orderBy("file_path").collect()]
+            at = {x: i for i, x in enumerate(nodes)}
+            edges = sorted([at[r.src], at[r.dst]] for r in self.edges.distinct().collect() if r.src in at and r.dst in at)
+            replace_file(spark, path, json.dumps({"nodes": nodes, "edges": edges}, indent=2).encode())
+            return
+        own = f"{path}.tables/{time.time_ns():020d}"
+        self.nodes.select("file_path").distinct().repartitionByRange("file_path").write.parquet(f"{own}/nodes")
+        inner = self.edges.select("src", "dst").distinct().join(self.nodes.select(F.col("file_path").alias("src")).distinct(), "src", "left_semi").join(self.nodes.select(F.col("file_path").alias("dst")).distinct(), "dst", "left_semi")
+        inner.select("src", "dst").repartitionByRange("src").sortWithinPartitions("src", "dst").write.parquet(f"{own}/edges")
+        replace_file(spark, path, json.dumps({"tables": own}).encode())
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.tables")
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for name in sorted(x.getPath().getName() for x in fs.listStatus(folder))[:-2]:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.tables/{name}"), True)
 
     def _of(self, path: str, imports: list[str]) -> DataFrame:
         return self.nodes.sparkSession.createDataFrame([(path, x) for x in imports], EDGES)

@@ -1,12 +1,14 @@
-"""The symbol store: versions of the buckets of one parquet table, swapped by a pointer file."""
+"""The symbol store: versions of the buckets of one parquet table, named by numbered pointer files."""
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 import zlib
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +16,12 @@ from pyspark.sql import types as T
 from codeloom.schema import SYMBOLS, VECTOR_SIZE
 
 
-def last_definition(rows: DataFrame, key: str = "id", order: str = "start_line") -> DataFrame:
-    """One row for each key: the one that stands last."""
-    by = [F.col(order).desc_nulls_last()] if order in rows.columns else [F.lit(0)]
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where("__n = 1").drop("__n")
+def last_definition(rows: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """One row for each key: the one that stands last by ``order``, by default start_line where there is one, else the rows' order in their table."""
+    order = order or ("start_line" if "start_line" in rows.columns else None)
+    placed = rows.withColumn("__at", F.monotonically_increasing_id())
+    by = [F.col(order).desc_nulls_last()] if order else []
+    return placed.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*by, F.desc("__at")))).where("__n = 1").drop("__n", "__at")
 
 
 def upsert(target: DataFrame, source: DataFrame, key: str = "id") -> DataFrame:
@@ -65,30 +69,61 @@ def get_by_directory(rows: DataFrame, directory: str, column: str = "file_path")
     return rows.where(F.col(column).startswith(directory.rstrip("/") + "/"))
 
 
-BUCKETS = 64
+BUCKETS, GROW = 64, 256 << 20
+_POINTER = re.compile(r"CURRENT-(\d{12})")
 
 
 class SymbolStore:
     """A table in a folder that all executors reach, split into buckets by a checksum of the file path.
 
-    A write makes new files for the buckets it concerns, however large the others are, and then swaps a pointer that names each bucket's version; files are sorted by path, so prefix
-    and equality filters skip row groups, and the lookup of a file or an id reads its bucket only. Readers keep the version they opened, so a table may be read and replaced in one plan.
+    A write makes new files for the buckets it concerns, however large the others are, and then adds a pointer that names each bucket's version. Pointers are numbered, made once and never changed; the one with the greatest
+    number that can be read counts. So a writer that stops at any point leaves the table as it was before or after, a second writer of the same number fails, and readers keep the version they opened: a table may be read and
+    replaced in one plan. The last two pointers and what they name are kept. Files are sorted by path, so prefix
+    and equality filters skip row groups, and the lookup of a file or an id reads its bucket only. When a bucket exceeds ``grow`` bytes, the number of buckets is doubled in a write of all: each row is
+    rewritten so a bounded number of times, and a bucket's size, which is what a small write costs, doesn't grow with the table.
     Files go through Hadoop's file systems, not through local paths.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType = SYMBOLS, buckets: int = BUCKETS) -> None:
-        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType = SYMBOLS, buckets: int = BUCKETS, grow: int = GROW) -> None:
+        self.spark, self.path, self.schema, self.buckets, self.grow = spark, path.rstrip("/"), schema, buckets, grow
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> dict | None:
-        at = f"{self.path}/CURRENT"
-        if not self._fs.exists(self._path(at)):
+    def _numbers(self) -> list[int]:
+        """The numbers of all pointers, greatest first."""
+        folder = self._path(self.path)
+        names = [x.getPath().getName() for x in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return sorted((int(m[1]) for m in map(_POINTER.fullmatch, names) if m), reverse=True)
+
+    def _at(self, number: int) -> str:
+        return f"{self.path}/CURRENT-{number:012d}"
+
+    def _load(self, number: int) -> dict | None:
+        """A pointer, or nothing if it can't be read: it was never finished, or is gone since."""
+        try:
+            file = self._fs.open(self._path(self._at(number)))
+        except Py4JJavaError as e:
+            if "FileNotFoundException" not in str(e.java_exception):
+                raise
+            return None
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")) | {"number": number}
+        except ValueError:
             return None
-        found = json.loads("".join(r.value for r in self.spark.read.text(at).collect()))
-        self.buckets = found["buckets"]
-        return found
+        finally:
+            file.close()
+
+    def _pointer(self) -> dict | None:
+        for _ in range(3):  # pointers that were listed may have given way to newer ones
+            numbers = self._numbers()
+            for number in numbers:
+                if found := self._load(number):
+                    self.buckets = found["buckets"]
+                    return found
+            if not numbers:
+                break
+        return None
 
     def bucket_of(self, path: str) -> int:
         return zlib.crc32(path.encode()) % self.buckets
@@ -96,7 +131,7 @@ class SymbolStore:
     def ensure(self) -> SymbolStore:
         """Create an empty table if there is none."""
         if self._pointer() is None:
-            self._swap({"buckets": self.buckets, "versions": {}}, None)
+            self._add({"buckets": self.buckets, "versions": {}})
         return self
 
     def read(self, buckets: list[int] | None = None) -> DataFrame:
@@ -105,38 +140,64 @@ class SymbolStore:
         paths = [f"{self.path}/versions/{v}/bucket={k}" for k, v in versions.items() if buckets is None or int(k) in buckets]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def _swap(self, pointer: dict, before: dict | None) -> None:
-        """Put a pointer in place; versions that neither it nor the one before names are dropped."""
-        version = uuid.uuid4().hex
-        staged, current = self._path(f"{self.path}/CURRENT.{version}"), self._path(f"{self.path}/CURRENT")
-        out = self._fs.create(staged, True)
-        out.write(bytearray(json.dumps(pointer).encode()))
+    def _add(self, pointer: dict) -> None:
+        """Add the next pointer; then drop the pointers before the last two, and the versions that only these name."""
+        numbers = self._numbers()
+        number = max(numbers, default=0) + 1
+        out = self._fs.create(self._path(self._at(number)), False)
+        out.write(bytearray(json.dumps({"buckets": pointer["buckets"], "versions": pointer["versions"]}).encode()))
         out.close()
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        if not self._fs.rename(staged, current):
-            raise OSError(f"{self.path}: the pointer can't be replaced")
-        live = set(pointer["versions"].values()) | set((before or pointer)["versions"].values())
+        known = {n: self._load(n) for n in numbers}
+        readable = [n for n in numbers if known[n]]
+        kept = set(pointer["versions"].values()).union(*[known[n]["versions"].values() for n in readable[:1]])
+        for n in readable[1:]:
+            for version in set(known[n]["versions"].values()) - kept:
+                self._fs.delete(self._path(f"{self.path}/versions/{version}"), True)
+        for n in numbers:
+            if readable and n < readable[0]:
+                self._fs.delete(self._path(self._at(n)), False)
+
+    def vacuum(self, seconds: float = 86_400) -> None:
+        """Drop versions that no pointer names, of writers that stopped, if they are older than that."""
+        live = {v for n in self._numbers() if (p := self._load(n)) for v in p["versions"].values()}
         folder = self._path(f"{self.path}/versions")
-        for status in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
-            if status.getPath().getName() not in live:
+        for status in self._fs.listStatus(folder) if live and self._fs.exists(folder) else []:
+            name = status.getPath().getName()
+            if name not in live and int(name.partition("-")[0]) < time.time_ns() - seconds * 1e9:
                 self._fs.delete(status.getPath(), True)
 
-    def _write(self, rows: DataFrame, concerned: list[int]) -> None:
-        """``rows`` become all there is in the concerned buckets."""
-        before = self._pointer() or {"buckets": self.buckets, "versions": {}}
+    def _write(self, rows: DataFrame, concerned: list[int] | None) -> None:
+        """``rows`` become all there is in the concerned buckets, or in the table."""
+        before = self._pointer() or {"versions": {}}
         version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         checked = rows.select(*[F.col(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name).cast(f.dataType) for f in self.schema.fields])
         for f in self.schema.fields:
             if isinstance(f.dataType, T.ArrayType) and f.name.endswith("_vector"):
                 wrong = F.raise_error(F.concat(F.lit(f"{f.name}: not {VECTOR_SIZE} numbers for "), F.col("id"))).cast("array<float>")
                 checked = checked.withColumn(f.name, F.when(F.size(f.name) == VECTOR_SIZE, F.col(f.name).cast("array<float>")).otherwise(wrong))
-        placed = checked.withColumn("bucket", self._bucket()).repartition("bucket").sortWithinPartitions("bucket", "file_path", "id")
+        made = self._files(checked, version, self.buckets)
+        kept = {} if concerned is None else {k: v for k, v in before["versions"].items() if int(k) not in concerned}
+        pointer = {"buckets": self.buckets, "versions": kept | dict.fromkeys(made, version)}
+        self._add(pointer)
+        if (largest := max(made.values(), default=0)) > self.grow:
+            self._double(largest)
+
+    def _files(self, rows: DataFrame, version: str, buckets: int) -> dict[str, int]:
+        """Write rows by bucket; the bytes of each bucket that has any."""
+        placed = rows.withColumn("bucket", (F.crc32(F.col("file_path")) % buckets).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "file_path", "id")
         placed.write.partitionBy("bucket").parquet(f"{self.path}/versions/{version}")
-        folder = self._path(f"{self.path}/versions/{version}")
-        made = {status.getPath().getName().removeprefix("bucket=") for status in self._fs.listStatus(folder) if status.isDirectory()}
-        versions = {k: v for k, v in before["versions"].items() if int(k) not in concerned} | dict.fromkeys(made, version)
-        self._swap({"buckets": self.buckets, "versions": versions}, before)
+        folders = [x.getPath() for x in self._fs.listStatus(self._path(f"{self.path}/versions/{version}")) if x.isDirectory()]
+        return {x.getName().removeprefix("bucket="): self._fs.getContentSummary(x).getLength() for x in folders}
+
+    def _double(self, largest: int) -> None:
+        """Write the table in twice as many buckets, or as many times twice as the largest one asks for."""
+        while largest > self.grow:
+            self.buckets, largest = self.buckets * 2, largest // 2
+        buckets, rows = self.buckets, self.read()  # reading takes the number from the pointer
+        version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        made = self._files(rows, version, buckets)
+        self.buckets = buckets
+        self._add({"buckets": buckets, "versions": dict.fromkeys(made, version)})
 
     def _bucket(self, column: str = "file_path") -> Column:
         return (F.crc32(F.col(column)) % self.buckets).cast("int")

@@ -10,6 +10,7 @@ import os
 import subprocess
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 from datetime import UTC, datetime
@@ -163,3 +164,18 @@ def atomic_write(path: str | Path, content: str) -> None:
         with suppress(OSError):
             os.unlink(staged)
         raise
+
+
+def replace_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write a file of any of Hadoop's file systems by a staged one beside it, which takes its place in one rename."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs
+    target, staged = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}")
+    context = fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(staged, False)
+    out.write(bytearray(content))
+    out.close()
+    kind = getattr(fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context.rename(staged, target, how)

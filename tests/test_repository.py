@@ -1,6 +1,7 @@
 """Scanning, extraction, resolution, indexing, rendering, editing and the command line on a small repository."""
 
 import json
+import random
 import subprocess
 
 import pytest
@@ -241,7 +242,7 @@ def test_store_versions(spark, tmp_path):
     s.replace_files(make(row("a::h", "a")))
     s.delete_by_file("my_pkg/b")
     assert {r.id for r in s.read().collect()} == {"a::h", "myXpkg/b::g"}
-    live = set(json.loads((tmp_path / "s" / "CURRENT").read_text())["versions"].values())
+    live = set(json.loads(sorted((tmp_path / "s").glob("CURRENT-*"))[-1].read_text())["versions"].values())
     assert live <= {p.name for p in (tmp_path / "s" / "versions").iterdir()} and len(live) == 2  # each bucket has its own
     found = s.get_by_file("a")
     assert "EqualTo(file_path,a)" in found._jdf.queryExecution().toString() and all(f"/bucket={s.bucket_of('a')}/" in f for f in found.inputFiles())
@@ -250,6 +251,72 @@ def test_store_versions(spark, tmp_path):
     assert s.read().count() == 2
 
 
+def symbol(i, path, d="x", vector=None):
+    return (i, path, "function", d, vector or [0.0] * 256, "", [0.0] * 256, "h", "t", "a", 0, "r")
+
+
+def test_store_survives_a_stop_at_any_point(spark, tmp_path, monkeypatch):
+    home = tmp_path / "s"
+    s = store.SymbolStore(spark, f"file://{home}").ensure()
+    make = lambda *rows: spark.createDataFrame(list(rows), s.schema)
+    rows = [symbol(f"{k}::f", str(k)) for k in range(50)]
+    s.upsert(make(*rows))
+    old, new = {r[0] for r in rows}, {r[0] for r in rows} | {"n::f"}
+    ids = lambda: {r.id for r in store.SymbolStore(spark, f"file://{home}").read().collect()}
+
+    class Stop(Exception):
+        pass
+
+    def stop(*_):
+        raise Stop
+
+    with monkeypatch.context() as m, pytest.raises(Stop):  # files of the version are there, no pointer
+        m.setattr(store.SymbolStore, "_add", stop)
+        s.upsert(make(symbol("n::f", "n")))
+    assert ids() == old
+    for garbage in ("", '{"buckets": 64, "vers'):  # the pointer is begun, not finished
+        last = int(max(p.name for p in home.glob("CURRENT-*"))[-12:])
+        (home / f"CURRENT-{last + 1:012d}").write_text(garbage)
+        assert ids() == old
+    s.upsert(make(symbol("n::f", "n")))
+    assert ids() == new
+    for pointer in sorted(home.glob("CURRENT-*"))[-1:]:  # the last pointer is lost: the table before it
+        text = pointer.read_text()
+        pointer.unlink()
+        assert ids() == old
+        pointer.write_text(text)
+    for k in range(4):
+        s.upsert(make(symbol(f"{k}::g", str(k))))
+    assert len(ids()) == 55 and len(list(home.glob("CURRENT-*"))) <= 3
+    before = len(list((home / "versions").iterdir()))
+    s.vacuum(0)
+    assert len(list((home / "versions").iterdir())) < before and len(ids()) == 55
+    opened = s.read()
+    s.delete_by_file("7")
+    assert opened.count() == 55 and len(ids()) == 54
+    with pytest.raises(Exception, match="exist"):  # another writer took the number
+        last = s._numbers()[0]
+        monkeypatch.setattr(store.SymbolStore, "_numbers", lambda self: [last - 1])
+        s._add({"buckets": 64, "versions": {}})
+
+
+def test_store_buckets_grow(spark, tmp_path):
+    rnd = random.Random(1)
+    s = store.SymbolStore(spark, f"file://{tmp_path}/s", buckets=2, grow=60_000).ensure()
+    for k in range(4):
+        s.upsert(spark.createDataFrame([symbol(f"{i}::f", str(i), vector=[rnd.random() for _ in range(256)]) for i in range(100 * k, 100 * k + 100)], s.schema))
+    again = store.SymbolStore(spark, f"file://{tmp_path}/s")
+    assert {r.id for r in again.read().collect()} == {f"{i}::f" for i in range(400)} and again.buckets > 4
+    assert [r.id for r in again.get_by_id("333::f").collect()] == ["333::f"] and len(again.get_by_file("333").inputFiles()) == 1
+
+
+def test_the_last_definition_wins(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("a", 2), ("b", 1)], "id string, v int").coalesce(1)
+    assert {r.id: r.v for r in store.last_definition(rows).collect()} == {"a": 2, "b": 1}
+    assert {r.id: r.v for r in store.last_definition(rows, order="v").collect()} == {"a": 3, "b": 2}
+    assert {r.id: r.v for r in store.last_definition(rows.withColumnRenamed("v", "start_line")).withColumnRenamed("start_line", "v").collect()} == {"a": 3, "b": 2}
+
+
 def test_stream_maintains_store(spark, tmp_path):
     from codeloom.streaming import incremental
 
@@ -330,3 +397,25 @@ def test_graph_ways_agree(spark, tmp_path):
     assert edges[0][0] not in {x for r in less.edges.collect() for x in r}
     assert {r.dst for r in g.update_file("alone", ["n01", "n02"]).edges.where("src = 'alone'").collect()} == {"n01", "n02"}
     assert [r.position for r in graph.node_positions(g.nodes).orderBy("file_path").collect()] == list(range(g.nodes.count()))
+
+
+def test_large_graphs_are_saved_as_tables(spark, tmp_path):
+    path = f"file://{tmp_path}/imports.json"
+    edges = [(f"f{i}", f"f{i + 1}") for i in range(60)] + [("f60", "f0"), ("a", "f3")]
+    make = lambda e: graph.ImportGraph.of(spark.createDataFrame([("lonely",)], "file_path string"), spark.createDataFrame(e, "src string, dst string"))
+    for k in range(4):  # as a document, then as tables, and back
+        make(edges[k:]).save(path, 10 if k % 3 else 1000)
+        again = graph.ImportGraph.load(spark, path)
+        assert {tuple(r) for r in again.edges.collect()} == set(edges[k:]) and "lonely" in {r.file_path for r in again.nodes.collect()}
+        assert ("tables" in json.loads((tmp_path / "imports.json").read_text())) == bool(k % 3)
+    again.update_file("a", []).save(path, 10)
+    assert ("a", "f3") not in {tuple(r) for r in graph.ImportGraph.load(spark, path).edges.collect()}
+
+
+def test_ways_of_large_graphs_on_chains_and_cycles(spark):
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(14)] + [("x", "y"), ("y", "z"), ("z", "x"), ("c3", "x"), ("z", "c9"), ("s", "s"), ("p", "q"), ("q", "p")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    want = {r.node: r.component for r in graph.strong_components(df).collect()}
+    assert {r.node: r.component for r in graph.strong_components(df, small=0).collect()} == want and len(want) == len({x for e in edges for x in e})
+    reach = {(a, b) for a in {x for e in edges for x in e} for b in graph._small.reached(edges, a)}
+    assert {tuple(r) for r in graph.closure(df).collect()} == reach
