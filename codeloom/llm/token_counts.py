@@ -18,7 +18,6 @@ stay null; columns but the id and the text are left out, so their names don't ma
 from __future__ import annotations
 
 import re
-from collections import ChainMap
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import takewhile
@@ -30,13 +29,14 @@ from sentencepiece import SentencePieceProcessor
 
 from codeloom.llm._common import parts, texts
 
-MARK, GAPS, CACHED, CACHE_BYTES = "▁", "\t\n", 64, 96 << 20
-_PRE_TOKENS = re.compile(f"{MARK}*[^{MARK}{GAPS}]+|{MARK}+|[{GAPS}]").findall
+MARK, GAPS, CACHED, CACHE_BYTES = "▁", "\t\n", 64, 128 << 20
+_PRE_TOKENS = re.compile(f" *[^ {GAPS}]+| +|[{GAPS}]").findall
+_HALF = 40  # a pair of counts is one number, so that sums of pairs are sums of numbers
 
 
 def pre_tokens(text: str) -> list[str]:
-    """The pre-tokens of a whole text, in order."""
-    return _PRE_TOKENS(MARK + text.replace(" ", MARK)) if text else []
+    """The pre-tokens of a whole text in order, with plain spaces."""
+    return _PRE_TOKENS(" " + (text.replace(MARK, " ") if MARK in text else text)) if text else []
 
 
 class UnigramCounter:
@@ -47,7 +47,7 @@ class UnigramCounter:
             raise ValueError(f"pieces that join pre-tokens aren't supported: {odd[:3]}")
         self.pieces, self.byte, self.library = pieces, byte, library
         self.tails = {p[i:] for p in pieces for i in range(len(p))}
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
         self.held = 0
 
     def count_all(self, words: list[str]) -> dict[str, int]:
@@ -79,16 +79,20 @@ class UnigramCounter:
             self.known.clear()
             self.held = 0
         split = [pre_tokens(x) for x in rows]
-        new = set().union(*split).difference(self.known)
-        counts = self.count_all(sorted(new))
-        found = {w: (n, self.library(w) if self.library else n) for w, n in counts.items()}
-        short = {w: n for w, n in found.items() if len(w) <= CACHED}
-        self.known |= short
-        self.held += sum(250 + 4 * len(w) for w in short)
-        known = ChainMap(found, self.known) if len(short) < len(found) else self.known
+        new = {w.replace(" ", MARK): w for w in set().union(*split).difference(self.known)}
+        long = []
+        for word, n in self.count_all(sorted(new)).items():
+            raw = new[word]
+            self.known[raw] = n << _HALF | (self.library(raw) if self.library else n)
+            self.held += 200 + 4 * len(raw)
+            if len(raw) > CACHED:
+                long.append(raw)
         for text, words in zip(rows, split, strict=True):
-            both = [known[w] for w in words]
-            yield len(text.split()), sum(n for n, _ in both), sum(m for _, m in both)
+            both = sum(map(self.known.__getitem__, words))
+            yield len(text.split()), both >> _HALF, both & (1 << _HALF) - 1
+        for raw in long:
+            self.held -= 200 + 4 * len(raw)
+            del self.known[raw]
 
 
 def zipf(ranks: int) -> np.ndarray:
@@ -112,8 +116,8 @@ def load(path: str) -> UnigramCounter:
     start = len(model.encode("\n"))  # what the library counts for the space before a text and a character of GAPS
 
     def library(word: str) -> int:
-        if word[0] == MARK:
-            return len(model.encode(word[1:].replace(MARK, " "))) if len(word) > 1 else 1
+        if word[0] == " ":
+            return len(model.encode(word[1:])) if len(word) > 1 else 1
         return 1 if word in GAPS else len(model.encode("\n" + word)) - start
 
     return UnigramCounter(dict(zip(pieces, scores.tolist(), strict=False)), byte, library)
