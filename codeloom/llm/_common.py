@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 
 import numpy as np
@@ -56,6 +56,13 @@ def with_fields(schema: T.StructType, added: str, drop: int = 0) -> T.StructType
     return T.StructType(schema.fields[: len(schema.fields) - drop] + [T.StructField(name, kinds[kind]) for name, kind in (x.split() for x in added.split(", "))])
 
 
+def with_columns_of(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: str, drop: int = 0) -> DataFrame:
+    """``df`` without its last ``drop`` columns and with fields that ``run`` puts at the end of each batch. While it runs, columns are named c0, c1 and so on, as ``mapInArrow`` doesn't take any name."""
+    names = df.columns[: len(df.columns) - drop]
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return plain.mapInArrow(run, with_fields(plain.schema, added, drop)).toDF(*names, *[x.split()[0] for x in added.split(", ")])
+
+
 def utf8_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets, without a copy where Arrow allows it; null counts as empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -31,9 +31,9 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from codeloom.llm._common import parts, texts, with_fields
+from codeloom.llm._common import parts, texts, with_columns_of
 
-LONG, CACHED, CACHE_BYTES = 256, 64, 64 << 20
+LONG, CACHED, CACHE_BYTES = 256, 64, 128 << 20
 _NEVER = 1 << 60
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]").search
 
@@ -162,6 +162,7 @@ def load(path: str) -> WordBpe:
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """``docs`` with ids array<int> and decoded string; columns of these names are replaced."""
     kept = docs.drop("ids", "decoded")
+    text = f"c{kept.columns.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
@@ -169,7 +170,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> Da
             ids = [bpe.encode(x) for x in texts(batch, text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(bpe.decode, ids), pa.string())], [*batch.schema.names, "ids", "decoded"])
 
-    return kept.mapInArrow(run, with_fields(kept.schema, "ids array<int>, decoded string"))
+    return with_columns_of(kept, run, "ids array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

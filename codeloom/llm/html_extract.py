@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codeloom.llm._common import texts, with_fields
+from codeloom.llm._common import texts, with_columns_of
 
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|/?[a-zA-Z][^>]*(?:>|\Z))""", re.DOTALL)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -289,8 +289,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(x) for x in texts(batch, "__html")]
+            found = [main_text(x) for x in texts(batch, f"c{len(kept)}")]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], [*batch.schema.names[:-1], "text", "n_chars"])
 
     source = pages.select(*[f"`{c}`" for c in kept], pages[f"`{html}`"].alias("__html"))
-    return source.mapInArrow(run, with_fields(source.schema, "text string, n_chars bigint", drop=1))
+    return with_columns_of(source, run, "text string, n_chars bigint", drop=1)

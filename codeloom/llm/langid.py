@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm._common import parts, slices, utf8_column, with_fields
+from codeloom.llm._common import parts, slices, utf8_column, with_columns_of
 
 SAMPLE, ALL_ROWS, MOST_LANGUAGES, LABEL, BINS, STEEPNESS, SLICE = 300, 6000, 64, 100, 4096, 2.5, 1 << 20
 # Families of common languages by ISO 639-1 code. A code that isn't here is a family of its own.
@@ -217,9 +217,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return fit(np.stack([x for _, x in rows]) if rows else np.zeros((0, BINS)), np.array([name for name, _ in rows], object))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; columns of these names are replaced."""
-    kept = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the predicted language and its score in the columns ``pred`` and ``score``; columns of these names are replaced."""
+    kept = docs.drop(pred, score)
+    text = f"c{kept.columns.index(text)}"
     box = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +228,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in parts(batches):
             data, offsets = utf8_column(batch, text)
             named = [x is not None and _LETTER.search(x) is not None for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            langs, score = own.decide(own.margins(data, offsets)) if own.langs else (["und"] * batch.num_rows, np.zeros(batch.num_rows))
-            pred = [x if ok else "und" for x, ok in zip(langs, named, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.where(named, score, 0.0), pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            langs, sure = own.decide(own.margins(data, offsets)) if own.langs else (["und"] * batch.num_rows, np.zeros(batch.num_rows))
+            found = [x if ok else "und" for x, ok in zip(langs, named, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(np.where(named, sure, 0.0), pa.float64())], [*batch.schema.names, pred, score])
 
-    return kept.mapInArrow(run, with_fields(kept.schema, "lang_pred string, score double"))
+    return with_columns_of(kept, run, f"{pred} string, {score} double")

@@ -29,7 +29,7 @@ def docs_of(spark, rows=CASES):
 
 def clashing(spark):
     """Extra columns whose names the operators use themselves."""
-    return docs_of(spark, [(i, t) for i, t in CASES if t != LONG]).selectExpr("*", "1 AS size", "2 AS slot", "3 AS shard", "4 AS key", "'x' AS hash", "5 AS count", "6 AS ids", "7 AS kept", "8 AS score", "9 AS n_bytes", "'y' AS lang", "0 AS __dup", "1.5D AS `odd name`")
+    return docs_of(spark, [(i, t) for i, t in CASES if t != LONG]).selectExpr("*", "1 AS size", "2 AS slot", "3 AS shard", "4 AS key", "'x' AS hash", "5 AS count", "6 AS ids", "7 AS kept", "8 AS score", "9 AS n_bytes", "'y' AS lang", "0 AS __dup", "1.5D AS `odd name`", "7 AS `a.b`")
 
 
 def lowered(text):
@@ -318,7 +318,7 @@ def test_wide_fingerprints():
     for text in ["", None, "a", "A a b", "one two three four Five É", " ".join(f"w{i}" for i in range(9000))]:
         with np.errstate(over="ignore"):
             assert near_copies.bits(text, 100).tolist() == brute_bits(text, 100)
-    assert near_copies.shape(0) == near_copies.shape(1 << 20) == (21, 12) and near_copies.shape(10**11)[0] == 38
+    assert near_copies.shape(0) == near_copies.shape(1 << 20) == (24, 14) and near_copies.shape(10**11) == (41, 85)
 
 
 @pytest.mark.parametrize("hot", [2, 32])
@@ -373,23 +373,23 @@ def test_suffix_dedup(spark, hot, memory, monkeypatch):
 
 
 @pytest.mark.parametrize("memory", [0, 300, 1 << 20])
-@pytest.mark.parametrize("step", [1, 3, 1 << 16])
-def test_suffix_order(memory, step, monkeypatch, tmp_path):
+@pytest.mark.parametrize(("step", "least"), [(1, 1), (3, 4), (1 << 16, 1), (1 << 16, 13)])
+def test_suffix_order(memory, step, least, monkeypatch, tmp_path):
     monkeypatch.setattr(suffix_dedup, "STEP", step)
     rnd = random.Random(8)
     for _ in range(40):
         strings = [bytes(rnd.choice(b"abc"[: rnd.choice([2, 3])]) for _ in range(rnd.randrange(0, 12))) for _ in range(rnd.randrange(1, 9))]
         data, offsets = np.frombuffer(b"".join(strings), np.uint8), np.concatenate([[0], np.cumsum([len(s) for s in strings])]).astype(np.int64)
         store = suffix_dedup.Store(f"file:{tmp_path}", memory)
-        before, shared, start = (np.concatenate([np.zeros(0, np.int64), *tape.read()]) for tape in suffix_dedup.suffix_order(data, offsets, store))
+        before, shared, start = (np.concatenate([np.zeros(0, np.int64), *tape.read()]) for tape in suffix_dedup.suffix_order(data, offsets, store, least))
         store.close()
         tails = {int(offsets[i]) + k: s[k:] for i, s in enumerate(strings) for k in range(len(s))}
         start, shared, before = start[len(strings) :], shared[len(strings) :], before[len(strings) :]
-        assert sorted(start.tolist()) == sorted(tails)
-        ordered = [tails[p] for p in start.tolist()]
-        assert ordered == sorted(ordered)
+        ordered = sorted(tails.values())
+        assert [p if p < len(data) else None for p in start.tolist()] == [p if len(tails[p]) >= least else None for p in sorted(tails, key=lambda p: (tails[p], start.tolist().index(p) if p in start else 0))]
         assert [len(os.path.commonprefix([a, b])) for a, b in zip(ordered, ordered[1:], strict=False)] == shared[1:].tolist()
-        assert [255 if p in offsets else data[p - 1] for p in start.tolist()] == before.tolist()
+        if least == 1:
+            assert [255 if p in offsets else data[p - 1] for p in start.tolist()] == before.tolist()
         assert (store.written > 0) == (memory == 0) or memory == 300
     assert os.listdir(tmp_path) == []
 
@@ -565,6 +565,25 @@ def test_language_cases(spark):
     assert langid.predict(clashing(spark), model).count() == len(CASES) - 1 and langid.predict(docs_of(spark).limit(0), model).collect() == []
 
 
+def test_language_sample_is_bounded(spark):
+    words = {"en": "the and of that", "de": "der und das nicht", "fr": "le et la que"}
+    one_id = [(i, f"{words[x]} {x}{k}", x) for x, i in (("en", 27), ("de", 0)) for k in range(3000)]
+    same = [(5, "le et la que", "fr")] * 3000 + [(1000 + k, f"que la et {k} le", "fr") for k in range(30)]
+    docs = spark.createDataFrame(one_id + same, "doc_id long, text string, lang string")
+    chosen, each = langid.sampled(docs, "doc_id", "text", "lang", langid.SAMPLE)
+    counts = {r.l: r.n for r in chosen.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    assert each == langid.SAMPLE and all(each <= counts[x] <= 2 * each for x in ("en", "de")) and 15 <= counts["fr"] <= 31
+    model = langid.train(docs)
+    assert model.langs == ["de", "en", "fr"] and {r.doc_id: r.lang_pred for r in langid.predict(docs_of(spark, [(1, "the and of"), (2, "das und der"), (3, "la que le")]), model).collect()} == {1: "en", 2: "de", 3: "fr"}
+
+
+def test_any_number_of_labels(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ALL_ROWS", 90)
+    rows = [(k, f"w{k % 700} x", f"l{k % 700}") for k in range(1400)] + [(5000 + k, "the and of that", "en") for k in range(60)] + [(6000 + k, "der und das nicht", "de") for k in range(50)] + [(7000, "x", ""), (7001, "y", "z" * 5000)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) <= langid.MOST_LANGUAGES and {"en", "de"} <= set(model.langs) and model.weights.shape[1] <= langid.MOST_LANGUAGES**2
+
+
 def test_margins_are_those_of_histograms(monkeypatch):
     rnd = random.Random(10)
     texts = ["".join(rnd.choice("abcdeé ,") for _ in range(rnd.randrange(0, 300))).encode() for _ in range(40)] + [b"", "é".encode() * 500]

@@ -105,6 +105,20 @@ def test_passages_go(spark, docs):
         assert docs[1].text[150:210] not in after[900_007].text and after[900_007].n_chars == len(after[900_007].text)
 
 
+def test_columns_of_any_name_pass(spark):
+    """Names that operators use, with values that must come back, through all stages that return documents."""
+    own = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    names = ["score", "lang_pred", "n_bytes", "n_removed", "n_spans", "kept", "keep_id", "node", "segments", "fp", "key", "hash", "block", "rest", "size", "count", "component_id", "odd name", "a.b"]
+    df = own.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, df, "")
+        assert after.columns == df.columns
+        rows = after.collect()
+        assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names)
+        df = spark.createDataFrame(rows, df.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, df, "").count() >= len(rows)
+
+
 def test_run(spark, docs):
     rows = corpus_pipeline.run(spark, docs[0]).collect()
     assert rows and max(r.offset + r.length for r in rows) <= 1024
