@@ -1,4 +1,8 @@
-"""The command line: index search graph egg get put assert score rank."""
+"""The command line: index search graph egg get put assert score rank.
+
+Models are asked over HTTP with the key in OPENAI_API_KEY (environment or .env), at OPENAI_BASE_URL if that is set. With ``--stub`` before the verb, or CODELOOM_CLIENT=stub, answers are made by rule without a network; what is
+stored then is made up, and the log says so.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,8 @@ from codeloom.operators import edit, extract, index, semantic, vector
 from codeloom.operators.graph import ImportGraph
 from codeloom.operators.render import write_documents
 from codeloom.operators.store import SymbolStore
-from codeloom.sources.files import find_repo_root, resolve
+from codeloom.sources import provider
+from codeloom.sources.files import MissingKeyError, api_key, find_repo_root, resolve
 
 VERBS = ("index", "search", "graph", "egg", "get", "put", "assert", "score", "rank")
 
@@ -30,7 +35,7 @@ class Session:
 
     def __init__(self, client: semantic.ModelClient | None = None, spark: SparkSession | None = None) -> None:
         self.root = find_repo_root()
-        self.client = client or semantic.StubClient()
+        self._client = client
         self._spark = spark
         self.home = self.root / ".codeloom"
         self.graph_path = f"file://{self.home}/imports.json"
@@ -41,6 +46,12 @@ class Session:
             self._spark = SparkSession.builder.master(os.environ.get("CODELOOM_MASTER", "local[*]")).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
         return self._spark
 
+    @property
+    def client(self) -> semantic.ModelClient:
+        if self._client is None:
+            self._client = provider.HttpClient(api_key(start=self.root), os.environ.get("OPENAI_BASE_URL") or provider.BASE_URL)
+        return self._client
+
     @property
     def store(self) -> SymbolStore:
         self.home.mkdir(exist_ok=True)
@@ -171,12 +182,21 @@ def _rank(s: Session, a: argparse.Namespace) -> int:
 def main(argv: Sequence[str] | None = None, client: semantic.ModelClient | None = None, spark: SparkSession | None = None) -> int:
     """Run one verb; its exit code, 2 for an unknown one."""
     argv = list(sys.argv[1:] if argv is None else argv)
+    stub = argv[:1] == ["--stub"]
+    argv = argv[stub:]
     if not argv or argv[0] not in VERBS:
-        _log("codeloom", f"verbs: {' '.join(VERBS)}")
+        _log("codeloom", f"verbs: {' '.join(VERBS)}; --stub before a verb asks no model")
         return 2
+    if client is None and (stub or os.environ.get("CODELOOM_CLIENT") == "stub"):
+        _log(argv[0], "no model is asked: answers and vectors are made by rule")
+        client = semantic.StubClient()
     a = _parser().parse_args(argv)
     run = {"index": _index, "search": _search, "graph": _graph, "egg": _egg, "get": _get, "put": _put, "assert": _assert, "score": _score, "rank": _rank}
-    return run[a.verb](Session(client, spark), a)
+    try:
+        return run[a.verb](Session(client, spark), a)
+    except (provider.ServiceError, MissingKeyError) as e:
+        _log(a.verb, str(e))
+        return 1
 
 
 if __name__ == "__main__":

@@ -33,7 +33,10 @@ class IndexReport:
 
 
 def symbol_rows(files: DataFrame, symbols: DataFrame, described: DataFrame, client: semantic.ModelClient, metadata: DataFrame, repo: str, stored: DataFrame) -> DataFrame:
-    """Rows of the symbol table for files (path, content, source_hash): a row for each symbol and one for the module."""
+    """Rows of the symbol table for files (path, content, source_hash): a row for each symbol and one for the module.
+
+    A file of which a text couldn't be embedded has zeros there and no hash, so that the next run takes it for changed and asks again.
+    """
     matched = semantic.match_descriptions(symbols.where(F.col("error").isNull()), described)
     own = matched.select("file_path", symbol_id(F.col("file_path"), F.col("name")).alias("id"), "kind", "description", F.coalesce("signature", F.lit("")).alias("signature"), "start_line")
     parsed = files.join(symbols.where(F.col("error").isNotNull()).select(F.col("file_path").alias("path")).distinct(), "path", "left_anti")
@@ -42,7 +45,10 @@ def symbol_rows(files: DataFrame, symbols: DataFrame, described: DataFrame, clie
     rows = last_definition(rows).drop("start_line").join(files.select(F.col("path").alias("file_path"), "source_hash"), "file_path")
     rows = with_git_metadata(rows, metadata).withColumn("repo_id", F.lit(repo))
     rows = inherit_mutations(rows, stored.select("id", "file_path", "mutation_count"))
-    return rows.withColumns({"description_vector": semantic.embed(F.col("description"), client, VECTOR_SIZE), "signature_vector": semantic.embed(F.col("signature"), client, VECTOR_SIZE)})
+    asked = checkpointed(rows.withColumns({"__d": semantic.embed_checked(F.col("description"), client, VECTOR_SIZE), "__s": semantic.embed_checked(F.col("signature"), client, VECTOR_SIZE)}))
+    failed = asked.where("__d.error IS NOT NULL OR __s.error IS NOT NULL").groupBy("file_path").agg(F.first(F.coalesce("__d.error", "__s.error")).alias("embed_error"))
+    hashed = asked.join(failed, "file_path", "left").withColumn("source_hash", F.when(F.col("embed_error").isNull(), F.col("source_hash")).otherwise(F.lit("")))
+    return hashed.withColumns({"description_vector": F.col("__d.vector"), "signature_vector": F.col("__s.vector")}).drop("__d", "__s")
 
 
 def index_directory(spark: SparkSession, root: str | Path, store: SymbolStore, graph: ImportGraph, client: semantic.ModelClient, directory: str = "", model: str = semantic.DESCRIBE_MODEL, effort: str = "medium", force: bool = False, prune: bool = False) -> IndexReport:
@@ -79,11 +85,11 @@ def index_directory(spark: SparkSession, root: str | Path, store: SymbolStore, g
     nodes = sound.select(F.col("path").alias("file_path"))
     known = graph.files().unionByName(nodes).distinct()
     graph = ImportGraph.of(checkpointed(known), checkpointed(graph.edges.join(paths.select(F.col("path").alias("src")), "src", "left_anti").select("src", "dst").unionByName(edges.join(known.withColumnRenamed("file_path", "src"), "src", "left_semi").select("src", "dst"))))
-    counted = rows.where("kind <> 'module'").groupBy("file_path").agg(F.count("*").alias("symbols"), F.count("description").alias("described"))
+    counted = rows.groupBy("file_path").agg(F.count_if(F.col("kind") != "module").alias("symbols"), F.count_if((F.col("kind") != "module") & F.col("description").isNotNull()).alias("described"), F.first("embed_error").alias("embed_error"))
     failures = wanted.where(F.col("error").isNotNull()).select("path", "error").unionByName(broken)
     done = wanted.select("path").join(failures, "path", "left").join(sound.select("path", F.lit(True).alias("new")), "path", "left").join(counted.withColumnRenamed("file_path", "path"), "path", "left").join(described.select(F.col("file_path").alias("path"), F.col("error").alias("note")), "path", "left")
     status = F.when(F.col("error").isNotNull(), "failed").when(F.col("new"), "indexed").otherwise("skipped")
-    report = done.select(F.col("path").alias("file_path"), status.alias("status"), F.coalesce("symbols", F.lit(0)).alias("symbols"), F.coalesce("described", F.lit(0)).alias("described"), F.coalesce("error", "note").alias("error"))
+    report = done.select(F.col("path").alias("file_path"), status.alias("status"), F.coalesce("symbols", F.lit(0)).alias("symbols"), F.coalesce("described", F.lit(0)).alias("described"), F.coalesce("error", "embed_error", "note").alias("error"))
     return IndexReport(report, graph)
 
 

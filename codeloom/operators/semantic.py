@@ -19,7 +19,8 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.accumulators import AccumulatorParam
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import score_value, verdict
@@ -142,6 +143,67 @@ class StubClient:
         return out, sum(len(t.split()) for t in texts)
 
 
+_COUNTS = ("calls", "input_tokens", "output_tokens", "cache_read", "cache_creation", "embedding_tokens")
+
+
+class _Sums(AccumulatorParam):
+    """Counters by model and name."""
+
+    def zero(self, value: dict) -> dict:
+        return {}
+
+    def addInPlace(self, a: dict, b: dict) -> dict:  # noqa: N802  the name that Spark calls
+        for key, n in b.items():
+            a[key] = a.get(key, 0) + n
+        return a
+
+
+@dataclass
+class MeteredClient:
+    """A client whose calls are counted where a Meter reads them, from the driver and from the workers."""
+
+    inner: ModelClient
+    sums: Any
+
+    def generate(self, request: Request) -> Answer:
+        got = self.inner.generate(request)
+        self.sums.add({(request.model, "calls"): 1} | {(request.model, k): v or 0 for k, v in got.usage.items() if k in _COUNTS})
+        return got
+
+    def embed(self, texts: list[str], size: int, model: str) -> tuple[list[list[float]], int]:
+        vectors, tokens = self.inner.embed(texts, size, model)
+        self.sums.add({(model, "calls"): 1, (model, "embedding_tokens"): tokens})
+        return vectors, tokens
+
+
+class Meter:
+    """Running totals of all calls through ``client``: read at any time, set to zero by ``reset``. Calls of a task that runs twice count twice, as they cost twice; cached answers cost nothing."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._sums = spark.sparkContext.accumulator({}, _Sums())
+        self._before: dict = {}
+
+    def client(self, inner: ModelClient) -> MeteredClient:
+        return MeteredClient(inner, self._sums)
+
+    def read(self) -> dict[str, dict[str, float]]:
+        """Counts, dollars and cache_hit_rate by model, and over all models as ``total``."""
+        now = {k: n - self._before.get(k, 0) for k, n in self._sums.value.items()}
+        out: dict[str, dict[str, float]] = {}
+        for model in sorted({m for m, _ in now}):
+            own = {c: now.get((model, c), 0) for c in _COUNTS}
+            if any(own.values()):
+                out[model] = own | {"dollars": call_dollars(model, own)}
+        out["total"] = {c: sum(m[c] for m in out.values()) for c in (*_COUNTS, "dollars")}
+        for sums in out.values():
+            asked = sums["input_tokens"] + sums["cache_creation"]
+            sums["cache_hit_rate"] = sums["cache_read"] / asked if asked else 0.0
+        return out
+
+    def reset(self) -> None:
+        self._before = dict(self._sums.value)
+
+
 _CACHE: dict[tuple, Answer] = {}
 
 
@@ -189,21 +251,26 @@ def generate(rows: DataFrame, content: Column, client: ModelClient, prompt: str,
     return rows.withColumn("answer", ask.asNondeterministic()(content))
 
 
-def embed(text: Column, client: ModelClient, size: int = EMBED_SIZE, model: str = EMBED_MODEL) -> Column:
-    """Vectors of a text column, one request for each Arrow batch; zeros for null and empty texts, and where the request fails."""
+def embed_checked(text: Column, client: ModelClient, size: int = EMBED_SIZE, model: str = EMBED_MODEL) -> Column:
+    """A struct of vector and error for a text column, one request for each Arrow batch: zeros for null and empty texts, and zeros with an error where the request fails."""
 
-    @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        asked = [t for t in texts if t]
+    @F.pandas_udf("vector array<float>, error string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        asked, error = [t for t in texts if t], None
         try:
             vectors = iter(with_retries(lambda: client.embed(asked, size, model))[0] if asked else [])
-        except Exception:
-            vectors = iter([[0.0] * size] * len(asked))
-        return pd.Series([next(vectors) if t else [0.0] * size for t in texts])
+        except Exception as e:
+            vectors, error = iter([[0.0] * size] * len(asked)), f"{type(e).__name__}: {e}"
+        return pd.DataFrame({"vector": [next(vectors) if t else [0.0] * size for t in texts], "error": [error if t else None for t in texts]})
 
     return run(text)
 
 
+def embed(text: Column, client: ModelClient, size: int = EMBED_SIZE, model: str = EMBED_MODEL) -> Column:
+    """Vectors of a text column; zeros for null and empty texts, and where the request fails."""
+    return embed_checked(text, client, size, model)["vector"]
+
+
 def embed_for_store(text: Column, client: ModelClient) -> Column:
     return embed(text, client, VECTOR_SIZE)
 

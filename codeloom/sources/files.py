@@ -107,6 +107,10 @@ def repo_id(spark: SparkSession, root: str | Path) -> str:
     return spark.range(1).select(repo_id_from_url(F.lit(url)).alias("x")).first().x
 
 
+class MissingKeyError(RuntimeError):
+    """No key for a model service was found."""
+
+
 def api_key(name: str = "OPENAI_API_KEY", start: str | Path = ".") -> str:
     """A key from the environment or the repository's ``.env``."""
     if os.environ.get(name):
@@ -116,7 +120,7 @@ def api_key(name: str = "OPENAI_API_KEY", start: str | Path = ".") -> str:
             key, equals, value = line.strip().removeprefix("export ").partition("=")
             if equals and key.strip() == name and value.strip():
                 return value.strip().strip("\"'")
-    raise RuntimeError(f"{name} is set neither in the environment nor in .env")
+    raise MissingKeyError(f"{name} is set neither in the environment nor in .env")
 
 
 def resolve(ref: str, label: str = "", log: Callable[[str], None] | None = None) -> str:

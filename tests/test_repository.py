@@ -3,13 +3,15 @@
 import json
 import random
 import subprocess
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom import api, cli
 from codeloom.operators import edit, extract, graph, index, render, semantic, store
-from codeloom.sources import files
+from codeloom.sources import files, provider
 
 MINI = {
     "app/__init__.py": "", "app/core.py": "import json\nfrom . import util\nfrom app.models import User\n", "app/util.py": "from app import core\n", "app/models.py": "import app.core as c\n",
@@ -194,6 +196,10 @@ def test_render_orders_and_orphans(spark):
 
 def test_command_line(spark, repo, monkeypatch, capsys):
     monkeypatch.chdir(repo)
+    monkeypatch.setenv("OPENAI_API_KEY", "")
+    assert cli.main(["search", "--query", "x"], spark=spark) == 1 and "OPENAI_API_KEY" in capsys.readouterr().err
+    assert cli.main(["--stub", "assert", "--claim", "c", "--a", "x", "--b", "y"], spark=spark) == 0 and "made by rule" in capsys.readouterr().err
+    monkeypatch.setenv("CODELOOM_CLIENT", "stub")
     call = lambda *a: cli.main(a, spark=spark)
     assert call("nothing") == 2 and call("index", "--target", "nowhere") == 1
     assert call("index", "--target", ".") == 1  # one file doesn't parse
@@ -371,6 +377,107 @@ def test_models(spark):
     assert "temperature" in semantic.Request("p", "c", "gpt-4.1").options() and "temperature" not in semantic.Request("p", "c", "gpt-5.4", effort="low").options()
 
 
+class Service(BaseHTTPRequestHandler):
+    """Speaks the public forms: echoes prompts, counts words; fails as the test says."""
+
+    failures: list[int] = []
+    asked: list[tuple] = []
+
+    def log_message(self, *_):
+        pass
+
+    def do_POST(self):  # noqa: N802
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        Service.asked.append((self.path, self.headers["Authorization"], body))
+        if Service.failures:
+            status, out = Service.failures.pop(0), {"error": {"message": "slow down"}}
+        elif self.path.endswith("embeddings"):
+            rows = [{"index": i, "embedding": [float(len(t))] * body["dimensions"]} for i, t in enumerate(body["input"])]
+            status, out = 200, {"data": rows[::-1], "usage": {"total_tokens": len(rows)}}
+        else:
+            text = body["messages"][0]["content"] + "/" + body["messages"][1]["content"]
+            choices = [{"index": i, "message": {"content": f"{text} {i}"}} for i in range(body["n"])]
+            status, out = 200, {"choices": choices[::-1], "usage": {"prompt_tokens": 7, "completion_tokens": 3, "prompt_tokens_details": {"cached_tokens": 5}}}
+        data = json.dumps(out).encode()
+        self.send_response(status)
+        self.send_header("Content-Length", str(len(data)))
+        self.end_headers()
+        self.wfile.write(data)
+
+
+@pytest.fixture
+def service(monkeypatch):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    Service.failures, Service.asked = [], []
+    monkeypatch.setattr(semantic.time, "sleep", lambda _: None)
+    monkeypatch.setattr(semantic, "_CACHE", {})
+    yield provider.HttpClient("secret", f"http://127.0.0.1:{server.server_port}/v1")
+    server.shutdown()
+
+
+def test_a_service_is_asked_in_its_form(service):
+    got = semantic.ask_once(service, "p", "c", "gpt-4.1", n=2, form={"type": "object"})
+    assert got.texts == ["p/c 0", "p/c 1"] and got.usage == {"input_tokens": 7, "output_tokens": 3, "cache_read": 5, "cache_creation": 0}
+    path, key, body = Service.asked[0]
+    assert path == "/v1/chat/completions" and key == "Bearer secret" and body["max_tokens"] == semantic.MAX_TOKENS and body["response_format"]["type"] == "json_schema" and body["temperature"] == 0.8
+    assert service.embed(["a", "bbb"], 4, semantic.EMBED_MODEL) == ([[1.0] * 4, [3.0] * 4], 2)
+    Service.failures = [429, 500]
+    assert semantic.ask_once(service, "p", "other", "gpt-4.1").texts == ["p/other 0"]
+    Service.failures = [400]
+    with pytest.raises(provider.ServiceError, match="400: slow down"):
+        semantic.ask_once(service, "p", "third", "gpt-4.1")
+    Service.failures = [503] * 3
+    with pytest.raises(provider.ServiceError, match="503"):
+        semantic.ask_once(service, "p", "fourth", "gpt-4.1")
+
+
+def test_tables_are_sent_to_a_service(spark, service):
+    rows = spark.createDataFrame([("x",), ("y",)], "t string")
+    assert sorted(r.answer.text for r in semantic.generate(rows, F.col("t"), service, "q").collect()) == ["q/x 0", "q/y 0"]
+    assert {r.t: list(r.v) for r in rows.withColumn("v", semantic.embed(F.col("t"), service, 3)).collect()} == {"x": [1.0] * 3, "y": [1.0] * 3}
+    gone = provider.HttpClient("k", "http://127.0.0.1:9")
+    row = semantic.generate(rows, F.col("t"), provider.HttpClient("k", service.base_url + "x"), "q").first()
+    assert row.answer.text is not None
+    found = rows.select(semantic.embed_checked(F.col("t"), without_embeddings(), 3).alias("v")).collect()
+    assert all(list(r.v.vector) == [0.0] * 3 and "no vectors today" in r.v.error for r in found) and gone.key == "k"
+
+
+def without_embeddings():
+    class Broken(semantic.StubClient):  # of a function, so that it travels to the workers
+        def embed(self, texts, size, model):
+            raise ValueError("no vectors today")
+
+    return Broken()
+
+
+def test_totals_run_on_and_start_again(spark):
+    meter = semantic.Meter(spark)
+    client = meter.client(semantic.StubClient())
+    rows = spark.createDataFrame([(f"text {i}",) for i in range(6)], "t string")
+    semantic.generate(rows, F.col("t"), client, "totals", "gpt-4.1").select("answer.text").collect()
+    client.embed(["a b"], 4, semantic.EMBED_MODEL)
+    first = meter.read()
+    assert first["gpt-4.1"]["calls"] == 6 and first["gpt-4.1"]["input_tokens"] == 12 and first[semantic.EMBED_MODEL]["embedding_tokens"] == 2
+    assert first["total"]["calls"] == 7 and first["total"]["dollars"] == pytest.approx(first["gpt-4.1"]["dollars"] + 2 * 0.02 / 1e6) and first["total"]["cache_hit_rate"] == 0
+    meter.reset()
+    assert meter.read()["total"]["calls"] == 0
+    client.generate(semantic.Request("p", "c", "gpt-4.1"))
+    assert meter.read()["gpt-4.1"]["calls"] == 1
+
+
+def test_files_without_vectors_are_asked_again(spark, tmp_path):
+    root = tmp_path / "r"
+    root.mkdir()
+    (root / "m.py").write_text("def f():\n    return 1\n")
+    symbols = store.SymbolStore(spark, f"file://{tmp_path}/s")
+    run = lambda client: index.index_directory(spark, root, symbols, graph.ImportGraph.empty(spark), client)
+    broken = run(without_embeddings()).files.first()
+    assert broken.status == "indexed" and "no vectors today" in broken.error and symbols.read().count() == 2
+    assert run(semantic.StubClient()).files.first().error is None and run(semantic.StubClient()).files.first().status == "skipped"
+    assert any(any(r.signature_vector) for r in symbols.read().collect())
+
+
 def random_edges(seed, nodes=30, n=45):
     import random
 
