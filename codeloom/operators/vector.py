@@ -1,15 +1,20 @@
-"""Exact cosine search over one or two vector columns, as one scan and a bounded top-k."""
+"""Exact cosine search over one or two vector columns, as one scan and a bounded top-k; for a table of queries in blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codeloom.functions import cosine, name_from_id
 
-TOP_K = 10
+TOP_K, QUERY_BLOCK, STEP = 10, 4096, 2048
 
 
 def _literal(vector: Sequence[float]) -> Column:
@@ -22,6 +27,73 @@ def knn(rows: DataFrame, vector: Sequence[float], column: str, top_k: int = TOP_
     return scored.where(F.col("_distance").isNotNull()).orderBy("_distance", key).limit(top_k)
 
 
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a column as unit rows of doubles, and which of its rows have one with a length."""
+    filled = [x if x is not None and all(v is not None for v in x) else () for x in column.to_pylist()]
+    size = max(map(len, filled), default=0)
+    out = np.zeros((len(filled), size))
+    for k, x in enumerate(filled):
+        if len(x) == size:
+            out[k] = x
+    length = np.sqrt((out**2).sum(1))
+    return np.divide(out, length[:, None], out=np.zeros_like(out), where=length[:, None] > 0), length > 0
+
+
+def knn_many(rows: DataFrame, queries: DataFrame, column: str, top_k: int = TOP_K, key: str = "id", block: int = QUERY_BLOCK) -> DataFrame:
+    """query, ``key`` and similarity of the ``top_k`` rows nearest to each of a table of queries (``key``, ``column``), exactly.
+
+    Queries go in blocks of ``block`` vectors, 8 MB of 256 doubles: each is broadcast and meets all rows in one pass of matrix products. A task keeps the best of each query, so what is shuffled are top_k rows for each task and query.
+    Similarities count to nine decimals, and equal ones go by key. Vectors that are null, hold a null or have no length are left out on both sides.
+    """
+    spark, found = rows.sparkSession, None
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    asked: list = []
+
+    def one(asked: list) -> DataFrame:
+        names, matrix = [r[0] for r in asked], pa.array([list(r[1]) if r[1] is not None else None for r in asked], pa.list_(pa.float64()))
+        vectors, usable = _matrix(matrix)
+        box = spark.sparkContext.broadcast((vectors[usable], np.flatnonzero(usable)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vectors, number = box.value
+            best: list[list[tuple[float, Any]]] = [[] for _ in number]  # of each query: minus similarity, and key
+            least = np.full(len(number), -2.0)
+            for batch in batches:
+                for first in range(0, batch.num_rows, STEP):
+                    part = batch.slice(first, STEP)
+                    own, some = _matrix(part.column(1))
+                    keys = part.column(0).filter(pa.array(some)).to_pylist()
+                    if not keys or not len(number) or own.shape[1] != vectors.shape[1]:
+                        continue
+                    order = sorted(range(len(keys)), key=keys.__getitem__)
+                    scores = np.round(vectors @ own[some][order].T, 9)
+                    rank = np.round(scores * 1e9).astype(np.int64) * STEP - np.arange(len(keys))  # of equal ones the lesser key
+                    cut = np.argpartition(-rank, min(top_k, len(keys)) - 1, axis=1)[:, :top_k]
+                    chosen = np.take_along_axis(scores, cut, 1)
+                    for q in np.flatnonzero(chosen.max(1) >= least).tolist():
+                        best[q] = sorted(best[q] + [(-v, keys[order[i]]) for v, i in zip(chosen[q].tolist(), cut[q].tolist(), strict=True)])[:top_k]
+                        least[q] = -best[q][-1][0] if len(best[q]) == top_k else -2.0
+            out = [(int(number[q]), k, -v) for q, own in enumerate(best) for v, k in own]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], form), pa.array([r[2] for r in out], pa.float64())], ["place", "key", "similarity"])
+
+        source = rows.select(F.col(key).alias("key"), F.col(column).alias("vector"))
+        form = to_arrow_type(kinds[key])
+        near = source.mapInArrow(run, T.StructType([T.StructField("place", T.IntegerType()), T.StructField("key", kinds[key]), T.StructField("similarity", T.DoubleType())]))
+        rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("similarity"), "key"))
+        chosen = near.withColumn("rank", rank).where(F.col("rank") <= top_k)
+        named = spark.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("place", T.IntegerType()), T.StructField("query", kinds[key])]))
+        return chosen.join(F.broadcast(named), "place").select("query", F.col("key").alias(key), "similarity")
+
+    for row in queries.select(key, column).toLocalIterator():
+        asked.append(row)
+        if len(asked) == block:
+            found = one(asked) if found is None else found.unionByName(one(asked))
+            asked = []
+    if asked or found is None:
+        found = one(asked) if found is None else found.unionByName(one(asked))
+    return found
+
+
 def search_vectors(rows: DataFrame, vector: Sequence[float], first: str = "description_vector", second: str = "signature_vector", names: tuple[str, str] = ("description", "signature"), top_k: int = TOP_K, key: str = "id") -> DataFrame:
     """The ``top_k`` rows by the greater of two similarities, with similarity and match_field.
 

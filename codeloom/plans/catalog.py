@@ -51,6 +51,16 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.knn(rows, _query_vector(rows), "embedding", key="vec_id").select("vec_id", F.round("_distance", 6).alias("distance"))
 
 
+@query(
+    "WITH s AS (SELECT q.vec_id AS query, r.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) AS s FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0)"
+    " SELECT query, vec_id, round(s, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) <= 10"
+)
+def knn_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 20 against all rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    return vector.knn_many(rows, rows.where("vec_id % 20 = 0"), "embedding", key="vec_id").select("query", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query(_TWO + " SELECT id, round(greatest(d, s), 6) AS similarity, CASE WHEN s > d THEN 'signature' ELSE 'description' END AS match_field FROM s ORDER BY greatest(d, s) DESC, id LIMIT 10")
 def search_two_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, q = _two_columns(spark, sf_dir)
@@ -90,10 +100,16 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", fn.content_hash(F.coalesce("text", F.lit(""))).alias("source_hash"))
 
 
-@query("SELECT d.doc_id, sha256(d.text) AS source_hash FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND sha256(d.text) = sha256(d.text))")
+@query(
+    "WITH f AS (SELECT doc_id, sha256(text) AS source_hash FROM documents), s AS (SELECT d.doc_id, sha256(CASE WHEN d.doc_id % 3 = 0 THEN d.text || ' as it was' ELSE d.text END) AS source_hash FROM documents d JOIN labels l USING (doc_id))"
+    " SELECT f.doc_id, f.source_hash FROM f LEFT JOIN (SELECT DISTINCT * FROM s) s USING (doc_id) WHERE s.source_hash IS DISTINCT FROM f.source_hash"
+)
 def incremental_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_path"), fn.content_hash(F.col("text")).alias("source_hash"))
-    stored = files.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("file_path")).distinct(), "file_path", "left_semi")
+    """Labelled documents are stored, a third of them with an older text: changed and new ones are left."""
+    docs, own = table(spark, sf_dir, "documents"), F.col("text")
+    files = docs.select(F.col("doc_id").alias("file_path"), fn.content_hash(own).alias("source_hash"))
+    older = F.when(F.col("doc_id") % 3 == 0, F.concat(own, F.lit(" as it was"))).otherwise(own)
+    stored = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("file_path"), fn.content_hash(older).alias("source_hash"))
     return store.changed_files(files, stored).select(F.col("file_path").alias("doc_id"), "source_hash")
 
 
@@ -151,18 +167,27 @@ def describe_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MODULES = "WITH m AS (SELECT DISTINCT 'f' || (p_partkey % 50) AS file_path, replace(lower(p_type), ' ', '.') AS module FROM part)"
 
 
+_STEMS = "replace(lower(regexp_replace(p_type, ' [^ ]+$', '')), ' ', '/')"
+
+
 @query(
-    _MODULES + ", f AS (SELECT DISTINCT replace(lower(regexp_replace(p_type, ' [^ ]+$', '')), ' ', '/') || CASE WHEN p_size % 2 = 0 THEN '.py' ELSE '/__init__.py' END AS path FROM part WHERE p_size < 25),"
-    " c AS (SELECT file_path, module, n, i.k AS k, CASE i.k WHEN 0 THEN b || '.py' WHEN 1 THEN b || '/__init__.py' WHEN 2 THEN 'src/' || b || '.py' ELSE 'src/' || b || '/__init__.py' END AS path"
-    " FROM (SELECT file_path, module, u.n AS n, array_to_string(list_slice(string_split(module, '.'), 1, u.n), '/') AS b FROM m, unnest(range(1, len(string_split(module, '.')) + 1)) AS u(n)), range(4) AS i(k))"
-    " SELECT file_path, module, arg_min(path, -n * 10 + k) AS target FROM c JOIN f USING (path) GROUP BY ALL"
+    _MODULES + f", f AS (SELECT DISTINCT CASE WHEN p_partkey % 4 = 0 THEN 'deep/' WHEN p_partkey % 4 = 1 THEN 'src/' ELSE '' END || {_STEMS} || CASE WHEN p_size % 2 = 0 THEN '.py' ELSE '/__init__.py' END AS path FROM part WHERE p_size < 25),"
+    " g AS (SELECT path FROM f UNION SELECT 'deep/economy/__init__.py' UNION SELECT 'deep/small/__init__.py'),"
+    " r(name, prefix) AS (VALUES ('economy', 'deep/'), ('small', 'deep/')),"
+    " c AS (SELECT file_path, module, n, i.k AS k, CASE i.k WHEN 0 THEN b || '.py' WHEN 1 THEN b || '/__init__.py' WHEN 2 THEN 'src/' || b || '.py' WHEN 3 THEN 'src/' || b || '/__init__.py' WHEN 4 THEN prefix || b || '.py' ELSE prefix || b || '/__init__.py' END AS path"
+    " FROM (SELECT file_path, module, r.prefix, u.n AS n, array_to_string(list_slice(string_split(module, '.'), 1, u.n), '/') AS b FROM m LEFT JOIN r ON split_part(module, '.', 1) = r.name, unnest(range(1, len(string_split(module, '.')) + 1)) AS u(n)), range(6) AS i(k))"
+    " SELECT file_path, module, arg_min(path, -n * 10 + k) AS target FROM c JOIN g USING (path) GROUP BY ALL"
 )
 def candidate_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six candidates: modules and packages at the root, in src/ and below the roots that ``package_roots`` finds."""
     part = table(spark, sf_dir, "part")
     modules = part.select(F.concat(F.lit("f"), (F.col("p_partkey") % 50).cast("string")).alias("file_path"), F.replace(F.lower("p_type"), F.lit(" "), F.lit(".")).alias("module")).distinct()
     stem = F.replace(F.lower(F.regexp_replace("p_type", " [^ ]+$", "")), F.lit(" "), F.lit("/"))
-    paths = part.where("p_size < 25").select(F.concat(stem, F.when(F.col("p_size") % 2 == 0, F.lit(".py")).otherwise(F.lit("/__init__.py"))).alias("path")).distinct()
-    roots = spark.createDataFrame([], "name string, prefix string")
+    kind = F.col("p_partkey") % 4
+    before = F.when(kind == 0, "deep/").when(kind == 1, "src/").otherwise("")
+    found = part.where("p_size < 25").select(F.concat(before, stem, F.when(F.col("p_size") % 2 == 0, F.lit(".py")).otherwise(F.lit("/__init__.py"))).alias("path"))
+    paths = found.unionByName(spark.createDataFrame([("deep/economy/__init__.py",), ("deep/small/__init__.py",)], "path string")).distinct()
+    roots = extract.package_roots(spark.createDataFrame([("deep/economy/__init__.py",), ("deep/small/__init__.py",)], "path string"))
     return extract.resolve_imports(modules, paths, roots)
 
 
@@ -181,15 +206,15 @@ _RATES = "(VALUES ('gpt-5.4-mini', 0.75, 4.5, 0.075, 0.0), ('gpt-4.1', 2.0, 8.0,
 
 
 @query(
-    f"WITH c AS (SELECT CASE role WHEN 'user' THEN 'gpt-5.4-mini' WHEN 'assistant' THEN 'gpt-4.1' ELSE 'other' END AS model, length(text) AS it, turn * 10 AS ot, turn * 5 AS cr FROM conversations),"
-    f" p AS (SELECT c.*, (greatest(it - c.cr, 0) * coalesce(i, 0) + ot * coalesce(o, 0) + c.cr * coalesce(r.cr, 0)) / 1e6 AS dollars FROM c LEFT JOIN {_RATES} USING (model))"
-    " SELECT model, count(*) AS calls, sum(it)::BIGINT AS input_tokens, sum(ot)::BIGINT AS output_tokens, sum(cr)::BIGINT AS cache_read, 0::BIGINT AS cache_creation, 0::BIGINT AS embedding_tokens, round(sum(dollars)::DOUBLE, 6) AS dollars,"
-    " round(CASE WHEN sum(it) > 0 THEN sum(cr) / sum(it) ELSE 0 END, 6) AS cache_hit_rate FROM p GROUP BY ROLLUP (model)"
+    f"WITH c AS (SELECT CASE role WHEN 'user' THEN 'gpt-5.4-mini' WHEN 'assistant' THEN 'gpt-4.1' ELSE 'other' END AS model, length(text) AS it, turn * 10 AS ot, turn * 5 AS cr, turn % 4 AS cc, CASE WHEN role = 'user' THEN turn * 3 ELSE 0 END AS et FROM conversations),"
+    f" p AS (SELECT c.*, (greatest(it - c.cr, 0) * coalesce(i, 0) + ot * coalesce(o, 0) + c.cr * coalesce(r.cr, 0) + cc * coalesce(cw, 0) + et * coalesce(i, 0)) / 1e6 AS dollars FROM c LEFT JOIN {_RATES} USING (model))"
+    " SELECT model, count(*) AS calls, sum(it)::BIGINT AS input_tokens, sum(ot)::BIGINT AS output_tokens, sum(cr)::BIGINT AS cache_read, sum(cc)::BIGINT AS cache_creation, sum(et)::BIGINT AS embedding_tokens, round(sum(dollars)::DOUBLE, 6) AS dollars,"
+    " round(CASE WHEN sum(it) + sum(cc) > 0 THEN sum(cr) / (sum(it) + sum(cc)) ELSE 0 END, 6) AS cache_hit_rate FROM p GROUP BY ROLLUP (model)"
 )
 def cost_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.when(F.col("role") == "user", "gpt-5.4-mini").when(F.col("role") == "assistant", "gpt-4.1").otherwise("other")
     calls = table(spark, sf_dir, "conversations").select(
-        model.alias("model"), F.length("text").cast("bigint").alias("input_tokens"), (F.col("turn") * 10).alias("output_tokens"), (F.col("turn") * 5).alias("cache_read"), F.lit(0).cast("bigint").alias("cache_creation"), F.lit(0).cast("bigint").alias("embedding_tokens")
+        model.alias("model"), F.length("text").cast("bigint").alias("input_tokens"), (F.col("turn") * 10).alias("output_tokens"), (F.col("turn") * 5).alias("cache_read"), (F.col("turn") % 4).cast("bigint").alias("cache_creation"), F.when(F.col("role") == "user", F.col("turn") * 3).otherwise(0).cast("bigint").alias("embedding_tokens")
     )
     found = cost.totals(cost.priced(calls, cost.rates(spark)))
     return found.withColumns({"dollars": F.round("dollars", 6), "cache_hit_rate": F.round("cache_hit_rate", 6)})
@@ -241,20 +266,26 @@ def prefix_dir_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH t AS (SELECT doc_id, text, string_split(CASE WHEN ends_with(text, '\n') THEN text[:-2] ELSE text END, '\n') AS l FROM documents WHERE text <> '' AND NOT contains(text, '\r'))"
-    " SELECT doc_id, array_to_string(list_concat(l[:1], ['x', 'y'], l[3:]), '\n') || CASE WHEN ends_with(text, '\n') THEN '\n' ELSE '' END AS spliced, array_to_string(l[2:3], '\n') AS sliced FROM t WHERE len(l) >= 2"
+    "WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[^\r\n]*(\r\n|\r|\n)|[^\r\n]+$') AS l FROM documents WHERE text IS NOT NULL),"
+    " b AS (SELECT doc_id, text, list_transform(l, lambda x: regexp_replace(x, '(\r\n|\r|\n)$', '')) AS l, len(l) > 0 AND regexp_matches(l[-1], '(\r|\n)$') AS ended FROM t)"
+    " SELECT doc_id, array_to_string(list_concat(l[:1], ['x', 'y'], l[3:]), '\n') || CASE WHEN ended THEN '\n' ELSE '' END AS spliced, array_to_string(l[2:3], '\n') AS sliced FROM b"
 )
 def splice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where((F.col("text") != "") & ~F.col("text").contains("\r") & (F.size(fn.split_lines(F.col("text"))) >= 2))
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
     return docs.select("doc_id", fn.splice_lines(F.col("text"), F.lit(2), F.lit(2), F.lit("x\ny")).alias("spliced"), fn.slice_lines(F.col("text"), F.lit(2), F.lit(3)).alias("sliced"))
 
 
-@query("SELECT conv_id, turn, 'diff: ' || a || ' -> ' || b || ' lines (' || CASE WHEN b >= a THEN '+' ELSE '' END || (b - a) || ')' AS stat FROM (SELECT conv_id, turn, 1 + turn % 3 AS a, 1 + (turn * 7) % 5 AS b FROM conversations)")
-def diff_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def lines(n: F.Column) -> F.Column:
-        return F.repeat(F.lit("line\n"), n.cast("int"))
+_LINES = "len(regexp_extract_all(replace(coalesce(text, ''), '{}', '\n'), '[^\r\n]*(\r\n|\r|\n)|[^\r\n]+$'))"
+
 
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.diff_stat(lines(1 + F.col("turn") % 3), lines(1 + (F.col("turn") * 7) % 5)).alias("stat"))
+@query(
+    f"WITH t AS (SELECT conv_id, turn, {_LINES.format(' ')} AS a, {_LINES.format('e')} AS b FROM conversations)"
+    " SELECT conv_id, turn, 'diff: ' || a || ' -> ' || b || ' lines (' || CASE WHEN b >= a THEN '+' ELSE '' END || (b - a) || ')' AS stat FROM t"
+)
+def diff_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a line for each word, and with a line for each part between two e."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.diff_stat(F.replace(text, F.lit(" "), F.lit("\n")), F.replace(text, F.lit("e"), F.lit("\n"))).alias("stat"))
 
 
 def _layered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,6 +395,158 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.event_counts(events).withColumns({"total": F.round("total", 4), "window_start": F.col("window_start").cast("timestamp_ntz")})
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content of a Python file for each part, in packages of two levels."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    path = F.concat(F.lit("lib/g"), (F.col("p_partkey") % 7).cast("string"), F.lit("/h"), (F.col("p_partkey") % 3).cast("string"), F.lit("/m"), k, F.lit(".py"))
+    lines = [
+        F.concat(F.lit("import os.path, g"), (F.col("p_partkey") % 7).cast("string"), F.lit(" as top")), F.concat(F.lit("from . import m"), k), F.lit("from ..h1 import x, y"), F.lit("from os.path import join"), F.lit(""), F.lit("@top"),
+        F.concat(F.lit("def f"), k, F.lit("(a, *, b: int = "), n, F.lit(") -> str:")), F.lit("    return a"), F.lit(""), F.concat(F.lit("class C"), n, F.lit("(Base, kind="), k, F.lit("):")), F.lit("    async def go(self):"), F.lit("        return 1"), F.lit(""),
+    ]
+    broken = F.when(F.col("p_partkey") % 50 == 49, F.lit("def (")).otherwise(F.concat_ws("\n", *lines))
+    return table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), broken.alias("content"))
+
+
+_P = "SELECT p_partkey AS k, p_size AS n, 'lib/g' || (p_partkey % 7) || '/h' || (p_partkey % 3) AS dir, 'lib/g' || (p_partkey % 7) || '/h' || (p_partkey % 3) || '/m' || p_partkey || '.py' AS file_path FROM part"
+_DEF = "'def f' || k || '(a, *, b: int=' || n || ') -> str:'"
+
+
+@query(
+    f"WITH p AS ({_P}), s AS (SELECT k, file_path, 'f' || k AS name, 'function' AS kind, {_DEF} AS signature, '@top\ndef f' || k || '(a, *, b: int = ' || n || ') -> str:\n    return a' AS source, 6 AS start_line, 8 AS end_line, NULL AS parent FROM p"
+    " UNION ALL SELECT k, file_path, 'C' || n, 'class', 'class C' || n || '(Base, kind=' || k || '):', 'class C' || n || '(Base, kind=' || k || '):\n    async def go(self):\n        return 1', 10, 12, NULL FROM p"
+    " UNION ALL SELECT k, file_path, 'C' || n || '.go', 'method', 'async def go(self):', '    async def go(self):\n        return 1', 11, 12, 'C' || n FROM p)"
+    " SELECT * EXCLUDE (k) FROM s WHERE k % 50 <> 49"
+)
+def extract_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_symbols(_sources(spark, sf_dir)).where("error IS NULL").drop("error")
+
+
+@query(f"SELECT file_path FROM ({_P}) WHERE k % 50 = 49")
+def extract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_symbols(_sources(spark, sf_dir)).where("error LIKE 'AST parse error%' AND name IS NULL").select("file_path")
+
+
+@query(f"SELECT file_path, 'method' AS kind, 11 AS start_line, 12 AS end_line FROM ({_P}) WHERE k % 50 <> 49 AND n = 7")
+def symbol_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.symbol_by_name(extract.extract_symbols(_sources(spark, sf_dir)), "C7.go").select("file_path", "kind", "start_line", "end_line")
+
+
+_IMPORTS = (
+    "i AS (SELECT file_path, dir, k, u.* FROM p, (VALUES (0, 'os.path', 0, '', false), (1, 'top', 0, '', false), (2, NULL, 1, 'm', true), (3, 'h1', 2, 'x,y', true), (4, 'os.path', 0, 'join', true)) u(pos, module, level, names, is_from) WHERE k % 50 <> 49)"
+)
+
+
+@query(
+    f"WITH p AS ({_P}), {_IMPORTS} SELECT file_path, pos, CASE WHEN pos = 1 THEN 'g' || (k % 7) ELSE module END AS module, level, CASE WHEN pos = 2 THEN 'm' || k ELSE names END AS names, is_from FROM i"
+)
+def extract_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_imports(_sources(spark, sf_dir)).withColumn("names", F.array_join("names", ","))
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files, and the packages of all but the second directory: lib/g0, lib/g1 and so on are packages, of lib/g2 only the lower level is."""
+    files = _sources(spark, sf_dir).select("path")
+    up = files.select(F.regexp_replace("path", "/[^/]*$", "").alias("d")).distinct()
+    lower = up.select(F.concat("d", F.lit("/__init__.py")).alias("path"))
+    upper = up.select(F.concat(F.regexp_replace("d", "/[^/]*$", ""), F.lit("/__init__.py")).alias("path")).where("path <> 'lib/g2/__init__.py'")
+    return files.unionByName(lower).unionByName(upper).distinct()
+
+
+_PACKAGES = "k AS (SELECT file_path, k, CASE WHEN k % 7 = 2 THEN 'h' || (k % 3) ELSE 'g' || (k % 7) || '.h' || (k % 3) END AS package FROM p)"
+
+
+@query(f"WITH p AS ({_P}), {_PACKAGES} SELECT file_path AS path, package FROM k")
+def packages_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.packages_of_files(_paths(spark, sf_dir))
+    return found.where(~F.col("path").endswith("__init__.py"))
+
+
+_ABSOLUTE = (
+    f"WITH p AS ({_P}), {_PACKAGES}, a AS (SELECT file_path, k, 0 AS nth, 'os.path' AS module FROM k UNION ALL SELECT file_path, k, 1, 'g' || (k % 7) FROM k UNION ALL SELECT file_path, k, 2, package || '.m' || k FROM k"
+    " UNION ALL SELECT file_path, k, 3, CASE WHEN contains(package, '.') THEN split_part(package, '.', 1) || '.h1' ELSE 'h1' END FROM k)"
+)
+
+
+@query(f"{_ABSOLUTE} SELECT file_path, module, (row_number() OVER (PARTITION BY file_path ORDER BY nth) - 1)::INT AS pos FROM a WHERE k % 50 <> 49")
+def absolute_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In order of first mention: os.path is imported twice and counts once."""
+    return extract.absolute_imports(extract.extract_imports(_sources(spark, sf_dir)), extract.packages_of_files(_paths(spark, sf_dir)))
+
+
+@query(
+    f"{_ABSOLUTE}, f AS (SELECT dir || '/__init__.py' AS path FROM p UNION SELECT regexp_replace(dir, '/[^/]*$', '') || '/__init__.py' FROM p WHERE k % 7 <> 2 UNION SELECT file_path FROM p),"
+    " r AS (SELECT DISTINCT 'g' || (k % 7) AS name FROM p WHERE k % 7 <> 2), s AS (SELECT DISTINCT 'h' || (k % 3) AS name FROM p WHERE k % 7 = 2),"
+    " b AS (SELECT a.file_path, module, u.n, CASE WHEN split_part(module, '.', 1) IN (SELECT name FROM r) THEN 'lib/' WHEN split_part(module, '.', 1) IN (SELECT name FROM s) THEN 'lib/g2/' END || array_to_string(list_slice(string_split(module, '.'), 1, u.n), '/') AS stem FROM a, unnest(range(1, len(string_split(module, '.')) + 1)) AS u(n) WHERE k % 50 <> 49),"
+    " c AS (SELECT file_path, module, n, i.k AS k, stem || CASE i.k WHEN 0 THEN '.py' ELSE '/__init__.py' END AS path FROM b, range(2) AS i(k)),"
+    " t AS (SELECT file_path, module, arg_min(path, -n * 10 + k) AS target FROM c JOIN f USING (path) GROUP BY ALL)"
+    " SELECT DISTINCT file_path AS src, target AS dst FROM t"
+)
+def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from sources to edges."""
+    paths = _paths(spark, sf_dir)
+    modules = extract.absolute_imports(extract.extract_imports(_sources(spark, sf_dir)), extract.packages_of_files(paths))
+    return extract.import_edges(extract.resolve_imports(modules, paths, extract.package_roots(paths)))
+
+
+@query(
+    "WITH c AS (SELECT n_regionkey, n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey), m AS (SELECT n_regionkey, string_agg('      <method name=\"' || lower(n_name) || '\" args=\"self, k: int\" />', '\n' ORDER BY n_name) AS body FROM c GROUP BY ALL),"
+    " b AS (SELECT r_name, '    <fn name=\"top\" args=\"\" />\n    <cls name=\"Bare\" />\n    <cls name=\"Of' || r_name || '\">\n' || body || '\n    </cls>' AS body FROM m JOIN region ON n_regionkey = r_regionkey)"
+    " SELECT 'w' AS directory, 'w/' || r_name || '.py' AS file_path, '  <file path=\"' || r_name || '.py\">\n' || body || '\n  </file>' AS block FROM b"
+)
+def render_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class with a method for each nation, one without methods, a function, and a method of a class without a row, which is left out."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    path = F.concat(F.lit("w/"), "r_name", F.lit(".py"))
+    none = F.lit(None).cast("string").alias("description")
+    row = lambda df, name, kind, signature: df.select(path.alias("file_path"), fn.symbol_id(path, name).alias("id"), F.lit(kind).alias("kind"), none, signature.alias("signature"))
+    both = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    own = F.concat(F.lit("Of"), "r_name")
+    rows = row(both, F.concat(own, F.lit("."), F.lower("n_name")), "method", F.lit("def go(self, k: int):")).unionByName(row(region, own, "class", F.concat(F.lit("class "), own, F.lit(":"))))
+    rows = rows.unionByName(row(region, F.lit("Bare"), "class", F.lit("class Bare(Base):"))).unionByName(row(region, F.lit("top"), "function", F.lit("def top():"))).unionByName(row(region, F.lit("Gone.x"), "method", F.lit("def x(self):")))
+    return render.render_files(rows)
+
+
+@query(
+    "SELECT o_orderkey, 'codeloom: f' || o_orderkey || ' @ ' || o_orderstatus || '.py' || '\n\n' || 'old: ' || CASE WHEN o_orderstatus = 'O' THEN '(none)' ELSE 'was ' || o_orderpriority END || '\nnew: ' || o_orderpriority || '\n\nfidelity: TRUE\nprudence: '"
+    " || CASE WHEN o_orderstatus = 'O' THEN 'skipped (no old comment)' WHEN o_orderstatus = 'F' THEN 'force' ELSE 'TRUE' END || '\n\ndiff: 2 -> 3 lines (+1)' AS message FROM orders"
+)
+def commit_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status, fresh = F.col("o_orderstatus"), F.col("o_orderstatus") == "O"
+    change = F.struct(
+        F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("name"), F.when(~fresh, F.concat(F.lit("was "), "o_orderpriority")).alias("old_comment"), F.col("o_orderpriority").alias("new_comment"),
+        F.lit("x").alias("fidelity_evidence"), (status != "P").alias("prudence_skipped"), F.lit("y").alias("prudence_evidence"),
+    )
+    message = fn.commit_message(F.concat(status, F.lit(".py")), F.array(change), fn.diff_stat(F.lit("a\nb"), F.lit("a\nb\nc")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", message.alias("message"))
+
+
+@query(
+    "WITH o AS (SELECT conv_id, turn, role, text, CASE WHEN length(trim(role)) > length(trim('turn ' || turn)) THEN '1,2' WHEN length(trim(role)) = length(trim('turn ' || turn)) THEN '1,2' ELSE '2,1' END AS ranking FROM conversations)"
+    " SELECT conv_id, turn, ranking, 'moderate' AS spread FROM o"
+)
+def semantic_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stub puts the longer option first, of equal ones the first."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array("role", F.concat(F.lit("turn "), F.col("turn").cast("string"))).alias("o"))
+    ranked = semantic.sem_rank(rows, F.lit("long"), F.col("o"), semantic.StubClient())
+    return ranked.select("conv_id", "turn", F.array_join(F.transform("ranking", lambda x: x.cast("string")), ",").alias("ranking"), "spread")
+
+
+@query(ORACLE_SQL["graph_descendants"])
+def graph_descendants_at_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rounds of joins that graphs beyond one task take."""
+    return graph.descendants(_layered(spark, sf_dir), "p1", small=0)
+
+
+@query(ORACLE_SQL["graph_cycles"])
+def graph_cycles_at_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycles(_blocks(spark, sf_dir), small=0).select("component", "size", F.array_join("members", ",").alias("members"))
+
+
+@query(ORACLE_SQL["graph_topo_layers"])
+def graph_topo_layers_at_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.topological_layers(_layered(spark, sf_dir), small=0)
+
+
 @query()
 def semantic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers come from the rule-based stub: SQL has no counterpart."""

@@ -1,6 +1,7 @@
 """Scanning, extraction, resolution, indexing, rendering, editing and the command line on a small repository."""
 
 import json
+import math
 import random
 import subprocess
 import threading
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom import api, cli
-from codeloom.operators import edit, extract, graph, index, render, semantic, store
+from codeloom.operators import edit, extract, graph, index, render, semantic, store, vector
 from codeloom.sources import files, provider
 
 MINI = {
@@ -354,6 +355,23 @@ def test_search_ties_and_zero_vectors(spark):
     assert [r.id for r in vector.knn(rows, [1.0, 0.0], "description_vector", 2).collect()] == ["a", "c"]
 
 
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_many_queries_at_once(spark, block, monkeypatch):
+    monkeypatch.setattr(vector, "STEP", 7)
+    rnd = random.Random(4)
+    rows = [(f"k{i:02d}", [rnd.choice([0.0, 1.0, -1.0]) for _ in range(4)]) for i in range(40)] + [("null", None), ("hole", [1.0, None, 0.0, 0.0]), ("zero", [0.0] * 4), ("copy", [1.0, 0.0, 0.0, 0.0]), ("also", [2.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, v array<float>").repartition(3)
+    found = vector.knn_many(df, df, "v", 5, block=block).collect()
+
+    def similar(a, b):
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 9)
+
+    usable = [(k, x) for k, x in rows if x and None not in x and any(x)]
+    want = {(k, other, s) for k, x in usable for s, other in sorted((-similar(x, y), o) for o, y in usable)[:5]}
+    assert {(r.query, r.id, -r.similarity) for r in found} == want and len(found) == len(want)
+    assert vector.knn_many(df, df.limit(0), "v").collect() == [] and vector.knn_many(df.limit(0), df, "v").collect() == []
+
+
 def test_models(spark):
     client = semantic.StubClient()
     rows = spark.createDataFrame([("x", ["aa", "b", "cccc"])], "t string, o array<string>")
