@@ -5,7 +5,8 @@ band of a frame is a peak if it isn't weaker than the same bin of the frames bef
 pair (bin, bin, distance), stored as two arrays: time codes (frame numbers) and pair codes. Frames are transformed in blocks,
 so memory doesn't grow with a payload's length beyond its own bytes and pairs. No shuffle.
 
-Defined results: null and empty texts are a payload of one 64-byte unit of zeros, without peaks; equal texts give equal values.
+Defined results: null and empty texts are a payload of one 64-byte unit of zeros, without peaks; equal texts give equal values, so repeated rows give repeated results; very long texts are one payload, whole; null ids stay null; of equal
+magnitudes in a band the lowest bin counts, and peaks as strong as their neighbours in time are peaks. Columns but the id and the text are left out, so their names don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -113,4 +114,4 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
                 columns = [pa.array(list(c), kind) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], ["doc_id", *[n for n, _ in fields]])
 
-    return docs.select(doc_id, text).mapInArrow(run, schema + ", media binary" * keep_media)
+    return docs.select(f"`{doc_id}`", f"`{text}`").mapInArrow(run, schema + ", media binary" * keep_media)

@@ -12,7 +12,7 @@ Neighbours in other shards are not found.
 QUERY_TERMS best terms of a seed make its query, and TOP candidates are tried whole before one is cut: neither drops a document.
 
 Defined results: null and empty texts are the single id 0. Every id lies in exactly one piece; rows are documents, so repeated rows are packed repeatedly. A null id stays null.
-An empty table gives no rows.
+Very long texts are encoded whole and give many windows. Columns but the id and the text are left out, so their names don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -465,6 +465,12 @@ def test_packing_cases(spark):
     assert packing.pack(docs_of(spark), queries.BYTE_BPE).where("doc_id = 2").count() >= 2
 
 
+def test_packing_leaves_other_columns_out(spark):
+    rows = packing.pack(clashing(spark).selectExpr("*", "1 AS start", "2 AS length", "3 AS place", "4 AS near", "5 AS next", "6 AS offset"), queries.BYTE_BPE).collect()
+    plain = packing.pack(clashing(spark).select("doc_id", "text"), queries.BYTE_BPE).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.start, r.length, r.ids_crc32) for r in rows) == sorted((r.doc_id is None, r.doc_id, r.start, r.length, r.ids_crc32) for r in plain)
+
+
 @HERE
 def test_packing_table(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 50)
@@ -530,6 +536,43 @@ def test_media(spark):
     assert media.media_columns(clashing(spark)).count() == len(CASES) - 1
 
 
+def brute_feature(payload):
+    """Peaks and pairs frame by frame and bin by bin."""
+    if not any(payload):
+        return [], []
+    samples = np.frombuffer(payload, np.uint8).astype(np.float32) - np.float32(128)
+    frames = max(0, -(-(len(samples) - media.FRAME) // media.HOP)) + 1
+    samples = np.append(samples, np.zeros(frames * media.HOP + media.FRAME, np.float32))
+    power = [np.abs(np.fft.rfft(samples[k * media.HOP : k * media.HOP + media.FRAME] * media._WINDOW))[1:].astype(np.float32).tolist() for k in range(frames)]
+    found, width = [], len(power[0]) // media.BANDS
+    for t, now in enumerate(power):
+        for band in range(media.BANDS):
+            best = max(range(band * width, (band + 1) * width), key=lambda b: (now[b], -b))
+            if now[best] > 0 and (t == 0 or now[best] >= power[t - 1][best]) and (t + 1 == frames or now[best] >= power[t + 1][best]):
+                found.append((t, best))
+    out = sorted((t, b << 13 | c << 6 | u - t) for i, (t, b) in enumerate(found) for u, c in found[i + 1 : i + 1 + media.FAN] if u - t <= media.REACH)
+    return [t for t, _ in out], [c for _, c in out]
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_features_against_brute_force(block, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK", block)
+    rnd = random.Random(12)
+    samples = [b"", b"a", bytes(64), bytes(1000), b"ab" * 700, "Ein Satz über Töne. ".encode() * 90, b"x" * 255, b"x" * 256, b"x" * 257, b"x" * 384, b"x" * 385]
+    samples += [bytes(rnd.randrange(256) for _ in range(rnd.randrange(1, 6000))) for _ in range(25)] + [(" ".join(rnd.choice(["the", "and", "of", "zu"]) for _ in range(rnd.randrange(400)))).encode() for _ in range(25)]
+    for data in samples:
+        stored, back, at, codes = media.describe(data)
+        assert back == media.payload(data) and (at.tolist(), codes.tolist()) == brute_feature(back)
+
+
+def test_media_shapes(spark):
+    found = media.media_columns(clashing(spark).selectExpr("*", "1 AS feature", "2 AS media"))
+    assert found.count() == len(CASES) - 1 and found.columns[0] == "doc_id" and found.columns[-2:] == ["pair_times", "pair_codes"]
+    assert media.media_columns(docs_of(spark).limit(0)).collect() == []
+    kept = {r.doc_id: r for r in media.media_columns(docs_of(spark, [(1, "a" * 500), (1, "a" * 500), (None, None)]), keep_media=True).collect()}
+    assert media.from_wav(kept[1].media) == media.payload(b"a" * 500) and kept[None].n_bytes == 0 and kept[None].payload_bytes == 64
+
+
 def test_peaks_find_a_tone(monkeypatch):
     t = np.arange(128 * 40)
     tone = (128 + 100 * np.sin(2 * np.pi * t * 20 / media.FRAME)).astype(np.uint8)
