@@ -413,7 +413,7 @@ def _least_from(values: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _merged(tapes: list[Tape], at: np.ndarray, columns: list[np.ndarray], below_at: np.ndarray, below: np.ndarray, store: Store) -> list[Tape]:
-    """The next generation of transform, common prefixes and starts: ``columns`` put in at the sorted positions ``at``, and the common prefixes at ``below_at`` corrected."""
+    """The next generation of transform, common prefixes and, once there are any, starts: ``columns`` put in at the sorted positions ``at``, and the common prefixes at ``below_at`` corrected."""
     out = [Tape(store) for _ in tapes]
     before = at - np.arange(len(at))  # as many old entries stand before each
     done = low = 0
@@ -424,7 +424,7 @@ def _merged(tapes: list[Tape], at: np.ndarray, columns: list[np.ndarray], below_
         kept, put = np.ones(sizes[k] + last - done, bool), at[done:last] - base
         kept[put] = False
         made = []
-        for block, column in zip(blocks, columns, strict=True):
+        for block, column in zip(blocks, columns, strict=False):
             both = np.empty(len(kept), block.dtype)
             both[kept], both[put] = block, column[done:last]
             made.append(both)
@@ -440,26 +440,34 @@ def _merged(tapes: list[Tape], at: np.ndarray, columns: list[np.ndarray], below_
     return out
 
 
-def suffix_order(data: np.ndarray, offsets: np.ndarray, store: Store) -> list[Tape]:
+def suffix_order(data: np.ndarray, offsets: np.ndarray, store: Store, least: int = 1) -> list[Tape]:
     """Tapes of the transform, of the symbols each suffix of the UTF-8 strings in ``data`` shares with the one before (255 at most), and of the start positions, in order. The first entries are the strings' ends, one for each.
 
     Ends sort before symbols, and ends of different strings share nothing. Round j inserts the suffixes of length j. With c the symbol before a suffix of length j - 1, the
     new suffix stands behind all suffixes that begin with lower symbols and behind those that begin with c and whose rest stands before: its rank among equal symbols of the
     transform. It shares one symbol more than its rest does with that of its neighbour: the least common prefix between them.
+    Starts are those of suffixes of ``least`` symbols or more; of others, the tape has the length of the data. It is begun in round ``least`` only.
     """
     count, ends = len(offsets) - 1, offsets[1:].astype(np.int64)
     length = np.diff(offsets)
     symbols = np.append(data, np.uint8(END))
-    tapes = [Tape(store) for _ in range(3)]
-    given = [np.where(length > 0, symbols[ends - 1], np.uint8(END)), np.zeros(count, np.uint8), ends.astype(np.int32 if len(data) < 1 << 31 else np.int64)]
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    tapes = [Tape(store), Tape(store)]
+    given = [np.where(length > 0, symbols[ends - 1], np.uint8(END)), np.zeros(count, np.uint8)]
     counts = np.bincount(given[0], minlength=256)
     for first in range(0, count, STEP):
         for tape, values in zip(tapes, given, strict=True):
             tape.write(values[first : first + STEP])
     at = strings = np.arange(count)
-    for j in range(1, int(length.max(initial=0)) + 1):
+    for j in range(1, max(int(length.max(initial=0)), least) + 1):
+        if j == least:
+            tapes.append(Tape(store))
+            for n in tapes[0].sizes:
+                tapes[2].write(np.full(n, len(data), kind))
         longer = length[strings] >= j
         at, strings = at[longer], strings[longer]
+        if not len(at):
+            continue
         gap, ranks, commons, done, low = Gap(counts), [], [], 0, 0
         for b, shared in zip(tapes[0].read(), tapes[1].read(), strict=True):
             last = int(np.searchsorted(at, low + len(b)))
@@ -486,7 +494,7 @@ def earlier_windows(data: np.ndarray, offsets: np.ndarray, least_id: np.ndarray,
     """
     store, out = Store(folder, memory), np.zeros(len(offsets) - 1, np.uint32)
     try:
-        tapes = suffix_order(data, offsets, store)
+        tapes = suffix_order(data, offsets, store, SPAN)
         held, shares = np.zeros(0, np.int64), np.zeros(0, np.uint8)
         blocks = zip(tapes[1].read(), tapes[2].read(), strict=True)
         for k in range(len(tapes[1].sizes)):
@@ -575,22 +583,22 @@ def _spans(docs: DataFrame, copies: DataFrame, shared: DataFrame, size: int) ->
         again = doc > np.repeat(doc[cut], np.diff(np.append(cut, len(of))))
         out = [_rows(names, [number % buckets], [number], [SPANS], [packed_spans(row[again], start[again], (start + windows + SPAN - 1)[again])])]
         row, start, key, of, doc = (x[~again] for x in (row, start, key, of, doc))
-        where = (_mix(key * np.uint64(_BASE)) % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((of, where))
-        row, start, of, doc, where = (x[order] for x in (row, start, of, doc, where))
+        tag, where = (_mix(key) >> np.uint64(32)).astype(np.int64), (_mix(key * np.uint64(_BASE)) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((of, tag, where))
+        row, start, of, doc, where, tag = (x[order] for x in (row, start, of, doc, where, tag))
         cut, strings, blobs = np.append(_starts(where), len(where)), list(seen), []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             change = _starts(of[a:b])
             chosen = [strings[k] for k in of[a:b][change].tolist()]
             times = np.diff(np.append(change, b - a))
-            blobs.append(packed(np.frombuffer(b"".join(chosen), np.uint8), np.array([len(x) for x in chosen], "<u1"), times.astype("<i4"), row[a:b].astype("<i4"), doc[a:b], start[a:b].astype("<i4")))
+            blobs.append(packed(np.frombuffer(b"".join(chosen), np.uint8), np.array([len(x) for x in chosen], "<u1"), np.diff(tag[a:b][change], prepend=0).astype("<u4"), times.astype("<i4"), row[a:b].astype("<i4"), doc[a:b], start[a:b].astype("<i4")))
         out.append(_rows(names, where[cut[:-1]].tolist(), [number] * len(blobs), [STRINGS] * len(blobs), blobs))
         return pa.Table.from_batches(out)
 
     def meet(table: pa.Table) -> pa.Table:
         passed = table.filter(pc.equal(table["kind"], SPANS)).select(["block", "blob"])
         given = table.filter(pc.equal(table["kind"], STRINGS))
-        parts = [unpacked(b, "u1", "<u1", "<i4", "<i4", "<i8", "<i4") for b in given["blob"].to_pylist()]
+        parts = [unpacked(b, "u1", "<u1", "<u4", "<i4", "<i4", "<i8", "<i4") for b in given["blob"].to_pylist()]
         if not parts:
             return passed
         known: dict[bytes, int] = {}
@@ -598,20 +606,26 @@ def _spans(docs: DataFrame, copies: DataFrame, shared: DataFrame, size: int) ->
         for text, sizes, *_ in parts:
             raw, ends = memoryview(text), np.cumsum(sizes, dtype=np.int64)
             number.append(np.array([known.setdefault(bytes(raw[a:b]), len(known)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], np.int64))
-        of = np.concatenate([np.repeat(n, p[2]) for n, p in zip(number, parts, strict=True)])
-        block = np.repeat(given["block"].to_numpy(), [len(p[3]) for p in parts])
-        row, doc, start = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts]).astype(np.int64)
+        of = np.concatenate([np.repeat(n, p[3]) for n, p in zip(number, parts, strict=True)])
+        block = np.repeat(given["block"].to_numpy(), [len(p[4]) for p in parts])
+        row, doc, start = np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts]).astype(np.int64)
+        tag = np.zeros(len(known), np.uint32)
+        tag[np.concatenate(number)] = np.concatenate([np.cumsum(p[2], dtype=np.uint32) for p in parts])
         least = np.full(len(known), np.iinfo(np.int64).max)
         np.minimum.at(least, of, doc)
+        length = np.array([len(x) for x in known], np.int64)
+        _, group, size = np.unique(tag, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(size[group] > 1)  # a hash with a single distinct string has nothing to compare
         strings = list(known)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in strings])]).astype(np.int64)
-        earlier, _ = earlier_windows(np.frombuffer(b"".join(strings), np.uint8), offsets, least, scratch, MEMORY)
+        data = np.frombuffer(b"".join(strings[k] for k in several.tolist()), np.uint8)
+        earlier = np.zeros(len(known), np.uint32)
+        earlier[several], _ = earlier_windows(data, np.append(0, np.cumsum(length[several])), least[several], scratch, MEMORY)
         whole = doc > least[of]  # another document has the whole string first
         some = np.flatnonzero(~whole & (earlier[of] > 0))
         entry, nth = np.nonzero(earlier[of[some], None] >> np.arange(RUN, dtype=np.uint32) & np.uint32(1))
         entry, first = np.append(np.flatnonzero(whole), some[entry]), np.append(np.zeros(np.count_nonzero(whole), np.int64), nth)
         low = start[entry] + first
-        high = np.where(whole[entry], start[entry] + np.diff(offsets)[of[entry]], low + SPAN)
+        high = np.where(whole[entry], start[entry] + length[of[entry]], low + SPAN)
         order = np.lexsort((low, row[entry], block[entry]))
         where, own, low, high = block[entry][order], row[entry][order], low[order], high[order]
         cut = np.append(_starts(where), len(where))
@@ -641,10 +655,11 @@ def gram_hashes_at(data: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return _mix((columns * weights).sum(1, dtype=np.uint64)) & np.uint64(_ALL - 1)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
-    """``docs`` with its text cleaned and n_bytes, n_removed and n_spans added, or with ``digests`` these and kept_sha256 beside doc_id only; columns of these names are replaced."""
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digests: bool = False, counts: bool = True) -> DataFrame:
+    """``docs`` with its text cleaned and, with ``counts``, n_bytes, n_removed and n_spans in place of columns of these names; or with ``digests`` these and kept_sha256 beside doc_id only."""
     added = ["n_bytes", "n_removed", "n_spans"]
-    rest = [] if digests else [c for c in docs.columns if c not in (doc_id, text, *added)]
+    replaced = added if counts else []
+    rest = [] if digests else [c for c in docs.columns if c not in (doc_id, text, *replaced)]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     size = total_bytes(docs, text)
     blocks = max(1, -(-size // BLOCK))
@@ -700,5 +715,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = met.unionByName(rows.where(~comparable).mapInArrow(whole, fields))
     if digests:
         return out.select("doc_id", *added, F.col("kept").alias("kept_sha256"))
-    columns = [F.col("doc_id").cast(docs.schema[c].dataType).alias(c) if c == doc_id else F.col("kept").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns if c not in added]
-    return out.select(*columns, *added)
+    columns = [F.col("doc_id").cast(docs.schema[c].dataType).alias(c) if c == doc_id else F.col("kept").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns if c not in replaced]
+    return out.select(*columns, *replaced)
