@@ -322,14 +322,13 @@ def test_wide_fingerprints():
 
 
 @pytest.mark.parametrize("hot", [2, 32])
-def test_near_copies(spark, hot, monkeypatch):
-    monkeypatch.setattr(near_copies.proposed, "__defaults__", (hot,))
+def test_near_copies(spark, hot):
     rnd = random.Random(9)
     vocabulary = [f"w{i}" for i in range(2000)]
     base = [[rnd.choice(vocabulary) for _ in range(150)] for _ in range(12)]
     rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(None, base[3][0] + " " + " ".join(base[3])), (40, None), (41, ""), (42, " \t"), (43, "x"), (43, "x"), (44, "y")]
     rows += [(100 + 20 * i + k, " ".join(rnd.choice(vocabulary) if rnd.random() < 0.03 else w for w in b)) for i, b in enumerate(base) for k in range(8)]
-    found = near_copies.near_groups(docs_of(spark, rows)).collect()
+    found = near_copies.near_groups(docs_of(spark, rows), hot=hot).collect()
     assert all(r.component_id == (r.doc_id - 100) // 20 for r in found if r.doc_id is not None and r.doc_id >= 100)
     assert {r.doc_id: r.component_id for r in found if r.doc_id is None or r.doc_id < 100} == {i: i for i in range(12)} | {None: 3, 40: 40, 41: 40, 42: 40, 43: 43, 44: 44}
     kept = near_copies.drop_near_copies(docs_of(spark, rows)).collect()
