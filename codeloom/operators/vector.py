@@ -7,23 +7,19 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from codeloom.functions import cosine, name_from_id
+from codeloom.functions import cosine_to, name_from_id
 
 TOP_K, QUERY_BLOCK, STEP = 10, 4096, 2048
 
 
-def _literal(vector: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in vector])
-
-
 def knn(rows: DataFrame, vector: Sequence[float], column: str, top_k: int = TOP_K, key: str = "id") -> DataFrame:
     """The ``top_k`` rows nearest by cosine, with _distance; vectors without length are left out, equal distances go by key."""
-    scored = rows.withColumn("_distance", F.lit(1.0) - cosine(F.col(column), _literal(vector)))
+    scored = rows.withColumn("_distance", F.lit(1.0) - cosine_to(F.col(column), vector))
     return scored.where(F.col("_distance").isNotNull()).orderBy("_distance", key).limit(top_k)
 
 
@@ -100,8 +96,7 @@ def search_vectors(rows: DataFrame, vector: Sequence[float], first: str = "descr
     One pass stands for two searches and a merge: a row among the best by the greater of both is among the best by that column, too. On equal
     similarities the first column is named.
     """
-    query = _literal(vector)
-    scored = rows.withColumns({"__first": cosine(F.col(first), query), "__second": cosine(F.col(second), query)})
+    scored = rows.withColumns({"__first": cosine_to(F.col(first), vector), "__second": cosine_to(F.col(second), vector)})
     best = F.greatest("__first", "__second")
     field = F.when((F.col("__second") > F.col("__first")) | F.col("__first").isNull(), F.lit(names[1])).otherwise(F.lit(names[0]))
     return scored.withColumns({"similarity": best, "match_field": field}).where(F.col("similarity").isNotNull()).drop("__first", "__second").orderBy(F.col("similarity").desc(), key).limit(top_k)

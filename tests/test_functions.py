@@ -89,3 +89,10 @@ def test_skill_costs():
     assert text.count("SCORE: ") == 2 and "\n---\n" in text and said[0].startswith("score: gpt-4.1, $0.0")
     assert cost.call_dollars("gpt-5.4-mini", {"input_tokens": 1_000_000, "output_tokens": 100_000, "cache_read": 400_000}) == pytest.approx(0.93)
     assert cost.call_dollars("text-embedding-3-small", {"embedding_tokens": 500_000}) == pytest.approx(0.01) and cost.call_dollars("nobody", {"input_tokens": 9}) == 0
+
+
+def test_cosine_to_a_vector_is_the_cosine(spark):
+    rows = spark.createDataFrame([([1.0, 2.0, 3.0],), ([0.0, 0.0, 0.0],), (None,), ([-3.0, 0.5, 1.0],), ([1.0, 2.0],)], "v array<float>")
+    for q in ([2.0, -1.0, 0.5], [0.0, 0.0, 0.0]):
+        found = rows.select(fn.cosine("v", F.array(*map(F.lit, q))).alias("a"), fn.cosine_to(F.col("v"), q).alias("b")).collect()
+        assert all((r.a is None) == (r.b is None) and (r.a is None or abs(r.a - r.b) < 1e-12) for r in found)
