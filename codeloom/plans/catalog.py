@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom import checkpoints
 from codeloom import functions as fn
-from codeloom.operators import cost, extract, graph, render, semantic, store, vector
+from codeloom.operators import cost, extract, graph, index, render, semantic, store, vector
+from codeloom.schema import VECTOR_SIZE
 from codeloom.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -565,3 +568,73 @@ def semantic_embed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     client = semantic.StubClient()
     rows = table(spark, sf_dir, "benchmark").withColumn("v", semantic.embed_for_store(F.col("text"), client))
     return vector.knn(rows, semantic.embed_query("the and of", client), "v", key="item_id").select("item_id", F.round("_distance", 6).alias("distance"))
+
+
+_CONTENT = (
+    "'import os.path, g' || (k % 7) || ' as top\nfrom . import m' || k || '\nfrom ..h1 import x, y\nfrom os.path import join\n\n@top\ndef f' || k || '(a, *, b: int = ' || n || ') -> str:\n    return a\n\nclass C' || n || '(Base, kind=' || k || '):\n    async def go(self):\n        return 1\n'"
+)
+
+
+@query(
+    f"WITH p AS (SELECT *, sha256({_CONTENT}) AS source_hash FROM ({_P}) WHERE k % 50 <> 49),"
+    f" r AS (SELECT k, file_path, '__module__' AS name, 'module' AS kind, 'Module of 3 symbols.' AS description, '' AS signature, source_hash FROM p UNION ALL SELECT k, file_path, 'f' || k, 'function', 'The function f' || k || '.', {_DEF}, source_hash FROM p"
+    " UNION ALL SELECT k, file_path, 'C' || n, 'class', 'The class C' || n || '.', 'class C' || n || '(Base, kind=' || k || '):', source_hash FROM p UNION ALL SELECT k, file_path, 'C' || n || '.go', 'method', 'The method C' || n || '.go.', 'async def go(self):', source_hash FROM p)"
+    " SELECT file_path || '::' || name AS id, file_path, kind, description, signature, source_hash, 'a/b' AS repo_id, (CASE WHEN k % 5 <> 0 THEN 0 WHEN kind = 'module' THEN 3 ELSE 1 END)::BIGINT AS mutation_count, 'unknown' AS git_author FROM r"
+)
+def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbol table's rows for files as they are indexed, described by the stub; a fifth of the files has been stored before."""
+    files = _sources(spark, sf_dir).select("path", "content", fn.content_hash(F.col("content")).alias("source_hash"), "p_partkey")
+    symbols = extract.extract_symbols(files)
+    sound = files.where(F.col("p_partkey") % 50 != 49)
+    described = semantic.describe_modules(sound, symbols, semantic.StubClient())
+    stored = files.where(F.col("p_partkey") % 5 == 0).select(fn.module_id(F.col("path")).alias("id"), F.col("path").alias("file_path"), F.lit(2).cast("bigint").alias("mutation_count"))
+    no_git = spark.createDataFrame([], "file_path string, last_modified string, git_author string")
+    rows = index.symbol_rows(sound.drop("p_partkey"), symbols, described, semantic.StubClient(), no_git, "a/b", stored)
+    return rows.select("id", "file_path", "kind", "description", "signature", "source_hash", "repo_id", "mutation_count", "git_author")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{checkpoints.folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "WITH a AS (SELECT p_brand AS file_path, p_partkey AS k, p_size AS n, 'first' AS description FROM part), b AS (SELECT file_path, k, n, CASE WHEN n < 10 THEN 'second' ELSE description END AS description FROM a),"
+    " c AS (SELECT file_path, k, description FROM b WHERE file_path <> 'Brand#3' UNION ALL SELECT file_path, k, 'third' FROM b WHERE file_path = 'Brand#3' AND n > 25)"
+    " SELECT file_path || '::s' || k AS id, file_path, description FROM c WHERE file_path <> 'Brand#7'"
+)
+def store_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store in the checkpoint folder after an insert, an update, the replacement of a file and the removal of one."""
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), VECTOR_SIZE)
+
+    def rows(description: str, only: str = "true") -> DataFrame:
+        own = table(spark, sf_dir, "part").where(only).select(F.col("p_brand").alias("file_path"), fn.symbol_id(F.col("p_brand"), F.concat(F.lit("s"), F.col("p_partkey").cast("string"))).alias("id"))
+        filled = {"kind": "function", "description": description, "signature": "", "source_hash": "h", "last_modified": "t", "git_author": "a", "repo_id": "r"}
+        return own.withColumns({n: F.lit(v) for n, v in filled.items()} | {"mutation_count": F.lit(0).cast("bigint"), "description_vector": zeros, "signature_vector": zeros})
+
+    symbols = store.SymbolStore(spark, _scratch(spark, "store")).ensure()
+    symbols.upsert(rows("first"))
+    symbols.upsert(rows("second", "p_size < 10"))
+    symbols.replace_files(rows("third", "p_brand = 'Brand#3' AND p_size > 25"))
+    symbols.delete_by_file("Brand#7")
+    return symbols.read().select("id", "file_path", "description")
+
+
+@query(f"WITH {_LAYERED} SELECT src, dst FROM e")
+def graph_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph as it comes back from tables, which is how large ones are saved."""
+    edges, path = _layered(spark, sf_dir), _scratch(spark, "graph")
+    graph.ImportGraph.of(edges.select(F.col("src").alias("file_path")), edges).save(path, small=10)
+    return graph.ImportGraph.load(spark, path).edges
+
+
+@query(
+    _TWO + ", r AS (SELECT id, greatest(d, s) AS similarity, CASE WHEN s > d THEN 'signature' ELSE 'description' END AS field FROM s ORDER BY greatest(d, s) DESC, id LIMIT 10)"
+    " SELECT printf('%6.3f  %-8s  %s::%s  (%s)', similarity, CASE WHEN id % 2 = 0 THEN 'function' ELSE 'method' END, 'a/' || (id % 9) || '.py', 'C.f' || id, field) AS line FROM r"
+)
+def search_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, q = _two_columns(spark, sf_dir)
+    path = F.concat(F.lit("a/"), (F.col("id") % 9).cast("string"), F.lit(".py"))
+    name = F.concat(F.lit("C.f"), F.col("id").cast("string"))
+    found = vector.search_vectors(rows, q, "embedding", "other")
+    full = found.select(fn.symbol_id(path, name).alias("id"), path.alias("file_path"), F.when(F.col("id") % 2 == 0, "function").otherwise("method").alias("kind"), F.lit("").alias("description"), F.lit("").alias("signature"), "similarity", "match_field")
+    return vector.format_results(vector.search_results(full))
