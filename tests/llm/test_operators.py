@@ -755,8 +755,9 @@ def test_vocabularies_are_where_they_should_be():
 
 def test_ids_are_dealt_as_spark_deals_them(spark):
     ids = [0, 1, -1, 5, 1 << 40, -(1 << 62), (1 << 63) - 1]
-    rows = spark.createDataFrame([(i,) for i in ids], "i long").select("i", F.pmod(F.xxhash64("i"), F.lit(13)).cast("int").alias("b")).collect()
-    assert {r.i: r.b for r in rows} == dict(zip(ids, suffix_dedup._block(np.array(ids), 13).tolist(), strict=True))
+    pairs = [(i, t) for i in ids for t in ids]
+    rows = spark.createDataFrame(pairs, "i long, t long").select("i", "t", F.pmod(F.xxhash64("i", "t"), F.lit(13)).cast("int").alias("b")).collect()
+    assert {(r.i, r.t): r.b for r in rows} == dict(zip(pairs, suffix_dedup._block(*np.array(pairs).T, 13).tolist(), strict=True))
 
 
 def test_heads_of_articles_stay():
