@@ -152,6 +152,15 @@ class Index:
         self.owner, self.posted = owner[by_term], weight[by_term]
         self.lists = np.searchsorted(term[by_term], np.arange(size + 1))
 
+    def drop(self, free: np.ndarray) -> None:
+        """Leave out the units that aren't free; the others keep their order and get its numbers."""
+        own, posted = np.repeat(free, np.diff(self.first)), free[self.owner]
+        self.term, self.weight = self.term[own], self.weight[own]
+        self.first = np.concatenate([[0], np.cumsum(np.diff(self.first)[free])])
+        self.lists = np.concatenate([[0], np.cumsum(posted)])[self.lists]
+        self.owner, self.posted = (np.cumsum(free) - 1)[self.owner[posted]], self.posted[posted]
+        self.n = len(self.first) - 1
+
     def query(self, unit: int) -> np.ndarray:
         """The best terms of a unit."""
         own = slice(self.first[unit], self.first[unit + 1])
@@ -193,6 +202,10 @@ class Packer:
         index = Index([u[3] for u in units], self.idf, self.mean)
         free, next_free = np.ones(len(units), bool), 0
         while True:
+            if 2 * np.count_nonzero(free) < len(units):  # scores are made for what is still there
+                index.drop(free)
+                units = [u for u, own in zip(units, free.tolist(), strict=True) if own]
+                free, next_free = np.ones(len(units), bool), 0
             while next_free < len(units) and not free[next_free]:
                 next_free += 1
             if next_free == len(units):

@@ -505,6 +505,18 @@ def test_a_shard_is_one_block():
     assert packing.BLOCK > packing.SHARD
 
 
+def test_an_index_without_some_units():
+    rnd = np.random.default_rng(3)
+    units = [rnd.integers(0, 40, rnd.integers(1, 30)) for _ in range(50)]
+    idf, free = rnd.random(40) + 0.1, rnd.random(50) < 0.4
+    whole, less = packing.Index(units, idf, 12.0), packing.Index(units, idf, 12.0)
+    less.drop(free)
+    fresh = packing.Index([u for u, own in zip(units, free, strict=True) if own], idf, 12.0)
+    terms = np.array([3, 7, 20])
+    assert np.allclose(less.scores(terms), whole.scores(terms)[free]) and np.allclose(less.scores(terms), fresh.scores(terms))
+    assert less.n == fresh.n and all((less.query(k) == fresh.query(k)).all() for k in range(less.n))
+
+
 def test_bm25_scores():
     units = [np.array(x) for x in ([1, 1, 2], [2, 3], [4], [1])]
     idf = np.array([0.0, 0.5, 1.0, 2.0, 3.0])
