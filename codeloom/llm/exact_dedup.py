@@ -86,14 +86,14 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     judged = survivors.join(groups_of(survivors), _H)
     key, other = [_ID, _N, _P, _X], ["__xd_i", "__xd_l", "__xd_p", "__xd_x"]
     stays = F.col(_KEEP).eqNullSafe(F.col(_ID))
-    dropped = checkpointed(judged.where(~stays | (F.col(_ROWS) > 1)).groupBy(*key, _H).agg(F.max(stays).alias("__xd_once")))
+    dropped = checkpointed(judged.where(~stays | (F.col(_ROWS) > 1)).select(*key, _H, stays.alias("__xd_once")))  # not grouped, so that a large group's rows can be split in the join
     own = [F.col(f"`{c}`") for c in docs.columns]
     marked = named_by(docs.select(*own, F.col(f"`{doc_id}`").alias(_ID), *_keys(text, prefix_chars), F.xxhash64(_body(text)).alias(_X)), dropped, key, "__xd_dropped")
     again = dropped.select(*[F.col(a).alias(b) for a, b in zip(key, other, strict=True)], _H, "__xd_once")
     same = F.col(_ID).eqNullSafe(F.col("__xd_i")) & (F.col(_N) == F.col("__xd_l")) & (F.col(_P) == F.col("__xd_p")) & (F.col(_X) == F.col("__xd_x"))
     clear, doubtful = marked.where("NOT __xd_dropped").select(*own), marked.where("__xd_dropped")
     kept = clear.unionByName(doubtful.join(again, same, "left_anti").select(*own))
-    repeated = again.where("__xd_once")
+    repeated = again.where("__xd_once").drop("__xd_once").distinct()
     if repeated.isEmpty():
         return kept
     return kept.unionByName(doubtful.join(repeated, same).dropDuplicates([_H]).select(*own))
