@@ -1,8 +1,9 @@
 """Document fingerprints by Order MinHash, which follow the edit distance and not only the set of words.
 
-The k-mers of a text (of code points) are numbered by occurrence, so that the second copy of one is another element. Each of SKETCHES sketches permutes these elements, takes the TUPLE least of them, puts them back into
+The k-mers of a text (of code points) are numbered by occurrence, so that the second copy of one is another element. Each of SKETCHES sketches has an order of all elements, takes the TUPLE least of them, puts them back into
 their order in the text and hashes that tuple to 16 bits; a fingerprint is the sketches' hashes. Two texts agree in a sketch if the same elements stand there in the same order, and their likeness is the share of sketches in
-which they agree. Work grows with the length of the text; a long one is permuted in blocks of BLOCK elements, whose least elements are merged.
+which they agree. The orders are ORDERS random ones, each turned to SHIFTS starting points: elements are sorted once for each random order, and a turned order's least elements are those that follow its starting point. So a sketch costs a search in what is sorted. The share is as
+expected of independent orders; on texts of fewer elements than sketches it varies more.
 
 ``compare_neighbours`` compares each text with the next document and with a text edited by it. Documents are dealt once by ranges of descending id; a task walks its range in order, so each text meets the next with one text held. The last text of each range
 meets the first of the next range in a second, small step: a text for each range at most, joined by the number of the range, of which the driver sorts the numbers. Rows of one id are ordered by a hash of their text, and equal rows by their place in
@@ -25,44 +26,49 @@ from pyspark.sql import functions as F
 
 from codeloom.llm._common import checkpointed, parts, release, texts
 
-K, SKETCHES, TUPLE, BLOCK = 8, 64, 2, 4096
+K, ORDERS, SHIFTS, TUPLE = 8, 2, 32, 2
+SKETCHES = ORDERS * SHIFTS
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _RULE = np.random.default_rng(12)
-_TIMES = (_RULE.integers(0, 1 << 32, SKETCHES, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-_PLUS = _RULE.integers(0, 1 << 32, SKETCHES, np.uint64).astype(np.uint32)[:, None]
+_TIMES = (_RULE.integers(0, 1 << 32, ORDERS, np.uint64) | np.uint64(1)).astype(np.uint32)
+_STARTS = np.sort(_RULE.integers(0, 1 << 32, (ORDERS, SHIFTS), np.uint64), axis=1) << np.uint64(32)
 _SKETCH = _RULE.integers(0, 1 << 63, SKETCHES, np.uint64)
-_NONE = np.uint64(1) << np.uint64(32)
-_AT = np.arange(SKETCHES)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    return x ^ (x >> np.uint64(29))
+    x = x ^ (x >> np.uint64(32))
+    x *= _MIX
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def elements(text: str) -> tuple[np.ndarray, np.ndarray]:
     """A 32-bit hash of each occurrence-numbered k-mer of a text, and its position."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    if not len(codes):
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    if len(codes) < K:
-        codes = np.concatenate([codes, np.zeros(K - len(codes), np.uint64)])
-    h, span = _mixed(codes * _ODD), 1
-    while span < K:  # of twice the span each time
-        h = _mixed(h[:-span] * _ODD + h[span:])
-        span *= 2
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
+    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    if not len(h):
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint64)
+    if len(h) < K:
+        h = np.concatenate([h, np.zeros(K - len(h), np.uint64)])
+    span, times = 1, _ODD
+    with np.errstate(over="ignore"):
+        while span < K:  # a polynomial of twice as many code points each time
+            h, span, times = h[:-span] * times + h[span:], span * 2, times * times
+    h = _mixed(h * _ODD)
+    bits = np.uint64(max(1, len(h).bit_length()))
     mask = (np.uint64(1) << bits) - np.uint64(1)
-    order = np.sort((h & ~mask) | np.arange(len(h), dtype=np.uint64))  # equal k-mers together, in order of position
-    at = (order & mask).astype(np.int64)
-    same = (order >> bits)[1:] == (order >> bits)[:-1]
-    h = h[at]
-    if same.any():
-        index = np.arange(len(h))
-        starts = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), index, 0))
-        h = h + (index - starts).astype(np.uint64) * _ODD
-    return (_mixed(h * _MIX) >> np.uint64(32)).astype(np.uint32), at
+    order = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
+    order.sort()  # equal k-mers together, in order of position
+    at = order & mask
+    order >>= bits
+    again = np.flatnonzero(order[1:] == order[:-1]) + 1
+    h = h[at.astype(np.int64)]
+    if len(again):  # runs of equal ones are few: number them by themselves
+        run = np.concatenate([[True], np.diff(again) > 1])
+        starts = again[run] - 1
+        h[again] += (again - starts[np.cumsum(run) - 1]).astype(np.uint64) * _ODD
+    return (h * _MIX >> np.uint64(32)).astype(np.uint32), at
 
 
 def fingerprint(text: str) -> np.ndarray:
@@ -70,28 +76,18 @@ def fingerprint(text: str) -> np.ndarray:
     own, at = elements(text)
     if not len(own):
         return np.zeros(SKETCHES, np.uint16)
-    least = np.full((SKETCHES, TUPLE), _NONE)
-    chosen = np.zeros((SKETCHES, TUPLE), np.int64)
-    for first in range(0, len(own), BLOCK):
-        values = own[first : first + BLOCK] * _TIMES + _PLUS
-        size = values.shape[1]
-        found, where = [least], [chosen]
-        for k in range(min(TUPLE, size)):
-            best = values.argmin(1)
-            found.append(values[_AT, best].astype(np.uint64)[:, None])
-            where.append(best[:, None] + first)
-            if k + 1 < min(TUPLE, size):
-                values[_AT, best] = np.uint32(0xFFFFFFFF)
-        found, where = np.hstack(found), np.hstack(where)
-        rank = np.argsort(found, axis=1, kind="stable")[:, :TUPLE]
-        least, chosen = np.take_along_axis(found, rank, 1), np.take_along_axis(where, rank, 1)
-    absent = least == _NONE
-    place = np.where(absent, np.iinfo(np.int64).max, at[chosen])
-    order = np.argsort(place, axis=1, kind="stable")
-    values = np.where(absent, _NONE, own[chosen].astype(np.uint64))
-    h = _SKETCH.copy()
+    size, chosen = min(TUPLE, len(own)), []
+    for times, starts in zip(_TIMES, _STARTS, strict=True):
+        order = (own * times).astype(np.uint64)
+        order <<= np.uint64(32)
+        order |= at
+        order.sort()
+        chosen.append(order[(np.searchsorted(order, starts)[:, None] + np.arange(size)) % len(order)])
+    chosen = np.concatenate(chosen)
+    chosen = np.sort((chosen << np.uint64(32)) | (chosen >> np.uint64(32)), axis=1) & _LOW  # in order of position
+    h = _SKETCH
     for k in range(TUPLE):
-        h = _mixed((h + values[_AT, order[:, k]]) * _ODD)
+        h = _mixed((h + (chosen[:, k] if k < size else _LOW + np.uint64(1))) * _ODD)
     return (h >> np.uint64(48)).astype(np.uint16)
 
 
