@@ -154,19 +154,28 @@ def package_roots(paths: DataFrame) -> DataFrame:
     return named.groupBy("name").agg(F.min(F.struct(F.length("prefix").alias("n"), F.col("prefix"))).alias("best")).select("name", "best.prefix")
 
 
-def resolve_imports(modules: DataFrame, paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """file_path, module and the file it means, for modules (file_path, module) that mean one of ``paths``.
+def import_candidates(names: DataFrame, roots: DataFrame) -> DataFrame:
+    """module, path and rank of each file that a module (column module, distinct) may mean: the one with the least rank that exists is meant.
 
     Candidates are tried in order: the whole dotted name, then ever shorter ones; for each as a module, a package, both below src/, and below a registered root.
     """
-    names = modules.select("module").distinct().withColumn("parts", F.split("module", r"\."))
-    shorter = names.select("module", "parts", F.explode(F.sequence(F.size("parts"), F.lit(1), F.lit(-1))).alias("n"))
+    parted = names.select("module").withColumn("parts", F.split("module", r"\."))
+    shorter = parted.select("module", "parts", F.explode(F.sequence(F.size("parts"), F.lit(1), F.lit(-1))).alias("n"))
     rooted = shorter.join(roots.withColumnRenamed("name", "top"), F.col("parts")[0] == F.col("top"), "left")
     path = F.concat_ws("/", F.slice("parts", F.lit(1), F.col("n")))
     tries = [F.concat(path, F.lit(".py")), F.concat(path, F.lit("/__init__.py")), F.concat(F.lit("src/"), path, F.lit(".py")), F.concat(F.lit("src/"), path, F.lit("/__init__.py")), F.concat("prefix", path, F.lit(".py")), F.concat("prefix", path, F.lit("/__init__.py"))]
-    candidates = rooted.select("module", F.size("parts").alias("size"), "n", F.posexplode(F.array(*tries)).alias("nth", "path")).where(F.col("path").isNotNull())
-    hits = candidates.join(paths.select("path").distinct(), "path").groupBy("module").agg(F.min_by("path", (F.col("size") - F.col("n")) * len(tries) + F.col("nth")).alias("target"))
-    return modules.join(hits, "module").select("file_path", "module", "target")
+    each = rooted.select("module", F.size("parts").alias("size"), "n", F.posexplode(F.array(*tries)).alias("nth", "path")).where(F.col("path").isNotNull())
+    return each.select("module", "path", ((F.col("size") - F.col("n")) * len(tries) + F.col("nth")).alias("rank"))
+
+
+def first_matches(candidates: DataFrame, paths: DataFrame) -> DataFrame:
+    """module and target, for modules of which a candidate is among ``paths``."""
+    return candidates.join(paths.select("path").distinct(), "path").groupBy("module").agg(F.min_by("path", "rank").alias("target"))
+
+
+def resolve_imports(modules: DataFrame, paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """file_path, module and the file it means, for modules (file_path, module) that mean one of ``paths``."""
+    return modules.join(first_matches(import_candidates(modules.select("module").distinct(), roots), paths), "module").select("file_path", "module", "target")
 
 
 def import_edges(resolved: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import time
 import uuid
 import zlib
+from typing import Self
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -69,23 +70,23 @@ def get_by_directory(rows: DataFrame, directory: str, column: str = "file_path")
     return rows.where(F.col(column).startswith(directory.rstrip("/") + "/"))
 
 
-BUCKETS, GROW = 64, 256 << 20
+BUCKETS, GROW, FEW = 64, 256 << 20, 1000
 _POINTER = re.compile(r"CURRENT-(\d{12})")
 
 
-class SymbolStore:
-    """A table in a folder that all executors reach, split into buckets by a checksum of the file path.
+class KeyedTable:
+    """A table in a folder that all executors reach, split into buckets by a checksum of its key, a string.
 
     A write makes new files for the buckets it concerns, however large the others are, and then adds a pointer that names each bucket's version. Pointers are numbered, made once and never changed; the one with the greatest
     number that can be read counts. So a writer that stops at any point leaves the table as it was before or after, a second writer of the same number fails, and readers keep the version they opened: a table may be read and
-    replaced in one plan. The last two pointers and what they name are kept. Files are sorted by path, so prefix
-    and equality filters skip row groups, and the lookup of a file or an id reads its bucket only. When a bucket exceeds ``grow`` bytes, the number of buckets is doubled in a write of all: each row is
+    replaced in one plan. The last two pointers and what they name are kept. Files are sorted by key, so prefix
+    and equality filters skip row groups, and a lookup reads the buckets of its keys only. When a bucket exceeds ``grow`` bytes, the number of buckets is doubled in a write of all: each row is
     rewritten so a bounded number of times, and a bucket's size, which is what a small write costs, doesn't grow with the table.
     Files go through Hadoop's file systems, not through local paths.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType = SYMBOLS, buckets: int = BUCKETS, grow: int = GROW) -> None:
-        self.spark, self.path, self.schema, self.buckets, self.grow = spark, path.rstrip("/"), schema, buckets, grow
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = BUCKETS, grow: int = GROW) -> None:
+        self.spark, self.path, self.schema, self.key, self.buckets, self.grow = spark, path.rstrip("/"), schema, key, buckets, grow
         self._jvm = spark.sparkContext._jvm
         self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -125,10 +126,10 @@ class SymbolStore:
                 break
         return None
 
-    def bucket_of(self, path: str) -> int:
-        return zlib.crc32(path.encode()) % self.buckets
+    def bucket_of(self, key: str) -> int:
+        return zlib.crc32(key.encode()) % self.buckets
 
-    def ensure(self) -> SymbolStore:
+    def ensure(self) -> Self:
         """Create an empty table if there is none."""
         if self._pointer() is None:
             self._add({"buckets": self.buckets, "versions": {}})
@@ -184,7 +185,8 @@ class SymbolStore:
 
     def _files(self, rows: DataFrame, version: str, buckets: int) -> dict[str, int]:
         """Write rows by bucket; the bytes of each bucket that has any."""
-        placed = rows.withColumn("bucket", (F.crc32(F.col("file_path")) % buckets).cast("int")).repartition("bucket").sortWithinPartitions("bucket", "file_path", "id")
+        order = [self.key, *(["id"] if self.key != "id" and "id" in self.schema.names else [])]
+        placed = rows.withColumn("bucket", (F.crc32(F.col(self.key)) % buckets).cast("int")).repartition("bucket").sortWithinPartitions("bucket", *order)
         placed.write.partitionBy("bucket").parquet(f"{self.path}/versions/{version}")
         folders = [x.getPath() for x in self._fs.listStatus(self._path(f"{self.path}/versions/{version}")) if x.isDirectory()]
         return {x.getName().removeprefix("bucket="): self._fs.getContentSummary(x).getLength() for x in folders}
@@ -199,14 +201,44 @@ class SymbolStore:
         self.buckets = buckets
         self._add({"buckets": buckets, "versions": dict.fromkeys(made, version)})
 
-    def _bucket(self, column: str = "file_path") -> Column:
-        return (F.crc32(F.col(column)) % self.buckets).cast("int")
+    def _bucket(self) -> Column:
+        return (F.crc32(F.col(self.key)) % self.buckets).cast("int")
 
     def _concerned(self, *tables: DataFrame | None) -> list[int]:
-        """The buckets of the tables' files: as many numbers as there are buckets, at most."""
+        """The buckets of the tables' keys: as many numbers as there are buckets, at most."""
         self._pointer()
         return sorted({r.b for t in tables if t is not None for r in t.select(self._bucket().alias("b")).distinct().collect()})
 
+    def exists(self) -> bool:
+        return self._pointer() is not None
+
+    def get(self, keys: DataFrame) -> DataFrame:
+        """The rows of the keys in ``keys`` (its column of the key's name), out of their buckets; the filter of FEW keys goes down to the scan."""
+        wanted = keys.select(self.key).where(F.col(self.key).isNotNull()).distinct()
+        few = [r[0] for r in wanted.limit(FEW + 1).collect()]
+        if len(few) <= FEW:
+            self._pointer()
+            return self.read(sorted({self.bucket_of(k) for k in few})).where(F.col(self.key).isin(few))
+        return self.read(self._concerned(wanted)).join(wanted, self.key, "left_semi").select(*self.schema.names)
+
+    def replace(self, rows: DataFrame, emptied: DataFrame | None = None) -> None:
+        """All rows of the keys in ``rows`` (and ``emptied``) give way to ``rows``, in one write."""
+        if concerned := self._concerned(rows, emptied):
+            self._write(replace_by(self.read(concerned), rows.select(*self.schema.names), self.key, emptied), concerned)
+
+    def change(self, added: DataFrame, removed: DataFrame) -> None:
+        """Whole rows come and go, in one write; a row is never there twice."""
+        if concerned := self._concerned(added, removed):
+            names = self.schema.names
+            self._write(self.read(concerned).join(removed.select(*names).distinct(), names, "left_anti").unionByName(added.select(*names)).distinct(), concerned)
+
+
+class SymbolStore(KeyedTable):
+    """The symbol table: a KeyedTable by file path, with rows that are named by id."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType = SYMBOLS, buckets: int = BUCKETS, grow: int = GROW) -> None:
+        super().__init__(spark, path, schema, "file_path", buckets, grow)
+
     def upsert(self, rows: DataFrame) -> None:
         """Insert or replace by id; the last definition of an id wins, no rows change nothing."""
         if concerned := self._concerned(rows):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom import checkpoints
 from codeloom import functions as fn
-from codeloom.operators import cost, extract, graph, index, render, semantic, store, vector
+from codeloom.operators import cost, extract, graph, imports, index, render, semantic, store, vector
 from codeloom.schema import VECTOR_SIZE
 from codeloom.streaming import incremental
 
@@ -407,7 +407,7 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("def f"), k, F.lit("(a, *, b: int = "), n, F.lit(") -> str:")), F.lit("    return a"), F.lit(""), F.concat(F.lit("class C"), n, F.lit("(Base, kind="), k, F.lit("):")), F.lit("    async def go(self):"), F.lit("        return 1"), F.lit(""),
     ]
     broken = F.when(F.col("p_partkey") % 50 == 49, F.lit("def (")).otherwise(F.concat_ws("\n", *lines))
-    return table(spark, sf_dir, "part").select("p_partkey", path.alias("path"), broken.alias("content"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", path.alias("path"), broken.alias("content"))
 
 
 _P = "SELECT p_partkey AS k, p_size AS n, 'lib/g' || (p_partkey % 7) || '/h' || (p_partkey % 3) AS dir, 'lib/g' || (p_partkey % 7) || '/h' || (p_partkey % 3) || '/m' || p_partkey || '.py' AS file_path FROM part"
@@ -627,6 +627,34 @@ def graph_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ImportGraph.load(spark, path).edges
 
 
+@query(
+    f"WITH p AS (SELECT * FROM ({_P}) WHERE n < 50), k AS (SELECT file_path, k, n, 'g' || (k % 7) || '.h' || (k % 3) AS package FROM p),"
+    " a AS (SELECT file_path, 'os.path' AS module FROM k WHERE n <> 1 AND k % 50 <> 49 UNION SELECT file_path, 'g' || (k % 7) FROM k WHERE n <> 1 AND k % 50 <> 49 UNION SELECT file_path, package || '.m' || k FROM k WHERE n <> 1 AND k % 50 <> 49"
+    " UNION SELECT file_path, split_part(package, '.', 1) || '.h1' FROM k WHERE n <> 1 AND k % 50 <> 49 UNION SELECT file_path, 'g' || (k % 5) || '.late' FROM k WHERE n = 1 UNION SELECT file_path, 'h0' FROM k WHERE n = 1),"
+    f" f AS (SELECT dir || '/__init__.py' AS path FROM ({_P}) UNION SELECT regexp_replace(dir, '/[^/]*$', '') || '/__init__.py' FROM ({_P}) UNION SELECT file_path FROM p UNION SELECT 'lib/g3/late.py'),"
+    f" r AS (SELECT DISTINCT 'g' || (k % 7) AS name FROM ({_P})),"
+    " b AS (SELECT file_path, module, u.n, 'lib/' || array_to_string(list_slice(string_split(module, '.'), 1, u.n), '/') AS stem FROM a, unnest(range(1, len(string_split(module, '.')) + 1)) AS u(n) WHERE split_part(module, '.', 1) IN (SELECT name FROM r)),"
+    " c AS (SELECT file_path, module, n, i.k AS k, stem || CASE i.k WHEN 0 THEN '.py' ELSE '/__init__.py' END AS path FROM b, range(2) AS i(k)),"
+    " t AS (SELECT file_path, module, arg_min(path, -n * 10 + k) AS target FROM c JOIN f USING (path) GROUP BY ALL)"
+    " SELECT DISTINCT file_path AS src, target AS dst FROM t"
+)
+def import_edges_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges in the import tables after edits: files of size 1 get other imports, those of size 50 go, lib/g2 becomes a package, and a module that many wait for appears. Only what an edit touches is parsed."""
+    files = _sources(spark, sf_dir).select("p_size", "path", "content").unionByName(_paths(spark, sf_dir).where(F.col("path").endswith("__init__.py")).select(F.lit(0).alias("p_size"), "path", F.lit("").alias("content")))
+    hashed = checkpoints.checkpointed(files.withColumn("source_hash", fn.content_hash(F.col("content"))))
+    k = F.regexp_extract("path", r"m(\d+)\.py$", 1).cast("int")
+    other = F.concat(F.lit("import g"), (k % 5).cast("string"), F.lit(".late\nfrom h0 import x"))
+    edited = hashed.where("p_size = 1").withColumn("content", other).withColumn("source_hash", fn.content_hash(F.col("content")))
+    late = spark.range(1).select(F.lit("lib/g3/late.py").alias("path"), F.lit("").alias("content"), F.lit("late").alias("source_hash"))
+    initial = spark.range(1).select(F.lit("lib/g2/__init__.py").alias("path"), F.lit("").alias("content"), F.lit("new").alias("source_hash"))
+    found = imports.ImportIndex(spark, _scratch(spark, "imports"), buckets=8)
+    found.update(hashed)
+    found.update(edited, hashed.where("p_size = 50").select("path"))
+    found.update(initial)
+    found.update(late)
+    return found.edges()
+
+
 @query(
     _TWO + ", r AS (SELECT id, greatest(d, s) AS similarity, CASE WHEN s > d THEN 'signature' ELSE 'description' END AS field FROM s ORDER BY greatest(d, s) DESC, id LIMIT 10)"
     " SELECT printf('%6.3f  %-8s  %s::%s  (%s)', similarity, CASE WHEN id % 2 = 0 THEN 'function' ELSE 'method' END, 'a/' || (id % 9) || '.py', 'C.f' || id, field) AS line FROM r"

@@ -80,10 +80,11 @@ def _git(root: str | Path, *args: str) -> str:
     return done.stdout if done.returncode == 0 else ""
 
 
-def git_metadata(spark: SparkSession, root: str | Path) -> DataFrame:
-    """file_path, last_modified and git_author of each file's last commit, out of one log."""
+def git_metadata(spark: SparkSession, root: str | Path, path: str | None = None) -> DataFrame:
+    """file_path, last_modified and git_author of each file's last commit, out of one log; of one file, out of its last entry."""
     found, stamp = {}, ("", "")
-    for line in _git(root, "-c", "core.quotepath=off", "log", "--format=%x00%aI|%aN", "--name-only").splitlines():
+    narrow = ["-1", "--", path] if path else []
+    for line in _git(root, "-c", "core.quotepath=off", "log", "--format=%x00%aI|%aN", "--name-only", *narrow).splitlines():
         if line.startswith("\0"):
             when, _, author = line[1:].partition("|")
             stamp = (when, author)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom import api, cli
-from codeloom.operators import edit, extract, graph, index, render, semantic, store, vector
+from codeloom.operators import edit, extract, graph, imports, index, render, semantic, store, vector
 from codeloom.sources import files, provider
 
 MINI = {
@@ -175,6 +175,72 @@ def test_index_twice_and_edit(spark, repo, tmp_path_factory):
     assert "# codeloom: unverified dump @" in (repo / "app/repo.py").read_text()
 
 
+def whole_edges(spark, texts):
+    """Edges as a full run makes them."""
+    rows = spark.createDataFrame(list(texts.items()), "path string, content string")
+    paths = rows.select("path")
+    modules = extract.absolute_imports(extract.extract_imports(rows), extract.packages_of_files(paths))
+    return {tuple(r) for r in extract.import_edges(extract.resolve_imports(modules, paths, extract.package_roots(paths))).collect()}
+
+
+def test_edits_give_the_edges_of_a_full_run(spark, tmp_path):
+    texts = {p: t for p, t in MINI.items() if not p.startswith(".venv")}
+    kept = imports.ImportIndex(spark, f"file://{tmp_path}/imports", buckets=4)
+
+    def take(*changed, gone=()):
+        for p in gone:
+            del texts[p]
+        rows = [(p, texts[p], str(hash(texts[p]))) for p in changed]
+        touched = kept.update(spark.createDataFrame(rows, "path string, content string, source_hash string"), spark.createDataFrame([(p,) for p in gone], "path string"))
+        assert {tuple(r) for r in kept.edges().collect()} == whole_edges(spark, texts) and kept.unfinished() == []
+        return {r.file_path for r in touched.collect()}
+
+    take(*texts)
+    texts["app/util.py"] = "import app.models, late.y, json\nfrom . import core\n"
+    assert take("app/util.py") == {"app/util.py"}
+    texts["late/y.py"] = "def ("
+    assert take("late/y.py") == {"late/y.py", "app/util.py"}  # who waited for it is resolved again, nobody else
+    texts |= {"late/__init__.py": "", "packages/bar/foo/__init__.py": "", "packages/bar/foo/x.py": ""}
+    assert "tools/run.py" in take("late/__init__.py", "packages/bar/foo/__init__.py", "packages/bar/foo/x.py")
+    assert {"app/core.py", "app/util.py"} <= take(gone=["app/__init__.py", "late/y.py"])  # no package, so relative imports mean nothing
+    texts["app/__init__.py"] = "from .core import x"
+    assert {"app/core.py", "app/util.py"} <= take("app/__init__.py")
+    take(gone=[p for p in texts if p.startswith("packages/bar")])
+    take(gone=list(texts))
+
+
+def test_an_update_that_stops_is_taken_up(spark, tmp_path, monkeypatch):
+    kept = imports.ImportIndex(spark, f"file://{tmp_path}/imports", buckets=2)
+    rows = lambda **texts: spark.createDataFrame([(f"{p}.py", t, t) for p, t in texts.items()], "path string, content string, source_hash string")
+    kept.update(rows(a="import b", b="", c="import d"))
+    for table in ("waiting", "users", "files"):
+        with monkeypatch.context() as m, pytest.raises(OSError, match="stop"):
+            m.setattr(getattr(kept, table), "_add", lambda _: (_ for _ in ()).throw(OSError("stop")))
+            kept.update(rows(a="import c, e", e=""))
+        assert kept.unfinished() == ["a.py", "e.py"]
+        assert {r.path for r in kept.differing(rows(a="import c, e", e="", b="")).collect()} == {"a.py", "e.py"}
+        kept.update(rows(a="import c, e", e=""))
+        assert {tuple(r) for r in kept.edges().collect()} == {("a.py", "c.py"), ("a.py", "e.py")} and kept.unfinished() == []
+        kept.update(rows(a="import b"), spark.createDataFrame([("e.py",)], "path string"))
+        assert {tuple(r) for r in kept.edges().collect()} == {("a.py", "b.py")}
+
+
+def test_one_file_is_indexed_at_the_cost_of_one(spark, repo, tmp_path_factory):
+    home = tmp_path_factory.mktemp("store")
+    symbols, client = store.SymbolStore(spark, f"file://{home}/symbols").ensure(), semantic.StubClient()
+    first = index.index_file(spark, repo, "app/core.py", symbols, graph.ImportGraph.empty(spark), client)  # no tables yet: all imports are read
+    assert {tuple(r) for r in first.graph.edges.collect()} == {("app/core.py", "app/models.py"), ("app/core.py", "app/util.py")}
+    everything = index.index_directory(spark, repo, symbols, first.graph, client)
+    (repo / "app/models.py").write_text("import tools.run\n")  # not indexed, so it must not be read
+    (repo / "app/util.py").write_text("import foo.x\n")
+    one = index.index_file(spark, repo, "app/util.py", symbols, everything.graph, client)
+    before, after = ({tuple(r) for r in g.edges.collect()} for g in (everything.graph, one.graph))
+    assert after == before - {("app/util.py", "app/__init__.py")} | {("app/util.py", "packages/foo/foo/x.py")}
+    assert [(r.file_path, r.status) for r in one.files.collect()] == [("app/util.py", "indexed")]
+    assert {r.mutation_count for r in symbols.get_by_file("app/util.py").collect()} == {1} and {r.mutation_count for r in symbols.get_by_file("app/models.py").collect()} == {0}
+    assert index.index_file(spark, repo, "app/none.py", symbols, one.graph, client).files.count() == 0
+
+
 @pytest.mark.parametrize(
     ("old", "want"),
     [(None, "{s}\nB"), ("intro\n{s}\nold", "intro\n{s}\nB"), ("x<index>old</index>y", "x{s}\nBy"), ("intro", "intro\n{s}\nB")],
