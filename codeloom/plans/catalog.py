@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from codeloom import checkpoints
 from codeloom import functions as fn
 from codeloom.operators import cost, extract, graph, imports, index, render, semantic, store, vector
 from codeloom.schema import VECTOR_SIZE
+from codeloom.sources import files as sources
+from codeloom.sources import repository
 from codeloom.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -627,6 +632,36 @@ def graph_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ImportGraph.load(spark, path).edges
 
 
+def _written(files: DataFrame, root: str) -> None:
+    """Write files (path, content) below a folder that driver and workers see, by tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+                with open(f"{root}/{path}", "w", encoding="utf-8", newline="") as file:
+                    file.write(content)
+            yield batch.slice(0, 0)
+
+    files.select("path", "content").mapInArrow(run, "path string, content string").write.format("noop").mode("overwrite").save()
+
+
+@query(
+    f"WITH p AS ({_P}), f AS (SELECT file_path AS path, CASE WHEN k % 50 = 49 THEN 'def (' ELSE {_CONTENT} END AS content FROM p UNION ALL SELECT DISTINCT dir || '/__init__.py', '' FROM p)"
+    " SELECT path, strlen(content)::BIGINT AS size, sha256(content) AS source_hash, starts_with(path, 'lib/g3/h1/m1') AS below FROM f"
+)
+def repository_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of files as the partitioned source lists it and workers read it; of a prefix, listed by itself, the same."""
+    root = f"{re.sub('^file:/+', '/', _scratch(spark, 'tree'))}"
+    files = _sources(spark, sf_dir).select("path", "content")
+    initial = files.select(F.concat(F.regexp_replace("path", "/[^/]*$", ""), F.lit("/__init__.py")).alias("path"), F.lit("").alias("content")).distinct()
+    _written(files.unionByName(initial), root)
+    listed = repository.list_files(spark, root)
+    some = repository.list_files(spark, root, prefix="lib/g3/h1/m1").select("path", F.lit(True).alias("below"))
+    read = sources.read_listed(listed, root).select("path", fn.content_hash(F.col("content")).alias("source_hash"))
+    return read.join(listed, "path").join(some, "path", "left").select("path", "size", "source_hash", F.coalesce("below", F.lit(False)).alias("below"))
+
+
 @query(
     f"WITH p AS (SELECT * FROM ({_P}) WHERE n < 50), k AS (SELECT file_path, k, n, 'g' || (k % 7) || '.h' || (k % 3) AS package FROM p),"
     " a AS (SELECT file_path, 'os.path' AS module FROM k WHERE n <> 1 AND k % 50 <> 49 UNION SELECT file_path, 'g' || (k % 7) FROM k WHERE n <> 1 AND k % 50 <> 49 UNION SELECT file_path, package || '.m' || k FROM k WHERE n <> 1 AND k % 50 <> 49"

@@ -1,13 +1,11 @@
 """Files, git and references as sources, and the driver's file sinks.
 
-Spark's own file sources skip names that begin with an underscore, and so every ``__init__.py``: paths are walked on the driver, which is cheap, and read by the
-workers, which see the same file system.
+Trees and logs are listed by the partitioned sources of ``repository``; what is listed is dealt anew by path before it is read, by workers that see the same file system.
 """
 
 from __future__ import annotations
 
 import os
-import subprocess
 import sys
 import tempfile
 import uuid
@@ -21,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import repo_id_from_url
-from codeloom.functions.scalars import EXCLUDED_DIRECTORIES
 from codeloom.schema import FILES
+from codeloom.sources import repository
 
 #: Fixed values.
 TEXT_SUFFIXES = (".py", ".md", ".xml", ".toml", ".yaml", ".yml", ".json", ".txt")
@@ -35,18 +33,8 @@ def find_repo_root(start: str | Path = ".") -> Path:
     return next((p for p in (here, *here.parents) if (p / ".git").exists()), here)
 
 
-def list_python_files(root: str | Path) -> list[str]:
-    """Sorted POSIX paths below ``root`` of all ``*.py``, without those in excluded directories."""
-    found = []
-    for folder, names, files in os.walk(root):
-        rel = Path(folder).relative_to(root).as_posix()
-        names[:] = [n for n in names if n not in EXCLUDED_DIRECTORIES and not (rel == ".claude" and n == ".venv")]
-        found += [n if rel == "." else f"{rel}/{n}" for n in files if n.endswith(".py")]
-    return sorted(found)
-
-
-def read_files(spark: SparkSession, root: str | Path, paths: list[str]) -> DataFrame:
-    """path, content and error of files below ``root``; a file that can't be read has an error and no content."""
+def read_listed(listed: DataFrame, root: str | Path, tasks: int | None = None) -> DataFrame:
+    """path, content and error of the files below ``root`` that a table (path) lists; a file that can't be read has an error and no content."""
     base = str(Path(root).resolve())
 
     def read(path: str) -> tuple[str, str | None, str | None]:
@@ -61,36 +49,30 @@ def read_files(spark: SparkSession, root: str | Path, paths: list[str]) -> DataF
             for p in batch.column(0).to_pylist():  # a file at a time: no batch holds many large files
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in read(p)], ["path", "content", "error"])
 
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return listed.repartition(max(1, min(len(paths) // 64 + 1, 4096)), "path").mapInArrow(run, FILES)
+    tasks = tasks or int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: lists are small, files aren't
+    return listed.select("path").repartition(tasks, "path").mapInArrow(run, FILES)
 
 
-def scan_repository(spark: SparkSession, root: str | Path, below: str = "") -> DataFrame:
-    """All Python files of a repository, or of one directory in it, as path (relative to the repository), content, error."""
-    prefix = "" if below in ("", ".", "/") else below.strip("/") + "/"
-    return read_files(spark, root, [prefix + p for p in list_python_files(Path(root) / below)])
+def read_files(spark: SparkSession, root: str | Path, paths: list[str]) -> DataFrame:
+    """path, content and error of some files below ``root``."""
+    return read_listed(spark.createDataFrame([(p,) for p in paths], "path string"), root, max(1, min(len(paths) // 64 + 1, 4096)))
 
 
-def paths_of(spark: SparkSession, root: str | Path) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in list_python_files(root)], "path string")
+def scan_repository(spark: SparkSession, root: str | Path, below: str = "") -> DataFrame:
+    """All Python files of a repository, or of one directory in it, as path (relative to the repository), content, error."""
+    return read_listed(repository.list_files(spark, root, below), root)
 
 
 def _git(root: str | Path, *args: str) -> str:
-    done = subprocess.run(["git", "-C", str(root), *args], capture_output=True, text=True)
-    return done.stdout if done.returncode == 0 else ""
+    return repository.git(str(root), *args)
 
 
 def git_metadata(spark: SparkSession, root: str | Path, path: str | None = None) -> DataFrame:
-    """file_path, last_modified and git_author of each file's last commit, out of one log; of one file, out of its last entry."""
-    found, stamp = {}, ("", "")
-    narrow = ["-1", "--", path] if path else []
-    for line in _git(root, "-c", "core.quotepath=off", "log", "--format=%x00%aI|%aN", "--name-only", *narrow).splitlines():
-        if line.startswith("\0"):
-            when, _, author = line[1:].partition("|")
-            stamp = (when, author)
-        elif line:
-            found.setdefault(line, stamp)
-    return spark.createDataFrame([(p, *s) for p, s in found.items()], "file_path string, last_modified string, git_author string")
+    """file_path, last_modified and git_author of each file's last commit; of one file, out of its last entry in the log."""
+    if path is None:
+        return repository.last_commits(repository.commits(spark, root))
+    when, _, author = _git(root, "log", "-1", "--format=%aI|%aN", "--", path).strip().partition("|")
+    return spark.createDataFrame([(path, when, author)] if when else [], "file_path string, last_modified string, git_author string")
 
 
 def with_git_metadata(rows: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom import api, cli
 from codeloom.operators import edit, extract, graph, imports, index, render, semantic, store, vector
-from codeloom.sources import files, provider
+from codeloom.sources import files, provider, repository
 
 MINI = {
     "app/__init__.py": "", "app/core.py": "import json\nfrom . import util\nfrom app.models import User\n", "app/util.py": "from app import core\n", "app/models.py": "import app.core as c\n",
@@ -56,7 +56,7 @@ def repo(tmp_path):
 
 
 def test_scan(spark, repo):
-    paths = files.list_python_files(repo)
+    paths = [r.path for r in repository.list_files(spark, repo).orderBy("path").collect()]
     assert paths == sorted(p for p in MINI if not p.startswith(".venv")) and len(paths) == 11
     rows = files.scan_repository(spark, repo).collect()
     assert {r.path: r.content for r in rows} == {p: t for p, t in MINI.items() if not p.startswith(".venv")}
@@ -66,6 +66,53 @@ def test_scan(spark, repo):
     assert {r.path for r in files.scan_repository(spark, repo, "app").collect()} == {p for p in MINI if p.startswith("app/")} | {"app/latin.py"}
 
 
+def test_trees_are_listed_by_tasks(spark, tmp_path):
+    rnd = random.Random(4)
+    want = {}
+    for k in range(400):
+        path = "/".join([rnd.choice(["a", "b", "_c", "d e", "é", ".claude", "__pycache__", ".venv"]) for _ in range(rnd.randrange(5))] + [f"m{k}.{rnd.choice(['py', 'txt', 'py'])}"])
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x" * k)
+        parts = path.split("/")[:-1]
+        if path.endswith(".py") and not {"__pycache__", ".venv"} & set(parts):
+            want[path] = k
+    (tmp_path / "link").symlink_to(tmp_path / "a")
+    (tmp_path / "broken.py").symlink_to(tmp_path / "nothing")
+    want["broken.py"] = 0
+    for tasks, wide in ((1, 50), (7, 3), (1000, 100_000)):
+        listed = repository.list_files(spark, tmp_path, tasks=tasks, wide=wide)
+        assert {r.path: r["size"] for r in listed.collect()} == want and listed.count() == len(want)
+        assert listed.rdd.getNumPartitions() >= tasks or tasks == 1000
+        for prefix in ("a/", "a/b", "é/a/m1", "nothing/", ".venv/"):
+            assert {r.path for r in repository.list_files(spark, tmp_path, prefix=prefix, tasks=tasks, wide=wide).collect()} == {p for p in want if p.startswith(prefix)}
+        one = min(want)
+        assert [r.path for r in repository.list_files(spark, tmp_path, only=one, tasks=tasks).collect()] == [one] and repository.list_files(spark, tmp_path, only=one, prefix="zz").count() == 0
+        assert {r.path for r in repository.list_files(spark, tmp_path, "a", "a/b/", tasks=tasks).collect()} == {p for p in want if p.startswith("a/b/")} and repository.list_files(spark, tmp_path, "a", "b/").count() == 0
+    assert repository.list_files(spark, tmp_path / "none").count() == 0 and repository.list_files(spark, tmp_path, "none").count() == 0
+
+
+def test_only_what_may_hold_a_path_is_opened(tmp_path):
+    for d in "abc":
+        (tmp_path / d / "x").mkdir(parents=True)
+    opened = lambda **options: [p.relative for p in repository.TreeReader({"root": str(tmp_path), **options}).partitions()]
+    assert opened(prefix="b/x") == ["b", "b/x"] and opened(only="c/x/m.py") == ["c/x"] and opened(below="a", prefix="a/x/") == ["a/x"]
+
+
+def test_logs_are_read_in_ranges(spark, repo, tmp_path):
+    for k in range(7):
+        (repo / f"app/{'core' if k % 3 else 'new é'}.py").write_text(f"x = {k}\n")
+        subprocess.run(["git", "-C", str(repo), "add", "-A"], check=True)
+        subprocess.run(["git", "-C", str(repo), "commit", "-qm", f"c{k}", f"--author=A|{k} <a@b>"], check=True)
+    one = {tuple(r) for r in repository.commits(spark, repo, 100).collect()}
+    log = repository.commits(spark, repo, 2)
+    assert {tuple(r) for r in log.collect()} == one and log.rdd.getNumPartitions() == 4 and {r[0] for r in one} == set(range(8))
+    last = {r.file_path: r.git_author for r in repository.last_commits(log).collect()}
+    assert (last["app/core.py"], last["app/new é.py"], last["app/util.py"]) == ("A|5", "A|6", "Ann")
+    assert last == {r.file_path: r.git_author for p in last for r in files.git_metadata(spark, repo, p).collect()}
+    (tmp_path / "bare").mkdir()
+    assert repository.commits(spark, tmp_path / "bare").count() in (0, len(one)) and repository.commits(spark, "/").count() == 0
+
+
 def test_symbols(spark):
     rows = extract.extract_symbols(spark.createDataFrame([("a.py", SOURCE), ("b.py", "def ("), ("c.py", None)], "path string, content string")).collect()
     found = [(r.name, r.kind, r.start_line, r.end_line, r.parent, r.signature) for r in rows if r.file_path == "a.py"]
