@@ -251,17 +251,60 @@ def generate(rows: DataFrame, content: Column, client: ModelClient, prompt: str,
     return rows.withColumn("answer", ask.asNondeterministic()(content))
 
 
-def embed_checked(text: Column, client: ModelClient, size: int = EMBED_SIZE, model: str = EMBED_MODEL) -> Column:
-    """A struct of vector and error for a text column, one request for each Arrow batch: zeros for null and empty texts, and zeros with an error where the request fails."""
+#: What public embedding services take in one request.
+EMBED_ITEMS, EMBED_TOKENS = 2048, 300_000
+#: Bytes for a token, at least, that requests are packed by; a denser text makes a request too large, which is then split.
+TOKEN_BYTES = 3
 
-    @F.pandas_udf("vector array<float>, error string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        asked, error = [t for t in texts if t], None
+
+def is_refused(error: BaseException) -> bool:
+    """Whether a service has refused what it was given, so that a part of it may pass: too many inputs, or one that it doesn't take."""
+    return (getattr(error, "status_code", None) or getattr(error, "status", None)) in (400, 413, 422)
+
+
+def packed(texts: list[str], items: int = EMBED_ITEMS, tokens: int = EMBED_TOKENS) -> list[list[str]]:
+    """The texts in order, in requests of at most so many inputs and tokens by estimate; a text above that stands alone."""
+    out, room = [], 0
+    for text in texts:
+        size = 1 + len(text.encode(errors="replace")) // TOKEN_BYTES
+        if not out or len(out[-1]) == items or size > room:
+            out.append([])
+            room = tokens
+        out[-1].append(text)
+        room -= size
+    return out
+
+
+def embed_texts(client: ModelClient, texts: list[str], size: int, model: str, concurrency: int = CONCURRENCY, items: int = EMBED_ITEMS, tokens: int = EMBED_TOKENS) -> dict[str, tuple[list[float] | None, str | None]]:
+    """For each distinct text its vector, or the error of its own request. A refused request is halved until what is refused stands alone; other failures, after their retries, stay with that request."""
+
+    def ask(request: list[str]) -> list[tuple[list[float] | None, str | None]]:
         try:
-            vectors = iter(with_retries(lambda: client.embed(asked, size, model))[0] if asked else [])
+            return [(v, None) for v in with_retries(lambda: client.embed(request, size, model))[0]]
         except Exception as e:
-            vectors, error = iter([[0.0] * size] * len(asked)), f"{type(e).__name__}: {e}"
-        return pd.DataFrame({"vector": [next(vectors) if t else [0.0] * size for t in texts], "error": [error if t else None for t in texts]})
+            if len(request) > 1 and is_refused(e):
+                half = len(request) // 2
+                return ask(request[:half]) + ask(request[half:])
+            return [(None, f"{type(e).__name__}: {e}")] * len(request)
+
+    distinct = list(dict.fromkeys(texts))
+    requests = packed(distinct, items, tokens)
+    if len(requests) < 2:
+        found = [ask(r) for r in requests]
+    else:
+        with ThreadPoolExecutor(concurrency) as pool:
+            found = list(pool.map(ask, requests))
+    return dict(zip(distinct, [x for part in found for x in part], strict=True))
+
+
+def embed_checked(text: Column, client: ModelClient, size: int = EMBED_SIZE, model: str = EMBED_MODEL, items: int = EMBED_ITEMS, tokens: int = EMBED_TOKENS) -> Column:
+    """A struct of vector and error for a text column: zeros for null and empty texts, and zeros with an error where the request fails. An Arrow batch goes in as many requests as the service's limits ask for, equal texts once."""
+
+    @F.pandas_udf("vector array<float>, error string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = embed_texts(client, [t for t in texts if t], size, model, items=items, tokens=tokens)
+        rows = [found[t] if t else (None, None) for t in texts]
+        return pd.DataFrame({"vector": [[0.0] * size if v is None else v for v, _ in rows], "error": [e for _, e in rows]})
 
     return run(text)
 

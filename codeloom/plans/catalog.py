@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from codeloom import checkpoints
 from codeloom import functions as fn
-from codeloom.operators import cost, extract, graph, imports, index, render, semantic, store, vector
+from codeloom.operators import answers, cost, extract, graph, imports, index, render, semantic, store, vector
+from codeloom.plans.services import CountingService
 from codeloom.schema import VECTOR_SIZE
 from codeloom.sources import files as sources
 from codeloom.sources import repository
@@ -662,6 +663,29 @@ def repository_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(listed, "path").join(some, "path", "left").select("path", "size", "source_hash", F.coalesce("below", F.lit(False)).alias("below"))
 
 
+@query(
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, (CASE WHEN strlen(t) > 20000 THEN 0 ELSE strlen(t) END)::BIGINT AS bytes, (CASE WHEN strlen(t) > 20000 THEN 0 ELSE length(t) - length(replace(t, ' ', '')) END)::BIGINT AS blanks, strlen(t) > 20000 AS refused FROM d"
+)
+def embed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for each document from a service that refuses requests of many inputs and long texts: only the latter have none."""
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", semantic.embed_checked(F.col("text"), CountingService(), 4).alias("e"))
+    return found.select("doc_id", F.col("e.vector")[0].cast("bigint").alias("bytes"), F.col("e.vector")[1].cast("bigint").alias("blanks"), F.col("e.error").isNotNull().alias("refused"))
+
+
+@query(
+    "SELECT conv_id, turn, CASE WHEN length(t) % 7 = 3 THEN NULL ELSE (length(t) % 11)::INT END AS score, n AS first_calls, 0::BIGINT AS second_calls FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations), (SELECT count(DISTINCT coalesce(text, ''))::BIGINT AS n FROM conversations)"
+)
+def durable_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of the conversations scored by a service, out of a store of answers: equal texts are asked once, and a second run asks nothing."""
+    turns, kept, meter = table(spark, sf_dir, "conversations"), answers.AnswerStore(spark, _scratch(spark, "answers"), buckets=8), semantic.Meter(spark)
+    calls = []
+    for _ in range(2):
+        found = answers.generate(turns, F.col("text"), meter.client(CountingService()), semantic.PROMPTS["score"], kept)
+        calls.append(int(meter.read()["total"]["calls"]))
+    return found.select("conv_id", "turn", fn.score_value(F.col("answer.text")).alias("score"), F.lit(calls[0]).cast("bigint").alias("first_calls"), F.lit(calls[1] - calls[0]).cast("bigint").alias("second_calls"))
+
+
 @query(
     f"WITH p AS (SELECT * FROM ({_P}) WHERE n < 50), k AS (SELECT file_path, k, n, 'g' || (k % 7) || '.h' || (k % 3) AS package FROM p),"
     " a AS (SELECT file_path, 'os.path' AS module FROM k WHERE n <> 1 AND k % 50 <> 49 UNION SELECT file_path, 'g' || (k % 7) FROM k WHERE n <> 1 AND k % 50 <> 49 UNION SELECT file_path, package || '.m' || k FROM k WHERE n <> 1 AND k % 50 <> 49"
