@@ -8,8 +8,9 @@ The width follows the number of fingerprints, so that buckets don't fill by chan
 probability of MISSED at most: 24 bits and 14 segments up to a million texts, 28 and 21 up to 16 million, 41 and 85 for 10^11. A text has width * segments signatures of 16 bytes: 5 KB, 9 KB and 55 KB. That is the price of the
 method: fingerprints of texts that are alike by 0.8 are far apart.
 
-First each node is joined with the least node of each of its buckets, which is linear and finds most groups. Then all pairs of a bucket are joined that don't lead to one node within HOPS links, so large groups of near copies cost nothing here. A
-bucket of more than ``HOT`` nodes is cut into parts of about HOT by a hash for that: the work is linear in the signatures, and two nodes that share several buckets meet in other parts in each.
+First each node is joined with the least node of each of its buckets, which is linear and finds most groups. Then each node gets a root by its links, and buckets with several roots are joined pairwise, but for pairs of one root: so large groups of near copies cost nothing here.
+A bucket of more than ``HOT`` nodes is cut into parts of about HOT by a hash, and each part meets each other, in tasks of their own: no pair of a bucket is left out. The work on a bucket is the square of its nodes only where many of them share a segment and are in different groups, as
+texts of one template may be; by chance, buckets don't fill.
 
 Defined results: words are those of ``simhash``, A-Z lower-cased; null and empty texts and texts without words are one node, equal to each other only. Texts with one set of words are one node, so copies cost nothing. A null id
 gets its component's smallest non-null id; repeated rows give repeated results; very long texts count whole. An empty table gives no rows. Other columns may have any name.
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from codeloom.llm._common import checkpointed, named_by, parts, release, texts, without_ids
 from codeloom.llm.simhash import _LOWER, _WORDS, components, not_least, with_components
 
-ALIKE, EXPECTED, MISSED, LEAST_WIDTH, HOT, HOPS = 0.8, 0.12, 0.05, 24, 32, 4
+ALIKE, EXPECTED, MISSED, LEAST_WIDTH, HOT, DOUBLINGS = 0.8, 0.12, 0.05, 24, 32, 3
 FLIPPED = math.acos(2 * ALIKE / (1 + ALIKE)) / math.pi
-CHECK, CHECK_FLIPPED = 32, 10  # bits of a node's number that are bits of the fingerprint, and how many of them may differ: of pairs at FLIPPED 0.5 % have more
+CHECK, CHECK_FLIPPED = 32, 13  # bits of a node's number that are bits of the fingerprint, and how many of them may differ: of pairs at FLIPPED some 2 in 100,000 have more
 _CHUNK = 1 << 12
 
 
@@ -104,11 +105,17 @@ def proposed(distinct: DataFrame, width: int) -> tuple[DataFrame, DataFrame | No
 
 
 def across(rows: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
-    """All pairs that share a signature, are near in the CHECK bits and have no common root yet; of a key of more than ``hot`` nodes, all within parts of about so many."""
-    part = F.when(F.col("n") <= hot, F.lit(0)).otherwise(F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / hot)).cast("int"))
-    rooted = rows.select("key", "node", part.alias("part")).join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("key", "part", "node", F.coalesce("root", "node").alias("root"))
-    left, right = rooted.select("key", "part", F.col("node").alias("a"), F.col("root").alias("x")), rooted.select("key", "part", F.col("node").alias("b"), F.col("root").alias("y"))
-    return left.join(right, ["key", "part"]).where(f"x <> y AND {_NEAR}").select("a", "b").distinct()
+    """All pairs that share a signature, are near in the CHECK bits and have no common root yet. A key of more than ``hot`` nodes is cut into parts of about so many, and a pair of parts is joined by itself."""
+    rooted = rows.select("key", "node", "n").join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
+    rooted = checkpointed(rooted)
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rooted = checkpointed(named_by(rooted, checkpointed(mixed), ["key"], "mixed").where("mixed").drop("mixed").join(mixed, "key"))
+    count = F.greatest(F.ceil(F.col("n") / hot).cast("int"), F.lit(1))
+    parted = rooted.withColumns({"parts": count, "part": F.pmod(F.xxhash64("key", "node"), count).cast("int")})
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = parted.select("key", F.col("node").alias("a"), F.col("root").alias("x"), F.col("part").alias("i"), other.alias("j"))
+    right = parted.select("key", F.col("node").alias("b"), F.col("root").alias("y"), other.alias("i"), F.col("part").alias("j"))
+    return left.join(right, ["key", "i", "j"]).where(f"x <> y AND {_NEAR}").select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, distinct: DataFrame, width: int, segments: int) -> DataFrame:
@@ -118,14 +125,14 @@ def verified(pairs: DataFrame, distinct: DataFrame, width: int, segments: int) -
     return pairs.join(left, "a").join(right, "b").where(f"{flipped} <= {math.floor(FLIPPED * width * segments)}").select("a", "b")
 
 
-def labels(links: DataFrame, hops: int = HOPS) -> DataFrame:
-    """node and root: the least node within ``hops`` links. Nodes of one group may keep several roots, which only means that more of their pairs are compared."""
+def labels(links: DataFrame, doublings: int = DOUBLINGS) -> DataFrame:
+    """node and root: each node points at the least of its neighbours and itself, and then at what that points at, some times over: a row for each node in each round. Nodes of one group may keep several roots, which only means that more of their pairs are compared."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    found = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
-    for _ in range(hops - 1):
-        offered = both.join(found.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        found = offered.join(found, F.col("a") == F.col("node")).select("node", F.least("root", "m").alias("root"))
-    return checkpointed(found)
+    found = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    for _ in range(doublings):
+        after = found.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        found = checkpointed(found.join(after, "root").select("node", F.col("further").alias("root")))
+    return found
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
