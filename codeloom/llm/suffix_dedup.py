@@ -6,8 +6,8 @@ new suffixes go and what they share with their neighbours, and then writes the n
 holds a block of each, the strings and a few numbers for each string. Suffixes that share ``SPAN`` bytes stand next to each other at the end; the least id of
 such a group says where the string starts first.
 
-The files are in the folder that ``spark.checkpoint.dir`` names, which pyarrow opens; they live as long as their task's group, and a task that is made again makes its own. Where pyarrow can't open that store, the tapes stay in
-memory: a bucket's strings are bounded as below.
+The files are in the folder that ``spark.checkpoint.dir`` names, which pyarrow opens; they live as long as their task's group, and a task that is made again makes its own. A task whose store pyarrow can't open fails and says so.
+Tapes of lost tasks are dropped by a later call, when they are a day old.
 
 Distribution. A document that repeats the whole text of an earlier one is removed whole and takes no further part. A window of SPAN bytes is dealt by the least hash of its 20-byte grams, so
 equal windows meet, and neighbouring windows with the same least hash travel as one string of 81 bytes at most, which bounds the rounds. Documents are dealt into blocks by a hash of id and text; all that
@@ -21,13 +21,14 @@ A hash in more than HOT different surroundings (a very common line between ever
 by a hash of all SPAN bytes. Such hashes are marked in a bitmap of CROWD_BITS bits (8 MB), which is broadcast; another hash with the same bit travels singly as well, everywhere, which changes no result.
 
 Defined results: null text is empty; texts shorter than SPAN bytes lose nothing; a null id is never compared, its text stays whole; rows with one id are one document for the comparison,
-each is cleaned by itself; very long texts count whole; an empty table gives no rows. In cleaned texts, characters that a cut splits are dropped.
+each text of it is cleaned by itself, rows that repeat it once for all; very long texts count whole; an empty table gives no rows. In cleaned texts, characters that a cut splits are dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
@@ -37,13 +38,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from codeloom.checkpoints import folder
-from codeloom.llm._common import checkpointed, release, slices, total_bytes, utf8_column, with_fields
+from codeloom.llm._common import checkpointed, named_by, release, slices, total_bytes, utf8_column, with_fields
 
 SPAN, GRAM, RUN, HOT, CROWD_BITS = 50, 20, 32, 100_000, 1 << 26
 SLICE, BATCH, MEMORY, HASH_BUCKET, STRING_BUCKET, BLOCK, PART, STEP = 1 << 20, 12 << 20, 4 << 20, 24 << 20, 6 << 20, 8 << 20, 256 << 20, 1 << 16
@@ -314,9 +315,8 @@ class Store:
 
     def __init__(self, folder: str | None = None, memory: int = MEMORY) -> None:
         self.memory, self.held, self.written, self.files, self.open_files = memory, 0, 0, None, set()
-        if folder:
-            with suppress(OSError, ValueError, pa.ArrowException, ImportError):
-                self.files, self.root = fs.FileSystem.from_uri(re.sub("^file:/+", "/", folder.replace("s3a://", "s3://")))
+        if folder:  # where pyarrow can't open it, this raises
+            self.files, self.root = fs.FileSystem.from_uri(re.sub("^file:/+", "/", folder.replace("s3a://", "s3://")))
 
     def create(self) -> tuple[str, pa.NativeFile] | None:
         if self.files is None:
@@ -655,11 +655,56 @@ def gram_hashes_at(data: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return _mix((columns * weights).sum(1, dtype=np.uint64)) & np.uint64(_ALL - 1)
 
 
+_KEY = ["__sd_id", "__sd_hash", "__sd_check"]
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digests: bool = False, counts: bool = True) -> DataFrame:
-    """``docs`` with its text cleaned and, with ``counts``, n_bytes, n_removed and n_spans in place of columns of these names; or with ``digests`` these and kept_sha256 beside doc_id only."""
+    """``docs`` with its text cleaned and, with ``counts``, n_bytes, n_removed and n_spans in place of columns of these names; or with ``digests`` these and kept_sha256 beside doc_id only.
+
+    Rows that repeat both id and text are cleaned once, and the result is joined to each: so no block of documents holds many of them.
+    """
+    sweep(docs.sparkSession)
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    keys = [F.col(f"`{doc_id}`").cast("bigint").alias(_KEY[0]), F.xxhash64(body).alias(_KEY[1]), F.xxhash64(F.lit("again"), body).alias(_KEY[2])]
+    comparable = F.col(f"`{doc_id}`").isNotNull() & (F.octet_length(body) >= SPAN)
+    repeated = checkpointed(docs.where(comparable).select(*keys).groupBy(*_KEY).count().where("count > 1").select(*_KEY))
+    if repeated.isEmpty():
+        return _remove_repeats(docs, doc_id, text, digests, counts, [])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    named = named_by(docs.select(*own, *keys), repeated, _KEY, "__sd_named")
+    again = repeated.withColumn("__sd_again", F.lit(True))
+    doubtful = named.where("__sd_named").join(again, _KEY, "left")
+    many = doubtful.where("__sd_again")
+    carried = "struct<id:bigint,hash:bigint,check:bigint>"
+    single = named.where("NOT __sd_named").select(*own).unionByName(doubtful.where("__sd_again IS NULL").select(*own)).withColumn("__sd_key", F.lit(None).cast(carried))
+    once = many.groupBy(*_KEY).agg(F.first(body).alias("__sd_text"))
+    filled = [F.col(_KEY[0]).cast(f.dataType).alias(f.name) if f.name == doc_id else F.col("__sd_text").alias(f.name) if f.name == text else F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields]
+    once = once.select(*filled, F.struct(*[F.col(k).alias(n) for k, n in zip(_KEY, ("id", "hash", "check"), strict=True)]).cast(carried).alias("__sd_key"))
+    done = checkpointed(_remove_repeats(single.unionByName(once), doc_id, text, digests, counts, ["__sd_key"]))
+    names = [c for c in done.columns if c != "__sd_key"]
+    kept = [c for c in names if c not in docs.columns or c == text or counts and c in ("n_bytes", "n_removed", "n_spans")]
+    found = done.where("__sd_key IS NOT NULL").select(*[F.col(f"__sd_key.{n}").alias(k) for k, n in zip(_KEY, ("id", "hash", "check"), strict=True)], *[F.col(f"`{c}`").alias(f"__sd_{k}") for k, c in enumerate(kept)])
+    others = [c for c in names if c not in kept]
+    spread = many.select(*_KEY, *[F.col(f"`{c}`") for c in others]).join(found, _KEY)
+    spread = spread.select(*[F.col(f"__sd_{kept.index(c)}").alias(c) if c in kept else F.col(f"`{c}`") for c in names])
+    return done.where("__sd_key IS NULL").select(*[F.col(f"`{c}`") for c in names]).unionByName(spread)
+
+
+def sweep(spark: SparkSession, seconds: float = 86_400) -> int:
+    """Drop tapes of tasks that were lost, if they are older than that; how many."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in files.listStatus(at) if x.getPath().getName().startswith("suffix-order-") and x.getModificationTime() < (time.time() - seconds) * 1000] if files.exists(at) else []
+    for path in old:
+        files.delete(path, False)
+    return len(old)
+
+
+def _remove_repeats(docs: DataFrame, doc_id: str, text: str, digests: bool, counts: bool, carry: list[str]) -> DataFrame:
+    """``remove_repeats`` for rows that don't repeat both id and text; ``carry`` names columns that digests have, too."""
     added = ["n_bytes", "n_removed", "n_spans"]
     replaced = added if counts else []
-    rest = [] if digests else [c for c in docs.columns if c not in (doc_id, text, *replaced)]
+    rest = carry if digests else [c for c in docs.columns if c not in (doc_id, text, *replaced)]
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     size = total_bytes(docs, text)
     blocks = max(1, -(-size // BLOCK))
@@ -714,6 +759,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     met = _dealt(named, "block", size).groupBy("block").cogroup(_dealt(notes, "block", size).groupBy("block")).applyInArrow(lambda d, n: tidy(clean)(d, n), fields)
     out = met.unionByName(rows.where(~comparable).mapInArrow(whole, fields))
     if digests:
-        return out.select("doc_id", *added, F.col("kept").alias("kept_sha256"))
+        return out.select("doc_id", *added, F.col("kept").alias("kept_sha256"), *[F.col("rest").getField(c).alias(c) for c in carry])
     columns = [F.col("doc_id").cast(docs.schema[c].dataType).alias(c) if c == doc_id else F.col("kept").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in docs.columns if c not in replaced]
     return out.select(*columns, *replaced)

@@ -422,6 +422,34 @@ def test_crowded_bits_change_nothing(spark, monkeypatch):
     assert total(suffix_dedup.remove_repeats(docs_of(spark, rows), digests=True).collect()) == total(brute_suffix(rows))
 
 
+def test_rows_that_repeat_are_cleaned_once(spark, monkeypatch):
+    sizes = []
+    kept = suffix_dedup._remove_repeats
+    monkeypatch.setattr(suffix_dedup, "_remove_repeats", lambda docs, *a: sizes.append(docs.count()) or kept(docs, *a))
+    line = "a passage of more than fifty bytes that several of the texts hold, in the middle"
+    rows = [(k % 3, f"{'x' * (k % 3)} {line} {'y' * 60}") for k in range(3000)] + [(7, line), (7, line + "z"), (None, line), (None, line), (8, "short"), (8, "short")]
+    df = docs_of(spark, rows).withColumn("k", F.monotonically_increasing_id()).withColumn("n_spans", F.lit("mine"))
+    assert total(suffix_dedup.remove_repeats(df, digests=True).collect()) == total(brute_suffix(rows)) and sizes == [9]
+    cleaned = suffix_dedup.remove_repeats(df, counts=False)
+    assert cleaned.columns == df.columns and cleaned.select("k").distinct().count() == len(rows) and {r.n_spans for r in cleaned.select("n_spans").distinct().collect()} == {"mine"}
+    counted = suffix_dedup.remove_repeats(df)
+    assert total(counted.select("doc_id", "n_bytes", "n_removed", "n_spans").collect()) == total(r[:4] for r in brute_suffix(rows))
+
+
+def test_tapes_of_lost_tasks_are_swept(spark):
+    from codeloom.checkpoints import folder
+
+    root = re.sub("^file:/+", "/", folder(spark))
+    for name in ("suffix-order-old", "suffix-order-new", "other"):
+        with open(f"{root}/{name}", "w") as file:
+            file.write("x")
+    os.utime(f"{root}/suffix-order-old", (1, 1))
+    os.utime(f"{root}/other", (1, 1))
+    assert suffix_dedup.sweep(spark) == 1 and not os.path.exists(f"{root}/suffix-order-old") and os.path.exists(f"{root}/suffix-order-new") and os.path.exists(f"{root}/other")
+    with pytest.raises(Exception, match="nowhere"):
+        suffix_dedup.Store("nowhere://x")
+
+
 def test_suffix_shapes(spark):
     df = clashing(spark)
     cleaned = suffix_dedup.remove_repeats(df)
