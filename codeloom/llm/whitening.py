@@ -82,12 +82,13 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 def fit(vectors: DataFrame, size: int) -> State | None:
     """The state of a table of vectors (its only column) of one length, or None if it is empty."""
+    fan, block = FAN, max(BLOCK, 4 * size)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
         for batch in batches:
-            for first in range(0, batch.num_rows, max(BLOCK, 4 * size)):
-                own = decomposed(_matrix(batch.column(0).slice(first, max(BLOCK, 4 * size)), size))
+            for first in range(0, batch.num_rows, block):
+                own = decomposed(_matrix(batch.column(0).slice(first, block), size))
                 state = own if state is None else merged(state, own)
         if state is not None:
             yield pa.RecordBatch.from_pylist([state.row(TaskContext.get().partitionId())], _FORM)
@@ -98,12 +99,12 @@ def fit(vectors: DataFrame, size: int) -> State | None:
         state = State.of(rows[0])
         for row in rows[1:]:
             state = merged(state, State.of(row))
-        return pa.Table.from_pylist([state.row(rows[0]["node"] // FAN)], _FORM)
+        return pa.Table.from_pylist([state.row(rows[0]["node"] // fan)], _FORM)
 
     states = checkpointed(vectors.mapInArrow(fold, STATE))
     nodes = states.agg(F.max("node")).first()[0]
     while nodes:
-        states, nodes = states.groupBy(F.floor(F.col("node") / FAN)).applyInArrow(meet, STATE), nodes // FAN
+        states, nodes = states.groupBy(F.floor(F.col("node") / fan)).applyInArrow(meet, STATE), nodes // fan
     rows = states.collect()
     return State.of(rows[0].asDict()) if rows else None
 
