@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom import checkpoints
 from codeloom import functions as fn
-from codeloom.operators import answers, cost, extract, graph, imports, index, render, semantic, store, vector
+from codeloom.operators import answers, cost, extract, graph, imports, index, render, semantic, store, tournament, vector
 from codeloom.plans.services import CountingService
 from codeloom.schema import VECTOR_SIZE
 from codeloom.sources import files as sources
@@ -686,6 +686,17 @@ def durable_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", fn.score_value(F.col("answer.text")).alias("score"), F.lit(calls[0]).cast("bigint").alias("first_calls"), F.lit(calls[1] - calls[0]).cast("bigint").alias("second_calls"))
 
 
+@query(
+    "WITH o AS (SELECT 'all' AS ranking, p_partkey::VARCHAR AS id, p_size * 1000000 + p_partkey AS v FROM part UNION ALL SELECT p_brand, p_partkey::VARCHAR, p_size * 1000000 + p_partkey FROM part)"
+    " SELECT ranking, id, row_number() OVER (PARTITION BY ranking ORDER BY v DESC) AS rank, 0::BIGINT AS failed FROM o"
+)
+def rank_many_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts in one ranking, and those of each brand in one, by a service that orders twenty at a time."""
+    part = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").cast("string").alias("id"), F.concat((F.col("p_size") * 1_000_000 + F.col("p_partkey")).cast("string"), F.lit(" "), "p_name").alias("text"), F.lit("the greatest number first").alias("criteria"))
+    options = part.withColumnRenamed("p_brand", "ranking").unionByName(part.drop("p_brand").withColumn("ranking", F.lit("all")))
+    return tournament.rank_many(options, CountingService())
+
+
 @query(
     f"WITH p AS (SELECT * FROM ({_P}) WHERE n < 50), k AS (SELECT file_path, k, n, 'g' || (k % 7) || '.h' || (k % 3) AS package FROM p),"
     " a AS (SELECT file_path, 'os.path' AS module FROM k WHERE n <> 1 AND k % 50 <> 49 UNION SELECT file_path, 'g' || (k % 7) FROM k WHERE n <> 1 AND k % 50 <> 49 UNION SELECT file_path, package || '.m' || k FROM k WHERE n <> 1 AND k % 50 <> 49"

@@ -11,7 +11,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from codeloom.operators import answers, semantic
+from codeloom.operators import answers, semantic, tournament
 from codeloom.plans.services import CountingService
 from codeloom.sources.provider import ServiceError
 
@@ -136,3 +136,57 @@ def test_pace():
     pace.wait(2.0)
     at[0] = 10.0
     assert pace.turn() == 10.0 and slept == [2.0] and answers.Pace(None, lambda: 5.0).turn() == 5.0
+
+
+@dataclass(frozen=True)
+class Judge(CountingService):
+    """Ranks by the number an option begins with; may leave the last option out, or refuse a prompt that holds a word."""
+
+    forget: bool = False
+    refuse: str = "-"
+    most: int = 20
+
+    def generate(self, request):
+        if self.refuse in request.content:
+            raise ServiceError(400, "no")
+        assert request.content.count("OPTION ") <= self.most
+        got = super().generate(request)
+        if self.forget:
+            lines = got.texts[0].splitlines()
+            got.texts[0] = "\n".join([*lines[:-2], lines[0], "9. OPTION 99", lines[-1]])
+        return got
+
+
+def ranked(spark, rows, client, most=20):
+    found = tournament.rank_many(spark.createDataFrame(rows, "ranking string, criteria string, id string, text string"), client, most).collect()
+    out = {}
+    for r in sorted(found, key=lambda r: (r.ranking, r.rank)):
+        out.setdefault(r.ranking, []).append(r.id)
+        assert r.rank == len(out[r.ranking])
+    return out, {r.ranking: r.failed for r in found}
+
+
+@pytest.mark.parametrize(("most", "n"), [(4, 30), (20, 1500)])
+def test_many_options_are_ranked_a_few_at_a_time(spark, most, n):
+    rnd = random.Random(n)
+    rows = [("big", "c", f"o{k}", f"{v} text") for k, v in enumerate(rnd.sample(range(10**6), n))] + [(f"r{g}", None, f"o{k}", f"{g * 100 + (k * 7) % 11} t") for g in range(4) for k in range(1 + g * 3)] + [("", "c", "one", "5")]
+    found, failed = ranked(spark, rows, Judge(most=most), most)
+    want = {}
+    for r in sorted(rows, key=lambda r: -int(r[3].split()[0])):
+        want.setdefault(r[0], []).append(r[2])
+    assert found == want and set(failed.values()) == {0}
+
+
+def test_rankings_of_bad_answers_are_whole(spark):
+    rows = [("a", "c", f"o{k:02}", f"{k} text") for k in range(40)] + [("b", "c", f"o{k:02}", f"{k} bad") for k in range(20)]
+    found, failed = ranked(spark, rows, Judge(forget=True), 8)
+    assert sorted(found["a"]) == [f"o{k:02}" for k in range(40)] and sorted(found["b"]) == [f"o{k:02}" for k in range(20)]
+    found, failed = ranked(spark, rows, Judge(refuse="bad"), 8)
+    assert found["a"] == [f"o{k:02}" for k in reversed(range(40))] and failed["a"] == 0 < failed["b"] and sorted(found["b"]) == [f"o{k:02}" for k in range(20)]
+    assert ranked(spark, [], Judge())[0] == {}
+    with pytest.raises(ValueError, match="four"):
+        ranked(spark, rows, Judge(), 3)
+
+
+def test_orders_of_answers():
+    assert tournament.order_of("1. OPTION 2 - x\n2. OPTION 1\n3. OPTION 2\nSPREAD: wide", 3) == [1, 0, 2] and tournament.order_of(None, 2) == [0, 1] and tournament.order_of("1. OPTION 7", 1) == [0]

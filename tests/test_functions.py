@@ -16,6 +16,7 @@ def one(spark, column):
     [
         ("def foo(x: int, y: str) -> bool:", "x: int, y: str", "bool"), ("def bar():", "", None), ("class Foo(Base):", None, None), ("def h(x=()) -> int:", None, None),
         ("async def é(a,\n   b):", "a, b", None), ("def f(a) -> dict[str, int] :", "a", "dict[str, int]"), ("", None, None),
+        ("def f g():", None, None), ("def f()->int:", "", "int"), ("def f() x:", None, None), ("def f():\n", None, None), ("async  def\tf( a )  -> x\n -> y:", "a", "x -> y"), ("def ():", None, None), ("def f(", None, None), ("def f)(:", None, None),
     ],
 )
 def test_signatures(spark, signature, args, returns):
