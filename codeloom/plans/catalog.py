@@ -686,6 +686,19 @@ def durable_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", fn.score_value(F.col("answer.text")).alias("score"), F.lit(calls[0]).cast("bigint").alias("first_calls"), F.lit(calls[1] - calls[0]).cast("bigint").alias("second_calls"))
 
 
+@query(
+    "WITH t AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS d, b.embedding::DOUBLE[] AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),"
+    " p AS (SELECT q.vec_id AS query, t.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d), 9) AS d, round(list_cosine_similarity(q.embedding::DOUBLE[], s), 9) AS s FROM embeddings q, t WHERE q.vec_id % 20 = 0)"
+    " SELECT query, vec_id, round(greatest(d, s), 6) AS similarity, CASE WHEN s > d THEN 'signature' ELSE 'description' END AS match_field FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY greatest(d, s) DESC, vec_id) <= 10"
+)
+def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of two columns for each of a table of queries."""
+    rows = table(spark, sf_dir, "embeddings")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    found = vector.search_many(rows.join(after, "vec_id"), rows.where("vec_id % 20 = 0"), ["embedding", "other"], key="vec_id")
+    return found.select("query", "vec_id", F.round("similarity", 6).alias("similarity"), F.when(F.col("column") == 1, "signature").otherwise("description").alias("match_field"))
+
+
 @query(
     "WITH o AS (SELECT 'all' AS ranking, p_partkey::VARCHAR AS id, p_size * 1000000 + p_partkey AS v FROM part UNION ALL SELECT p_brand, p_partkey::VARCHAR, p_size * 1000000 + p_partkey FROM part)"
     " SELECT ranking, id, row_number() OVER (PARTITION BY ranking ORDER BY v DESC) AS rank, 0::BIGINT AS failed FROM o"

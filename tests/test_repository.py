@@ -483,6 +483,14 @@ def test_many_queries_at_once(spark, block, monkeypatch):
     want = {(k, other, s) for k, x in usable for s, other in sorted((-similar(x, y), o) for o, y in usable)[:5]}
     assert {(r.query, r.id, -r.similarity) for r in found} == want and len(found) == len(want)
     assert vector.knn_many(df, df.limit(0), "v").collect() == [] and vector.knn_many(df.limit(0), df, "v").collect() == []
+    mixed = spark.createDataFrame([*rows, ("long", [1.0] * 9), ("nan", [math.nan] * 4), (None, [1.0] * 4)], "id string, v array<float>")
+    two = mixed.withColumn("w", F.reverse("v"))
+    pairs = vector.search_many(two, mixed, ["w", "v"], "v", 3, block=block, salts=4).collect()
+    best = {}
+    for k, x in usable:
+        scored = sorted((-max(similar(x, y[::-1]), similar(x, y)), o, int(similar(x, y) > similar(x, y[::-1]))) for o, y in usable)
+        best |= {(k, o, -s, c) for s, o, c in scored[:3]} and dict.fromkeys((k, o, -s, c) for s, o, c in scored[:3])
+    assert {(r.query, r.id, r.similarity, r.column) for r in pairs} == {*best, ("long", "long", 1.0, 0)}
 
 
 def test_models(spark):
