@@ -32,7 +32,7 @@ from codeloom.llm.simhash import _LOWER, _WORDS, components, not_least, with_com
 
 ALIKE, EXPECTED, MISSED, LEAST_WIDTH, HOT, DOUBLINGS = 0.8, 0.12, 0.05, 24, 32, 3
 FLIPPED = math.acos(2 * ALIKE / (1 + ALIKE)) / math.pi
-CHECK, CHECK_FLIPPED = 32, 13  # bits of a node's number that are bits of the fingerprint, and how many of them may differ: of pairs at FLIPPED some 2 in 100,000 have more
+CHECK, CHECK_FLIPPED = 32, 12  # bits of a node's number that are bits of the fingerprint, and how many of them may differ: of pairs at FLIPPED some 6 in 10,000 have more
 _CHUNK = 1 << 12
 
 
@@ -126,9 +126,11 @@ def verified(pairs: DataFrame, distinct: DataFrame, width: int, segments: int) -
 
 
 def labels(links: DataFrame, doublings: int = DOUBLINGS) -> DataFrame:
-    """node and root: each node points at the least of its neighbours and itself, and then at what that points at, some times over: a row for each node in each round. Nodes of one group may keep several roots, which only means that more of their pairs are compared."""
+    """node and root: each node points at the least node within two links, and then at what that points at, some times over: a row for each node in each round. Nodes of one group may keep several roots, which only means that more of their pairs are compared."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    found = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    near = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    second = both.join(near.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
+    found = checkpointed(second.join(near, F.col("a") == F.col("node")).select("node", F.least("root", "m").alias("root")))
     for _ in range(doublings):
         after = found.select(F.col("node").alias("root"), F.col("root").alias("further"))
         found = checkpointed(found.join(after, "root").select("node", F.col("further").alias("root")))
