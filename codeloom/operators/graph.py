@@ -55,9 +55,9 @@ def direct_importers(edges: DataFrame, path: str) -> DataFrame:
 
 def descendants(edges: DataFrame, path: str, small: int = SMALL) -> DataFrame:
     """file_path of all that a file imports, directly or not, without itself; no rows for a file the graph doesn't know."""
+    edges = checkpointed(edges.select("src", "dst").distinct())
     if is_small(edges, small):
         return _in_one_task(edges, lambda e: [(x,) for x in sorted(_small.reached(e, path) - {path})], NODES)
-    edges = checkpointed(edges.select("src", "dst").distinct())
     seen = front = checkpointed(edges.where(F.col("src") == path).select(F.col("dst").alias("node")).distinct())
     while not front.isEmpty():
         front = checkpointed(front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
@@ -84,30 +84,92 @@ def closure(edges: DataFrame) -> DataFrame:
     return pairs
 
 
-TRIMS = 8
+TRIMS, WORTH = 8, 0.05
 
 
 def _trimmed(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Edges between nodes that have edges both in and out, after up to TRIMS rounds, and the nodes left out: each a component by itself."""
+    """Edges between nodes that have edges both in and out, after up to TRIMS rounds, as long as a round takes WORTH of the nodes, and the nodes left out: each a component by itself."""
     alone = None
     for _ in range(TRIMS):
         ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
-        gone = checkpointed(ends.groupBy("node").agg(F.max("out").alias("out"), F.max("in").alias("in")).where("out = 0 OR in = 0").select("node"))
-        if gone.isEmpty():
+        degrees = checkpointed(ends.groupBy("node").agg(F.max("out").alias("out"), F.max("in").alias("in")))
+        gone = degrees.where("out = 0 OR in = 0").select("node")
+        many, all_nodes = degrees.agg(F.count_if(F.expr("out = 0 OR in = 0")), F.count("*")).first()
+        if not many or many < WORTH * all_nodes:
             break
         alone = gone if alone is None else alone.unionByName(gone)
         left = checkpointed(edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-        ended = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(gone, "node", "left_anti").join(left.select(F.col("src").alias("node")).union(left.select("dst")), "node", "left_anti")
+        ended = degrees.join(gone, "node", "left_anti").select("node").join(left.select(F.col("src").alias("node")).union(left.select("dst")), "node", "left_anti")
         alone, edges = alone.unionByName(checkpointed(ended)), left
     return edges, alone
 
 
+def chains(edges: DataFrame) -> DataFrame | None:
+    """node, start, first, length and low of the nodes with one edge in and one out, if they are WORTH of all: the node that their chain hangs on, the chain's first node, and how far it is from the start (by the sum of ``length``). On a ring of such nodes only, start is null and low its least node.
+
+    Each node points back along its chain, and then at what that points at, twice as far in each round: rounds follow the logarithm of the longest chain. ``edges`` are distinct (src, dst, length) without loops.
+    """
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    degrees = checkpointed(ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in")))
+    inner = degrees.where("out = 1 AND in = 1").select("node")
+    n, all_nodes = inner.count(), degrees.count()
+    if not n or n < WORTH * all_nodes:
+        return None
+    state = inner.join(edges, F.col("node") == F.col("dst")).select("node", F.col("src").alias("at"), F.col("node").alias("first"), F.col("length").cast("bigint").alias("length"), F.col("node").alias("low"))
+    state = checkpointed(state.join(inner.select(F.col("node").alias("at"), F.lit(True).alias("moves")), "at", "left").select("node", "at", "first", "length", "low", F.coalesce("moves", F.lit(False)).alias("moves")))
+    for _ in range(n.bit_length() + 1):
+        if state.where("moves").isEmpty():
+            break
+        far = state.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("first").alias("f"), F.col("length").alias("l"), F.col("low").alias("w"), F.col("moves").alias("m"))
+        further = state.where("moves").join(far, "at").select("node", F.col("to").alias("at"), F.col("f").alias("first"), (F.col("length") + F.col("l")).alias("length"), F.least("low", "w").alias("low"), F.col("m").alias("moves"))
+        state = checkpointed(state.where("NOT moves").unionByName(further))
+    return state.select("node", F.when(~F.col("moves"), F.col("at")).alias("start"), "first", "length", "low")
+
+
+def _contracted(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """src, dst and length between the nodes that are on no chain, the longest of several; and first, the first node of the chain that an edge stands for, or null."""
+    kept = edges.join(found.select(F.col("node").alias("dst")), "dst", "left_anti")  # into nodes on no chain
+    back = found.select(F.col("node").alias("src"), "start", "first", F.col("length").alias("before"))
+    return checkpointed(kept.join(back, "src", "left").select(F.coalesce("start", "src").alias("src"), "dst", (F.col("length") + F.coalesce("before", F.lit(0))).alias("length"), "first"))
+
+
 def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
-    """node and component (its least node) of every node with an edge."""
+    """node and component (its least node) of every node with an edge.
+
+    Of a larger graph, what has no edges in or out is trimmed, and chains are contracted, again while that takes a share of the nodes; what is left is coloured in rounds.
+    """
+    edges = checkpointed(edges.select("src", "dst").distinct())
     if is_small(edges, small):
         return _in_one_task(edges, lambda e: sorted(_small.strong_components(e).items()), "node string, component string")
-    edges, done = _trimmed(checkpointed(edges.select("src", "dst").distinct()))
-    done = None if done is None else done.withColumn("colour", F.col("node"))
+    every = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    inner, passes = edges.where("src <> dst"), []
+    while True:
+        inner, _ = _trimmed(inner)
+        found = chains(inner.withColumn("length", F.lit(1)))
+        if found is None:
+            break
+        joined = _contracted(inner.withColumn("length", F.lit(1)), found)
+        passes.append((found, joined.where("first IS NOT NULL").select("first", F.col("dst").alias("end"))))
+        inner = checkpointed(joined.where("src <> dst").select("src", "dst").distinct())
+    labels = _coloured(inner)
+    for found, ended in reversed(passes):
+        labels = checkpointed(labels)
+        at = found.where("start IS NOT NULL").join(ended, "first").select("node", "start", "end")
+        at = at.join(labels.select(F.col("node").alias("start"), F.col("colour").alias("a")), "start", "left").join(labels.select(F.col("node").alias("end"), F.col("colour").alias("b")), "end", "left")
+        same = F.coalesce("a", "start") == F.coalesce("b", "end")
+        inside = at.where(same).select("node", F.coalesce("a", "start").alias("colour"))
+        heads = at.where(same & F.col("a").isNull()).select(F.col("start").alias("node"), F.col("start").alias("colour")).distinct()
+        rings = found.where("start IS NULL").select("node", F.col("low").alias("colour"))
+        labels = labels.unionByName(inside).unionByName(heads).unionByName(rings)
+    labels = checkpointed(labels)
+    least = labels.groupBy("colour").agg(F.min("node").alias("component"))
+    named = labels.join(least, "colour").select(F.col("node").alias("own"), "component")
+    return every.join(named, F.col("node") == F.col("own"), "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """node and colour, alike in a strong component, of the nodes of some edges: in each round a node takes the least name among those that reach it, and those that reach back to it within their colour are its component."""
+    done = edges.select(F.col("src").alias("node"), F.col("src").alias("colour")).limit(0)
     left = checkpointed(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
     while not left.isEmpty():
         inner = checkpointed(edges.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
@@ -118,9 +180,9 @@ def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         while not front.isEmpty():
             front = checkpointed(front.join(back, front.node == back["from"]).select(F.col("to").alias("node"), "colour").distinct().join(found.select("node"), "node", "left_anti"))
             found = found.unionByName(front)
-        done = found if done is None else done.unionByName(found)
+        done = done.unionByName(found)
         left = checkpointed(left.join(found.select("node"), "node", "left_anti"))
-    return edges.select(F.col("src").alias("node"), F.col("dst").alias("component")).limit(0) if done is None else done.select("node", F.col("colour").alias("component"))
+    return done
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -140,23 +202,16 @@ def cycles(edges: DataFrame, small: int = SMALL) -> DataFrame:
 
 
 def topological_layers(edges: DataFrame, nodes: DataFrame | None = None, small: int = SMALL) -> DataFrame:
-    """file_path and layer: every importer lies in a lower layer than what it imports. Raises CycleError where there is no such order."""
+    """file_path and layer: every importer lies in a lower layer than what it imports. Raises CycleError where there is no such order.
+
+    Of a larger graph, chains are contracted to edges of their length first, again while that takes a share of the nodes; then rounds follow the depth of what is left.
+    """
+    edges = checkpointed(edges.select("src", "dst").distinct())
     every = edges.select(F.col("src").alias("file_path")).union(edges.select("dst")).distinct()
     if is_small(edges, small):
-        found = _in_one_task(edges, lambda e: sorted(_small.layers(e).items()), "file_path string, layer int")
+        found = checkpointed(_in_one_task(edges, lambda e: sorted(_small.layers(e).items()), "file_path string, layer int"))
     else:
-        left, at, found = checkpointed(edges.select("src", "dst").distinct()), 0, None
-        open_nodes = checkpointed(every)
-        while not open_nodes.isEmpty():
-            free = checkpointed(open_nodes.join(left.select(F.col("dst").alias("file_path")).distinct(), "file_path", "left_anti"))
-            if free.isEmpty():
-                break
-            layer = free.withColumn("layer", F.lit(at))
-            found = layer if found is None else found.unionByName(layer)
-            open_nodes = checkpointed(open_nodes.join(free, "file_path", "left_anti"))
-            left, at = checkpointed(left.join(free.withColumnRenamed("file_path", "src"), "src", "left_anti")), at + 1
-        found = every.withColumn("layer", F.lit(0)).limit(0) if found is None else found
-    found = checkpointed(found)
+        found = _layers(edges, every)
     if every.join(found, "file_path", "left_anti").limit(1).count():
         raise CycleError("the graph has a cycle")
     if nodes is None:
@@ -164,6 +219,40 @@ def topological_layers(edges: DataFrame, nodes: DataFrame | None = None, small:
     return nodes.select("file_path").distinct().join(found, "file_path", "left").select("file_path", F.coalesce("layer", F.lit(0)).alias("layer"))
 
 
+def _layers(edges: DataFrame, every: DataFrame) -> DataFrame:
+    """file_path and layer of the nodes that have one; those on or behind a cycle have none."""
+    if not edges.where("src = dst").isEmpty():
+        raise CycleError("a file imports itself")
+    long, passes = edges.withColumn("length", F.lit(1).cast("bigint")), []
+    while (found := chains(long)) is not None:
+        if not found.where("start IS NULL").isEmpty():
+            raise CycleError("the graph has a cycle")
+        joined = _contracted(long, found)
+        if not joined.where("src = dst").isEmpty():
+            raise CycleError("the graph has a cycle")
+        passes.append(found)
+        long = checkpointed(joined.groupBy("src", "dst").agg(F.max("length").alias("length")))
+    ended = None
+    for found in passes:
+        ended = found.select(F.col("node").alias("file_path")) if ended is None else ended.unionByName(found.select(F.col("node").alias("file_path")))
+    still = every if ended is None else every.join(ended, "file_path", "left_anti")
+    still, done = checkpointed(still.withColumn("layer", F.lit(0).cast("bigint"))), None
+    while not still.isEmpty():
+        free = checkpointed(still.join(long.select(F.col("dst").alias("file_path")).distinct(), "file_path", "left_anti"))
+        if free.isEmpty():
+            break
+        done = free if done is None else done.unionByName(free)
+        offers = long.join(free.withColumnRenamed("file_path", "src"), "src").groupBy(F.col("dst").alias("file_path")).agg(F.max(F.col("layer") + F.col("length")).alias("offer"))
+        still = checkpointed(still.join(free.select("file_path"), "file_path", "left_anti").join(offers, "file_path", "left").select("file_path", F.greatest("layer", F.coalesce("offer", F.lit(0))).alias("layer")))
+        long = checkpointed(long.join(free.select(F.col("file_path").alias("src")), "src", "left_anti"))
+    done = every.withColumn("layer", F.lit(0)).limit(0) if done is None else done
+    for found in reversed(passes):
+        done = checkpointed(done)
+        along = found.join(done.select(F.col("file_path").alias("start"), "layer"), "start").select(F.col("node").alias("file_path"), (F.col("layer") + F.col("length")).alias("layer"))
+        done = done.unionByName(along)
+    return checkpointed(done.select("file_path", F.col("layer").cast("int").alias("layer")))
+
+
 def topological_sort(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return topological_layers(edges, nodes).orderBy("layer", "file_path")
 

@@ -665,3 +665,34 @@ def test_ways_of_large_graphs_on_chains_and_cycles(spark):
     assert {r.node: r.component for r in graph.strong_components(df, small=0).collect()} == want and len(want) == len({x for e in edges for x in e})
     reach = {(a, b) for a in {x for e in edges for x in e} for b in graph._small.reached(edges, a)}
     assert {tuple(r) for r in graph.closure(df).collect()} == reach
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_contracted_graphs_agree(spark, seed):
+    rnd = random.Random(seed)
+    edges, n = set(), 0
+    for _ in range(25):  # chains between a few hubs, some of which close rings
+        a, b, length = f"h{rnd.randrange(9)}", f"h{rnd.randrange(9)}", rnd.randrange(7)
+        nodes = [a, *[f"n{n + k:03}" for k in range(length)], b]
+        n += length
+        edges |= {e for e in zip(nodes, nodes[1:], strict=False)}
+    edges |= {(f"r{k}", f"r{(k + 1) % 5}") for k in range(5)} | {("a0", "a1"), ("a1", "a0"), ("t0", "t1"), ("t1", "t2")}
+    df = spark.createDataFrame(sorted(edges), "src string, dst string")
+    assert {tuple(r) for r in graph.strong_components(df, small=0).collect()} == set(graph._small.strong_components(sorted(edges)).items())
+    order = {x: rnd.random() for e in edges for x in e}
+    forward = sorted({(a, b) if order[a] < order[b] else (b, a) for a, b in edges if a != b})
+    layers = graph.topological_layers(spark.createDataFrame(forward, "src string, dst string"), small=0)
+    assert {tuple(r) for r in layers.collect()} == set(graph._small.layers(forward).items())
+    with pytest.raises(graph.CycleError):
+        graph.topological_layers(df, small=0)
+
+
+def test_rounds_follow_the_logarithm_of_a_chain(spark, monkeypatch):
+    n, rounds, kept = 3000, [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: rounds.append(1) or kept(df))
+    chain = spark.range(n).select(F.format_string("n%05d", F.col("id")).alias("src"), F.format_string("n%05d", F.col("id") + 1).alias("dst"))
+    layers = graph.topological_layers(chain, small=0)
+    assert layers.where("int(substring(file_path, 2)) <> layer").count() == 0 and layers.count() == n + 1 and len(rounds) < 40
+    rounds.clear()
+    ring = chain.unionByName(spark.createDataFrame([(f"n{n:05}", "n00000")], "src string, dst string"))
+    assert [tuple(r) for r in graph.cycles(ring, small=0).select("component", "size").collect()] == [("n00000", n + 1)] and len(rounds) < 40
