@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 from codeloom.operators import extract, semantic, vector
-from codeloom.operators.edit import EditContext, FidelityError, FlushError, PrudenceWarning, edit
+from codeloom.operators.edit import EditContext, FidelityError, FlushError, PrudenceWarning, edit, recover
 from codeloom.operators.graph import ImportGraph
 from codeloom.operators.index import index_directory, index_file
 from codeloom.operators.render import write_documents as egg
@@ -17,7 +17,7 @@ from codeloom.operators.semantic import rank, run_assert, score
 from codeloom.operators.store import SymbolStore
 
 __all__ = [
-    "EditContext", "FidelityError", "FlushError", "GetResult", "ImportGraph", "PrudenceWarning", "SymbolStore", "edit", "egg", "generate_batch", "get", "index_directory", "index_file", "rank", "run_assert",
+    "EditContext", "FidelityError", "FlushError", "GetResult", "ImportGraph", "PrudenceWarning", "SymbolStore", "edit", "egg", "generate_batch", "get", "index_directory", "index_file", "rank", "recover", "run_assert",
     "score", "search",
 ]
 

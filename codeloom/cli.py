@@ -145,6 +145,8 @@ def _get(s: Session, a: argparse.Namespace) -> int:
 def _put(s: Session, a: argparse.Namespace) -> int:
     new = sys.stdin.read() if a.new_source == "-" else a.new_source
     try:
+        if stopped := edit.recover(s.root, s.store, s.graph, s.client, s.graph_path):
+            _log("put", f"finished an earlier flush of {stopped.file_path}")
         with edit.edit(s.root, s.relative(a.file), s.store, s.graph, s.client, s.graph_path) as context:
             context.put(a.name, new, a.new_comment, a.force)
             report = context.flush()
@@ -157,7 +159,9 @@ def _put(s: Session, a: argparse.Namespace) -> int:
     except (ValueError, OSError) as e:
         _log("put", str(e))
         return 1
-    _log("put", f"{report.file_path}: {report.bytes_written} bytes, commit {report.commit or 'none'}")
+    for warning in filter(None, (report.format_warning, report.document_warning)):
+        _log("put", f"warning: {warning}")
+    _log("put", f"{report.file_path}: {report.bytes_written} bytes, {report.graph_edges} edges, commit {report.commit or 'none'}")
     return 0
 
 

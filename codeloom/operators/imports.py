@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from codeloom.checkpoints import checkpointed
 from codeloom.operators import extract
 from codeloom.operators.store import KeyedTable
-from codeloom.sources.files import replace_file
+from codeloom.sources.files import delete_file, read_file, replace_file
 
 STATEMENT = "struct<pos:int,module:string,level:int,names:array<string>,is_from:boolean>"
 FILE_ROWS = f"file_path string, source_hash string, statements array<{STATEMENT}>, modules array<string>, links array<struct<module:string,target:string>>"
@@ -62,10 +62,7 @@ class ImportIndex:
 
     def unfinished(self) -> list[str]:
         """The paths of an update that stopped half-way."""
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/PENDING")
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return []
-        return json.loads(self.spark.read.text(f"{self.path}/PENDING", wholetext=True).first().value)
+        return json.loads(read_file(self.spark, f"{self.path}/PENDING") or "[]")
 
     def differing(self, files: DataFrame) -> DataFrame:
         """Rows of ``files`` (path, content, source_hash) that the tables don't have as they are, or of which an update stopped half-way."""
@@ -134,13 +131,10 @@ class ImportIndex:
         )
         none = {"modules": F.array().cast("array<string>"), "links": F.array().cast("array<struct<module:string,target:string>>")}
         rows = new.join(linked, "file_path", "left").withColumns({c: F.coalesce(c, v) for c, v in none.items()})
-        others = self.users.get(shifted).select("file_path").distinct().join(fresh, "file_path", "left_anti").join(gone.withColumnRenamed("path", "file_path"), "file_path", "left_anti")
-        held = self.files.get(others)
-        again = held.select("file_path", F.explode("modules").alias("module")).join(shifted, "module", "left_semi").join(meant, "module")
-        again = again.groupBy("file_path").agg(F.collect_list(F.struct("module", "target")).alias("found"))
-        stay = held.select("file_path", F.explode("links").alias("l")).join(shifted, F.col("l.module") == F.col("module"), "left_anti").groupBy("file_path").agg(F.collect_list("l").alias("kept"))
-        patched = held.join(again, "file_path", "left").join(stay, "file_path", "left").withColumn("links", F.array_sort(F.concat(F.coalesce("kept", none["links"]), F.coalesce("found", none["links"]))))
-        rows = checkpointed(rows.select(*self.files.schema.names).unionByName(patched.select(*self.files.schema.names)))
+        rows = rows.select(*self.files.schema.names)
+        if not shifted.isEmpty():
+            rows = rows.unionByName(self._patched(shifted, meant, fresh.unionByName(gone.withColumnRenamed("path", "file_path"))))
+        rows = checkpointed(rows)
 
         before = self.files.get(fresh.unionByName(gone.withColumnRenamed("path", "file_path"))).select(F.explode("modules").alias("module"), "file_path").distinct()
         after = modules.select("module", "file_path").distinct()
@@ -152,9 +146,15 @@ class ImportIndex:
         if moved is not None:
             self.roots.replace(roots, moved)
         self.files.replace(rows, gone.withColumnRenamed("path", "file_path"))
-        self._finished()
+        delete_file(self.spark, f"{self.path}/PENDING")
         return checkpointed(rows.select("file_path").unionByName(gone.withColumnRenamed("path", "file_path")).distinct())
 
-    def _finished(self) -> None:
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/PENDING")
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, False)
+    def _patched(self, shifted: DataFrame, meant: DataFrame, taken: DataFrame) -> DataFrame:
+        """The rows of the files that use one of the modules ``shifted``, but for those in ``taken``, with the links of these modules as in ``meant``."""
+        held = self.files.get(self.users.get(shifted).select("file_path").distinct().join(taken, "file_path", "left_anti"))
+        none = F.array().cast("array<struct<module:string,target:string>>")
+        again = held.select("file_path", F.explode("modules").alias("module")).join(shifted, "module", "left_semi").join(meant, "module")
+        again = again.groupBy("file_path").agg(F.collect_list(F.struct("module", "target")).alias("found"))
+        stay = held.select("file_path", F.explode("links").alias("l")).join(shifted, F.col("l.module") == F.col("module"), "left_anti").groupBy("file_path").agg(F.collect_list("l").alias("kept"))
+        patched = held.join(again, "file_path", "left").join(stay, "file_path", "left").withColumn("links", F.array_sort(F.concat(F.coalesce("kept", none), F.coalesce("found", none))))
+        return patched.select(*self.files.schema.names)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.checkpoints import checkpointed
 from codeloom.functions import directory_of, escape_attribute, signature_args, signature_returns
 from codeloom.operators.store import get_by_directory
 from codeloom.sources.files import atomic_write
@@ -66,16 +70,32 @@ def merge_document(existing: str | None, block: str) -> str:
     return f"{existing}\n{SENTINEL}\n{block}"
 
 
-def write_documents(rows: DataFrame, root: str | Path, directory: str = "", recursive: bool = True) -> list[Path]:
-    """Write the document of each directory at or below ``directory``; rows of files elsewhere are left out."""
-    directory = directory.strip("/") or "."
+def written_documents(rows: DataFrame, root: str | Path, directory: str = "", recursive: bool = True) -> DataFrame:
+    """directory and document of each one written at or below ``directory``; rows of files elsewhere, and directories that aren't there, are left out.
+
+    Tasks write, on the file system that they read sources from: a document is staged beside the old one, whose place it takes in one step. A task made again leaves documents alone that have their block already, so what stands behind it isn't cut twice.
+    """
+    directory, base = directory.strip("/") or ".", str(Path(root).resolve())
     chosen = get_by_directory(rows, directory)
     if not recursive:
         chosen = chosen.where(directory_of(F.col("file_path")) == directory)
-    written = []
-    for row in render_directories(chosen).orderBy("directory").toLocalIterator():
-        path = Path(root) / row.directory / DOCUMENT
-        if path.parent.is_dir():
-            atomic_write(path, merge_document(path.read_text(encoding="utf-8") if path.exists() else None, row.block))
-            written.append(path)
-    return written
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        again = TaskContext.get().attemptNumber() > 0
+        for batch in batches:
+            done = []
+            for own, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                path = Path(base) / own / DOCUMENT
+                if path.parent.is_dir():
+                    existing = path.read_text(encoding="utf-8") if path.exists() else None
+                    if not (again and existing is not None and f"{SENTINEL}\n{block}" in existing):
+                        atomic_write(path, merge_document(existing, block))
+                    done.append((own, str(path)))
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.string()) for k in (0, 1)], ["directory", "document"])
+
+    return checkpointed(render_directories(chosen).mapInArrow(run, "directory string, document string"))
+
+
+def write_documents(rows: DataFrame, root: str | Path, directory: str = "", recursive: bool = True) -> list[Path]:
+    """Write the documents; their paths in order of their directories."""
+    return [Path(root) / r.directory / DOCUMENT for r in written_documents(rows, root, directory, recursive).orderBy("directory").collect()]

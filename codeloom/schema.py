@@ -25,6 +25,4 @@ AST_SYMBOLS = "name string, kind string, signature string, source string, start_
 IMPORTS = "file_path string, pos int, module string, level int, names array<string>, is_from boolean"
 NODES, EDGES = "file_path string", "src string, dst string"
 DESCRIPTION = "module_description string, symbols array<struct<name:string,kind:string,parent:string,description:string>>"
-CALLS = "model string, input_tokens bigint, output_tokens bigint, cache_read bigint, cache_creation bigint, embedding_tokens bigint"
 RATES = "model string, input double, output double, cache_read double, cache_write double"
-CHANGES = "name string, old_comment string, new_comment string, fidelity_evidence string, prudence_skipped boolean, prudence_evidence string"

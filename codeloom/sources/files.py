@@ -166,3 +166,25 @@ def replace_file(spark: SparkSession, path: str, content: bytes) -> None:
     how = spark.sparkContext._gateway.new_array(kind, 1)
     how[0] = kind.OVERWRITE
     context.rename(staged, target, how)
+
+
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202  objects of the JVM
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_file(spark: SparkSession, path: str) -> str | None:
+    """A text file of any of Hadoop's file systems, or None where there is none."""
+    at, files = _hadoop(spark, path)
+    if not files.exists(at):
+        return None
+    file = files.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    finally:
+        file.close()
+
+
+def delete_file(spark: SparkSession, path: str) -> None:
+    at, files = _hadoop(spark, path)
+    files.delete(at, False)
