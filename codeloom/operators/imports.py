@@ -23,7 +23,8 @@ from codeloom.sources.files import delete_file, read_file, replace_file
 STATEMENT = "struct<pos:int,module:string,level:int,names:array<string>,is_from:boolean>"
 FILE_ROWS = f"file_path string, source_hash string, statements array<{STATEMENT}>, modules array<string>, links array<struct<module:string,target:string>>"
 WAITING, USERS, ROOTS = "path string, module string", "module string, file_path string", "name string, prefix string"
-BUCKETS = 64
+#: To begin with: a table doubles them when a bucket grows large.
+BUCKETS = 8
 
 
 def _schema(fields: str) -> T.StructType:
