@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from codeloom.llm._common import checkpointed, named_by, parts, release, texts, without_ids
 from codeloom.llm.simhash import _LOWER, _WORDS, components, not_least, with_components
 
-ALIKE, EXPECTED, MISSED, LEAST_WIDTH, HOT, DOUBLINGS = 0.8, 0.12, 0.05, 24, 32, 3
+ALIKE, EXPECTED, MISSED, LEAST_WIDTH, HOT, DOUBLINGS = 0.8, 0.12, 0.05, 24, 4096, 3
 FLIPPED = math.acos(2 * ALIKE / (1 + ALIKE)) / math.pi
 CHECK, CHECK_FLIPPED = 32, 12  # bits of a node's number that are bits of the fingerprint, and how many of them may differ: of pairs at FLIPPED some 6 in 10,000 have more
 _CHUNK = 1 << 12
