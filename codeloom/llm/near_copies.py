@@ -111,10 +111,11 @@ def across(rows: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     rooted = checkpointed(named_by(rooted, checkpointed(mixed), ["key"], "mixed").where("mixed").drop("mixed").join(mixed, "key"))
     count = F.greatest(F.ceil(F.col("n") / hot).cast("int"), F.lit(1))
-    parted = rooted.withColumns({"parts": count, "part": F.pmod(F.xxhash64("key", "node"), count).cast("int")})
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = parted.select("key", F.col("node").alias("a"), F.col("root").alias("x"), F.col("part").alias("i"), other.alias("j"))
-    right = parted.select("key", F.col("node").alias("b"), F.col("root").alias("y"), other.alias("i"), F.col("part").alias("j"))
+    parted = rooted.where(F.col("n") > hot).withColumns({"parts": count, "part": F.pmod(F.xxhash64("key", "node"), count).cast("int")})
+    other, zero = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.lit(0)
+    whole = rooted.where(F.col("n") <= hot)
+    left = parted.select("key", F.col("node").alias("a"), F.col("root").alias("x"), F.col("part").alias("i"), other.alias("j")).unionByName(whole.select("key", F.col("node").alias("a"), F.col("root").alias("x"), zero.alias("i"), zero.alias("j")))
+    right = parted.select("key", F.col("node").alias("b"), F.col("root").alias("y"), other.alias("i"), F.col("part").alias("j")).unionByName(whole.select("key", F.col("node").alias("b"), F.col("root").alias("y"), zero.alias("i"), zero.alias("j")))
     return left.join(right, ["key", "i", "j"]).where(f"x <> y AND {_NEAR}").select("a", "b").distinct()
 
 
