@@ -1,7 +1,7 @@
 """Operators that ask a language model: map, extract, filter, score, rank, embed.
 
 A ``ModelClient`` answers; the engine brings the rows to it in Arrow batches, a bounded number of calls at a time, and returns usage as columns. Tasks may run twice: answers are
-cached in a worker by (model, prompt, content), and results should be written before they are used twice. ``StubClient`` needs no network and answers
+cached in a worker by (client, model, prompt, content), and results should be written before they are used twice. ``StubClient`` needs no network and answers
 by rule.
 """
 
@@ -208,15 +208,17 @@ _CACHE: dict[tuple, Answer] = {}
 
 
 def answer(client: ModelClient, request: Request) -> Answer:
-    """A client's answer with retries, cached in this process. Only models named gpt-... are known."""
+    """A client's answer with retries, cached in this process by client and request. Only models named gpt-... are known."""
     if not request.model.startswith("gpt-"):
         raise ValueError(f"unknown model: {request.model}")
-    key = (request.model, hashlib.sha256(f"{request.prompt}\0{request.content}\0{request.n}\0{request.effort}\0{request.form is not None}".encode()).digest())
-    if key not in _CACHE:
+    key = (request.model, hashlib.sha256(f"{getattr(client, 'inner', client)!r}\0{request.prompt}\0{request.content}\0{request.n}\0{request.effort}\0{request.form is not None}".encode()).digest())
+    found = _CACHE.get(key)
+    if found is None:
+        found = with_retries(lambda: client.generate(request))
         if len(_CACHE) > 10_000:
-            _CACHE.clear()
-        _CACHE[key] = with_retries(lambda: client.generate(request))
-    return _CACHE[key]
+            _CACHE.clear()  # at any time, by any thread of the process: what is in the cache is only read by get
+        _CACHE[key] = found
+    return found
 
 
 def _structured(text: str, form: dict | None) -> str | None:
