@@ -38,18 +38,19 @@ def symbol_rows(files: DataFrame, symbols: DataFrame, described: DataFrame, clie
     """Rows of the symbol table for files (path, content, source_hash): a row for each symbol and one for the module.
 
     A file of which a text couldn't be embedded has zeros there and no hash, so that the next run takes it for changed and asks again.
+    Both sides of these joins grow with the files, and Spark's estimates know nothing of texts that are made of a few columns or by Python; so no side is broadcast, which would pass through the driver.
     """
     matched = semantic.match_descriptions(symbols.where(F.col("error").isNull()), described)
     own = matched.select("file_path", symbol_id(F.col("file_path"), F.col("name")).alias("id"), "kind", "description", F.coalesce("signature", F.lit("")).alias("signature"), "start_line")
-    parsed = files.join(symbols.where(F.col("error").isNotNull()).select(F.col("file_path").alias("path")).distinct(), "path", "left_anti")
-    modules = parsed.select(F.col("path").alias("file_path"), module_id(F.col("path")).alias("id"), F.lit("module").alias("kind")).join(described.select("file_path", F.nullif("description.module_description", F.lit("")).alias("description")), "file_path", "left")
+    parsed = files.join(symbols.where(F.col("error").isNotNull()).select(F.col("file_path").alias("path")).distinct().hint("merge"), "path", "left_anti")
+    modules = parsed.select(F.col("path").alias("file_path"), module_id(F.col("path")).alias("id"), F.lit("module").alias("kind")).join(described.select("file_path", F.nullif("description.module_description", F.lit("")).alias("description")).hint("merge"), "file_path", "left")
     rows = own.unionByName(modules.select("file_path", "id", "kind", "description", F.lit("").alias("signature"), F.lit(0).alias("start_line")))
-    rows = last_definition(rows).drop("start_line").join(files.select(F.col("path").alias("file_path"), "source_hash"), "file_path")
+    rows = last_definition(rows).drop("start_line").join(files.select(F.col("path").alias("file_path"), "source_hash").hint("merge"), "file_path")
     rows = with_git_metadata(rows, metadata).withColumn("repo_id", F.lit(repo))
     rows = inherit_mutations(rows, stored.select("id", "file_path", "mutation_count"))
     asked = checkpointed(rows.withColumns({"__d": semantic.embed_checked(F.col("description"), client, VECTOR_SIZE), "__s": semantic.embed_checked(F.col("signature"), client, VECTOR_SIZE)}))
     failed = asked.where("__d.error IS NOT NULL OR __s.error IS NOT NULL").groupBy("file_path").agg(F.first(F.coalesce("__d.error", "__s.error")).alias("embed_error"))
-    hashed = asked.join(failed, "file_path", "left").withColumn("source_hash", F.when(F.col("embed_error").isNull(), F.col("source_hash")).otherwise(F.lit("")))
+    hashed = asked.join(failed.hint("merge"), "file_path", "left").withColumn("source_hash", F.when(F.col("embed_error").isNull(), F.col("source_hash")).otherwise(F.lit("")))
     return hashed.withColumns({"description_vector": F.col("__d.vector"), "signature_vector": F.col("__s.vector")}).drop("__d", "__s")
 
 

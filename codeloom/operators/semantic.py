@@ -333,7 +333,7 @@ def calls_of(answered: DataFrame) -> DataFrame:
 def describe_modules(files: DataFrame, symbols: DataFrame, client: ModelClient, model: str = DESCRIBE_MODEL, effort: str | None = "medium") -> DataFrame:
     """file_path, description (struct) and error of each file (path, content), asked with the list of its symbols."""
     listed = symbols.where(F.col("name").isNotNull()).groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("start_line", F.concat(F.lit("- "), "kind", F.lit(" "), "name").alias("line")))).alias("s"))
-    joined = files.join(listed, files.path == listed.file_path, "left").select(files.path.alias("file_path"), "content", F.array_join(F.transform("s", lambda x: x.line), "\n").alias("lines"))
+    joined = files.join(listed.hint("merge"), files.path == listed.file_path, "left").select(files.path.alias("file_path"), "content", F.array_join(F.transform("s", lambda x: x.line), "\n").alias("lines"))
     asked = generate(joined, F.concat(F.lit("SYMBOLS\n"), F.coalesce("lines", F.lit("")), F.lit("\nSOURCE\n"), F.col("content")), client, PROMPTS["describe"], model, form=DESCRIPTION_FORM, effort=effort)
     parsed = F.from_json("answer.structured", f"struct<{DESCRIPTION.replace(' string,', ':string,').replace('symbols array', 'symbols:array')}>")
     return asked.select("file_path", parsed.alias("description"), F.when(parsed.isNull(), F.lit("LLM returned no structured output")).alias("error"), "answer")
@@ -343,7 +343,7 @@ def match_descriptions(symbols: DataFrame, described: DataFrame) -> DataFrame:
     """Symbols (file_path, name, parent, ...) with their description: same file, bare name and parent, where no parent equals no parent; of several the last counts."""
     each = described.select("file_path", F.posexplode("description.symbols").alias("pos", "s")).select("file_path", "pos", F.col("s.name").alias("bare"), F.nullif("s.parent", F.lit("")).alias("owner"), F.col("s.description").alias("found"))
     last = each.where(F.length("found") > 0).groupBy("file_path", "bare", "owner").agg(F.max_by("found", "pos").alias("description"))
-    s, d = symbols.alias("s"), last.alias("d")
+    s, d = symbols.alias("s"), last.alias("d").hint("merge")
     same = (F.col("s.file_path") == F.col("d.file_path")) & (F.substring_index("s.name", ".", -1) == F.col("d.bare")) & F.col("s.parent").eqNullSafe(F.col("d.owner"))
     return s.join(d, same, "left").select("s.*", "d.description")
 

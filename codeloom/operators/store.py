@@ -49,7 +49,7 @@ def inherit_mutations(new: DataFrame, stored: DataFrame, key: str = "id", group:
     """``new`` with its mutation count: 0 in a group never stored before, otherwise one more than the key's own count, which is 0 for a new key."""
     before = stored.groupBy(key).agg(F.max(count).alias("__before"))
     known = stored.select(group).distinct().withColumn("__known", F.lit(True))
-    joined = new.drop(count).join(before, key, "left").join(known, group, "left")
+    joined = new.drop(count).join(before.hint("merge"), key, "left").join(known.hint("merge"), group, "left")
     value = F.when(F.col("__known"), F.coalesce("__before", F.lit(0)) + 1).otherwise(F.lit(0)).cast("bigint")
     return joined.withColumn(count, value).drop("__before", "__known")
 

@@ -54,3 +54,12 @@ def test_prefix_is_pushed_to_the_scan(spark):
 
     rows = get_by_directory(spark.read.parquet(f"{SF}/documents.parquet"), "src3", "source")
     assert "StringStartsWith(source,src3/)" in rows._jdf.queryExecution().toString()
+
+
+def test_symbol_rows_pass_no_table_through_the_driver(spark, monkeypatch):
+    from codeloom.operators import index
+
+    plans = []
+    monkeypatch.setattr(index, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    plans.append(catalog.QUERIES["index_rows"](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
