@@ -2,13 +2,14 @@
 
 Near copies here are texts whose sets of words have a Jaccard similarity of ``ALIKE`` = 0.8 or more. With J the similarity, the sets' cosine is 2 J / (1 + J) for sets of one size, and a bit of their fingerprints
 differs with a probability of acos(cosine) / pi: 0.1515 at 0.8. In 64 bits that is 10 bits, far more than segments could guarantee; so the fingerprint is as wide as it must be for segments of ``width`` bits
-that differ in one bit at most to be likely. Each segment is indexed under its one-wildcard variants, texts that share a variant are joined and verified on all bits: at most FLIPPED of them may differ.
+that differ in one bit at most to be likely. Texts of which a segment differs in one bit at most are joined and verified on all bits: at most FLIPPED of them may differ. Segments that differ in one bit differ in parity, so each is indexed under itself, and
+those of odd parity also visit all that differ from them in one bit: half as many signatures as one-wildcard variants, and a pair meets once for each such segment, where equal segments share all their variants.
 
 The width follows the number of fingerprints, so that buckets don't fill by chance, and the number of segments follows the width, so that a pair with a share of EXPECTED differing bits (a similarity of 0.87) is missed with a
-probability of MISSED at most: 24 bits and 14 segments up to a million texts, 28 and 21 up to 16 million, 41 and 85 for 10^11. A text has width * segments signatures of 16 bytes: 5 KB, 9 KB and 55 KB. That is the price of the
+probability of MISSED at most: 24 bits and 14 segments up to a million texts, 28 and 21 up to 16 million, 41 and 85 for 10^11. A text has (1 + width / 2) * segments signatures of 16 bytes on average: 3 KB, 5 KB and 29 KB. That is the price of the
 method: fingerprints of texts that are alike by 0.8 are far apart.
 
-First each node is joined with the least node of each of its buckets, which is linear and finds most groups. Then each node gets a root by its links, and buckets with several roots are joined pairwise, but for pairs of one root: so large groups of near copies cost nothing here.
+First each node is joined with the least owner of each of its buckets, which is linear and finds most groups. Then each node gets a root by its links, and buckets with several roots are joined pairwise, but for pairs of one root: so large groups of near copies cost nothing here.
 A bucket of more than ``HOT`` nodes is cut into parts of about HOT by a hash, and each part meets each other, in tasks of their own: no pair of a bucket is left out. The work on a bucket is the square of its nodes only where many of them share a segment and are in different groups, as
 texts of one template may be; by chance, buckets don't fill.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm._common import checkpointed, named_by, parts, release, texts, without_ids
@@ -80,33 +81,34 @@ def fingerprints(docs: DataFrame, width: int, segments: int, doc_id: str, text:
 
 
 def signatures(distinct: DataFrame, width: int) -> DataFrame:
-    """node and key: segment and wildcard number, and the segment's other bits."""
-    cut = distinct.select("node", F.posexplode("segments").alias("s", "v")).select("node", "s", "v", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("i"))
-    return cut.select("node", F.expr("shiftleft(cast(s * 64 + i AS bigint), 48) | (v & ~shiftleft(1L, i))").alias("key"))
+    """node, key and own: number and value of a segment, which is the node's own or, for own ones of odd parity, differs from it in one bit. Of two nodes with one key, at least one of them its owner, the segment differs in one bit at most; and two such nodes have one such key for the segment."""
+    cut = distinct.select("node", F.posexplode("segments").alias("s", "v")).select("node", "s", "v", F.explode(F.expr(f"sequence(-1, if(bit_count(v) % 2 = 1, {width - 1}, -1))")).alias("i"))
+    return cut.select("node", F.expr("shiftleft(cast(s AS bigint), 48) | if(i < 0, v, v ^ shiftleft(1L, i))").alias("key"), F.expr("i < 0").alias("own"))
 
 
 _NEAR = f"a < b AND bit_count(shiftrightunsigned(a ^ b, 32)) <= {CHECK_FLIPPED}"
 
 
 def proposed(distinct: DataFrame, width: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs (a, b), a < b, of the distinct nodes (node, segments) that are near in the CHECK bits: each node with the least of those that share one of its signatures. And the signatures of keys that more than two nodes have.
+    """Pairs (a, b), a < b, of the distinct nodes (node, segments) that are near in the CHECK bits: each node with the least owner of each of its keys. And the signatures of keys that have an owner and more than two nodes.
 
     A key's least and greatest node are the pair of a key of two, which most shared keys are. Only signatures of keys with more nodes are made again, named by a bitmap, and joined.
     """
     signed = signatures(distinct.repartition(max(1, distinct.count() // 5_000), "node"), width)
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = signed.repartition(max(parts, distinct.count() * 256 // 2_000_000), "key").groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"))
-    shared = checkpointed(sizes.where(f"a < b AND (n > 2 OR {_NEAR})"))
-    pairs, several = shared.where("n = 2").select("a", "b"), shared.where("n > 2").select("key", "n", F.col("a").alias("low"))
+    counted = [F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.min(F.when(F.col("own"), F.col("node"))).alias("low")]
+    sizes = signed.repartition(max(parts, distinct.count() * 256 // 2_000_000), "key").groupBy("key").agg(*counted)
+    shared = checkpointed(sizes.where(f"low IS NOT NULL AND a < b AND (n > 2 OR {_NEAR})"))
+    pairs, several = shared.where("n = 2").select("a", "b"), shared.where("n > 2").select("key", "n", "low")
     if several.isEmpty():
         return pairs.distinct(), None
-    rows = checkpointed(named_by(signed, several, ["key"], "named").where("named").select("key", "node").join(several, "key"))
-    return pairs.unionByName(rows.select(F.col("low").alias("a"), F.col("node").alias("b")).where(_NEAR)).distinct(), rows
+    rows = checkpointed(named_by(signed, several, ["key"], "named").where("named").select("key", "node", "own").join(several, "key"))
+    return pairs.unionByName(rows.select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b")).where(_NEAR)).distinct(), rows
 
 
 def across(rows: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
-    """All pairs that share a signature, are near in the CHECK bits and have no common root yet. A key of more than ``hot`` nodes is cut into parts of about so many, and a pair of parts is joined by itself."""
-    rooted = rows.select("key", "node", "n").join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("key", "n", "node", F.coalesce("root", "node").alias("root"))
+    """All pairs of a key's owners with each other and with its visitors that are near in the CHECK bits and have no common root yet. A key of more than ``hot`` nodes is cut into parts of about so many, and a pair of parts is joined by itself."""
+    rooted = rows.select("key", "node", "own", "n").join(roots.select(F.col("node").alias("known"), "root"), F.col("node") == F.col("known"), "left").select("key", "n", "node", "own", F.coalesce("root", "node").alias("root"))
     rooted = checkpointed(rooted)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     rooted = checkpointed(named_by(rooted, checkpointed(mixed), ["key"], "mixed").where("mixed").drop("mixed").join(mixed, "key"))
@@ -114,9 +116,16 @@ def across(rows: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
     parted = rooted.where(F.col("n") > hot).withColumns({"parts": count, "part": F.pmod(F.xxhash64("key", "node"), count).cast("int")})
     other, zero = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.lit(0)
     whole = rooted.where(F.col("n") <= hot)
-    left = parted.select("key", F.col("node").alias("a"), F.col("root").alias("x"), F.col("part").alias("i"), other.alias("j")).unionByName(whole.select("key", F.col("node").alias("a"), F.col("root").alias("x"), zero.alias("i"), zero.alias("j")))
-    right = parted.select("key", F.col("node").alias("b"), F.col("root").alias("y"), other.alias("i"), F.col("part").alias("j")).unionByName(whole.select("key", F.col("node").alias("b"), F.col("root").alias("y"), zero.alias("i"), zero.alias("j")))
-    return left.join(right, ["key", "i", "j"]).where(f"x <> y AND {_NEAR}").select("a", "b").distinct()
+
+    def owners(some: DataFrame, i: Column, j: Column) -> DataFrame:
+        return some.where("own").select("key", F.col("node").alias("p"), F.col("root").alias("x"), i.alias("i"), j.alias("j"))
+
+    def nodes(some: DataFrame, i: Column, j: Column) -> DataFrame:
+        return some.select("key", F.col("node").alias("q"), F.col("root").alias("y"), "own", i.alias("i"), j.alias("j"))
+
+    left, right = owners(parted, F.col("part"), other).unionByName(owners(whole, zero, zero)), nodes(parted, other, F.col("part")).unionByName(nodes(whole, zero, zero))
+    met = left.join(right, ["key", "i", "j"]).where(f"x <> y AND (NOT own OR p < q) AND bit_count(shiftrightunsigned(p ^ q, 32)) <= {CHECK_FLIPPED}")
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, distinct: DataFrame, width: int, segments: int) -> DataFrame:

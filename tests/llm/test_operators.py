@@ -321,6 +321,26 @@ def test_wide_fingerprints():
     assert near_copies.shape(0) == near_copies.shape(1 << 20) == (24, 14) and near_copies.shape(10**11) == (41, 85)
 
 
+def test_signatures_meet_once_for_a_segment(spark):
+    """Nodes of which a segment differs in one bit at most, and no others, meet in one key of it, at least one of them as its owner; equal segments met in as many keys as they have bits before."""
+    rnd, width = random.Random(5), 24
+    bases = [rnd.getrandbits(width) for _ in range(4)]
+    cut = {k: [rnd.choice(bases) ^ sum(1 << i for i in rnd.sample(range(width), rnd.choice([0, 0, 1, 1, 2]))) for _ in range(3)] for k in range(80)}
+    rows = near_copies.signatures(spark.createDataFrame(list(cut.items()), "node bigint, segments array<bigint>"), width).collect()
+    assert len(rows) == sum(1 + width * (v.bit_count() % 2) for x in cut.values() for v in x)
+    keys = {}
+    for r in rows:
+        keys.setdefault(r.key, []).append((r.node, r.own))
+    met = sorted((min(p, q), max(p, q), key >> 48) for key, members in keys.items() for p, own in members if own for q, also in members if not also or p < q)
+    assert met == sorted((p, q, s) for p in cut for q in cut for s in range(3) if p < q and (cut[p][s] ^ cut[q][s]).bit_count() <= 1)
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    _, several = near_copies.proposed(spark.createDataFrame(list(cut.items()), "node bigint, segments array<bigint>"), width)
+    n = {key: len(members) for key, members in keys.items()}
+    crowded = {(p, q) for p, q, s in met for key in [s << 48 | v for v in (cut[p][s], cut[q][s])] if n[key] > 2 and {p, q} <= {m for m, _ in keys[key]}}
+    for hot in (4096, 5):
+        assert {tuple(r) for r in near_copies.across(several, roots, hot).collect()} == crowded
+
+
 @pytest.mark.parametrize("hot", [2, 32])
 def test_near_copies(spark, hot):
     rnd = random.Random(9)
