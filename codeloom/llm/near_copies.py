@@ -9,7 +9,8 @@ The width follows the number of fingerprints, so that buckets don't fill by chan
 probability of MISSED at most: 24 bits and 14 segments up to a million texts, 28 and 21 up to 16 million, 41 and 85 for 10^11. A text has (1 + width / 2) * segments signatures of 16 bytes on average: 3 KB, 5 KB and 29 KB. That is the price of the
 method: fingerprints of texts that are alike by 0.8 are far apart.
 
-First each node is joined with the least owner of each of its buckets, which is linear and finds most groups. Then each node gets a root by its links, and buckets with several roots are joined pairwise, but for pairs of one root: so large groups of near copies cost nothing here.
+First each node is joined with a few near owners of its buckets, which is linear and finds most groups: OFFERS * PICKS at most, by orders that are the same for all nodes, however many of its buckets a group shares. The groups so far give each node a root, and buckets with several roots are joined
+pairwise, but for pairs of one root: so no link is lost, and large groups of near copies cost little here. Pairs of such buckets are compared on MORE bits before they meet all their segments: of those that meet by chance, most differ there.
 A bucket of more than ``HOT`` nodes is cut into parts of about HOT by a hash, and each part meets each other, in tasks of their own: no pair of a bucket is left out. The work on a bucket is the square of its nodes only where many of them share a segment and are in different groups, as
 texts of one template may be; by chance, buckets don't fill.
 
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from codeloom.llm._common import checkpointed, named_by, parts, release, texts, without_ids
 from codeloom.llm.simhash import _LOWER, _WORDS, components, not_least, with_components
 
-ALIKE, EXPECTED, MISSED, LEAST_WIDTH, HOT, DOUBLINGS = 0.8, 0.12, 0.05, 24, 4096, 3
+ALIKE, EXPECTED, MISSED, LEAST_WIDTH, HOT, OFFERS, PICKS = 0.8, 0.12, 0.05, 24, 4096, 4, 3
 FLIPPED = math.acos(2 * ALIKE / (1 + ALIKE)) / math.pi
 CHECK, CHECK_FLIPPED = 32, 12  # bits of a node's number that are bits of the fingerprint, and how many of them may differ: of pairs at FLIPPED some 6 in 10,000 have more
+MORE, MORE_FLIPPED = 48, 24  # bits of the segments that nodes of crowded keys compare besides, and how many of these and of the CHECK bits may differ together: of pairs at FLIPPED some 2 in 10,000 have more
 _CHUNK = 1 << 12
 
 
@@ -81,34 +83,59 @@ def fingerprints(docs: DataFrame, width: int, segments: int, doc_id: str, text:
 
 
 def signatures(distinct: DataFrame, width: int) -> DataFrame:
-    """node, key and own: number and value of a segment, which is the node's own or, for own ones of odd parity, differs from it in one bit. Of two nodes with one key, at least one of them its owner, the segment differs in one bit at most; and two such nodes have one such key for the segment."""
-    cut = distinct.select("node", F.posexplode("segments").alias("s", "v")).select("node", "s", "v", F.explode(F.expr(f"sequence(-1, if(bit_count(v) % 2 = 1, {width - 1}, -1))")).alias("i"))
-    return cut.select("node", F.expr("shiftleft(cast(s AS bigint), 48) | if(i < 0, v, v ^ shiftleft(1L, i))").alias("key"), F.expr("i < 0").alias("own"))
+    """node, key and own: number and value of a segment, which is the node's own or, for own ones of odd parity, differs from it in one bit. Of two nodes with one key, at least one of them its owner, the segment differs in one bit at most; and two such nodes have one such key for the segment. A column more of ``distinct`` is kept."""
+    kept = [c for c in distinct.columns if c == "more"]
+    cut = distinct.select("node", *kept, F.posexplode("segments").alias("s", "v")).select("node", *kept, "s", "v", F.explode(F.expr(f"sequence(-1, if(bit_count(v) % 2 = 1, {width - 1}, -1))")).alias("i"))
+    return cut.select("node", *kept, F.expr("shiftleft(cast(s AS bigint), 48) | if(i < 0, v, v ^ shiftleft(1L, i))").alias("key"), F.expr("i < 0").alias("own"))
+
+
+def further(width: int) -> Column:
+    """MORE bits of the first segments."""
+    bits = " | ".join(f"shiftleft(segments[{k}], {k * width})" for k in range(-(-MORE // width)))
+    return F.expr(f"({bits}) & {(1 << MORE) - 1}L")
 
 
 _NEAR = f"a < b AND bit_count(shiftrightunsigned(a ^ b, 32)) <= {CHECK_FLIPPED}"
 
 
+def _near(a: str, b: str, more_a: str, more_b: str) -> str:
+    """Of nodes with more bits: as many of both differ as may."""
+    return f"bit_count(shiftrightunsigned({a} ^ {b}, 32)) + bit_count({more_a} ^ {more_b}) <= {MORE_FLIPPED}"
+
+
 def proposed(distinct: DataFrame, width: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs (a, b), a < b, of the distinct nodes (node, segments) that are near in the CHECK bits: each node with the least owner of each of its keys. And the signatures of keys that have an owner and more than two nodes.
+    """Pairs (a, b), a < b, of the distinct nodes (node, segments, perhaps more) that are near in the bits that they have at hand: those of keys of two, and ``picked`` ones of other keys. And the signatures of keys that have an owner and more than two nodes.
 
     A key's least and greatest node are the pair of a key of two, which most shared keys are. Only signatures of keys with more nodes are made again, named by a bitmap, and joined.
     """
     signed = signatures(distinct.repartition(max(1, distinct.count() // 5_000), "node"), width)
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = [F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.min(F.when(F.col("own"), F.col("node"))).alias("low")]
-    sizes = signed.repartition(max(parts, distinct.count() * 256 // 2_000_000), "key").groupBy("key").agg(*counted)
+    sizes = signed.select("key", "node", "own").repartition(max(parts, distinct.count() * 256 // 2_000_000), "key").groupBy("key").agg(*counted)
     shared = checkpointed(sizes.where(f"low IS NOT NULL AND a < b AND (n > 2 OR {_NEAR})"))
     pairs, several = shared.where("n = 2").select("a", "b"), shared.where("n > 2").select("key", "n", "low")
     if several.isEmpty():
         return pairs.distinct(), None
-    rows = checkpointed(named_by(signed, several, ["key"], "named").where("named").select("key", "node", "own").join(several, "key"))
-    return pairs.unionByName(rows.select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b")).where(_NEAR)).distinct(), rows
+    more = "more" if "more" in distinct.columns else F.lit(0).cast("bigint").alias("more")
+    rows = checkpointed(named_by(signed, several, ["key"], "named").where("named").select("key", "node", "own", more).join(several, "key"))
+    return pairs.unionByName(picked(rows)).distinct(), rows
+
+
+def picked(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of each node with near owners of its keys: a key offers OFFERS owners, the first in as many orders by a hash, and a node takes of each the first in PICKS orders, nearer ones (by eights of bits) before others.
+    The orders are the same for all, so nodes of a group meet in few owners; a node has OFFERS * PICKS pairs at most, however many of its keys a group shares."""
+    first = [F.min_by(F.col(c), F.xxhash64("node", F.lit(k))).alias(f"{c}{k}") for k in range(OFFERS) for c in ("node", "more")]
+    offered = rows.where("own").groupBy("key").agg(*first)
+    flipped = [f"bit_count(shiftrightunsigned(node{k} ^ node, 32)) + bit_count(more{k} ^ more)" for k in range(OFFERS)]
+    order = [f"if(node{k} <> node AND {x} <= {MORE_FLIPPED}, shiftleft(cast(({x}) div 8 AS bigint), 60) | shiftrightunsigned(xxhash64(node{k}, {{j}}), 4), NULL)" for k, x in enumerate(flipped)]
+    taken = F.array_distinct(F.array(*[F.min_by(f"node{k}", F.expr(order[k].format(j=OFFERS * j + k))) for k in range(OFFERS) for j in range(PICKS)]))
+    owners = rows.select("key", "node", "more").join(offered, "key").groupBy("node").agg(taken.alias("owners"))
+    return owners.select("node", F.explode("owners").alias("o")).where("o IS NOT NULL").select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b"))
 
 
 def across(rows: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
-    """All pairs of a key's owners with each other and with its visitors that are near in the CHECK bits and have no common root yet. A key of more than ``hot`` nodes is cut into parts of about so many, and a pair of parts is joined by itself."""
-    rooted = rows.select("key", "node", "own", "n").join(roots.select(F.col("node").alias("known"), "root"), F.col("node") == F.col("known"), "left").select("key", "n", "node", "own", F.coalesce("root", "node").alias("root"))
+    """All pairs of a key's owners with each other and with its visitors that are near in the CHECK bits and in more and have no common root yet. A key of more than ``hot`` nodes is cut into parts of about so many, and a pair of parts is joined by itself."""
+    rooted = rows.select("key", "node", "own", "more", "n").join(roots.select(F.col("node").alias("known"), "root"), F.col("node") == F.col("known"), "left").select("key", "n", "node", "own", "more", F.coalesce("root", "node").alias("root"))
     rooted = checkpointed(rooted)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     rooted = checkpointed(named_by(rooted, checkpointed(mixed), ["key"], "mixed").where("mixed").drop("mixed").join(mixed, "key"))
@@ -118,13 +145,13 @@ def across(rows: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
     whole = rooted.where(F.col("n") <= hot)
 
     def owners(some: DataFrame, i: Column, j: Column) -> DataFrame:
-        return some.where("own").select("key", F.col("node").alias("p"), F.col("root").alias("x"), i.alias("i"), j.alias("j"))
+        return some.where("own").select("key", F.col("node").alias("p"), F.col("more").alias("u"), F.col("root").alias("x"), i.alias("i"), j.alias("j"))
 
     def nodes(some: DataFrame, i: Column, j: Column) -> DataFrame:
-        return some.select("key", F.col("node").alias("q"), F.col("root").alias("y"), "own", i.alias("i"), j.alias("j"))
+        return some.select("key", F.col("node").alias("q"), F.col("more").alias("v"), F.col("root").alias("y"), "own", i.alias("i"), j.alias("j"))
 
     left, right = owners(parted, F.col("part"), other).unionByName(owners(whole, zero, zero)), nodes(parted, other, F.col("part")).unionByName(nodes(whole, zero, zero))
-    met = left.join(right, ["key", "i", "j"]).where(f"x <> y AND (NOT own OR p < q) AND bit_count(shiftrightunsigned(p ^ q, 32)) <= {CHECK_FLIPPED}")
+    met = left.join(right, ["key", "i", "j"]).where("x <> y AND (NOT own OR p < q) AND " + _near("p", "q", "u", "v"))
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
@@ -135,28 +162,18 @@ def verified(pairs: DataFrame, distinct: DataFrame, width: int, segments: int) -
     return pairs.join(left, "a").join(right, "b").where(f"{flipped} <= {math.floor(FLIPPED * width * segments)}").select("a", "b")
 
 
-def labels(links: DataFrame, doublings: int = DOUBLINGS) -> DataFrame:
-    """node and root: each node points at the least node within two links, and then at what that points at, some times over: a row for each node in each round. Nodes of one group may keep several roots, which only means that more of their pairs are compared."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    second = both.join(near.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-    found = checkpointed(second.join(near, F.col("a") == F.col("node")).select("node", F.least("root", "m").alias("root")))
-    for _ in range(doublings):
-        after = found.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        found = checkpointed(found.join(after, "root").select("node", F.col("further").alias("root")))
-    return found
-
-
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, node and component_id of every row; texts are read once."""
     width, segments = shape(docs.count())
     rows = checkpointed(fingerprints(docs, width, segments, doc_id, text))
-    distinct = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("segments").alias("segments")))
+    distinct = checkpointed(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("segments").alias("segments")).withColumn("more", further(width)))
     pairs, signed = proposed(distinct, width)
-    links = checkpointed(verified(pairs, distinct, width, segments))
+    roots = components(verified(pairs, distinct, width, segments))
     if signed is not None:
-        links = links.unionByName(verified(across(signed, labels(links), hot), distinct, width, segments))
-    return with_components(rows.select("doc_id", "node"), distinct.select("node", "least"), components(links), "node")
+        roots = checkpointed(roots)
+        links = verified(across(signed, roots, hot), distinct, width, segments)
+        roots = components(links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    return with_components(rows.select("doc_id", "node"), distinct.select("node", "least"), roots, "node")
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -341,6 +341,40 @@ def test_signatures_meet_once_for_a_segment(spark):
         assert {tuple(r) for r in near_copies.across(several, roots, hot).collect()} == crowded
 
 
+def test_a_group_of_near_copies_has_few_pairs(spark):
+    """The pairs to verify are a few for each node, though the group shares most of each node's keys, and the groups are whole (before, 62 pairs a node)."""
+    rnd, (width, segments), n = random.Random(3), near_copies.shape(0), 600
+    flips = lambda k: sum(1 << i for i in range(k) if rnd.random() < 0.06)
+    base = [rnd.getrandbits(width) for _ in range(segments)]
+    rows = [((0x2A5C1234 ^ flips(30)) << 32 | k, [v ^ flips(width) for v in base]) for k in range(n)]
+    distinct = spark.createDataFrame(rows, "node bigint, segments array<bigint>").withColumn("more", near_copies.further(width))
+    pairs, several = near_copies.proposed(distinct, width)
+    assert pairs.count() <= 12 * n
+    roots = near_copies.components(near_copies.verified(pairs, distinct, width, segments))
+    left = near_copies.verified(near_copies.across(several, roots, near_copies.HOT), distinct, width, segments)
+    found = near_copies.components(left.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))).collect()
+    graph = {node: node for node, _ in rows}
+
+    def root(x):
+        while graph[x] != x:
+            x = graph[x]
+        return x
+
+    signed = [((node >> 32, *cut), node) for node, cut in rows]
+    for k, (x, p) in enumerate(signed):
+        for y, q in signed[:k]:
+            apart = [(u ^ v).bit_count() for u, v in zip(x, y, strict=True)]
+            if apart[0] <= 12 and min(apart[1:]) <= 1 and sum(apart[1:]) <= near_copies.FLIPPED * width * segments:
+                graph[root(p)] = root(q)
+    groups = {}
+    for r in found:
+        groups.setdefault(r.root, {r.root}).add(r.node)
+    brute = {}
+    for node in graph:
+        brute.setdefault(root(node), set()).add(node)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in brute.values() if len(g) > 1)
+
+
 @pytest.mark.parametrize("hot", [2, 32])
 def test_near_copies(spark, hot):
     rnd = random.Random(9)
