@@ -135,8 +135,10 @@ def picked(rows: DataFrame) -> DataFrame:
 
 def across(rows: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
     """All pairs of a key's owners with each other and with its visitors that are near in the CHECK bits and in more and have no common root yet. A key of more than ``hot`` nodes is cut into parts of about so many, and a pair of parts is joined by itself."""
-    rooted = rows.select("key", "node", "own", "more", "n").join(roots.select(F.col("node").alias("known"), "root"), F.col("node") == F.col("known"), "left").select("key", "n", "node", "own", "more", F.coalesce("root", "node").alias("root"))
-    rooted = checkpointed(rooted)
+    known = roots.select(F.col("node").alias("known"), "root")
+    named = named_by(rows.select("key", "n", "node", "own", "more"), roots.select("node"), ["node"], "named")  # most nodes of crowded keys have no root but themselves
+    found = named.where("named").drop("named").join(known, F.col("node") == F.col("known"), "left").select("key", "n", "node", "own", "more", F.coalesce("root", "node").alias("root"))
+    rooted = checkpointed(found.unionByName(named.where("NOT named").drop("named").withColumn("root", F.col("node"))))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     rooted = checkpointed(named_by(rooted, checkpointed(mixed), ["key"], "mixed").where("mixed").drop("mixed").join(mixed, "key"))
     count = F.greatest(F.ceil(F.col("n") / hot).cast("int"), F.lit(1))
